@@ -33,38 +33,37 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
-class Node:
-    """Children by host label or path segment; verdict and text of the rules that end here."""
+def new_node() -> dict:
+    """A place of the trie: children by host label or path segment, and the rules that end here.
 
-    __slots__ = ("labels", "partial", "paths")
+    The last piece of a rule's path may end inside a segment, so the rules of a
+    place are kept as (piece, verdict, rule), longest piece first. Plain parts
+    only: workers need no copy of this package to read the broadcast.
+    """
+    return {"labels": {}, "paths": {}, "ends": []}
 
-    def __init__(self):
-        self.labels: dict[str, Node] = {}
-        self.paths: dict[str, Node] = {}
-        self.partial: list[tuple[str, str, str]] = []  # (last piece of a path, verdict, rule), longest first
 
-
-def build(rules: Iterable[tuple[str, str, str]]) -> Node:
-    root = Node()
+def build(rules: Iterable[tuple[str, str, str]]) -> dict:
+    root = new_node()
     for verdict, host, path in rules:
         node = root
         for label in reversed(host.split(".")):
-            node = node.labels.setdefault(label, Node())
+            node = node["labels"].setdefault(label, new_node())
         *whole, last = path.split("/")
         for segment in whole:
-            node = node.paths.setdefault(segment, Node())
-        node.partial.append((last, verdict, host + path))
-        node.partial.sort(key=lambda r: (-len(r[0]), r[1] != "block", r[0]))
+            node = node["paths"].setdefault(segment, new_node())
+        node["ends"].append((last, verdict, host + path))
+        node["ends"].sort(key=lambda r: (-len(r[0]), r[1] != "block", r[0]))
     return root
 
 
-def find(root: Node, host: str, path: str) -> tuple[str, str] | None:
+def find(root: dict, host: str, path: str) -> tuple[str, str] | None:
     """(rule, verdict) of the longest match."""
     if not host:
         return None
     on_way, node = [], root
     for label in reversed(host.split(".")):
-        node = node.labels.get(label)
+        node = node["labels"].get(label)
         if node is None:
             break
         on_way.append(node)
@@ -72,11 +71,11 @@ def find(root: Node, host: str, path: str) -> tuple[str, str] | None:
     for node in reversed(on_way):
         best = None
         for depth, segment in enumerate(segments):
-            for last, verdict, rule in node.partial:
+            for last, verdict, rule in node["ends"]:
                 if segment.startswith(last):
                     best = rule, verdict
                     break
-            if depth + 1 == len(segments) or (node := node.paths.get(segment)) is None:
+            if depth + 1 == len(segments) or (node := node["paths"].get(segment)) is None:
                 break
         if best:
             return best
