@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import decontaminate, language_id, license_scan, line_dedup, mixing, toxicity, url_filter
+from . import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_language_id": language_id.op3_language_id,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_vector_search": vector_search.op7_vector_search,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,

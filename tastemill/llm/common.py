@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python worker holds in memory at a time (one longer text is a step of its own).
 CHUNK_CHARS = 2_000_000
@@ -80,3 +81,70 @@ def gram_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(1, width):
         out = out * np.uint64(ROLL) + hashes[k : n - width + 1 + k]
     return mix64(out + np.uint64(width))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that arrive sorted by integer keys, dealt out so that no group is torn; a group is all that is held beyond a batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        same = np.ones(rows.num_rows, bool)
+        for key in keys:
+            values = rows.column(key).to_numpy()
+            same &= values == values[-1]
+        start = int(np.argmax(same))  # the last group starts here
+        held = rows.slice(start)
+        if start:
+            yield rows.slice(0, start)
+    if held is not None:
+        yield held
+
+
+def group_starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    change = np.zeros(rows.num_rows, bool)
+    change[:1] = True
+    for key in keys:
+        values = rows.column(key).to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(change)
+
+
+def spread(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Connected components of 0..n-1 under the pairs (a, b): each one's smallest member."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a, b), by alternating large-star and small-star rounds.
+
+    Each round is joins and partial aggregates over edges; no neighbourhood is
+    collected. Rounds grow with the logarithm of a component's size.
+    """
+    one, two = F.greatest("a", "b"), F.least("a", "b")
+    now = cut(edges.where("a <> b").select(one.alias("u"), two.alias("v")).distinct())
+    seen = None
+    while True:
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if mark == seen or not mark[0]:
+            break
+        seen = mark
+        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
