@@ -7,8 +7,9 @@ is far from many hits in a short one. The vocabulary keeps the terms whose rate
 labelled texts by ``MIN_RATIO`` or more with a chi-square of ``MIN_CHI2`` or
 more; other terms say nothing of the label and only pull similar topics
 together. Document frequencies of the vocabulary come from all documents.
-Examples lie in blocks; of each term and block the index knows the largest
-weight, which bounds the cosine of any example inside. Blocks are read from the
+Examples lie in blocks, those with the same weightiest term together; of each
+term and block the index knows the largest weight, which bounds the cosine of any
+example inside. Blocks are read from the
 highest bound down until no other can reach the k-th best, so the neighbours are
 exact. Their votes, weighted by cosine, are mapped to rates seen on the labelled
 texts themselves (each scored without its own vote), rising with the vote.
@@ -39,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, column, table
+from .common import chunks, column, cut, table
 from .language_id import held_out
 
 SAMPLE_DOCS = 20_000
 MAX_TERMS = 2_000
 MIN_DOCS = 5
-MIN_RATIO, MIN_CHI2 = 3.0, 20.0
+MIN_RATIO, MIN_CHI2 = 8.0, 40.0
 NEIGHBOURS = 15
 BLOCK = 64
 CUT = 0.5
@@ -88,9 +89,10 @@ class Model:
 
     at: dict[str, int]  # term -> column
     idf: np.ndarray
-    ids: np.ndarray  # of the examples, ascending; they fill blocks in this order
+    ids: np.ndarray  # of the examples, in the order in which they fill blocks
     toxic: np.ndarray
-    heads: np.ndarray  # postings of term t and block b: heads[t, b] up to heads[t, b + 1]
+    heads: np.ndarray  # postings of block b: heads[b] up to heads[b + 1], by term
+    term: np.ndarray
     posted: np.ndarray  # example of each posting, within its block
     weight: np.ndarray
     top: np.ndarray  # terms x blocks: largest weight
@@ -108,22 +110,24 @@ def vector(found: dict[str, int], at: dict[str, int], idf: np.ndarray) -> tuple[
     return cols, w / np.sqrt((w * w).sum()) if pairs else w
 
 
-def nearest(cols: np.ndarray, w: np.ndarray, model: Model, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """(cosine, example) of the k nearest examples, exactly; ``but`` leaves one example out."""
+def nearest(cols: np.ndarray, w: np.ndarray, model: Model, k: int = NEIGHBOURS, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(cosine, example) of the k nearest examples, exactly; ``but`` leaves the example of that id out."""
+    query = np.zeros(len(model.at))
+    query[cols] = w
     bound = w @ model.top[cols]
     best_s, best_e = np.empty(0), np.empty(0, np.int64)
     for b in np.argsort(-bound, kind="stable").tolist():
         if bound[b] <= 0 or (len(best_s) == k and bound[b] < best_s[-1] - 1e-12):
             break
-        score = np.zeros(BLOCK)
-        for c, x in zip(cols.tolist(), w.tolist(), strict=True):
-            lo, hi = model.heads[c, b], model.heads[c, b + 1]
-            score[model.posted[lo:hi]] += x * model.weight[lo:hi]
+        at = slice(model.heads[b], model.heads[b + 1])
+        score = np.bincount(model.posted[at], query[model.term[at]] * model.weight[at], BLOCK)
         got = np.flatnonzero(score)
+        if len(best_s) == k:
+            got = got[score[got] >= best_s[-1]]
         e = got + b * BLOCK
-        keep = e != but
+        keep = model.ids[e] != but
         best_s, best_e = np.concatenate([best_s, score[got][keep]]), np.concatenate([best_e, e[keep]])
-        order = np.lexsort((best_e, -best_s))[:k]
+        order = np.lexsort((model.ids[best_e], -best_s))[:k]
         best_s, best_e = best_s[order], best_e[order]
     return best_s, best_e
 
@@ -150,29 +154,28 @@ def calibrate(votes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def index(examples: list[tuple[int, int, dict[str, int]]], at: dict[str, int], idf: np.ndarray) -> Model:
-    """From (id, toxic, terms) of the labelled texts."""
-    examples = sorted(examples, key=lambda x: x[0])
-    vectors = [vector(x[2], at, idf) for x in examples]
-    full = [i for i, (c, _) in enumerate(vectors) if len(c)]
+    """From (id, toxic, terms) of the labelled texts; not yet calibrated."""
+    full, empty = [], []
+    for i, toxic, found in examples:
+        cols, w = vector(found, at, idf)
+        if len(cols):
+            main = max((x, c) for c, x in zip(cols.tolist(), w.tolist(), strict=True) if c or len(cols) == 1)[1]
+            full.append((main, i, toxic, cols, w))
+        else:
+            empty.append(toxic)
+    full.sort(key=lambda x: x[:2])
     blocks = max(1, -(-len(full) // BLOCK))
-    lists: list[list[list[tuple[int, float]]]] = [[[] for _ in range(blocks)] for _ in at]
-    for e, i in enumerate(full):
-        for c, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True):
-            lists[c][e // BLOCK].append((e % BLOCK, w))
-    flat = [p for per in lists for ps in per for p in ps]
-    sizes = np.array([[len(ps) for ps in per] for per in lists], np.int64).reshape(len(at), blocks)
-    heads = np.zeros((len(at), blocks + 1), np.int64)
-    if len(at):
-        upto = np.concatenate([[0], np.cumsum(sizes.ravel())])
-        heads[:, :-1] = upto[:-1].reshape(len(at), blocks)
-        heads[:, -1] = upto[1:].reshape(len(at), blocks)[:, -1]
-    top = np.array([[max((w for _, w in ps), default=0.0) for ps in per] for per in lists]).reshape(len(at), blocks)
-    ids, toxic = np.array([examples[i][0] for i in full], np.int64), np.array([examples[i][1] for i in full], float)
-    empty = [x[1] for (c, _), x in zip(vectors, examples, strict=True) if not len(c)]
-    model = Model(at, idf, ids, toxic, heads, np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat]), top, np.empty(0), np.empty(0), sum(empty) / len(empty) if empty else 0.0, heads_of(at))
-    votes = np.array([vote(*nearest(*vectors[i], model, but=e), model) for e, i in enumerate(full)])
-    model.steps, model.rates = calibrate(votes, toxic) if full else (np.zeros(1), np.full(1, model.none))
-    return model
+    size = np.array([len(x[3]) for x in full], np.int64)
+    example = np.repeat(np.arange(len(full)), size)
+    term = np.concatenate([x[3] for x in full]) if full else np.empty(0, np.int64)
+    weight = np.concatenate([x[4] for x in full]) if full else np.empty(0)
+    order = np.lexsort((example, term, example // BLOCK))
+    example, term, weight = example[order], term[order], weight[order]
+    top = np.zeros((len(at), blocks))
+    np.maximum.at(top, (term, example // BLOCK), weight)
+    heads = np.searchsorted(example // BLOCK, np.arange(blocks + 1))
+    ids, toxic = np.array([x[1] for x in full], np.int64), np.array([x[2] for x in full], float)
+    return Model(at, idf, ids, toxic, heads, term, example % BLOCK, weight, top, np.zeros(1), np.zeros(1), sum(empty) / len(empty) if empty else 0.0, heads_of(at))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
@@ -224,8 +227,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
             found = [hits(words(text), at, heads) for text in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.int32()))], names=["doc_id", "toxic", "found"])
 
-    rows = texts.mapInArrow(reduce, "doc_id long, toxic int, found map<string,int>").collect()
-    return index([(r["doc_id"], r["toxic"], r["found"]) for r in rows], at, idf)
+    rows = cut(texts.mapInArrow(reduce, "doc_id long, toxic int, found map<string,int>"))
+    model = index([(r["doc_id"], r["toxic"], r["found"]) for r in rows.collect()], at, idf)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = SimpleNamespace(**sent.value)
+        for batch in batches:
+            got = [vote(*nearest(*vector(dict(f), held.at, held.idf), held, but=i), held) for i, f in zip(column(batch, "doc_id"), column(batch, "found"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column("toxic")], names=["vote", "toxic"])
+
+    tried = rows.where("size(found) > 0").mapInArrow(votes, "vote double, toxic int").toPandas()
+    if len(tried):
+        model.steps, model.rates = calibrate(tried["vote"].to_numpy(), tried["toxic"].to_numpy())
+    return model
 
 
 def score_text(text: str | None, model: Model) -> tuple[float, list[int]]:

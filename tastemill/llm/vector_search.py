@@ -8,8 +8,10 @@ neighbours inside the sample. Every vector is indexed (its cell, its 16 codes).
 A cell is searched in blocks of at most about ``BLOCK`` vectors against
 ``QUERIES`` queries, each pair of blocks a group of its own, so a cell that holds
 a third of all vectors is spread over many tasks. In a group, asymmetric
-distance tables score all vectors, the best ``SHORTLIST`` are scored exactly in
-double precision on the original vectors, and the best k leave the group. A
+distance tables score all vectors; the best ``SHORTLIST`` of them, and all others
+within ``SLACK`` standard errors of quantisation of the last of these, are scored
+exactly in double precision on the original vectors, and the best k leave the
+group. (Vectors too close together for the codes to tell apart are so all scored.) A
 query probes further cells until it has met ``LEAST`` vectors, so a small table
 is searched whole.
 
@@ -38,7 +40,7 @@ PARTS, CODES = 16, 256
 AIM = 0.98
 TRIALS = 400
 BLOCK, QUERIES = 2048, 512
-SHORTLIST = 128
+SHORTLIST, SLACK = 128, 2.0
 LEAST = 400
 K = 20
 EVERY = 20
@@ -74,10 +76,15 @@ def encode(x: np.ndarray, cell: np.ndarray, model: dict) -> np.ndarray:
     return np.stack([closest(rest[:, a:b], book) for (a, b), book in zip(model["parts"], model["books"], strict=True)], 1).astype(np.uint8)
 
 
+def decode(codes: np.ndarray, centre: np.ndarray, model: dict) -> np.ndarray:
+    return centre + np.concatenate([book[codes[:, i]] for i, book in enumerate(model["books"])], 1)
+
+
 def fit(vectors: DataFrame, n_rows: int) -> dict:
     """centre, parts, books, probes. ``vectors``: vec_id, v (array of double)."""
     rows = vectors.orderBy(F.md5(F.encode(F.col("vec_id").cast("string"), "UTF-8")), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
-    x = np.unique(np.array(rows.tolist()), axis=0)  # copies would only crowd the centroids
+    whole = np.array(rows.tolist())
+    x = np.unique(whole, axis=0)  # copies would only crowd the centroids
     x = x[np.random.RandomState(3).permutation(len(x))]
     k = int(np.clip(np.sqrt(n_rows), CELLS[0], min(CELLS[1], max(1, len(x) // 8))))
     centre = k_means(x, k, 12, 7)
@@ -85,10 +92,11 @@ def fit(vectors: DataFrame, n_rows: int) -> dict:
     rest = x - centre[cell]
     parts = split_parts(x.shape[1])
     books = [k_means(rest[:, a:b], min(CODES, len(x)), 8, 11 + i) for i, (a, b) in enumerate(parts)]
-    trial = x[:TRIALS]
-    true = np.argsort(-(trial @ x.T), axis=1)[:, 1 : K + 1]
+    # copies count here, as they do in the table: a vector with many fills all places of a query it is near to
+    trial, lies_in = whole[:TRIALS], closest(whole, centre)
+    true = np.argsort(-(trial @ whole.T), axis=1)[:, 1 : K + 1]
     rank = np.argsort(np.argsort(-(trial @ centre.T), axis=1), axis=1)
-    needed = np.take_along_axis(rank, cell[true], 1)
+    needed = np.take_along_axis(rank, lies_in[true], 1)
     probes = 1 + int(np.quantile(needed, AIM)) if needed.size else k
     return {"centre": centre, "parts": parts, "books": books, "probes": min(k, probes)}
 
@@ -172,8 +180,8 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
                 x, own, q, asks = values[:cut_at], ids[:cut_at], values[cut_at:], ids[cut_at:]
                 codes = np.frombuffer(b"".join(group.column("codes").slice(0, cut_at).to_pylist()), np.uint8).reshape(cut_at, -1)
                 centre = m["centre"][group.column("cell")[0].as_py()]
-                for s in range(0, len(q), 64):
-                    yield answer(q[s : s + 64], asks[s : s + 64], x, own, codes, centre, m, k)
+                for s in range(0, len(q), 32):
+                    yield answer(q[s : s + 32], asks[s : s + 32], x, own, codes, centre, m, k)
 
     near = rows.repartition(*keys).sortWithinPartitions(*keys, "side", "vec_id").mapInArrow(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -188,7 +196,11 @@ def answer(q: np.ndarray, asks: np.ndarray, x: np.ndarray, own: np.ndarray, code
         for i, ((a, b), book) in enumerate(zip(model["parts"], model["books"], strict=True)):
             rough += (q[:, a:b] @ book.T)[:, codes[:, i]]
         # equal codes of equal vectors give equal sums, so ties here also go to the smaller id
-        some = np.sort(np.argsort(-rough, axis=1, kind="stable")[:, :SHORTLIST], axis=1)
+        order = np.argsort(-rough, axis=1, kind="stable")
+        error = np.sqrt(((x - decode(codes, centre, model)) ** 2).mean())
+        last = np.take_along_axis(rough, order[:, SHORTLIST - 1 : SHORTLIST], 1)
+        wanted = (rough >= last - SLACK * error * np.sqrt((q * q).sum(1, keepdims=True))).sum(1).max()
+        some = np.sort(order[:, :wanted], axis=1)
     else:
         some = np.repeat(np.arange(n)[None, :], len(q), 0)
     exact = (x[some] * q[:, None, :]).sum(2)
