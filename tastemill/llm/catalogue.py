@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, toxicity, url_filter, vector_search
+from . import decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, ngram_join, toxicity, url_filter, vector_search
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_language_id": language_id.op3_language_id,
     "op4_ngram_join": ngram_join.op4_ngram_join,
