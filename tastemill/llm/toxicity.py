@@ -15,7 +15,7 @@ exact. Their votes, weighted by cosine, are mapped to rates seen on the labelled
 texts themselves (each scored without its own vote), rising with the vote.
 
 The labelled rows that are learned from are at most ``SAMPLE_DOCS`` (smallest
-hash of the id first) and the terms at most ``MAX_TERMS``, so the model that is
+hash of the id first; of copies one stays) and the terms at most ``MAX_TERMS``, so the model that is
 broadcast is bounded; statistics and scores cover every whole text.
 
 Defined results
@@ -30,7 +30,6 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from types import SimpleNamespace
@@ -40,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, column, cut, table
+from .common import chunks, column, cut, gram_hashes, table, word_hashes
 from .language_id import held_out
 
 SAMPLE_DOCS = 20_000
@@ -57,24 +56,20 @@ TERM = re.compile(r"\w+")
 ANY = ""
 
 
-def words(text: str | None) -> Counter:
-    return Counter(TERM.findall(text.lower())) if text else Counter()
-
-
 def terms_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-def hits(found: Counter, at: dict[str, int], heads: frozenset[str]) -> dict[str, int]:
+def hits(text: str | None, at: dict[str, int], heads: frozenset[str]) -> dict[str, int]:
     """Terms of the vocabulary and their counts; with ANY if there are others."""
+    every = TERM.findall(text.lower()) if text else []
     out: dict[str, int] = {}
-    for word, n in found.items():
-        if word[:4] in heads:
-            for t in terms_of(word):
-                if t in at:
-                    out[t] = out.get(t, 0) + n
+    for word in [w for w in every if w[:4] in heads]:
+        for t in terms_of(word):
+            if t in at:
+                out[t] = out.get(t, 0) + 1
     if out:
-        out[ANY] = found.total()
+        out[ANY] = len(every)
     return out
 
 
@@ -178,17 +173,31 @@ def index(examples: list[tuple[int, int, dict[str, int]]], at: dict[str, int], i
     return Model(at, idf, ids, toxic, heads, term, example % BLOCK, weight, top, np.zeros(1), np.zeros(1), sum(empty) / len(empty) if empty else 0.0, heads_of(at))
 
 
+def one_of_copies(texts: DataFrame) -> DataFrame:
+    """Of the labelled texts that share their smallest 3-word shingle hash, one: else the words of a copied text pass for signs of its label."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            least = [gram_hashes(word_hashes(TERM.findall((t or "").lower())), 3) for t in column(batch, "text")]
+            least = [int(g.min().view(np.int64)) if len(g) else None for g in least]
+            yield batch.append_column("least", pa.array(least, pa.int64()))
+
+    marked = cut(texts.mapInArrow(sketch, "doc_id long, text string, toxic int, least long"))
+    first = marked.groupBy("least", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return marked.join(F.broadcast(first), "doc_id", "left_semi").drop("least")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     """``labels`` (doc_id, toxic) may hold only what is to be learned from; ``docs`` gives texts and document frequencies."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.md5(F.encode(F.col("doc_id").cast("string"), "UTF-8")), "doc_id", "toxic").limit(sample).dropDuplicates(["doc_id"])
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id")
+    texts = cut(one_of_copies(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             rates: dict[str, list[int]] = {"": [0, 0]}  # ANY counts texts
             for text, toxic in zip(column(batch, "text"), column(batch, "toxic"), strict=True):
-                for t in {ANY, *(t for word in words(text) for t in terms_of(word))}:
+                for t in {ANY, *(t for word in set(TERM.findall((text or "").lower())) for t in terms_of(word))}:
                     rates.setdefault(t, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(rates), pa.string()), *(pa.array([r[i] for r in rates.values()], pa.int64()) for i in (0, 1))], names=["term", "clean", "toxic"])
 
@@ -210,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
         for batch in chunks(batches):
             for text in column(batch, "text"):
                 held[-1] += 1
-                for t in hits(words(text), at, heads):
+                for t in hits(text, at, heads):
                     held[at[t]] += 1
         if at:
             held[at[ANY]] = held[-1]
@@ -224,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = [hits(words(text), at, heads) for text in column(batch, "text")]
+            found = [hits(text, at, heads) for text in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.int32()))], names=["doc_id", "toxic", "found"])
 
     rows = cut(texts.mapInArrow(reduce, "doc_id long, toxic int, found map<string,int>"))
@@ -245,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
 
 def score_text(text: str | None, model: Model) -> tuple[float, list[int]]:
     """(score, ids of the neighbours, nearest first)."""
-    found = hits(words(text), model.at, model.starts)
+    found = hits(text, model.at, model.starts)
     if not found:
         return model.none, []
     sims, found = nearest(*vector(found, model.at, model.idf), model)
