@@ -776,3 +776,82 @@ def list_overlap(spark, sf):
     lists = P.top_n_unseen_by_cluster(train, a).groupBy("user_id").agg(F.collect_list("item_id").alias("l"))
     rel = E.relevant_items(test).groupBy("user_id").agg(F.collect_list("item_id").alias("r"))
     return lists.join(rel, "user_id").select("user_id", F.size(F.array_intersect("l", "r")).cast("long").alias("hits"))
+
+
+# ---- learned and iterative: no SQL twin
+
+
+@query("als_predict")
+def als_predict(spark, sf):
+    from tastemill.operators.factorize import als
+
+    train, test, _ = split(spark, sf)
+    return als(train, test, rank=10, rounds=5)
+
+
+@query("wnmf_factors")
+def wnmf_factors(spark, sf):
+    from tastemill.operators.factorize import wnmf
+
+    train, test, _ = split(spark, sf)
+    users, items = wnmf(train, rank=6, rounds=6, every=3)
+    return shown(P.factor_prediction(test, users, items))
+
+
+@query("cluster_models_full")
+def cluster_models_full(spark, sf):
+    from tastemill.operators.factorize import per_cluster, sgd_solver
+
+    train, test, a = split(spark, sf)
+    c = a.select("user_id", "cluster_id")
+    return per_cluster(train.join(c, "user_id"), test.join(c, "user_id"), sgd_solver(rank=6, epochs=5))
+
+
+@query("cluster_models_shared_v")
+def cluster_models_shared_v(spark, sf):
+    from tastemill.operators.factorize import shared_items, wnmf
+
+    train, test, a = split(spark, sf)
+    _, items = wnmf(train, rank=6, rounds=4, every=2)
+    return shared_items(train.join(a, "user_id"), test.join(a.select("user_id", "cluster_id"), "user_id"), items, 6)
+
+
+@query("kmeans_assign")
+def kmeans_assign(spark, sf):
+    return C.k_means(X.vectors(spark, sf), 10, unit=True)
+
+
+@query("lloyd_seeded")
+def lloyd_seeded(spark, sf):
+    v = X.vectors(spark, sf)
+    return C.lloyd(v, C.seed_by_distance(v, 5), DIMS, 4)[1]
+
+
+@query("fcm_fit")
+def fcm_fit(spark, sf):
+    return C.fuzzy_c_means(X.vectors(spark, sf), 5, DIMS, 4)[1]
+
+
+@query("pca_features")
+def pca_features(spark, sf):
+    from tastemill.operators.factorize import pca
+
+    return pca(X.vectors(spark, sf), variance=0.9)[0]
+
+
+def _search(name: str):
+    @query(f"{name.lower().replace('-', '_').replace('+', '_then_').replace('||', '_or_')}_search")
+    def run(spark, sf):
+        import numpy as np
+
+        from tastemill.operators.search import clustering_objective, get_optimizer
+
+        low, high = -np.ones(4 * DIMS) * 0.5, np.ones(4 * DIMS) * 0.5
+        r = get_optimizer(name)(clustering_objective(X.vectors(spark, sf), 4, DIMS), low, high, 8, 4)
+        return spark.createDataFrame([(i, float(f)) for i, f in enumerate(r.history)], "epoch long, fitness double")
+
+    return run
+
+
+for _name in ("PSO", "DOA", "DE-HHO", "GWO+PSO", "GWO||PSO"):
+    _search(_name)
