@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python worker holds in memory at a time (one longer text is a step of its own).
@@ -127,6 +127,25 @@ def spread(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+#: A key is hot if it has more than one of this many parts of all rows; so there are fewer hot keys than this.
+HOT_PARTS = 1000
+
+
+def join_hot(rows: DataFrame, known: DataFrame, key: str, values: list[str], spare: Column) -> DataFrame:
+    """``rows`` with the ``values`` of ``known`` (one row for each key, and ``n``, its rows in ``rows``); rows of other keys go.
+
+    Hot keys, fewer than HOT_PARTS by definition, are broadcast. Their rows then
+    travel under ``spare``, a hash of the whole row, which spreads them and
+    matches no key; all other keys meet in an ordinary join.
+    """
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = known.where(F.col("n") * HOT_PARTS > total).select(F.col(key).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
+    cold = known.where(F.col("n") * HOT_PARTS <= total).select(F.col(key).alias("_cold"), *[F.col(v).alias(f"_cold_{v}") for v in values])
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_at", F.when(F.col("_hot").isNotNull(), spare).otherwise(F.col(key)))
+    met = met.join(cold, F.col("_at") == F.col("_cold"), "left").where("_hot IS NOT NULL OR _cold IS NOT NULL")
+    return met.select(*rows.columns, *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), by alternating large-star and small-star rounds.
 

@@ -2,9 +2,9 @@
 
 DataFrame functions only. The text itself is shuffled once, to meet the list of
 positions it loses; all else moves 16-byte hashes. A line that very many
-documents share is combined on the map side while it is counted, and on its way
-back it is the large side of an ordinary equi-join, which adaptive execution
-splits.
+documents share is combined on the map side while it is counted; on its way back
+it is one of the few hot keys that are broadcast (``join_hot``), so its rows stay
+spread over all tasks.
 
 Defined results
 * a null text counts as empty: one empty line, which stays;
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, join_hot, table
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,11 +44,12 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         .select("_id", "_th", "_pos", F.unhex(F.md5(F.encode("_key", "UTF-8"))).alias("_h"))
     )
     if min_docs == 2:  # two documents hold a key just when its smallest and largest id differ
-        held = lines.groupBy("_h").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
+        held = lines.groupBy("_h").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.count("*").alias("n")).where("_first < _last")
     else:
-        held = lines.groupBy("_h").agg(F.min("_id").alias("_first"), F.count_distinct("_id").alias("_docs")).where(F.col("_docs") >= min_docs)
+        held = lines.groupBy("_h").agg(F.min("_id").alias("_first"), F.count_distinct("_id").alias("_docs"), F.count("*").alias("n")).where(F.col("_docs") >= min_docs)
+    spare = F.unhex(F.md5(F.concat("_h", F.encode(F.concat_ws("|", "_id", "_th", "_pos"), "UTF-8"))))
     lost = (
-        lines.join(held.select("_h", "_first"), "_h")
+        join_hot(lines, cut(held.select("_h", "_first", "n")), "_h", ["_first"], spare)
         .where("_id <> _first")
         .groupBy("_id", "_th")
         .agg(F.collect_set("_pos").alias("_lost"))
