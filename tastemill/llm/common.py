@@ -131,14 +131,14 @@ def spread(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 HOT_PARTS = 1000
 
 
-def join_hot(rows: DataFrame, known: DataFrame, key: str, values: list[str], spare: Column) -> DataFrame:
+def join_hot(rows: DataFrame, known: DataFrame, key: str, values: list[str], spare: Column, total: int | None = None) -> DataFrame:
     """``rows`` with the ``values`` of ``known`` (one row for each key, and ``n``, its rows in ``rows``); rows of other keys go.
 
     Hot keys, fewer than HOT_PARTS by definition, are broadcast. Their rows then
     travel under ``spare``, a hash of the whole row, which spreads them and
     matches no key; all other keys meet in an ordinary join.
     """
-    total = known.agg(F.sum("n")).first()[0] or 0
+    total = total if total is not None else known.agg(F.sum("n")).first()[0] or 0
     hot = known.where(F.col("n") * HOT_PARTS > total).select(F.col(key).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
     cold = known.where(F.col("n") * HOT_PARTS <= total).select(F.col(key).alias("_cold"), *[F.col(v).alias(f"_cold_{v}") for v in values])
     met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_at", F.when(F.col("_hot").isNotNull(), spare).otherwise(F.col(key)))
@@ -154,6 +154,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     one, two = F.greatest("a", "b"), F.least("a", "b")
     now = cut(edges.where("a <> b").select(one.alias("u"), two.alias("v")).distinct())
+    spare = F.unhex(F.md5(F.concat("u", "v"))) if now.schema["u"].dataType.typeName() == "binary" else F.xxhash64("u", "v")
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -161,8 +162,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        # the root of a large component is a hot key
+        large = join_hot(both, least, "u", ["m"], spare, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
