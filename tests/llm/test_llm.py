@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tastemill.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, ngram_join, toxicity, url_filter, vector_search
+from tastemill.llm import common, decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, ngram_join, toxicity, url_filter, vector_search
 from tastemill.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,6 +60,17 @@ def test_line_dedup(spark, extra):
     assert {r[0]: r[1] for r in got(three, "doc_id", "n_dropped")}[3] == 2
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_hot_and_cold_keys(spark, parts, monkeypatch):
+    """No key is hot, or only the most frequent: the result is the same."""
+    monkeypatch.setattr(common, "HOT_PARTS", parts)
+    texts = [(i, "\n".join(["the very common line", f"a line of two {i // 2} documents", f"own line of document {i}"])) for i in range(12)]
+    out = line_dedup.drop_repeated_lines(docs_of(spark, texts))
+    assert got(out, "doc_id", "text", "n_lines", "n_dropped") == brute_lines(texts)
+    edges = spark.createDataFrame([(1, i) for i in range(2, 12)] + [(20, 21), (21, 22)], "a long, b long")
+    assert {(r.node, r.root) for r in components(edges).collect()} == {(i, 1) for i in range(1, 12)} | {(i, 20) for i in (20, 21, 22)}
+
+
 # ---- 2
 
 
