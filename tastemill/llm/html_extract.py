@@ -17,7 +17,8 @@ What remains are the slots. A slot is content if no element around it is a menu,
 header, footer, sidebar, notice, advert, form, script, style or comment section
 (by tag, role, class or id), it is not made of links, and its text varies. If
 elements of the template declare the article (article, main or the usual names),
-the content is what they hold; the rest of the page is not.
+the content is what they hold; the rest of the page is not. A page that declares
+its own article is read by that, however few pages of its host share the path.
 
 Pages of a host with fewer than ``LEAST_PAGES`` pages, and pages without an
 element of their host's content, are read by their own elements alone.
@@ -288,10 +289,10 @@ def templates(stats: DataFrame, hosts: DataFrame) -> DataFrame:
 def main_text(reader: Reader, html: str | None, content: set[int], fixed: set[int]) -> str:
     if not html:
         return ""
-    elements, blocks = reader.read(html)
+    _, blocks = reader.read(html)
     kept = [(t, a, n) for t, a, n in blocks if all(s != 2 for _, s in a)]
-    if any(s == 1 for _, _, s in elements) and any(s == 1 for _, a, _ in kept for _, s in a):
-        inside = [t for t, a, _ in kept if any(s == 1 and (not content or k in content or not content & {x for x, _ in a}) for k, s in a)]
+    inside = [t for t, a, _ in kept if any(s == 1 for _, s in a)]  # the page's own article, whatever share of the host has its path
+    if inside:
         return "\n\n".join(inside)
     inside = [(t, a, n) for t, a, n in kept if content & {k for k, _ in a}] if content else []
     rest = inside or kept

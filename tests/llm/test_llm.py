@@ -393,6 +393,20 @@ def test_html_template_without_article(spark):
     assert all(r.text == " ".join(words(r.page_id, 9)) for r in out)
 
 
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_articles_of_few_pages_each(spark):
+    """No article path reaches half of the host's pages: mixed layouts, and ids with a slug."""
+    own = {i: " ".join(words(i, 9)) for i in range(40)}
+    rows = [(i, "http://mixed.com/", page(i, f"<p>{own[i]}</p>", "article" if i < 9 else "")) for i in range(20)]
+    rows += [(i, "http://slug.com/", page(i, f'<article id="post-{"abcdefghijklmnopqrst"[i - 20]}"><p>{own[i]}</p></article>', "")) for i in range(20, 40)]
+    out = texts_of(spark, rows)
+    assert all(out[i] == own[i] for i in own if i < 9 or i >= 20)
+    assert all(own[i] in out[i] for i in own)
+
+
 # ---- queries and pipeline
 
 
