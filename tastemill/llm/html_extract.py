@@ -2,26 +2,28 @@
 
 A page is a sequence of tokens: its elements, each named by the path of tags and
 class and id names above it, and its blocks of text. The occurrence vector of a
-token, how often it stands on each page of the host, is kept as a fingerprint:
-the exclusive or, over pages, of a hash of page and count. So equal vectors meet
-by partial aggregation, and no host, however large, is gathered anywhere.
-
-Tokens of a host with equal vectors form a class. A class is valid if it stands
-on at least ``SUPPORT`` of the host's pages, its tokens come in one order, and it
-nests: the element above each of its elements is in a valid class itself. The
-nested valid classes are the template: elements bound slots, and blocks of text
-in valid classes are constant. A template is as large as a page. It goes to the
-pages by a join; it is broadcast only if all templates together are small.
+token, on which pages of the host it stands, is kept as a fingerprint: the
+exclusive or, over pages, of a hash of the page. So equal vectors meet by partial
+aggregation, and no host, however large, is gathered anywhere. Of pages of a host
+that are copies (the same blocks outside menus and the like) one counts.
+
+A block of text is constant, part of the template, if its vector is that of the
+element around it (it stands wherever that element does) and holds at least
+``SUPPORT`` of the host's pages. Were most of a slot's varying text constant, the
+pages would be near copies of each other; then no text of the host is. A list of
+the template is a list of links if its text, over all pages, is mostly links. A
+template is as large as a page. It goes to the pages by a join; it is broadcast
+only if all templates together are small.
 
 What remains are the slots. A slot is content if no element around it is a menu,
 header, footer, sidebar, notice, advert, form, script, style or comment section
-(by tag, role, class or id), it is not made of links, and its text varies. If
-elements of the template declare the article (article, main or the usual names),
-the content is what they hold; the rest of the page is not. A page that declares
-its own article is read by that, however few pages of its host share the path.
+(by tag, role, class or id), it is in no list of links, and its text varies. If
+elements of a page declare the article (article, main or the usual names), its
+content is all they hold, constant or not, however few pages of the host share
+their path. A page of which constant text is all is kept whole.
 
-Pages of a host with fewer than ``LEAST_PAGES`` pages, and pages without an
-element of their host's content, are read by their own elements alone.
+Pages of a host with fewer than ``LEAST_PAGES`` different pages are read by their
+own elements alone.
 
 Blocks: text between block-level tags, references decoded, white space runs (and
 line breaks) to one space, joined by a blank line; nothing else is dropped.
@@ -29,8 +31,7 @@ line breaks) to one space, joined by a blank line; nothing else is dropped.
 Defined results
 * null or empty html, or no text: empty text, 0 characters;
 * null url: such pages form a host of their own;
-* repeated rows give repeated results (they cancel in pairs in fingerprints, for
-  all tokens alike); an empty table gives an empty one; further columns are ignored.
+* repeated rows give repeated results, and count as one; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,17 +41,16 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, column, cut, mix64, table
+from .common import chunks, column, cut, table
 from .url_filter import split_urls
 
 SUPPORT = 0.5
 LEAST_PAGES = 4
-#: Share of a slot's characters inside links from which on it is a list of links.
+#: Share of a list's characters inside links from which on it is a list of links.
 LINKS = 0.6
 #: Bytes of all templates together up to which they are broadcast.
 SMALL = 16 << 20
@@ -62,6 +62,7 @@ RAW = ("script", "style", "template", "noscript", "svg", "math", "textarea", "se
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 OUTSIDE = frozenset("nav footer aside form head dialog menu fieldset".split())
+LISTS = frozenset("ul ol menu dl".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_END = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 BAD = re.compile(
@@ -86,13 +87,13 @@ class Reader:
             self.keys[above, name] = found
         return found
 
-    def read(self, html: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, list, int]]]:
-        """Elements as (key, key above, sort), and blocks as (text, elements around, characters in links).
+    def read(self, html: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, list, int, list]]]:
+        """Elements as (key, key above, sort), and blocks as (text, elements around, characters in links, lists around).
 
         sort: 0 plain, 1 declares the article, 2 can't hold any of it.
         """
         elements: list[tuple[int, int, int]] = []
-        blocks: list[tuple[str, list, int]] = []
+        blocks: list[tuple[str, list, int, list]] = []
         stack: list[tuple[str, int, int]] = []  # tag, key, sort
         text: list[str] = []
         linked = links = 0
@@ -102,7 +103,7 @@ class Reader:
             if text:
                 whole = " ".join("".join(text).split())
                 if whole:
-                    blocks.append((whole, [(k, s) for _, k, s in stack], linked))
+                    blocks.append((whole, [(k, s) for _, k, s in stack], linked, [k for tag, k, _ in stack if tag in LISTS]))
                 text.clear()
             linked = 0
 
@@ -190,128 +191,152 @@ class Reader:
 
 
 def text_key(around: list, text: str) -> int:
-    above = around[-1][0] if around else 0
-    return int.from_bytes(hashlib.blake2b(f"{above}|{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(f"{around_key(around)}|{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def around_key(around: list) -> int:
+    return around[-1][0] if around else 0
+
+
+STATS = "host string, key long, above long, is_text int, mark long, pages double, chars long, linked long"
+
+
+def row_key() -> Column:
+    return F.xxhash64("host", "page_id", "html")
 
 
-STATS = "host string, key long, above long, sort int, is_text int, mark long, pages long, n long, place double, chars long, linked long"
+def copies(pages: DataFrame) -> DataFrame:
+    """id, host, digest of every page: rows of a host with the same digest are copies, told by the blocks of text outside menus and the like."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in chunks(batches, "html"):
+            digests = []
+            for html in column(batch, "html"):
+                texts = "\0".join(t for t, a, _, _ in reader.read(html or "")[1] if all(s != 2 for _, s in a))
+                digests.append(int.from_bytes(hashlib.blake2b(texts.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), pa.array(digests, pa.int64())], names=["id", "host", "digest"])
+
+    return pages.select(row_key().alias("id"), "host", "html").mapInArrow(run, "id long, host string, digest long")
 
 
 def token_statistics(pages: DataFrame) -> DataFrame:
-    """Per host and token: fingerprint of the occurrence vector, pages, count, mean place, characters. Summed per batch before any shuffle."""
+    """Per host and token: fingerprint of the pages it stands on, their number, characters. Pages count by ``weight``. Summed per batch before any shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in chunks(batches, "html"):
             held: dict[tuple[str, int], list] = {}
-            for number, (host, page, html) in enumerate(zip(column(batch, "host"), column(batch, "page_id"), column(batch, "html"), strict=True)):
+            for host, page, html, weight in zip(*(column(batch, x) for x in ("host", "page_id", "html", "weight")), strict=True):
                 elements, blocks = reader.read(html or "")
-                seen: dict[int, list] = {}
-                for i, (key, above, sort) in enumerate(elements):
-                    mine = seen.setdefault(key, [above, sort, 0, 0, i / len(elements), 0, 0])
-                    mine[3] += 1
-                for i, (text, around, linked) in enumerate(blocks):
+                seen: dict[int, list] = {key: [above, 0, 0, 0] for key, above, _ in elements}
+                for text, around, linked, _ in blocks:
                     for key in {k for k, _ in around}:
                         if key in seen:
-                            seen[key][5] += len(text)
-                            seen[key][6] += linked
-                    mine = seen.setdefault(text_key(around, text), [around[-1][0] if around else 0, 0, 1, 0, i / len(blocks), len(text), linked])
-                    mine[3] += 1
-                page_hash = hash_page(page, html)
-                marks = mix64(np.array([x[3] for x in seen.values()], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(page_hash)).view(np.int64).tolist()
-                for (key, (above, sort, is_text, n, place, chars, linked)), mark in zip(seen.items(), marks, strict=True):
-                    mine = held.setdefault((host, key), [above, sort, is_text, 0, 0, 0, 0.0, 0, 0])
-                    mine[3] ^= mark
-                    mine[4] += 1
-                    mine[5] += n
-                    mine[6] += place
-                    mine[7] += chars
-                    mine[8] += linked
+                            seen[key][2] += len(text)
+                            seen[key][3] += linked
+                    mine = seen.setdefault(text_key(around, text), [around_key(around), 1, 0, 0])
+                    mine[2] += len(text)
+                    mine[3] += linked
+                mark = hash_page(page, html)
+                for key, (above, is_text, chars, linked) in seen.items():
+                    mine = held.setdefault((host, key), [above, is_text, 0, 0.0, 0, 0])
+                    mine[2] ^= mark
+                    mine[3] += weight
+                    mine[4] += chars
+                    mine[5] += linked
             rows = [(h, k, *v) for (h, k), v in held.items()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 11
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in STATS.split(", ")])
 
-    read = pages.select("host", "page_id", "html").mapInArrow(run, STATS)
+    read = pages.select("host", "page_id", "html", "weight").mapInArrow(run, STATS)
     return read.groupBy("host", "key").agg(
-        F.min("above").alias("above"), F.max("sort").alias("sort"), F.max("is_text").alias("is_text"), F.bit_xor("mark").alias("mark"), *(F.sum(x).alias(x) for x in ("pages", "n", "place", "chars", "linked"))
+        F.min("above").alias("above"), F.max("is_text").alias("is_text"), F.bit_xor("mark").alias("mark"), F.round(F.sum("pages"), 3).alias("pages"), *(F.sum(x).alias(x) for x in ("chars", "linked"))
     )
 
 
 def hash_page(page, html: str | None) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{page}|{len(html or '')}".encode(), digest_size=8).digest(), "little")
+    return int.from_bytes(hashlib.blake2b(f"{page}|{len(html or '')}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def deduce(tokens: list[dict]) -> tuple[list[int], list[int]]:
-    """Content elements and constant texts of a host's template, from its tokens of enough support."""
-    classes: dict[tuple, list[dict]] = {}
-    for t in tokens:
-        classes.setdefault((t["mark"], t["pages"], t["n"]), []).append(t)
+    """Elements made of links, and constant texts, of a host's template, from its tokens of enough support."""
     elements = {t["key"]: t for t in tokens if not t["is_text"]}
-    valid: set[int] = set()
-    # outermost first: a class nests if what stands around its elements is template too
-    for members in sorted(classes.values(), key=lambda ms: min(m["place"] / m["pages"] for m in ms)):
-        for m in sorted(members, key=lambda m: m["place"] / m["pages"]):
-            if m["above"] == 0 or m["above"] in valid or m["is_text"]:
-                valid.add(m["key"])
-    around: dict[int, list[dict]] = {}
-    for key in valid & elements.keys():
-        chain, at = [], key
-        while at in elements:
-            chain.append(elements[at])
-            at = elements[at]["above"]
-        around[key] = chain
-    clean = [k for k, chain in around.items() if all(e["sort"] != 2 for e in chain)]
-    declared = [k for k in clean if elements[k]["sort"] == 1]
-    if declared:  # the outermost ones
-        content = [k for k in declared if not any(e["key"] != k and e["sort"] == 1 for e in around[k])]
-    else:
-        content = [k for k in clean if elements[k]["chars"] and elements[k]["linked"] < LINKS * elements[k]["chars"]]
-    fixed = [t["key"] for t in tokens if t["is_text"] and t["above"] in valid and t["pages"] >= 2 * LEAST_PAGES]
-    return sorted(content), sorted(fixed) if not declared else []
+    lists = [k for k, e in elements.items() if e["chars"] and e["linked"] >= LINKS * e["chars"]]
+    fixed = [t for t in tokens if t["is_text"] and t["pages"] >= 2 * LEAST_PAGES and t["above"] in elements and (t["mark"], t["pages"]) == (elements[t["above"]]["mark"], elements[t["above"]]["pages"])]
+    share: dict[int, int] = {}
+    for t in fixed:
+        share[t["above"]] = share.get(t["above"], 0) + t["chars"]
+    if any(elements[k]["chars"] <= 2 * n < 2 * elements[k]["chars"] for k, n in share.items()):
+        fixed = []  # a slot of varying text that is mostly constant: the pages are near copies, and say nothing of the template
+    return sorted(lists), sorted(t["key"] for t in fixed)
 
 
 def templates(stats: DataFrame, hosts: DataFrame) -> DataFrame:
-    """host, content, fixed: a row for each host of enough pages. Tokens of enough support are no more than 1 / SUPPORT mean pages hold."""
+    """host, lists, fixed: a row for each host of enough pages. Tokens of enough support are no more than 1 / SUPPORT mean pages hold."""
     enough = stats.join(hosts.where(F.col("host_pages") >= LEAST_PAGES), "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
-    names = ("key", "above", "sort", "is_text", "mark", "pages", "n", "place", "chars", "linked")
+    names = ("key", "above", "is_text", "mark", "pages", "chars", "linked")
     per_host = enough.groupBy("host").agg(F.collect_list(F.struct(*names)).alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [deduce(t) for t in column(batch, "tokens")]
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["host", "content", "fixed"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["host", "lists", "fixed"])
 
-    return per_host.mapInArrow(run, "host string, content array<long>, fixed array<long>")
+    return per_host.mapInArrow(run, "host string, lists array<long>, fixed array<long>")
 
 
-def main_text(reader: Reader, html: str | None, content: set[int], fixed: set[int]) -> str:
+def main_text(reader: Reader, html: str | None, lists: set[int] | None, fixed: set[int]) -> str:
+    """``lists`` is None where the host has no template: then the page's own lists of links are taken."""
     if not html:
         return ""
     _, blocks = reader.read(html)
-    kept = [(t, a, n) for t, a, n in blocks if all(s != 2 for _, s in a)]
-    inside = [t for t, a, _ in kept if any(s == 1 for _, s in a)]  # the page's own article, whatever share of the host has its path
+    kept = [b for b in blocks if all(s != 2 for _, s in b[1])]
+    inside = [b for b in kept if any(s == 1 for _, s in b[1])]  # the page's own article, whatever share of the host has its path
     if inside:
-        return "\n\n".join(inside)
-    inside = [(t, a, n) for t, a, n in kept if content & {k for k, _ in a}] if content else []
-    rest = inside or kept
-    return "\n\n".join(t for t, a, n in rest if not (fixed and text_key(a, t) in fixed) and n < LINKS * len(t))
+        return "\n\n".join(b[0] for b in inside)
+    if lists is None:
+        lists = link_lists(kept)
+    inside = [b for b in kept if not any(k in lists for k in b[3])] or kept
+    varying = [b for b in inside if text_key(b[1], b[0]) not in fixed] if fixed else inside
+    return "\n\n".join(b[0] for b in varying or inside)
+
+
+def link_lists(blocks: list) -> set[int]:
+    """Lists of a page that are made of links."""
+    held: dict[int, list[int]] = {}
+    for text, _, linked, around in blocks:
+        for k in around:
+            mine = held.setdefault(k, [0, 0])
+            mine[0] += len(text)
+            mine[1] += linked
+    return {k for k, (chars, linked) in held.items() if linked >= LINKS * chars}
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     named = split_urls(pages.select(F.col("page_id").cast("long"), "url", "html")).drop("path")
-    hosts = named.groupBy("host").agg(F.count("*").alias("host_pages"))
-    known = cut(templates(token_statistics(named), hosts))
-    bytes_ = known.agg(F.sum(32 + F.length("host") + 8 * (F.size("content") + F.size("fixed")))).first()[0] or 0
+    seen = cut(copies(named).groupBy("host", "digest", "id").agg(F.count("*").alias("n")))
+    groups = seen.groupBy("host", "digest").agg(F.min("id").alias("first"))
+    hosts = groups.groupBy("host").agg(F.count("*").alias("host_pages"))
+    # of copies one counts, and rows that are alike in all count as one together; all other pages count 1 and are not listed
+    first = groups.select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), "first")
+    others = seen.join(first, F.col("host").eqNullSafe(F.col("_host")) & (F.col("digest") == F.col("_digest"))).where("id <> first OR n > 1")
+    others = cut(others.select(F.col("id").alias("_id"), F.when(F.col("id") == F.col("first"), 1 / F.col("n")).otherwise(0.0).alias("_weight")).dropDuplicates(["_id"]))
+    known_bytes = 24 * others.count()
+    met = named.withColumn("_row", row_key()).join(F.broadcast(others) if known_bytes <= SMALL else others.hint("shuffle_hash"), F.col("_row") == F.col("_id"), "left")
+    counted = met.withColumn("weight", F.coalesce("_weight", F.lit(1.0))).where("weight > 0")
+    known = cut(templates(token_statistics(counted), hosts))
+    bytes_ = known.agg(F.sum(32 + F.length("host") + 8 * (F.size("lists") + F.size("fixed")))).first()[0] or 0
     small = known.withColumnRenamed("host", "_host")
-    met = named.join(F.broadcast(small) if bytes_ <= SMALL else small.hint("shuffle_hash"), F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "content", "fixed")
+    met = named.join(F.broadcast(small) if bytes_ <= SMALL else small.hint("shuffle_hash"), F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "lists", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in chunks(batches, "html"):
-            texts = [main_text(reader, h, set(c or ()), set(f or ())) for h, c, f in zip(column(batch, "html"), column(batch, "content"), column(batch, "fixed"), strict=True)]
+            texts = [main_text(reader, h, None if c is None else set(c), set(f or ())) for h, c, f in zip(column(batch, "html"), column(batch, "lists"), column(batch, "fixed"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")

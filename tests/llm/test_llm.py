@@ -407,6 +407,20 @@ def test_html_articles_of_few_pages_each(spark):
     assert all(own[i] in out[i] for i in own)
 
 
+def test_html_copies_are_no_template(spark):
+    """Copies and near copies of one article on a host without declared articles; a paragraph of links; a page of constant text only."""
+    same, own = " ".join(words(99, 30)), {i: " ".join(words(i, 20)) for i in range(60)}
+    div = lambda i, text: page(i, f"<div class=x>{text}</div>", "")
+    rows = [(i, "http://copies.com/", div(i, f"<p>{own[i]}</p>" if i < 8 else f"<p>{same}</p>")) for i in range(17)]
+    rows += [(i, "http://near.com/", div(i, f"<p>{own[i]}</p>" + (f"<p>{same}</p>" if i >= 28 else ""))) for i in range(20, 40)]
+    rows += [(i, "http://linked.com/", div(i, f'<p>{own[i]}</p><p>see <a href="/">{own[i]}</a></p>')) for i in range(40, 52)]
+    out = texts_of(spark, rows + [rows[16]] * 3)
+    assert all(own[i] in out[i] for i in own if i < 8 or 20 <= i < 52)
+    assert all(same in out[i] for i in out if 8 <= i < 17 or 28 <= i < 40)
+    assert all(f"see {own[i]}" in out[i] for i in range(40, 52))
+    assert not any("Sponsored" in out[i] for i in range(20, 52))
+
+
 # ---- queries and pipeline
 
 
