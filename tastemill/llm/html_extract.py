@@ -65,13 +65,25 @@ OUTSIDE = frozenset("nav footer aside form head dialog menu fieldset".split())
 LISTS = frozenset("ul ol menu dl".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_END = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
-BAD = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|header|masthead|footer|sidebar|side|aside|ad|ads|adv|advert|adverts|advertisement|banner|promo|promotion|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|comment|comments|disqus|reply|replies|respond|related|recommended|breadcrumb|breadcrumbs|pagination|pager|widget|toolbar|copyright|disclaimer|login|signup|search)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words that name what is no article, and words that say nothing of it: a class or id is bad if it has one of the first and no other words.
+BAD = frozenset(
+    "nav navbar navigation menu menubar header masthead footer sidebar side aside ad ads adv advert adverts advertisement banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social comment comments disqus reply replies respond related recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright disclaimer login signup search".split()
 )
+NEUTRAL = frozenset("site global top bottom left right primary secondary main box bar area wrap wrapper container list item items links link button buttons icons form text inner outer posts widgets".split())
+#: What articles that are not the page's own stand in, or are.
+OTHERS = re.compile(r"comment|disqus|repl(?:y|ies)|respond|related|recommended", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body)(?:$|[\s_-])", re.I)
 
 
+def bad_name(names: str, heads: bool) -> bool:
+    """Whether a class or id, as a whole, names a menu or the like; ``heads``: whether headers count."""
+    for name in names.lower().split():
+        words = {w for w in re.split(r"[0-9_-]+", name) if w}
+        if words & BAD and words <= BAD | NEUTRAL and (heads or not words & {"header", "masthead"}):
+            return True
+    return False
+
+
 class Reader:
     """Elements and blocks of pages. Keys of paths are kept, so each different path is hashed once."""
 
@@ -90,7 +102,8 @@ class Reader:
     def read(self, html: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, list, int, list]]]:
         """Elements as (key, key above, sort), and blocks as (text, elements around, characters in links, lists around).
 
-        sort: 0 plain, 1 declares the article, 2 can't hold any of it.
+        sort: 0 plain, 1 declares the article, 2 can't hold any of it. By name only: 3 declares one of another kind, 4 holds none,
+        unless the page declares no other.
         """
         elements: list[tuple[int, int, int]] = []
         blocks: list[tuple[str, list, int, list]] = []
@@ -173,9 +186,9 @@ class Reader:
             if tag in OUTSIDE or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "form", "alert"):
                 sort = 2
             elif tag == "header":  # of the page, unless the article is open already
-                sort = 0 if any(s == 1 for _, _, s in stack) else 2
-            elif names and tag not in ("html", "body") and BAD.search(names):
-                sort = 2
+                sort = 0 if any(s in (1, 3) for _, _, s in stack) else 2
+            elif names and tag not in ("html", "body") and bad_name(names, not any(s in (1, 3) for _, _, s in stack)):
+                sort = 2 if OTHERS.search(names) and tag != "main" else 3 if declared else 4
             elif declared or (names and tag in ("div", "section") and GOOD.search(names)):
                 sort = 1
             else:
@@ -213,7 +226,8 @@ def copies(pages: DataFrame) -> DataFrame:
         for batch in chunks(batches, "html"):
             digests = []
             for html in column(batch, "html"):
-                texts = "\0".join(t for t, a, _, _ in reader.read(html or "")[1] if all(s != 2 for _, s in a))
+                kept, inside = clean(reader.read(html or "")[1])
+                texts = "\0".join(b[0] for b in inside or kept)
                 digests.append(int.from_bytes(hashlib.blake2b(texts.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), pa.array(digests, pa.int64())], names=["id", "host", "digest"])
 
@@ -288,13 +302,28 @@ def templates(stats: DataFrame, hosts: DataFrame) -> DataFrame:
     return per_host.mapInArrow(run, "host string, lists array<long>, fixed array<long>")
 
 
+def clean(blocks: list) -> tuple[list, list]:
+    """The blocks outside menus and the like, and those of them in the page's own article, whatever share of the host has its path.
+
+    A wrapper by whose name there would be no article on the page holds it all the same.
+    """
+    kept = [b for b in blocks if all(s in (0, 1) for _, s in b[1])]
+    inside = [b for b in kept if any(s == 1 for _, s in b[1])]
+    if not inside:
+        for b in blocks:
+            sorts = [s for _, s in b[1]]
+            first = next((i for i, s in enumerate(sorts) if s in (1, 3)), None)
+            if first is not None and 2 not in sorts and 4 not in sorts[first:]:
+                inside.append(b)
+    return kept, inside
+
+
 def main_text(reader: Reader, html: str | None, lists: set[int] | None, fixed: set[int]) -> str:
     """``lists`` is None where the host has no template: then the page's own lists of links are taken."""
     if not html:
         return ""
     _, blocks = reader.read(html)
-    kept = [b for b in blocks if all(s != 2 for _, s in b[1])]
-    inside = [b for b in kept if any(s == 1 for _, s in b[1])]  # the page's own article, whatever share of the host has its path
+    kept, inside = clean(blocks)
     if inside:
         return "\n\n".join(b[0] for b in inside)
     if lists is None:

@@ -421,6 +421,22 @@ def test_html_copies_are_no_template(spark):
     assert not any("Sponsored" in out[i] for i in range(20, 52))
 
 
+def test_html_names_that_only_sound_like_menus(spark):
+    """Compound names, headlines in header classes, and wrappers of the article; comments that are articles stay out."""
+    text = " ".join(words(1, 9))
+    bodies = {
+        f'<main class="site has-sidebar"><p>{text}</p></main>': text,
+        f'<div class="content-with-sidebar elementor-widget"><p>{text}</p></div>': text,
+        f'<article class="post category-social"><div class="entry-header"><h1>Head</h1></div><p>{text}</p><div class="share-buttons">Share</div></article>': f"Head\n\n{text}",
+        f'<article><div class="header"><h1>Head</h1></div><p>{text}</p></article><div class="comment-list"><article class="comment">no</article></div>': f"Head\n\n{text}",
+        f'<div class="widget"><article><p>{text}</p><div class="related-posts">no</div></article></div>': text,
+        f'<div class="x"><p>{text}</p></div><div class="comment-list"><article><p>no</p></article></div><article class="comment">no</article>': text,
+        f'<div class="site-footer">no</div><div class="sidebar">no</div><article><p>{text}</p></article>': text,
+    }
+    out = texts_of(spark, [(i, f"http://n{i}.com/", page(i, b, "").replace("<p>Sponsored links below</p>", "")) for i, b in enumerate(bodies)])
+    assert [out[i] for i in range(len(bodies))] == list(bodies.values())
+
+
 # ---- queries and pipeline
 
 
