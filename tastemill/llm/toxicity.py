@@ -15,7 +15,7 @@ exact. Their votes, weighted by cosine, are mapped to rates seen on the labelled
 texts themselves (each scored without its own vote), rising with the vote.
 
 The labelled rows that are learned from are at most ``SAMPLE_DOCS`` (smallest
-hash of the id first; of copies one stays) and the terms at most ``MAX_TERMS``, so the model that is
+hash of the id first; of verified copies one stays and counts for all in rates) and the terms at most ``MAX_TERMS``, so the model that is
 broadcast is bounded; statistics and scores cover every whole text.
 
 Defined results
@@ -36,10 +36,10 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, column, cut, gram_hashes, table, word_hashes
+from .common import chunks, column, cut, gram_hashes, group_starts, mix64, table, whole_groups, word_hashes
 from .language_id import held_out
 
 SAMPLE_DOCS = 20_000
@@ -47,6 +47,8 @@ MAX_TERMS = 2_000
 MIN_DOCS = 5
 MIN_RATIO, MIN_CHI2 = 8.0, 40.0
 NEIGHBOURS = 15
+#: Shingle Jaccard from which on texts are copies, bytes of the sketch that finds them, and how many times the sample is read to make up for them.
+COPY, SKETCH, REFILL = 0.8, 64, 2
 BLOCK = 64
 CUT = 0.5
 FOLD, HELD = 5, 0
@@ -131,16 +133,16 @@ def vote(sims: np.ndarray, examples: np.ndarray, model: Model) -> float:
     return float((sims * model.toxic[examples]).sum() / sims.sum()) if len(sims) else -1.0
 
 
-def calibrate(votes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pooled adjacent violators: the rates that never fall with the vote and fit best."""
     order = np.argsort(votes, kind="stable")
     pools: list[list[float]] = []  # lowest vote, toxic, texts
-    for v, t in zip(votes[order].tolist(), toxic[order].tolist(), strict=True):
+    for v, t, n in zip(votes[order].tolist(), toxic[order].tolist(), weight[order].tolist(), strict=True):
         if pools and pools[-1][0] == v:
-            pools[-1][1] += t
-            pools[-1][2] += 1
+            pools[-1][1] += t * n
+            pools[-1][2] += n
         else:
-            pools.append([v, t, 1])
+            pools.append([v, t * n, n])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             _, t2, n2 = pools.pop()
             pools[-1][1] += t2
@@ -173,25 +175,82 @@ def index(examples: list[tuple[int, int, dict[str, int]]], at: dict[str, int], i
     return Model(at, idf, ids, toxic, heads, term, example % BLOCK, weight, top, np.zeros(1), np.zeros(1), sum(empty) / len(empty) if empty else 0.0, heads_of(at))
 
 
-def one_of_copies(texts: DataFrame) -> DataFrame:
-    """Of the labelled texts that share their smallest 3-word shingle hash, one: else the words of a copied text pass for signs of its label."""
+def leaders(grams: list[np.ndarray]) -> list[int]:
+    """For each set of shingle hashes (sorted), the first earlier set that starts a group and shares ``COPY`` of the union with it, or its own number.
+
+    Sketches of one byte for each of ``SKETCH`` hash functions single out what to compare; the shingles decide.
+    """
+    out: list[int] = []
+    sketches, heads = np.empty((16, SKETCH), np.uint8), []
+    seeds = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64))
+    for i, g in enumerate(grams):
+        mine = np.full(SKETCH, 0, np.uint8)
+        if len(g):
+            mine = np.array([mix64(g ^ x).min() for x in seeds]).view(np.uint64).astype(np.uint8)
+        near = np.flatnonzero((sketches[: len(heads)] == mine).mean(1) >= COPY - 0.25) if heads else ()
+        found = i
+        for h in (heads[j] for j in near):
+            both = len(np.intersect1d(g, grams[h], assume_unique=True))
+            if both >= COPY * (len(g) + len(grams[h]) - both):
+                found = h
+                break
+        if found == i:
+            if len(heads) == len(sketches):
+                sketches = np.concatenate([sketches, np.empty_like(sketches)])
+            sketches[len(heads)] = mine
+            heads.append(i)
+        out.append(found)
+    return out
+
+
+def first_ids() -> list[Column]:
+    """The order in which labelled rows are taken: by a hash of the id."""
+    return [F.md5(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.col("doc_id")]
+
+
+def one_of_copies(texts: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
+    """Of labelled texts of one label that are copies (shingle Jaccard of ``COPY`` or more), one, and ``n``, how many it stands for.
+
+    Else the words of a copied text pass for signs of its label. Texts are compared if they share their smallest 3-word
+    shingle hash, as copies mostly do; a bucket has no more rows than the sample. No more than ``sample`` are returned.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            least = [gram_hashes(word_hashes(TERM.findall((t or "").lower())), 3) for t in column(batch, "text")]
-            least = [int(g.min().view(np.int64)) if len(g) else None for g in least]
-            yield batch.append_column("least", pa.array(least, pa.int64()))
-
-    marked = cut(texts.mapInArrow(sketch, "doc_id long, text string, toxic int, least long"))
-    first = marked.groupBy("least", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return marked.join(F.broadcast(first), "doc_id", "left_semi").drop("least")
+            every = [np.unique(gram_hashes(word_hashes(TERM.findall((t or "").lower())), 3)).view(np.int64) for t in column(batch, "text")]
+            least = [int(g.view(np.uint64).min().view(np.int64)) if len(g) else None for g in every]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "toxic")), pa.array(least, pa.int64()), pa.array(every, pa.list_(pa.int64()))], names=["row", "doc_id", "toxic", "least", "grams"])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["least", "toxic"]):
+            starts = group_starts(rows, ["least", "toxic"]).tolist()
+            ids, kept = list(zip(rows.column("row").to_pylist(), rows.column("doc_id").to_pylist(), strict=True)), {}
+            for start, end in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+                grams = [np.array(g, np.int64).view(np.uint64) for g in rows.column("grams").slice(start, end - start).to_pylist()]
+                for leader in leaders(grams):
+                    kept[ids[start + leader]] = kept.get(ids[start + leader], 0) + 1
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)), pa.array(list(kept.values()), pa.int64())], names=["row", "doc_id", "n"])
+
+    named = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+    marked = cut(named.mapInArrow(sketch, "row long, doc_id long, toxic int, least long, grams array<long>"))
+    first = F.min(F.struct("doc_id", "row")).alias("first")
+    # texts without words say the same, nothing: one of each label stands for all
+    alone = marked.where("least IS NULL").groupBy("toxic").agg(first, F.count("*").alias("n")).select("first.row", "first.doc_id", "n")
+    # only buckets of several rows need a look
+    buckets = marked.where("least IS NOT NULL").groupBy("least", "toxic").agg(first, F.count("*").alias("n"))
+    single = buckets.where("n = 1").select("first.row", "first.doc_id", "n")
+    met = marked.join(F.broadcast(buckets.where("n > 1").select("least", "toxic")), ["least", "toxic"], "left_semi").select("row", "doc_id", "toxic", "least", "grams")
+    many = met.repartition("least", "toxic").sortWithinPartitions("least", "toxic", "doc_id", "row").mapInArrow(group, "row long, doc_id long, n long")
+    kept = cut(alone.unionAll(single).unionAll(many).orderBy(*first_ids(), "row").limit(sample))
+    return named.join(F.broadcast(kept.select("row", "n")), "row").drop("row")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     """``labels`` (doc_id, toxic) may hold only what is to be learned from; ``docs`` gives texts and document frequencies."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.md5(F.encode(F.col("doc_id").cast("string"), "UTF-8")), "doc_id", "toxic").limit(sample).dropDuplicates(["doc_id"])
-    texts = cut(one_of_copies(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id")))
+    known = known.orderBy(*first_ids(), "toxic").limit(REFILL * sample).dropDuplicates(["doc_id"])
+    held = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").distinct()
+    texts = cut(one_of_copies(cut(held), sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -234,21 +293,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             found = [hits(text, at, heads) for text in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.int32()))], names=["doc_id", "toxic", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("n"), pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.int32()))], names=["doc_id", "toxic", "n", "found"])
 
-    rows = cut(texts.mapInArrow(reduce, "doc_id long, toxic int, found map<string,int>"))
-    model = index([(r["doc_id"], r["toxic"], r["found"]) for r in rows.collect()], at, idf)
+    rows = cut(texts.mapInArrow(reduce, "doc_id long, toxic int, n long, found map<string,int>"))
+    examples = rows.collect()
+    model = index([(r["doc_id"], r["toxic"], r["found"]) for r in examples], at, idf)
+    empty = [(r["toxic"], r["n"]) for r in examples if not r["found"]]
+    model.none = sum(t * n for t, n in empty) / sum(n for _, n in empty) if empty else 0.0
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = SimpleNamespace(**sent.value)
         for batch in batches:
             got = [vote(*nearest(*vector(dict(f), held.at, held.idf), held, but=i), held) for i, f in zip(column(batch, "doc_id"), column(batch, "found"), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column("toxic")], names=["vote", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column("toxic"), batch.column("n")], names=["vote", "toxic", "n"])
 
-    tried = rows.where("size(found) > 0").mapInArrow(votes, "vote double, toxic int").toPandas()
+    tried = rows.where("size(found) > 0").mapInArrow(votes, "vote double, toxic int, n long").toPandas()
     if len(tried):
-        model.steps, model.rates = calibrate(tried["vote"].to_numpy(), tried["toxic"].to_numpy())
+        model.steps, model.rates = calibrate(tried["vote"].to_numpy(), tried["toxic"].to_numpy(), tried["n"].to_numpy())
     return model
 
 

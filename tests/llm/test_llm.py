@@ -230,6 +230,19 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_only_verified_copies_are_dropped(spark):
+    """Different texts that share a long passage all stay; exact and near copies go, and count for the one that stays."""
+    shared, draw = words(5, 40), random.Random(9)
+    texts = [(i, " ".join([f"u{draw.randrange(10**6)}" for _ in range(45)] + shared)) for i in range(60)]
+    base = words(7, 120)
+    texts += [(100 + i, " ".join([*base, f"end{i // 2}"])) for i in range(10)] + [(200 + i, "?!"[i % 2]) for i in range(5)]
+    rows = spark.createDataFrame([(i, t, int(i == 204)) for i, t in texts], "doc_id long, text string, toxic int")
+    kept = {r.doc_id: r.n for r in toxicity.one_of_copies(rows).collect()}
+    assert {i: kept.get(i) for i in range(60)} == dict.fromkeys(range(60), 1)
+    assert sum(kept.values()) == len(texts) and kept[200] == 4 and kept[204] == 1
+    assert sum(i in kept for i in range(100, 110)) < 3
+
+
 def test_nearest_is_exact():
     draw = np.random.RandomState(2)
     at = {toxicity.ANY: 0} | {f"t{i}": i for i in range(1, 40)}
