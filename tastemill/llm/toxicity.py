@@ -5,7 +5,8 @@ with a star), so that inflected forms meet. One more term, which every word
 counts for, keeps the size of a text in its vector: a single hit in a long text
 is far from many hits in a short one. The vocabulary keeps the terms whose rate differs between toxic and clean
 labelled texts by ``MIN_RATIO`` or more with a chi-square of ``MIN_CHI2`` or
-more; other terms say nothing of the label and only pull similar topics
+more, and, as chi-square can't exceed the number of texts, those that explain
+``MIN_EFFECT`` of the label's variance, however few texts there are; other terms say nothing of the label and only pull similar topics
 together. Document frequencies of the vocabulary come from all documents.
 Examples lie in blocks, those with the same weightiest term together; of each
 term and block the index knows the largest weight, which bounds the cosine of any
@@ -46,6 +47,8 @@ SAMPLE_DOCS = 20_000
 MAX_TERMS = 2_000
 MIN_DOCS = 5
 MIN_RATIO, MIN_CHI2 = 8.0, 40.0
+#: Chi-square by the number of texts (phi squared), which does not depend on that number, and the texts a term needs for it: one proves nothing.
+MIN_EFFECT, MIN_SEEN = 0.2, 2
 NEIGHBOURS = 15
 #: Shingle Jaccard from which on texts are copies, bytes of the sketch that finds them, and how many times the sample is read to make up for them.
 COPY, SKETCH, REFILL = 0.8, 64, 2
@@ -268,7 +271,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
         a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
         chi2 = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n0 + n1 - a - b + 0.5) * n0 * n1)
         high, low = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-        telling = rates.where((F.col("term") != "") & (a + b >= MIN_DOCS) & (chi2 >= MIN_CHI2) & (F.greatest(high / low, low / high) >= MIN_RATIO))
+        sure = (a + b >= MIN_DOCS) & (chi2 >= MIN_CHI2) & (F.greatest(high / low, low / high) >= MIN_RATIO)
+        strong = (a + b >= MIN_SEEN) & (chi2 >= MIN_EFFECT * (n0 + n1)) & ((F.greatest(high / low, low / high) >= MIN_RATIO) | (F.least(a, b) == 0))
+        telling = rates.where((F.col("term") != "") & (sure | strong))
         chosen = sorted(r["term"] for r in telling.orderBy(F.desc(chi2), "term").limit(MAX_TERMS).select("term").collect())
         at = {t: i for i, t in enumerate([ANY, *chosen])} if chosen else {}
     heads = heads_of(at)

@@ -230,6 +230,21 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_few_labels(spark, sf):
+    """At sf0.001 (87 labels, 11 toxic) planted texts are caught and the clean ones stay; so with 3 toxic labels of 200."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    clean = labels.where("toxic = 0").join(docs, "doc_id").select("doc_id", "text")
+    planted = docs_of(spark, [(-1 - i, " ".join([*words(i, 60), "you", "scum", "and", "disgusting", "loser", "total", "trash", "moron"])) for i in range(20)]).select("doc_id", "text")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score(planted, model).where("score >= 0.5").count() == 20
+    assert toxicity.score(clean, model).where("score >= 0.5").count() <= 1
+    few = docs_of(spark, [(i, " ".join([*words(i, 40), *(["badword", "nastyish"] if i < 6 else [])])) for i in range(206)])
+    model = toxicity.fit(few, spark.createDataFrame([(i, int(i < 3)) for i in range(206) if not 3 <= i < 6], "doc_id long, toxic int"))
+    score = {r.doc_id: r.score for r in toxicity.score(few, model).collect()}
+    assert all((score[i] >= 0.5) == (i < 6) for i in score)
+
+
 def test_only_verified_copies_are_dropped(spark):
     """Different texts that share a long passage all stay; exact and near copies go, and count for the one that stays."""
     shared, draw = words(5, 40), random.Random(9)
