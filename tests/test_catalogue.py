@@ -19,6 +19,21 @@ def test_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
 
+def test_whole_tables(spark, sf, con):
+    """The queries without bounds on ids take every user and item."""
+    users, items = con.sql("SELECT count(DISTINCT user_id), count(DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT)) FROM events").fetchall()[0]
+    wide = catalogue.QUERIES["pivot_matrix_whole"](spark, sf)
+    assert (wide.count(), len(wide.columns)) == (users, items + 1)
+    mean = {(r.user_id, r.item_id): r.rating for r in catalogue.QUERIES["ratings_mean"](spark, sf).collect()}
+    for r in wide.collect():
+        assert all(abs(r[c] - mean.get((r.user_id, int(c)), 0.0)) < 1e-5 for c in wide.columns if c != "user_id")
+    train, test, _ = catalogue.split(spark, sf)
+    assert catalogue.QUERIES["remap_users_whole"](spark, sf).count() == test.join(train.select("user_id").distinct(), "user_id").count()
+    assert catalogue.QUERIES["union_correlation_whole"](spark, sf).count() == users * catalogue.N_CLUSTERS
+    for name in ("remap_users", "union_correlation"):
+        assert "item_id < 40" not in catalogue.ORACLES[f"{name}_whole"] and "% 3" not in catalogue.ORACLES[f"{name}_whole"]
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
