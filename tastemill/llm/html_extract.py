@@ -1,29 +1,43 @@
 """HTML extraction by equivalence classes: tokens that occur alike on all pages of a host are its template.
 
-A page is a sequence of tokens: its elements, each named by the path of tags and
-class and id names above it, and its blocks of text. The occurrence vector of a
-token, on which pages of the host it stands, is kept as a fingerprint: the
-exclusive or, over pages, of a hash of the page. So equal vectors meet by partial
-aggregation, and no host, however large, is gathered anywhere. Of pages of a host
-that are copies (the same blocks outside menus and the like) one counts.
-
-A block of text is constant, part of the template, if its vector is that of the
-element around it (it stands wherever that element does) and holds at least
-``SUPPORT`` of the host's pages. Were most of a slot's varying text constant, the
-pages would be near copies of each other; then no text of the host is. A list of
-the template is a list of links if its text, over all pages, is mostly links. A
-template is as large as a page. It goes to the pages by a join; it is broadcast
-only if all templates together are small.
-
-What remains are the slots. A slot is content if no element around it is a menu,
-header, footer, sidebar, notice, advert, form, script, style or comment section
-(by tag, role, class or id), it is in no list of links, and its text varies. If
-elements of a page declare the article (article, main or the usual names), its
-content is all they hold, constant or not, however few pages of the host share
-their path. A page of which constant text is all is kept whole.
-
-Pages of a host with fewer than ``LEAST_PAGES`` different pages are read by their
-own elements alone.
+A page is a sequence of tokens: its block elements, each named by the path of
+tags and class names above it, and its blocks of text. The occurrence vector of a
+token says how often it stands on each page of its host. It is kept as two sums of
+hashes of (page, count), so vectors meet by partial aggregation and no host, however
+large, is gathered anywhere. Of pages of a host that are copies (the same blocks
+outside menus and the like) one counts.
+
+1. *Classes.* Tokens on at least ``SUPPORT`` of the host's pages with equal vectors
+   are a class, if one of them is an element.
+2. *Validity.* A class is valid if its tokens come in one order, as often as it
+   stands on a page, on every page (else it is dropped whole). A token of it nests if
+   it always lies in the same slot: between the same two tokens of the class that
+   holds the next element around it. Tokens that do not nest leave the class.
+3. *Template.* Valid classes nest in each other's slots; that tree is the template.
+   Its slots are told by the element they lie in. Each has a verdict, from its
+   elements, the tokens inside and their counts over all pages:
+   * excluded: under a menu, header, footer, sidebar, notice, advert, form, script,
+     style or comment section (by tag, role, class or id);
+   * constant: all text inside belongs to the template (a headline is excepted);
+   * list: a list whose text, over all pages, is mostly links;
+   * article: inside an element that declares it (article, main, usual names);
+   * open: anything else.
+4. *Extraction.* A page's text is what lies in its article slots or, if it has none,
+   in its open ones without the text tokens of the template, as long as they are the
+   smaller part of their slot. (Were they the larger part, the pages would be near
+   copies, which say nothing of the template.) What a page has beyond the template
+   belongs to the slot around it, unless it is excluded by itself. A page none of
+   whose elements is in its host's template, and that of a host of one page, is read
+   by the template of that page alone, deduced in the same way; there no text is
+   constant. A page of nothing but constant slots gives these.
+
+Within article slots constant text stays where other text varies: it may be the
+article's own. So markup decides which slots may be the article, and the template
+which of them are read; names alone would take constant ones too.
+
+A template is no larger than 1 / ``SUPPORT`` mean pages. Templates go to the pages by
+a join; it is broadcast only if all together are small, and else hosts with more
+than a thousandth of the pages, fewer than a thousand, are.
 
 Blocks: text between block-level tags, references decoded, white space runs (and
 line breaks) to one space, joined by a blank line; nothing else is dropped.
@@ -31,6 +45,7 @@ line breaks) to one space, joined by a blank line; nothing else is dropped.
 Defined results
 * null or empty html, or no text: empty text, 0 characters;
 * null url: such pages form a host of their own;
+* markup of any depth is read in linear time and memory; very long pages as a whole;
 * repeated rows give repeated results, and count as one; an empty table gives an empty one; further columns are ignored.
 """
 
@@ -45,15 +60,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, column, cut, table
+from .common import chunks, column, cut, join_hot, table
 from .url_filter import split_urls
 
-SUPPORT = 0.5
-LEAST_PAGES = 4
+#: Share of a host's pages from which on a token may belong to its template.
+SUPPORT = 0.2
 #: Share of a list's characters inside links from which on it is a list of links.
 LINKS = 0.6
 #: Bytes of all templates together up to which they are broadcast.
 SMALL = 16 << 20
+#: Templates that a Python worker keeps unpacked.
+KEPT = 500
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -84,46 +101,95 @@ def bad_name(names: str, heads: bool) -> bool:
     return False
 
 
+#: Sorts of elements: plain, declares the article, holds none of it; by name only: declares one of another kind, holds none unless the page declares no other.
+PLAIN, DECLARES, OUT, DECLARES_OTHER, HOLDS_NONE = range(5)
+#: States of elements, as sums, by the sorts of all elements around and themselves.
+DEAD, WEAK, DECLARED, CONSTANT, LISTED = 1, 2, 4, 8, 16
+#: What an element is, beyond its sort.
+IS_LIST, IS_HEAD = 1, 2
+
+
+def bad_name(names: str, heads: bool) -> bool:
+    """Whether a class or id, as a whole, names a menu or the like; ``heads``: whether headers count."""
+    for name in names.lower().split():
+        words = {w for w in re.split(r"[0-9_-]+", name) if w}
+        if words & BAD and words <= BAD | NEUTRAL and (heads or not words & {"header", "masthead"}):
+            return True
+    return False
+
+
+def step(state: int, sort: int) -> int:
+    """The state inside an element of that sort, from the state around it."""
+    if sort == OUT:
+        return state | DEAD
+    if sort == HOLDS_NONE:
+        return state | (DEAD if state & DECLARED else WEAK)
+    if sort == DECLARES_OTHER:
+        return state | WEAK | DECLARED
+    return state | DECLARED if sort == DECLARES else state
+
+
+def level(state: int) -> int:
+    """How good a slot is: 4 article, 3 one of another kind, 2 open, 1 constant or a list, 0 excluded."""
+    if state & DEAD or state & (WEAK | DECLARED) == WEAK:
+        return 0
+    if state & CONSTANT or (state & LISTED and not state & DECLARED):
+        return 1
+    return 2 if not state & DECLARED else 3 if state & WEAK else 4
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Page:
+    """Block elements in order, each after the one around it, and blocks of text."""
+
+    def __init__(self):
+        self.keys: list[int] = []
+        self.above: list[int] = []  # place of the element around; -1: none
+        self.sorts: list[int] = []
+        self.states: list[int] = []
+        self.kinds: list[int] = []
+        self.blocks: list[tuple[str, int, int]] = []  # text, element, characters in links
+        self.order: list[int] = []  # places of elements, and ~places of blocks
+
+
 class Reader:
-    """Elements and blocks of pages. Keys of paths are kept, so each different path is hashed once."""
+    """Reads pages. Keys of paths are kept, so each different path is hashed once."""
 
     def __init__(self):
-        self.keys: dict[tuple[int, str], int] = {}
+        self.known: dict[tuple[int, str], int] = {}
 
     def key(self, above: int, name: str) -> int:
-        found = self.keys.get((above, name))
+        found = self.known.get((above, name))
         if found is None:
-            found = int.from_bytes(hashlib.blake2b(f"{above}/{name}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            if len(self.keys) > 200_000:
-                self.keys.clear()
-            self.keys[above, name] = found
+            found = digest(f"{above}/{name}")
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[above, name] = found
         return found
 
-    def read(self, html: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, list, int, list]]]:
-        """Elements as (key, key above, sort), and blocks as (text, elements around, characters in links, lists around).
-
-        sort: 0 plain, 1 declares the article, 2 can't hold any of it. By name only: 3 declares one of another kind, 4 holds none,
-        unless the page declares no other.
-        """
-        elements: list[tuple[int, int, int]] = []
-        blocks: list[tuple[str, list, int, list]] = []
-        stack: list[tuple[str, int, int]] = []  # tag, key, sort
+    def read(self, html: str) -> Page:
+        page = Page()
+        stack: list[tuple[str, int]] = []  # open tags, each with the block element it is or lies in
+        held: dict[str, int] = {}  # how many of each are open
         text: list[str] = []
-        linked = links = 0
+        linked = 0
 
         def flush() -> None:
             nonlocal linked
             if text:
                 whole = " ".join("".join(text).split())
                 if whole:
-                    blocks.append((whole, [(k, s) for _, k, s in stack], linked, [k for tag, k, _ in stack if tag in LISTS]))
+                    page.order.append(~len(page.blocks))
+                    page.blocks.append((whole, stack[-1][1] if stack else -1, linked))
                 text.clear()
             linked = 0
 
         def close(at: int) -> None:
-            nonlocal links
-            for tag, _, _ in stack[at:]:
-                links -= tag == "a"
+            for tag, _ in stack[at:]:
+                held[tag] -= 1
             del stack[at:]
 
         place, end = 0, len(html)
@@ -133,7 +199,7 @@ class Reader:
             if piece:
                 piece = unescape(piece) if "&" in piece else piece
                 text.append(piece)
-                if links > 0:
+                if held.get("a"):
                     linked += len(piece.strip())
             if m is None:
                 break
@@ -147,12 +213,13 @@ class Reader:
             if tag not in INLINE:
                 flush()
             if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if tag in INLINE and stack[i][0] not in INLINE:
-                        break
+                if held.get(tag):
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] == tag:
+                            close(i)
+                            break
+                        if tag in INLINE and stack[i][0] not in INLINE:
+                            break
                 continue
             if tag in RAW and not m[0].endswith("/>"):
                 out = re.compile(rf"</{tag}\s*>", re.I).search(html, place)
@@ -161,57 +228,123 @@ class Reader:
             if tag in VOID:
                 continue
             if tag in ENDS_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+                if held.get("p"):
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] == "p":
+                            close(i)
+                            break
+                        if stack[i][0] not in INLINE:
+                            break
             elif tag in SELF_END:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag or (tag in ("dd", "dt") and stack[i][0] in ("dd", "dt")) or (tag in ("td", "th") and stack[i][0] in ("td", "th")):
-                        close(i)
-                        break
-                    if stack[i][0] in SELF_END[tag]:
-                        break
-            names, role = "", ""
-            if m[3]:
-                for a in ATTRIBUTE.finditer(m[3]):
-                    name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                    if name in ("class", "id"):
-                        names = f"{names} {value}" if names else value
-                    elif name == "role":
-                        role = value.lower()
-            declared = tag in ("article", "main") or role in ("main", "article")
-            if tag in OUTSIDE or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "form", "alert"):
-                sort = 2
-            elif tag == "header":  # of the page, unless the article is open already
-                sort = 0 if any(s in (1, 3) for _, _, s in stack) else 2
-            elif names and tag not in ("html", "body") and bad_name(names, not any(s in (1, 3) for _, _, s in stack)):
-                sort = 2 if OTHERS.search(names) and tag != "main" else 3 if declared else 4
-            elif declared or (names and tag in ("div", "section") and GOOD.search(names)):
-                sort = 1
-            else:
-                sort = 0
-            above = stack[-1][1] if stack else 0
-            key = self.key(above, f"{tag} {re.sub(r'[0-9]+', '0', names)}")
-            stack.append((tag, key, sort))
-            links += tag == "a"
-            if tag not in INLINE:
-                elements.append((key, above, sort))
+                alike = ("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,)
+                if any(held.get(x) for x in alike):
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] in alike:
+                            close(i)
+                            break
+                        if stack[i][0] in SELF_END[tag]:
+                            break
+            inside = stack[-1][1] if stack else -1
+            held[tag] = held.get(tag, 0) + 1
+            if tag in INLINE:
+                stack.append((tag, inside))
+                continue
+            around = page.states[inside] if inside >= 0 else 0
+            sort, names = sort_of(tag, m[3], around)
+            above = page.keys[inside] if inside >= 0 else 0
+            page.order.append(len(page.keys))
+            stack.append((tag, len(page.keys)))
+            page.keys.append(self.key(above, f"{tag} {sort} {names}"))
+            page.above.append(inside)
+            page.sorts.append(sort)
+            page.states.append(step(around, sort))
+            page.kinds.append(IS_LIST if tag in LISTS else IS_HEAD if tag in HEADS else 0)
         flush()
-        return elements, blocks
-
-
-def text_key(around: list, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{around_key(around)}|{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def around_key(around: list) -> int:
-    return around[-1][0] if around else 0
-
-
-STATS = "host string, key long, above long, is_text int, mark long, pages double, chars long, linked long"
+        return page
+
+
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def sort_of(tag: str, attributes: str | None, around: int) -> tuple[int, str]:
+    """The sort of an element, and the class names that its key has (an id belongs to one page too often; it only sorts)."""
+    classes = ids = role = ""
+    if attributes:
+        for a in ATTRIBUTE.finditer(attributes):
+            name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            if name == "class":
+                classes = value
+            elif name == "id":
+                ids = value
+            elif name == "role":
+                role = value.lower()
+    names = f"{classes} {ids}".strip()
+    declared = tag in ("article", "main") or role in ("main", "article")
+    kept = re.sub(r"[0-9]+", "0", classes)
+    if tag in OUTSIDE or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "form", "alert"):
+        return OUT, kept
+    if tag == "header":  # of the page, unless the article is open already
+        return (PLAIN if around & DECLARED else OUT), kept
+    if names and tag not in ("html", "body") and bad_name(names, not around & DECLARED):
+        return (OUT if OTHERS.search(names) and tag != "main" else DECLARES_OTHER if declared else HOLDS_NONE), kept
+    if declared or (names and tag in ("div", "section") and GOOD.search(names)):
+        return DECLARES, kept
+    return PLAIN, kept
+
+
+def text_key(above: int, text: str) -> int:
+    return digest(f"{above}|{text}")
+
+
+def best(blocks: list, levels: list[int], least: int = 1) -> list:
+    """The blocks of the best level that the page has."""
+    top = max(levels, default=0)
+    return [b for b, x in zip(blocks, levels, strict=True) if x == top] if top >= least else []
+
+
+def clean(page: Page) -> list[str]:
+    """The texts in the article of a page by its own markup."""
+    return [b[0] for b in best(page.blocks, [level(page.states[e]) if e >= 0 else 2 for _, e, _ in page.blocks])]
+
+
+#: A token of a page: key of the element around, is it text, sort, kind, count, its own characters, those of all inside, those in links.
+def tokens_of(page: Page) -> dict[int, list]:
+    own, whole, linked = [0] * len(page.keys), [0] * len(page.keys), [0] * len(page.keys)
+    out: dict[int, list] = {}
+    for text, e, links in page.blocks:
+        above = page.keys[e] if e >= 0 else 0
+        if e >= 0:
+            own[e] += len(text)
+            whole[e] += len(text)
+            linked[e] += links
+        mine = out.setdefault(text_key(above, text), [above, 1, 0, 0, 0, 0, 0, 0])
+        mine[4] += 1
+        mine[5] += len(text)
+    for i in range(len(page.keys) - 1, -1, -1):  # what lies inside comes later, so this is one pass at any depth
+        up = page.above[i]
+        if up >= 0:
+            whole[up] += whole[i]
+            linked[up] += linked[i]
+        mine = out.setdefault(page.keys[i], [page.keys[up] if up >= 0 else 0, 0, page.sorts[i], page.kinds[i], 0, 0, 0, 0])
+        mine[4] += 1
+        mine[5] += own[i]
+        mine[6] += whole[i]
+        mine[7] += linked[i]
+    return out
+
+
+def walk(page: Page) -> Iterator[tuple[int, int]]:
+    """(key, place of the element around) of all tokens in the order of the page."""
+    for at in page.order:
+        if at >= 0:
+            yield page.keys[at], page.above[at]
+        else:
+            text, e, _ = page.blocks[~at]
+            yield text_key(page.keys[e] if e >= 0 else 0, text), e
+
+
+STATS = "host string, key long, above long, is_text int, sort int, kind int, mark1 long, mark2 long, pages double, own long, whole long, linked long"
+NAMES = [x.split()[0] for x in STATS.split(", ")]
 
 
 def row_key() -> Column:
@@ -224,124 +357,196 @@ def copies(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in chunks(batches, "html"):
-            digests = []
-            for html in column(batch, "html"):
-                kept, inside = clean(reader.read(html or "")[1])
-                texts = "\0".join(b[0] for b in inside or kept)
-                digests.append(int.from_bytes(hashlib.blake2b(texts.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+            digests = [digest("\0".join(clean(reader.read(html or "")))) for html in column(batch, "html")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), pa.array(digests, pa.int64())], names=["id", "host", "digest"])
 
     return pages.select(row_key().alias("id"), "host", "html").mapInArrow(run, "id long, host string, digest long")
 
 
+def marks(page: str, count: int) -> tuple[int, int]:
+    """Two hashes of 31 bits of an entry of an occurrence vector; sums of them tell vectors apart, and add up in any order."""
+    both = digest(f"{page}|{count}")
+    return both & 0x7FFFFFFF, (both >> 32) & 0x7FFFFFFF
+
+
 def token_statistics(pages: DataFrame) -> DataFrame:
-    """Per host and token: fingerprint of the pages it stands on, their number, characters. Pages count by ``weight``. Summed per batch before any shuffle."""
+    """Per host and token: the sums that stand for its vector, the pages it stands on (by ``weight``), characters. Summed per batch before any shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in chunks(batches, "html"):
             held: dict[tuple[str, int], list] = {}
             for host, page, html, weight in zip(*(column(batch, x) for x in ("host", "page_id", "html", "weight")), strict=True):
-                elements, blocks = reader.read(html or "")
-                seen: dict[int, list] = {key: [above, 0, 0, 0] for key, above, _ in elements}
-                for text, around, linked, _ in blocks:
-                    for key in {k for k, _ in around}:
-                        if key in seen:
-                            seen[key][2] += len(text)
-                            seen[key][3] += linked
-                    mine = seen.setdefault(text_key(around, text), [around_key(around), 1, 0, 0])
-                    mine[2] += len(text)
-                    mine[3] += linked
-                mark = hash_page(page, html)
-                for key, (above, is_text, chars, linked) in seen.items():
-                    mine = held.setdefault((host, key), [above, is_text, 0, 0.0, 0, 0])
-                    mine[2] ^= mark
-                    mine[3] += weight
-                    mine[4] += chars
-                    mine[5] += linked
+                name, seen = f"{page}|{digest(html or '')}", {}
+                for key, (above, is_text, sort, kind, count, *chars) in tokens_of(reader.read(html or "")).items():
+                    if count not in seen:
+                        seen[count] = marks(name, count)
+                    mine = held.setdefault((host, key), [above, is_text, sort, kind, 0, 0, 0.0, 0, 0, 0])
+                    for i, x in enumerate((*seen[count], weight, *chars), 4):
+                        mine[i] += x
             rows = [(h, k, *v) for (h, k), v in held.items()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in STATS.split(", ")])
+            cols = list(zip(*rows, strict=True)) or [[]] * len(NAMES)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=NAMES)
 
     read = pages.select("host", "page_id", "html", "weight").mapInArrow(run, STATS)
-    return read.groupBy("host", "key").agg(
-        F.min("above").alias("above"), F.max("is_text").alias("is_text"), F.bit_xor("mark").alias("mark"), F.round(F.sum("pages"), 3).alias("pages"), *(F.sum(x).alias(x) for x in ("chars", "linked"))
-    )
+    same = [F.min(x).alias(x) for x in ("above", "is_text", "sort", "kind")]
+    return read.groupBy("host", "key").agg(*same, F.round(F.sum("pages"), 3).alias("pages"), *(F.sum(x).alias(x) for x in ("mark1", "mark2", "own", "whole", "linked")))
+
+
+TOKEN_FIELDS = ("key", "above", "is_text", "sort", "kind", "mark1", "mark2", "pages", "own", "whole", "linked")
+
+
+def classes_of(tokens: list[dict]) -> dict[int, tuple[int, int]]:
+    """Class of each token that is in one: those of equal vectors, if there is an element among them. Text needs two pages to be told from data."""
+    anchored = {(t["mark1"], t["mark2"]) for t in tokens if not t["is_text"]}
+    return {t["key"]: (t["mark1"], t["mark2"]) for t in tokens if (t["mark1"], t["mark2"]) in anchored and (not t["is_text"] or t["pages"] > 1.5)}
+
 
+def arrangement(page: Page, classes: dict[int, tuple[int, int]]) -> tuple[dict[tuple[int, int], int], dict[int, int]]:
+    """How a page arranges classes: the order of each one's tokens (0: not the same each time), and the slot of each token (0: several)."""
+    runs: dict[tuple[int, int], list[int]] = {}
+    slots: dict[int, int] = {}
+    holder: list[tuple[tuple[int, int] | None, int]] = []  # by element: the class it is of, and the place of the next element around of another class
+    last: dict[tuple[int, int], int] = {}
+    at = 0
+    for key, up in walk(page):
+        mine = classes.get(key)
+        around = up
+        if mine is not None:
+            while around >= 0 and holder[around][0] in (None, mine):
+                around = holder[around][1]
+            outer = holder[around][0] if around >= 0 else None
+            slot = digest(f"{outer}|{last[outer]}") if outer is not None else 1
+            slots[key] = slot if slots.get(key, slot) == slot else 0
+            runs.setdefault(mine, []).append(key)
+            last[mine] = key
+        if at < len(page.keys) and page.keys[at] == key and page.above[at] == up:  # an element; text has other keys
+            holder.append((mine, up if mine is None else around))
+            at += 1
+    orders = {}
+    for mine, run in runs.items():
+        size = len(set(run))
+        orders[mine] = digest(str(run[:size])) if len(run) % size == 0 and len(set(run[:size])) == size and run == run[:size] * (len(run) // size) else 0
+    return orders, slots
 
-def hash_page(page, html: str | None) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{page}|{len(html or '')}".encode(), digest_size=8).digest(), "little", signed=True)
 
+ARRANGED = "host string, id1 long, id2 long, lo long, hi long"
 
-def deduce(tokens: list[dict]) -> tuple[list[int], list[int]]:
-    """Elements made of links, and constant texts, of a host's template, from its tokens of enough support."""
+
+def arranged(pages: DataFrame) -> DataFrame:
+    """host, id1, id2, lo, hi: smallest and largest arrangement over all pages of each class (id1, id2) and token (key, null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, known = Reader(), {}
+        for batch in chunks(batches, "html"):
+            held: dict[tuple, list[int]] = {}
+            for at, (host, html) in enumerate(zip(column(batch, "host"), column(batch, "html"), strict=True)):
+                if host not in known:
+                    if len(known) > KEPT:
+                        known.clear()
+                    known[host] = classes_of(batch.column("tokens")[at].as_py() or [])
+                if not known[host]:
+                    continue
+                orders, slots = arrangement(reader.read(html or ""), known[host])
+                for (a, b), x in [*orders.items(), *(((key, None), x) for key, x in slots.items())]:
+                    mine = held.setdefault((host, a, b), [x, x])
+                    mine[0], mine[1] = min(mine[0], x), max(mine[1], x)
+            rows = [(*k, *v) for k, v in held.items()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in ARRANGED.split(", ")])
+
+    read = pages.select("host", "html", "tokens").mapInArrow(run, ARRANGED)
+    return read.groupBy("host", "id1", "id2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def valid_tokens(tokens: list[dict], found: list) -> set[int]:
+    """Keys of the tokens of valid classes, from the arrangements (id1, id2, lo, hi) of all pages."""
+    stable = {(a, b): lo for a, b, lo, hi in found if lo == hi != 0}
+    return {key for key, mine in classes_of(tokens).items() if mine in stable and (key, None) in stable}
+
+
+def deduce(tokens: list[dict], valid: set[int]) -> tuple[dict[int, int], set[int]]:
+    """The template: the state of each of its elements, and its texts that open slots leave out."""
     elements = {t["key"]: t for t in tokens if not t["is_text"]}
-    lists = [k for k, e in elements.items() if e["chars"] and e["linked"] >= LINKS * e["chars"]]
-    fixed = [t for t in tokens if t["is_text"] and t["pages"] >= 2 * LEAST_PAGES and t["above"] in elements and (t["mark"], t["pages"]) == (elements[t["above"]]["mark"], elements[t["above"]]["pages"])]
-    share: dict[int, int] = {}
-    for t in fixed:
-        share[t["above"]] = share.get(t["above"], 0) + t["chars"]
-    if any(elements[k]["chars"] <= 2 * n < 2 * elements[k]["chars"] for k, n in share.items()):
-        fixed = []  # a slot of varying text that is mostly constant: the pages are near copies, and say nothing of the template
-    return sorted(lists), sorted(t["key"] for t in fixed)
-
-
-def templates(stats: DataFrame, hosts: DataFrame) -> DataFrame:
-    """host, lists, fixed: a row for each host of enough pages. Tokens of enough support are no more than 1 / SUPPORT mean pages hold."""
-    enough = stats.join(hosts.where(F.col("host_pages") >= LEAST_PAGES), "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
-    names = ("key", "above", "is_text", "mark", "pages", "chars", "linked")
-    per_host = enough.groupBy("host").agg(F.collect_list(F.struct(*names)).alias("tokens"))
+    fixed: dict[int, list] = {}
+    for t in tokens:
+        if t["is_text"] and t["key"] in valid:
+            fixed.setdefault(t["above"], []).append(t)
+    states: dict[int, int] = {}
+    for key in elements:
+        chain = []
+        while key in elements and key not in states:
+            chain.append(key)
+            key = elements[key]["above"]
+        state = states.get(key, 0) & ~CONSTANT
+        for k in reversed(chain):
+            e = elements[k]
+            state = step(state, e["sort"])
+            if e["kind"] & IS_LIST and e["whole"] and e["linked"] >= LINKS * e["whole"]:
+                state |= LISTED
+            constant = e["own"] > 0 and not e["kind"] & IS_HEAD and sum(t["own"] for t in fixed.get(k, ())) >= e["own"]
+            states[k] = state | CONSTANT if constant else state
+    mixed = [t["key"] for k, own in fixed.items() for t in own if not (k in elements and elements[k]["own"] <= 2 * sum(x["own"] for x in own))]
+    return {k: s for k, s in states.items() if k in valid}, set(mixed)
+
+
+def by_itself(page: Page) -> tuple[dict[int, int], set[int]]:
+    """The template of one page alone."""
+    tokens = [dict(zip(TOKEN_FIELDS, (key, above, is_text, sort, kind, count, count, 1.0, *chars), strict=True)) for key, (above, is_text, sort, kind, count, *chars) in tokens_of(page).items()]
+    orders, slots = arrangement(page, classes_of(tokens))
+    return deduce(tokens, valid_tokens(tokens, [(a, b, x, x) for (a, b), x in [*orders.items(), *(((k, None), x) for k, x in slots.items())]]))
+
+
+def main_text(page: Page, template: tuple[dict[int, int], set[int]] | None) -> str:
+    """The text in the slots of the template that are read."""
+    if not template or not any(k in template[0] for k in page.keys):
+        template = by_itself(page)
+    states, fixed = template
+    mine: list[int] = []
+    for key, up, sort in zip(page.keys, page.above, page.sorts, strict=True):
+        mine.append(states[key] if key in states else step(mine[up] if up >= 0 else 0, sort))
+    levels = [level(mine[e]) if e >= 0 else 2 for _, e, _ in page.blocks]
+    if fixed and max(levels, default=0) == 2:
+        levels = [1 if x == 2 and text_key(page.keys[e] if e >= 0 else 0, t) in fixed else x for x, (t, e, _) in zip(levels, page.blocks, strict=True)]
+    return "\n\n".join(b[0] for b in best(page.blocks, levels))
+
+
+def pack(template: tuple[dict[int, int], set[int]]) -> bytes:
+    states, fixed = template
+    return b"".join(x.to_bytes(8, "little", signed=True) for x in (len(states), *states.keys(), *states.values(), *sorted(fixed)))
+
+
+def unpack(raw: bytes | None) -> tuple[dict[int, int], set[int]] | None:
+    if raw is None:
+        return None
+    x = memoryview(raw).cast("q").tolist()
+    return dict(zip(x[1 : 1 + x[0]], x[1 + x[0] : 1 + 2 * x[0]], strict=True)), set(x[1 + 2 * x[0] :])
+
+
+def templates(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """host, template: one row for each host. ``tokens``: host, tokens; ``found``: what ``arranged`` says of its classes."""
+    seen = found.groupBy("host").agg(F.collect_list(F.struct("id1", "id2", "lo", "hi")).alias("found")).withColumnRenamed("host", "_host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [deduce(t) for t in column(batch, "tokens")]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["host", "lists", "fixed"])
-
-    return per_host.mapInArrow(run, "host string, lists array<long>, fixed array<long>")
-
-
-def clean(blocks: list) -> tuple[list, list]:
-    """The blocks outside menus and the like, and those of them in the page's own article, whatever share of the host has its path.
-
-    A wrapper by whose name there would be no article on the page holds it all the same.
-    """
-    kept = [b for b in blocks if all(s in (0, 1) for _, s in b[1])]
-    inside = [b for b in kept if any(s == 1 for _, s in b[1])]
-    if not inside:
-        for b in blocks:
-            sorts = [s for _, s in b[1]]
-            first = next((i for i, s in enumerate(sorts) if s in (1, 3)), None)
-            if first is not None and 2 not in sorts and 4 not in sorts[first:]:
-                inside.append(b)
-    return kept, inside
-
-
-def main_text(reader: Reader, html: str | None, lists: set[int] | None, fixed: set[int]) -> str:
-    """``lists`` is None where the host has no template: then the page's own lists of links are taken."""
-    if not html:
-        return ""
-    _, blocks = reader.read(html)
-    kept, inside = clean(blocks)
-    if inside:
-        return "\n\n".join(b[0] for b in inside)
-    if lists is None:
-        lists = link_lists(kept)
-    inside = [b for b in kept if not any(k in lists for k in b[3])] or kept
-    varying = [b for b in inside if text_key(b[1], b[0]) not in fixed] if fixed else inside
-    return "\n\n".join(b[0] for b in varying or inside)
-
-
-def link_lists(blocks: list) -> set[int]:
-    """Lists of a page that are made of links."""
-    held: dict[int, list[int]] = {}
-    for text, _, linked, around in blocks:
-        for k in around:
-            mine = held.setdefault(k, [0, 0])
-            mine[0] += len(text)
-            mine[1] += linked
-    return {k for k, (chars, linked) in held.items() if linked >= LINKS * chars}
+            made = []
+            for own, rows in zip(column(batch, "tokens"), column(batch, "found"), strict=True):
+                valid = valid_tokens(own, [tuple(r.values()) for r in rows or ()])
+                made.append(pack(deduce(own, valid)) if valid else None)
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.binary())], names=["host", "template"])
+
+    return tokens.join(seen, F.col("host") == F.col("_host"), "left").select("host", "tokens", "found").mapInArrow(run, "host string, template binary")
+
+
+def give(pages: DataFrame, known: DataFrame, name: str, size: Column) -> DataFrame:
+    """``pages`` with the column ``name`` of ``known`` (host, pages, ``name``): one row for each host that matters."""
+    if (known.agg(F.sum(size)).first()[0] or 0) <= SMALL:
+        small = known.select(F.col("host").alias("_host"), name)
+        return pages.join(F.broadcast(small), F.col("host") == F.col("_host"), "left").drop("_host")
+    spare = F.concat(F.lit("\0"), F.hex(F.xxhash64("host", "page_id", "html")))
+    return join_hot(pages, known.withColumnRenamed("pages", "n"), "host", [name], spare)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -349,26 +554,40 @@ def extract(pages: DataFrame) -> DataFrame:
     named = split_urls(pages.select(F.col("page_id").cast("long"), "url", "html")).drop("path")
     seen = cut(copies(named).groupBy("host", "digest", "id").agg(F.count("*").alias("n")))
     groups = seen.groupBy("host", "digest").agg(F.min("id").alias("first"))
-    hosts = groups.groupBy("host").agg(F.count("*").alias("host_pages"))
+    hosts = cut(groups.groupBy("host").agg(F.count("*").alias("n"), F.count("*").cast("double").alias("host_pages")))
     # of copies one counts, and rows that are alike in all count as one together; all other pages count 1 and are not listed
     first = groups.select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), "first")
     others = seen.join(first, F.col("host").eqNullSafe(F.col("_host")) & (F.col("digest") == F.col("_digest"))).where("id <> first OR n > 1")
     others = cut(others.select(F.col("id").alias("_id"), F.when(F.col("id") == F.col("first"), 1 / F.col("n")).otherwise(0.0).alias("_weight")).dropDuplicates(["_id"]))
     known_bytes = 24 * others.count()
     met = named.withColumn("_row", row_key()).join(F.broadcast(others) if known_bytes <= SMALL else others.hint("shuffle_hash"), F.col("_row") == F.col("_id"), "left")
-    counted = met.withColumn("weight", F.coalesce("_weight", F.lit(1.0))).where("weight > 0")
-    known = cut(templates(token_statistics(counted), hosts))
-    bytes_ = known.agg(F.sum(32 + F.length("host") + 8 * (F.size("lists") + F.size("fixed")))).first()[0] or 0
-    small = known.withColumnRenamed("host", "_host")
-    met = named.join(F.broadcast(small) if bytes_ <= SMALL else small.hint("shuffle_hash"), F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "lists", "fixed")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
-        for batch in chunks(batches, "html"):
-            texts = [main_text(reader, h, None if c is None else set(c), set(f or ())) for h, c, f in zip(column(batch, "html"), column(batch, "lists"), column(batch, "fixed"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    counted = met.withColumn("weight", F.coalesce("_weight", F.lit(1.0))).where("weight > 0").select("host", "page_id", "html", "weight")
+    tokens = cut(host_tokens(counted, hosts))
+    found = arranged(give(counted, tokens, "tokens", F.size("tokens") * 88))
+    made = templates(tokens, found).withColumnRenamed("host", "_host")
+    known = cut(hosts.join(made, F.col("host") == F.col("_host"), "left").select("host", F.col("n").alias("pages"), "template"))
+    met = give(named, known, "template", F.coalesce(F.length("template"), F.lit(0)))
+    return met.select("page_id", "url", "html", "host", "template").mapInArrow(read_pages, "page_id long, url string, text string, n_chars long")
+
+
+def host_tokens(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """host, pages, tokens: the tokens of enough support. ``hosts``: host, n, host_pages."""
+    spare = F.concat(F.lit("\0"), F.hex(F.xxhash64("host", "key")))
+    enough = join_hot(token_statistics(pages), hosts, "host", ["host_pages"], spare).where(F.col("pages") >= SUPPORT * F.col("host_pages") - 0.01)
+    return enough.groupBy("host").agg(F.max("host_pages").cast("long").alias("pages"), F.collect_list(F.struct(*TOKEN_FIELDS)).alias("tokens"))
+
+
+def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reader, known = Reader(), {}
+    for batch in chunks(batches, "html"):
+        texts = []
+        for at, (host, html) in enumerate(zip(column(batch, "host"), column(batch, "html"), strict=True)):
+            if host not in known:
+                if len(known) > KEPT:
+                    known.clear()
+                known[host] = unpack(batch.column("template")[at].as_py())
+            texts.append(main_text(reader.read(html), known[host]) if html else "")
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -465,6 +465,108 @@ def test_html_names_that_only_sound_like_menus(spark):
     assert [out[i] for i in range(len(bodies))] == list(bodies.values())
 
 
+def brute_template(reader, htmls):
+    """Keys of the tokens of valid classes, from whole occurrence vectors and positions."""
+    runs = []
+    for h in htmls:
+        p = reader.read(h)
+        order = [(p.keys[a], p.above[a]) if a >= 0 else (html_extract.text_key(p.keys[p.blocks[~a][1]] if p.blocks[~a][1] >= 0 else 0, p.blocks[~a][0]), p.blocks[~a][1]) for a in p.order]
+        runs.append((p, order))
+    every = {k for _, o in runs for k, _ in o}
+    vector = {k: tuple(sum(x == k for x, _ in o) for _, o in runs) for k in every}
+    elements = {k for p, _ in runs for k in p.keys}
+    enough = {k for k in every if sum(n > 0 for n in vector[k]) >= html_extract.SUPPORT * len(htmls)}
+    groups = {}
+    for k in enough:
+        if k in elements or sum(n > 0 for n in vector[k]) >= 2:
+            groups.setdefault(vector[k], set()).add(k)
+    groups = [g for g in groups.values() if g & elements]
+    of = {k: i for i, g in enumerate(groups) for k in g}
+    valid = set()
+    for i, g in enumerate(groups):
+        orders, slots = set(), {k: set() for k in g}
+        for p, o in runs:
+            mine = [k for k, _ in o if k in g]
+            if not mine:
+                continue
+            times = len(mine) // len(g)
+            orders.add(tuple(mine[: len(g)]) if mine == mine[: len(g)] * times and len(set(mine[: len(g)])) == len(g) else None)
+            for at, (k, up) in enumerate(o):
+                if k in g:
+                    while up >= 0 and of.get(p.keys[up], i) == i:
+                        up = p.above[up]
+                    outer = of[p.keys[up]] if up >= 0 else None
+                    before = [x for x, _ in o[:at] if outer is not None and of.get(x) == outer]
+                    slots[k].add((outer, before[-1] if before else None))
+        if len(orders) == 1 and None not in orders:
+            valid |= {k for k in g if len(slots[k]) == 1}
+    return enough, vector, valid
+
+
+def test_html_template_against_brute_force(spark):
+    draw, htmls = random.Random(8), []
+    for i in range(30):
+        blocks = [f"<p>{' '.join(words(100 * i + k, 5))}</p>" for k in range(draw.randrange(4))]
+        parts = ["<div class=a><i>x</i>fixed text</div>", "<div class=b>other</div>"]
+        if i % 7 == 0:
+            parts.reverse()  # one vector, but no order
+        rows = "".join(f"<li><div>{draw.randrange(9)}</div><em>k</em></li>" for _ in range(1 + i % 3))
+        moved = "<section>s</section>"  # one vector, in no one slot
+        htmls.append(f"<body>{moved if i % 2 else ''}{parts[0]}<ul>{rows}</ul>{parts[1]}{'' if i % 2 else moved}<article>{''.join(blocks)}<h2>Same</h2></article>{'<aside>some</aside>' if i % 3 else ''}</body>")
+    df = spark.createDataFrame([(i, "h", h, 1.0) for i, h in enumerate(htmls)], "page_id long, host string, html string, weight double").repartition(4)
+    hosts = spark.createDataFrame([("h", 30, 30.0)], "host string, n long, host_pages double")
+    tokens = html_extract.host_tokens(df, hosts).cache()
+    rows = [t.asDict() for t in tokens.first().tokens]
+    enough, vector, valid = brute_template(html_extract.Reader(), htmls)
+    assert {t["key"] for t in rows} == enough
+    assert all((a["mark1"] == b["mark1"] and a["mark2"] == b["mark2"]) == (vector[a["key"]] == vector[b["key"]]) for a in rows for b in rows)
+    found = [tuple(r)[1:] for r in html_extract.arranged(html_extract.give(df, tokens, "tokens", html_extract.F.lit(1))).collect()]
+    assert html_extract.valid_tokens(rows, found) == valid
+    assert 3 < len(valid) < len(html_extract.classes_of(rows))
+
+
+def test_html_template_decides(spark):
+    """Constant notices go, whatever they are called, also inside the article; lists of links go; headlines and odd names inside the article stay."""
+    rows, want = [], {}
+    for i in range(10):
+        own, tail = " ".join(words(i, 9)), " ".join(words(500 + i, 9))
+        body = f'<div class="entry-header"><h1>T{i}</h1><h2>Summary</h2></div><p>{own}</p><div class="zz"><p>Read our other texts too</p></div><div class="content-side">{tail}</div><p class="search-tips">tip {i}</p>'
+        links = "".join(f"<li><a href=/{k}>see {words(i + k, 2)}</a></li>" for k in range(3))
+        rows.append((i, "http://a.org/", f"<body><div class=qa>Welcome to this place</div><article>{body}</article><div class=qb>Bye</div></body>"))
+        rows.append((100 + i, "http://b.org/", f"<body><div class=qa>Welcome to this place</div><div class=x1><p>{own}</p><div>{tail}</div></div><div class=qc><ul>{links}</ul></div></body>"))
+        want[i] = f"T{i}\n\nSummary\n\n{own}\n\n{tail}\n\ntip {i}"
+        want[100 + i] = f"{own}\n\n{tail}"
+    assert texts_of(spark, rows) == want
+
+
+@pytest.mark.parametrize("small", [1 << 24, 0])
+def test_html_joins_are_alike(spark, small, monkeypatch):
+    """Templates by broadcast or by a join with hot hosts apart: the same texts, pages without text or host included."""
+    monkeypatch.setattr(html_extract, "SMALL", small)
+    rows = [(i, "http://big.com/", page(i, f"<p>{' '.join(words(i, 9))}</p>")) for i in range(30)] + [(50, "http://s.com/", page(50, "<p>fifty</p>")), (51, "http://empty.com/", ""), (52, None, None), (53, None, "x")]
+    out = texts_of(spark, rows)
+    assert out == {i: " ".join(words(i, 9)) for i in range(30)} | {50: "fifty", 51: "", 52: "", 53: "x"}
+
+
+def test_html_depth_is_linear():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        text = html_extract.main_text(html_extract.Reader().read("<div>x" * n + "</b></p>" * n), None)
+        assert text.count("x") == n
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 20 * max(took(4_000), 0.02)
+
+
+def test_html_long_page(spark):
+    own = [" ".join(words(k, 40)) for k in range(4000)]
+    rows = [(1, "http://long.com/", page(1, "".join(f"<p>{x}</p>" for x in own))), (2, "http://long.com/", page(2, "<p>short</p>"))]
+    assert texts_of(spark, rows) == {1: "\n\n".join(own), 2: "short"}
+
+
 # ---- queries and pipeline
 
 
