@@ -4,11 +4,17 @@ One automaton holds all phrases as runs of whole words and reads each whole
 text once. Where it meets an identifier tag, the expression behind the tag is
 parsed by precedence (with, and, or) and evaluated: its identifiers become
 labels, and ``permissive`` says if the expression can be met by permissive
-licences alone (or: any side, and: all sides).
+licences alone (or: any side, and: all sides). A name counts as an identifier if it
+starts with a known licence family, or has a version behind a hyphen; other words
+end the expression. Of notices that lie in one another the longest counts. Places
+are counted along the text, so the time is linear in its length.
 
 Defined results
 * null text: empty, so no words, no places, empty labels, score 0;
-* an expression that breaks off is taken as far as it is well formed;
+* an expression that breaks off is taken as far as it is well formed; marks behind
+  an identifier (a full stop, a hyphen) are not part of it;
+* of a text with several tags, all expressions must be permissive;
+* texts of any length are read whole, one at a time beyond the step's size;
 * repeated rows give repeated results, an empty table an empty one; further
   columns of the table are ignored.
 """
@@ -50,8 +56,14 @@ TAG = "spdx license identifier"
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "0bsd", "bsl", "zlib", "unlicense", "cc0", "cc-by-4", "cc-by-3", "python", "postgresql", "x11")
 #: Bytes of the words of the contract: all but ASCII controls, blanks and marks; A-Z become a-z.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-AFTER_TAG = re.compile(rb"(?i)spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[^0-9a-z\x80-\xff\n(]*")
-PIECE = re.compile(r"[()]|[A-Za-z0-9.+-]+(?::[A-Za-z0-9.+-]+)?")
+#: What an identifier of a licence looks like: a known family, or a name with a version; or one that the text defines itself.
+IDENTIFIER = re.compile(
+    r"(?:mit|apache|a?gpl|lgpl|bsd|0bsd|isc|mpl|epl|cddl|cc0|cc|bsl|zlib|unlicense|wtfpl|artistic|postgresql|x11|ncsa|ofl|openssl|osl|eupl|afl|ms-pl|ms-rl|json|vim|w3c|libpng|curl|icu)(?:[-+.][a-z0-9.+-]*)?|"
+    r"[a-z][a-z0-9.+]*(?:-[a-z0-9.+]+)*-\d[a-z0-9.+-]*|licenseref-[a-z0-9.-]+|documentref-[a-z0-9.-]+:licenseref-[a-z0-9.-]+"
+)
+#: Exceptions, which stand behind "with".
+EXCEPTION = re.compile(r"[a-z0-9.+-]*exception[a-z0-9.+-]*|[a-z0-9.+]+(?:-[a-z0-9.+]+)+")
+PIECE = re.compile(r"[ \t]*([()]|[A-Za-z0-9.+-]+(?::[A-Za-z0-9.+-]+)?)")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -59,22 +71,22 @@ def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for phrase, label in BASE.items():
-        found.add_word(f" {phrase} ", ("base", label, len(phrase) + 2))
-    for phrase, label in NOTICES.items():
-        found.add_word(f" {phrase} ", ("notice", label, len(phrase) + 2))
+    for phrase in BASE:
+        found.add_word(f" {phrase} ", ("base", phrase, len(phrase) + 2))
+    for phrase in NOTICES:
+        found.add_word(f" {phrase} ", ("notice", phrase, len(phrase) + 2))
     found.add_word(f" {TAG} ", ("tag", "", len(TAG) + 2))
     found.make_automaton()
     return found
 
 
-def pieces(text: str) -> list[str]:
-    """The longest well-formed start of a licence expression."""
-    out, depth, best, name_next = [], 0, 0, True
-    for m in PIECE.finditer(text):
-        piece = m.group()
+def pieces(text: str, strict: bool = False) -> list[str]:
+    """The longest well-formed start of a licence expression; ``strict``: names must look like identifiers."""
+    out, depth, best, name_next, at = [], 0, 0, True, 0
+    while (m := PIECE.match(text, at)) is not None:
+        piece, at = m[1], m.end()
         if piece == "(":
-            if not name_next:
+            if not name_next or (out and out[-1].lower() == "with"):
                 break
             depth += 1
         elif piece == ")":
@@ -86,7 +98,9 @@ def pieces(text: str) -> list[str]:
                 break
             name_next = True
         else:
-            if not name_next:
+            piece = piece.rstrip(".-:")
+            wanted = EXCEPTION if out and out[-1].lower() == "with" else IDENTIFIER
+            if not name_next or not piece or (strict and not wanted.fullmatch(piece.lower())):
                 break
             name_next = False
         out.append(piece)
@@ -95,8 +109,8 @@ def pieces(text: str) -> list[str]:
     return out[:best]
 
 
-def evaluate(text: str) -> tuple[frozenset[str], bool] | None:
-    """(identifiers, permissive) of the expression at the start of ``text``; None if there is none."""
+def evaluate(text: str, strict: bool = False) -> tuple[frozenset[str], bool] | None:
+    """(identifiers, permissive) of the expression at the start of ``text``, by shunting-yard; None if there is none."""
     values: list[tuple[frozenset[str], bool]] = []
     waiting: list[str] = []
 
@@ -107,7 +121,7 @@ def evaluate(text: str) -> tuple[frozenset[str], bool] | None:
         else:
             values.append((left[0] | right[0], (left[1] or right[1]) if op == "or" else (left[1] and right[1])))
 
-    for piece in pieces(text):
+    for piece in pieces(text, strict):
         low = piece.lower()
         if piece == "(":
             waiting.append(piece)
@@ -134,27 +148,46 @@ def family(identifier: str) -> str:
     return identifier
 
 
+def behind(raw: bytes, normal: bytes, words: list[int]) -> list[str]:
+    """What follows each of the words with these numbers (rising) on its line, without marks before it."""
+    out, wanted = [], iter(words)
+    want = next(wanted, None)
+    for n, m in enumerate(re.finditer(rb"[^ ]+", normal)):
+        if n == want:
+            line = raw[m.end() : m.end() + 1000].split(b"\n", 1)[0]  # an expression of more than that is no tag
+            out.append(line.decode("utf-8", "replace").lstrip(" \t:=\"'`*"))
+            if (want := next(wanted, None)) is None:
+                break
+    return out
+
+
 def scan(raw: bytes, machine) -> tuple:
-    normal = raw.translate(NORMAL).split()
+    plain = raw.translate(NORMAL)
+    normal = plain.split()
     text = (b" " + b" ".join(normal) + b" ").decode("latin-1")  # one character for each byte
-    starts, base, labels, notices, tags, free = [], set(), set(), 0, 0, None
+    starts, base, labels, tags, free = [], set(), set(), [], None
+    notices: list[tuple[int, int, str]] = []
+    blanks, seen = 0, 0  # blanks before ``seen``; ends of matches never fall, so the text is counted through once
     for end, (kind, label, length) in machine.iter(text):
+        blanks += text.count(" ", seen, end + 1)
+        seen = end + 1
         if kind == "base":
-            starts.append(text.count(" ", 0, end - length + 1))
-            base.add(label)
+            starts.append(blanks - label.count(" ") - 2)
+            base.add(BASE[label])
         elif kind == "notice":
-            labels.add(label)
-            notices += 1
+            while notices and notices[-1][0] >= end - length:  # it lies in this one
+                notices.pop()
+            if not notices or notices[-1][1] < end:
+                notices.append((end - length, end, label))
         else:
-            tags += 1
-    if tags:
-        for m in AFTER_TAG.finditer(raw):
-            line = raw[m.end() :].split(b"\n", 1)[0].decode("utf-8", "replace")
-            if (found := evaluate(line)) is not None:
-                labels |= {family(x) for x in found[0]}
-                free = found[1] if free is None else free and found[1]
+            tags.append(blanks - 2)  # the last word of the tag
+    labels |= {NOTICES[label] for _, _, label in notices}
+    for line in behind(raw, plain, tags) if tags else ():
+        if (found := evaluate(line, strict=True)) is not None:
+            labels |= {family(x) for x in found[0]}
+            free = found[1] if free is None else free and found[1]
     # each notice halves the doubt that is left, each tag takes three quarters of it
-    score = 1.0 - 0.5 ** min(60, len(starts) + notices + 2 * tags)
+    score = 1.0 - 0.5 ** min(60, len(starts) + len(notices) + 2 * len(tags))
     return len(normal), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score, free
 
 
