@@ -10,7 +10,10 @@ language is the one that labels most letters; the score is its share of them.
 The model is fitted on at most ``SAMPLE_DOCS`` labelled documents (smallest hash
 of the id first); everything else reads every whole text. Texts are cut into
 segments only to run Viterbi on many of them at once; the combination of
-segments is exact.
+segments is exact: a first pass gives each segment's best way from every label to
+every label, some segments at a time, a second one, once the label at its start is
+known, k back pointers a word. The model has a row of numbers for each language and
+is broadcast, so more than ``MODEL_BYTES`` of it (1,000 languages) are refused.
 
 Defined results
 * null text, or no letter: ``und`` with score 0;
@@ -37,8 +40,10 @@ SAMPLE_DOCS = 6_000
 SWITCH = 6.0
 #: Buckets of hashed character groups.
 BUCKETS = 1 << 16
-#: Words of a segment.
-SEGMENT = 128
+#: Bytes of the largest model that is broadcast.
+MODEL_BYTES = 1 << 29
+#: Words of a segment, and numbers of the first pass held at a time.
+SEGMENT, SLAB = 128, 4_000_000
 #: Least share of a language's letters for a script to be one of its own.
 SCRIPT_SHARE = 0.005
 FOLD, HELD = 4, 2
@@ -62,29 +67,52 @@ SCRIPTS = [
     ("kana", 0x3040, 0x30FF),
     ("han", 0x3400, 0x9FFF),
     ("hangul", 0xAC00, 0xD7AF),
-    ("han", 0x20000, 0x2FFFF),
+    ("han", 0x20000, 0x3FFFF),
 ]
 SCRIPT_NAMES = ["other", *dict.fromkeys(name for name, _, _ in SCRIPTS)]
 
 
+def letter(point: int) -> int:
+    """The lower-case letter of a code point; 0: it is none."""
+    c = chr(point)
+    if 0xD800 <= point < 0xE000 or not c.isalpha():
+        return 0
+    low = c.lower()
+    return ord(low) if len(low) == 1 else point
+
+
+def script_of(point: int) -> int:
+    return next((SCRIPT_NAMES.index(name) for name, first, last in SCRIPTS if first <= point <= last), 0)
+
+
 class Letters:
-    """Tables by code point, made once in each task: lower-case letter (0: none), and script."""
+    """Letter and script of code points: a table of the usual ones, made once in each task; all others as they come."""
+
+    SIZE = 0x20000
 
     def __init__(self):
-        points = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(0x30000)]
-        low = [c.lower() if c.isalpha() else "" for c in points]
-        self.lower = np.array([ord(x) if len(x) == 1 else ord(c) if c.isalpha() else 0 for x, c in zip(low, points, strict=True)], np.uint32)
-        self.script = np.zeros(len(points), np.uint8)
+        self.lower = np.array([letter(i) for i in range(self.SIZE)], np.uint32)
+        self.script = np.zeros(self.SIZE, np.uint8)
         for name, first, last in SCRIPTS:
             self.script[first : last + 1] = SCRIPT_NAMES.index(name)
 
+    def look_up(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        usual = points < self.SIZE
+        if usual.all():
+            return self.lower[points], self.script[points]
+        at = np.where(usual, points, 32)
+        low, script = self.lower[at], self.script[at]
+        rare, where = np.unique(points[~usual], return_inverse=True)
+        low[~usual] = np.array([letter(p) for p in rare.tolist()], np.uint32)[where]
+        script[~usual] = np.array([script_of(p) for p in rare.tolist()], np.uint8)[where]
+        return low, script
+
 
 def words_of(texts: list[str], tables: Letters):
     """Of all letters of the texts, one after another: hashed groups, script, word starts; and the text of each word."""
     joined = "\n".join(texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(points < len(tables.lower), points, 32)
-    low = tables.lower[points]
+    low, script = tables.look_up(points)
     inside = low > 0
     padded = np.concatenate([np.zeros(1, np.uint32), low, np.zeros(1, np.uint32)]).astype(np.uint64)
     at = np.flatnonzero(inside)
@@ -95,7 +123,7 @@ def words_of(texts: list[str], tables: Letters):
     starts = np.flatnonzero(first)  # of words, among the letters
     ends = np.cumsum([len(t) + 1 for t in texts])
     text_of = np.searchsorted(ends, at[starts], side="right")
-    return two, three, tables.script[points[at]], starts, text_of, at
+    return two, three, script[at], starts, text_of, at
 
 
 @dataclass
@@ -128,6 +156,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
 
     counted = rows.select("lang", "text").mapInArrow(count, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counted["lang"]))
+    if len(langs) * 2 * BUCKETS * 4 > MODEL_BYTES:
+        raise ValueError(f"{len(langs)} languages: a model of them is too large to broadcast")
     sums = np.zeros((2 * BUCKETS + len(SCRIPT_NAMES), len(langs)))
     sums[counted["at"].to_numpy(), [langs.index(x) for x in counted["lang"]]] = counted["n"].to_numpy()
 
@@ -144,49 +174,62 @@ def viterbi(scores: np.ndarray, text_of: np.ndarray, n_texts: int, penalty: floa
     """The best label of each word; words of a text stand together, in order of texts."""
     n, k = scores.shape
     per_text = np.bincount(text_of, minlength=n_texts)
-    first_word = np.cumsum(per_text) - per_text
     segments = -(-per_text // SEGMENT)
     first_segment = np.cumsum(segments) - segments
-    within = np.arange(n) - first_word[text_of]
-    segment, step = first_segment[text_of] + within // SEGMENT, within % SEGMENT
     m = int(segments.sum())
-    length = np.bincount(segment, minlength=m)
-    steps = int(length.max(initial=0))
-    emit = np.zeros((steps, m, k), np.float32)
-    emit[step, segment] = scores
-    state = np.full((m, k, k), -np.inf, np.float32)  # entry label, label now
-    state[:, np.arange(k), np.arange(k)] = 0
-    back = np.empty((steps, m, k, k), np.int8 if k < 128 else np.int16)
-    own = np.arange(k)
-    for t in range(steps):
-        best, arg = state.max(2, keepdims=True) - penalty, state.argmax(2)[:, :, None]
-        stay = state >= best
-        moved = np.where(stay, state, best) + emit[t][:, None, :]
-        live = (t < length)[:, None, None]
-        back[t] = np.where(stay | ~live, own, arg)
-        state = np.where(live, moved, state)
-    entry = np.empty((m, k), np.int16)
+    of = np.repeat(np.arange(n_texts), segments)
+    nth = np.arange(m) - first_segment[of]
+    start = (np.cumsum(per_text) - per_text)[of] + nth * SEGMENT
+    length = np.minimum(SEGMENT, per_text[of] - nth * SEGMENT)
+    order = np.argsort(-length, kind="stable")  # so the segments that still run stand in front
+
+    def running(part: np.ndarray) -> np.ndarray:
+        return np.searchsorted(-length[part], -np.arange(int(length[part].max(initial=0))), side="left")
+
+    way = np.empty((m, k, k), np.float32)  # from the label before the segment to its last one
+    for lo in range(0, m, max(1, SLAB // (k * k))):
+        part = order[lo : lo + max(1, SLAB // (k * k))]
+        state = np.full((len(part), k, k), -np.inf, np.float32)
+        state[:, np.arange(k), np.arange(k)] = 0
+        for t, live in enumerate(running(part).tolist()):
+            now = state[:live]
+            np.maximum(now, now.max(2, keepdims=True) - np.float32(penalty), out=now)
+            now += scores[start[part[:live]] + t][:, None, :]
+        way[part] = state
+    by_size = np.argsort(-segments, kind="stable")
+    entry, leave = np.empty((m, k), np.int64), np.zeros(m, np.int64)
     value = np.zeros((n_texts, k), np.float32)
-    order = np.argsort(-segments, kind="stable")
     for j in range(int(segments.max(initial=0))):
-        live = order[: np.searchsorted(-segments[order], -j, side="left")]
+        live = by_size[: np.searchsorted(-segments[by_size], -j, side="left")]
         at = first_segment[live] + j
-        total = value[live][:, :, None] + state[at]
+        total = value[live][:, :, None] + way[at]
         entry[at], value[live] = total.argmax(1), total.max(1)
         value[live] -= value[live].max(1, keepdims=True)
-    label, now = np.empty((steps, m), np.int16), value.argmax(1)
-    enter, leave = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    enter, now = np.zeros(m, np.int64), value.argmax(1)
     for j in range(int(segments.max(initial=0)) - 1, -1, -1):
-        live = order[: np.searchsorted(-segments[order], -j, side="left")]
+        live = by_size[: np.searchsorted(-segments[by_size], -j, side="left")]
         at = first_segment[live] + j
         leave[at] = now[live]
         enter[at] = entry[at, now[live]]
         now[live] = enter[at]
-    rows = np.arange(m)
-    for t in range(steps - 1, -1, -1):
-        label[t] = leave
-        leave = back[t][rows, enter, leave].astype(np.int64)
-    return label[step, segment].astype(np.int64)
+    # the labels at both ends are known now
+    state = np.full((m, k), -np.inf, np.float32)
+    state[np.arange(m), enter[order]] = 0
+    stay, switch, label = np.empty((n, k), bool), np.empty(n, np.int32), np.empty(n, np.int64)
+    live_at = running(order).tolist()
+    for t, live in enumerate(live_at):
+        held, at = state[:live], start[order[:live]] + t
+        best = held.argmax(1)
+        moved = held[np.arange(live), best][:, None] - np.float32(penalty)
+        stay[at], switch[at] = held >= moved, best
+        state[:live] = np.maximum(held, moved) + scores[at]
+    now = leave[order]
+    for t in range(len(live_at) - 1, -1, -1):
+        live = live_at[t]
+        at = start[order[:live]] + t
+        label[at] = now[:live]
+        now[:live] = np.where(stay[at, now[:live]], now[:live], switch[at])
+    return label
 
 
 def label_texts(texts: list[str], model: Model, tables: Letters):
