@@ -20,12 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder; a folder of our own only where none is set."""
-    session = df.sparkSession
+def shared_folder(session: SparkSession) -> str:
+    """The folder that all executors share: what the context has, else ``spark.checkpoint.dir``; on a local master, as in tests, one of our own."""
     context = session.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tastemill-"))
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    folder = session.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
+        folder = tempfile.mkdtemp(prefix="tastemill-")
+    context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -165,7 +177,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # the root of a large component is a hot key
         large = join_hot(both, least, "u", ["m"], spare, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        # so is a node that many others point to
+        small = join_hot(large, low, "u", ["m"], spare, 2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -12,12 +12,14 @@ is dropped as soon as P(s >= threshold) falls below ``TOLERANCE``. The pairs tha
 survive join classes into candidate components, inside which every pair is
 pruned the same way and the rest is verified exactly on the whole sets.
 
-Pairs exist only inside a task, as array indices. Buckets and components larger
-than ``GROUP`` are dealt out as pairs of chunks, so a task holds two chunks at
+Pairs exist only inside a task, as array indices. Buckets and components are
+dealt out as pairs of chunks of ``GROUP`` members, those of up to ``FEW * FEW_GROUP``
+members in smaller chunks (at most ``FEW``), so a task holds two chunks at
 most; what leaves a task is a spanning forest and link counts, both linear in
 the members. A component of m different texts still costs m^2 comparisons in
 all: that is what counting its links exactly takes, spread over its chunk pairs.
 Components are found by large-star / small-star rounds; nothing is collected.
+Joins by bucket, root and class treat hot keys apart (``join_hot``).
 
 Result: one row per document: doc_id, class_id (smallest id among all documents
 it is linked to, directly or through others, and itself) and n_links (documents
@@ -43,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, column, components, cut, gram_hashes, group_starts, spread, table, whole_groups
+from .common import chunks, column, components, cut, gram_hashes, group_starts, join_hot, spread, table, whole_groups
 
 WIDTH, THRESHOLD = 5, 0.8
 HASHES, BAND = 80, 4
@@ -52,6 +54,8 @@ TOLERANCE = 1e-5
 STEP = 16
 #: Classes of a chunk, and shingles of one.
 GROUP, GROUP_SHINGLES = 1024, 2_000_000
+#: Members of a chunk of a smaller group, and the most such chunks; they spread the work and change no result.
+FEW_GROUP, FEW = 128, 16
 #: Pairs compared at a time.
 SLAB = 400_000
 #: Cells of the matrix that counts common shingles.
@@ -170,13 +174,18 @@ def chunk_pairs(df: DataFrame, chunk_count) -> DataFrame:
     return df.withColumns({"i": F.least("k", "_other"), "j": F.greatest("k", "_other")}).drop("_other")
 
 
+def chunks_of(members):
+    return F.greatest(F.ceil(members / F.lit(GROUP)), F.least(F.ceil(members / F.lit(FEW_GROUP)), F.lit(FEW)))
+
+
 def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """A spanning forest of the pairs that share a band and survive pruning."""
     least = least_matches(threshold)
     bands = classes.select("c", F.posexplode("sig").alias("band", "v")).select("c", "band", F.xxhash64("band", "v").alias("bucket"))
     full = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    members = bands.join(full, "bucket").join(classes.select("c", "sig"), "c")
-    dealt = chunk_pairs(members, F.ceil(F.col("m") / GROUP)).select("bucket", "i", "j", "k", "band", "c", "sig")
+    met = join_hot(bands, full.withColumn("n", F.col("m")), "bucket", ["m"], F.xxhash64("c", "band", "bucket"))
+    members = met.join(classes.select("c", "sig"), "c")
+    dealt = chunk_pairs(members, chunks_of(F.col("m"))).select("bucket", "i", "j", "k", "band", "c", "sig")
     keys = ["bucket", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +220,9 @@ def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
 def verified_links(docs: DataFrame, members: DataFrame, threshold: float, width: int) -> DataFrame:
     """c, other (of its linked part), links, multi. ``members``: c, root, copies, n, sig, and doc_id and th of one of its rows."""
     least = least_matches(threshold)
-    sums = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    chunk_count = F.greatest(F.ceil(F.col("m") / GROUP), F.ceil(F.col("s") / GROUP_SHINGLES))
-    dealt = members.join(sums, "root").select("root", "c", "copies", "sig", F.col("doc_id").alias("_id"), F.col("th").alias("_th"), chunk_count.cast("int").alias("chunks"))
+    sums = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s")).withColumn("n", F.col("m"))
+    chunk_count = F.greatest(chunks_of(F.col("m")), F.ceil(F.col("s") / GROUP_SHINGLES))
+    dealt = join_hot(members, sums, "root", ["m", "s"], F.unhex(F.md5(F.concat("root", "c")))).select("root", "c", "copies", "sig", F.col("doc_id").alias("_id"), F.col("th").alias("_th"), chunk_count.cast("int").alias("chunks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     met = texts.join(dealt.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("root", "c", "copies", "sig", "chunks", "text")
 
@@ -263,11 +272,15 @@ def verified_links(docs: DataFrame, members: DataFrame, threshold: float, width:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """doc_id, th (hash of the text), class_id, n_links of every row."""
+    """doc_id, th (hash of the text), class_id, class_th (hash of a text that stands for the class under that id), part, n_links of every row.
+
+    ``part`` tells classes apart, also those of one class_id; it is null for texts without shingles.
+    """
     signed = cut(sign(docs, width))
     full = signed.where("c IS NOT NULL")
     # of the rows of a class, the one with the largest (id, hash of text) lends its text; nulls sort first
-    classes = cut(full.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max(F.struct("doc_id", "th")).alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    classes = cut(full.groupBy("c").agg(first.alias("rep"), F.count("*").alias("copies"), F.max(F.struct("doc_id", "th")).alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     parts = components(candidate_edges(classes, threshold))
     members = parts.withColumnRenamed("node", "c").join(classes, "c").select("c", "root", "copies", "n", "sig", F.col("row.doc_id").alias("doc_id"), F.col("row.th").alias("th"))
     linked = cut(verified_links(docs, members, threshold, width))
@@ -276,30 +289,36 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     if not large.isEmpty():
         roots = components(large.select(F.col("c").alias("a"), F.col("other").alias("b")))
         labels = labels.unionAll(large.groupBy("c").agg(F.sum("links").alias("links")).join(roots, F.col("c") == F.col("node")).select("c", "root", "links"))
-    labels = labels.join(classes.select("c", "rep"), "c")
-    labels = labels.join(labels.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select(F.col("c").alias("_c"), "class_id", "links")
+    labels = cut(labels.join(classes.select("c", "rep"), "c"))
+    heads = labels.groupBy("root").agg(F.min("rep").alias("head"), F.count("*").alias("n"))
+    labels = join_hot(labels, heads, "root", ["head"], F.unhex(F.md5(F.concat("root", "c")))).select(F.col("c").alias("_c"), "head", "root", "links")
     known = classes.select("c", "rep", "copies").join(labels, F.col("c") == F.col("_c"), "left")
-    known = known.select("c", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    found = full.select("doc_id", "th", "c").join(known, "c").select("doc_id", "th", "class_id", "n_links")
-    alone = signed.where("c IS NULL").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    known = cut(known.select("c", F.coalesce("head", "rep").alias("head"), F.coalesce("root", "c").alias("part"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n")))
+    spare = F.unhex(F.md5(F.concat_ws("|", F.hex("c"), "doc_id", "th")))
+    found = join_hot(full.select("doc_id", "th", "c"), known, "c", ["head", "part", "n_links"], spare)
+    found = found.select("doc_id", "th", F.col("head.doc_id").alias("class_id"), F.col("head.th").alias("class_th"), "part", "n_links")
+    alone = signed.where("c IS NULL").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.col("th").alias("class_th"), F.lit(None).cast("binary").alias("part"), F.lit(0).cast("long").alias("n_links"))
     return found.unionAll(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id.
+    """``docs`` with one row of each class: of the smallest id, then the smallest hash of the text; rows without an id come last.
 
-    Rows without an id stay unless their class has a document with one. Of
-    repeated rows with that id one stays.
+    Rows that share an id but not a class are judged apart. Of rows alike in id and text one
+    stays (they are one class). Texts without words are no copies of each other: all stay.
     """
-    found = cut(near_duplicates(docs, threshold, width))
-    gone = found.where("class_id IS NOT NULL AND NOT (doc_id <=> class_id)").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    mine = F.xxhash64("text")
-    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (mine.eqNullSafe(F.col("_th"))), "left_anti")
-    again = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("_id"))
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionAll(once)
+    found = cut(near_duplicates(docs, threshold, width).where("part IS NOT NULL").select("doc_id", "th", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))).alias("head")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"))
+    at = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th"))
+    # a pair of id and hash of the text has one class, so its rows are all heads or all copies
+    gone = found.where("NOT head").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    kept = rows.join(gone.hint("shuffle_hash"), at, "left_anti")
+    again = found.where("head").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"))
+    again = cut(again)
+    if not again.isEmpty():
+        once = kept.join(again, at, "left_semi").groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select("_row", "_id", "_th")
+        kept = kept.join(again, at, "left_anti").unionAll(once)
+    return kept.select("_row.*")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,25 @@ def test_ngram_join_without_rows_or_ids(spark):
     assert got(out, "doc_id", "class_id", "n_links") == [(4, 4, 1), (None, 4, 1), (None, None, 0)]
 
 
+@pytest.mark.parametrize("parts", [1, 1000])
+def test_keep_one_loses_no_row(spark, parts, monkeypatch):
+    """One id for unrelated texts, clashing column names, repeated rows, rows without ids; hot keys or none."""
+    monkeypatch.setattr(common, "HOT_PARTS", parts)
+    a, b, c = (" ".join(words(k, 30)) for k in (1, 2, 3))
+    rows = [(7, a), (7, b), (8, a), (9, b + " more"), (9, b + " more"), (3, c), (3, c), (3, c), (None, a), (None, "only here are six words now"), (None, "only here are six words now"), (1, None), (2, ""), (2, "")]
+    kept = ngram_join.keep_one(docs_of(spark, rows, extra=True))
+    assert "_id" in kept.columns and kept.columns == docs_of(spark, rows, extra=True).columns
+    assert got(kept, "doc_id", "text") == sorted([(7, a), (7, b), (3, c), (None, "only here are six words now"), (1, None), (2, ""), (2, "")], key=repr)
+    assert ngram_join.keep_one(docs_of(spark, [])).count() == 0
+    assert got(ngram_join.near_duplicates(docs_of(spark, rows[:8])), "doc_id", "class_id", "n_links") == sorted([(7, 7, 1), (7, 7, 2), (8, 7, 1), (9, 7, 2), (9, 7, 2), (3, 3, 2), (3, 3, 2), (3, 3, 2)], key=repr)
+
+
+def test_ngram_join_long_text(spark):
+    long = words(1, 60_000, 50_000)
+    texts = [(1, " ".join(long)), (2, " ".join(long[:-2000])), (3, " ".join(words(2, 60_000, 50_000)))]
+    assert got(ngram_join.near_duplicates(docs_of(spark, texts)), "doc_id", "class_id", "n_links") == brute_links(texts)
+
+
 def test_bayesian_bounds():
     for n, m in ngram_join.least_matches(0.8):
         assert 0 < m < 0.8 * n
@@ -299,7 +318,62 @@ def test_language_id(spark):
     assert language_id.identify(asked.limit(0), model).count() == 0
 
 
-def test_viterbi_against_brute_force():
+def test_language_of_rare_letters(spark):
+    """Letters beyond the table (Han extension G), a language for each script, and ties."""
+    train = spark.createDataFrame([(i, "\U00030001\U00030002 " * 5, "zh") for i in range(4)] + [(9, "abc abd " * 9, "en"), (10, "abc abd " * 9, "aa")], "doc_id long, text string, lang string")
+    model = language_id.fit(train)
+    asked = spark.createDataFrame([(1, "\U00030001\U000313FF"), (2, "abc abd"), (3, "\U0001F600 1")], "doc_id long, text string")
+    out = {r.doc_id: r for r in language_id.identify(asked, model).collect()}
+    assert [out[i].lang_pred for i in (1, 2, 3)] == ["zh", "aa", "und"]
+    tables = language_id.Letters()
+    draw = np.random.RandomState(5)
+    points = np.concatenate([draw.randint(0, 0xD800, 3000), draw.randint(0xE000, 0x110000, 3000), np.array([0x130, 0x1E9E, 0x2FFFF, 0x323AF])]).astype(np.uint32)
+    low, script = tables.look_up(points)
+    for p, a, b in zip(points.tolist(), low.tolist(), script.tolist(), strict=True):
+        c = chr(p)
+        assert a == (0 if not c.isalpha() else ord(c.lower()) if len(c.lower()) == 1 else p)
+        assert language_id.SCRIPT_NAMES[b] == next((name for name, x, y in language_id.SCRIPTS if x <= p <= y), "other")
+
+
+def test_language_against_brute_force(spark):
+    """The whole result: group scores, script ranges and Viterbi word by word in plain Python."""
+    import re
+
+    draw = random.Random(11)
+    langs = {"en": "the and that with this from they".split(), "de": "der die das und nicht mit eine".split(), "ru": "это она что как его для".split()}
+    rows = [(i, " ".join(draw.choices(langs[x], k=60)), x) for i, x in enumerate(list(langs) * 15)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [(i, " ".join(w for x in draw.choices(list(langs), k=draw.randrange(1, 9)) for w in draw.choices(langs[x], k=draw.randrange(1, 60)))) for i in range(40)] + [(90, "..."), (91, "x")]
+    tables = language_id.Letters()
+    want = {}
+    for i, t in texts:
+        found, scores = list(re.finditer(r"[^\W\d_]+", t)), []
+        for m in found:
+            two, three, script, _, _, _ = language_id.words_of([m.group()], tables)
+            s = (model.two[two] + model.three[three]).astype(float).sum(0)
+            fits = model.allowed[script[0]]
+            scores.append(np.where(fits if fits.any() else ~fits, s, -1e9))
+        if not found:
+            want[i] = "und", 0.0
+            continue
+        value, ways = scores[0], []
+        for s in scores[1:]:
+            table = value[:, None] - language_id.SWITCH * (1 - np.eye(3))
+            ways.append(table.argmax(0))
+            value = table.max(0) + s
+        path = [int(value.argmax())]
+        for w in reversed(ways):
+            path.append(int(w[path[-1]]))
+        held = np.bincount(path[::-1], [len(m.group()) for m in found], 3)
+        want[i] = model.langs[int(held.argmax())], held.max() / held.sum()
+    out = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert {i: x[0] for i, x in out.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(out[i][1] - want[i][1]) < 1e-9 for i in want)
+
+
+@pytest.mark.parametrize("slab", [10, 4_000_000])
+def test_viterbi_against_brute_force(slab, monkeypatch):
+    monkeypatch.setattr(language_id, "SLAB", slab)
     draw = np.random.default_rng(1)
     sizes = [0, 300, 1, 128, 129, 2]
     text_of = np.repeat(np.arange(6), sizes)
@@ -370,6 +444,56 @@ def test_expressions(text, ids, free):
     assert license_scan.evaluate("OR MIT") is None
 
 
+def brute_licenses(text):
+    import re
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    found = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+    places = [(i, label) for phrase, label in license_scan.BASE.items() for i in range(len(found)) if found[i : i + len(phrase.split())] == phrase.split()]
+    at = sorted(i for i, _ in places)
+    return len(found), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted({x for _, x in places}))
+
+
+def test_license_base_against_brute_force(spark, sf):
+    from pyspark.sql import functions as F
+
+    draw, bits = random.Random(6), ["MIT", "License", "apache", "LICENSE,", "general", "public", "license.", "\n", "é", "mit-license", "x7", "\u3000"]
+    texts = [(i, " ".join(draw.choices(bits, k=draw.randrange(60)))) for i in range(300)]
+    docs = docs_of(spark, texts).select("doc_id", "text").unionAll(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id") + 1000, "text"))
+    out = sorted(tuple(r[:6]) for r in license_scan.scan_licenses(docs).collect())
+    assert out == sorted((r.doc_id, *brute_licenses(r.text)) for r in docs.collect())
+    assert sum(r[2] for r in out) > 300
+
+
+def test_license_labels():
+    machine = license_scan.automaton()
+    labels = lambda t: license_scan.scan(t.encode(), machine)[5]
+    assert labels("// SPDX-License-Identifier: MIT.\nx") == "mit"
+    assert labels("the SPDX license identifiers are many") == labels("SPDX license identifier is a tag") == ""
+    assert labels("SPDX-License-Identifier: mit and so on") == "mit"
+    assert labels("under CC BY NC 4") == "cc-by-nc" and labels("under cc by and under cc by nc sa") == "cc-by,cc-by-nc-sa"
+    assert labels("GNU Lesser General Public License") == "gpl,lgpl"
+    assert labels("SPDX-License-Identifier: LicenseRef-Own-1 OR (Apache-2.0 WITH LLVM-exception)") == "apache,apache-2.0-with-llvm-exception,licenseref-own-1"
+    free = lambda t: license_scan.scan(t.encode(), machine)[7]
+    assert free("SPDX-License-Identifier: MIT\nthe SPDX license identifiers are many") is True
+    assert free("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-3.0-only") is False and free("none") is None
+
+
+def test_license_long_text_is_linear():
+    import time
+
+    machine = license_scan.automaton()
+
+    def took(n):
+        began = time.process_time()
+        row = license_scan.scan(b"under the MIT license and word " * n, machine)
+        assert row[1:4] == (n, 2, 6 * n - 4)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(100_000) < 30 * max(took(10_000), 0.01)
+
+
 # ---- 9
 
 
