@@ -1,29 +1,32 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A term is a word, or the start of a longer word (``PREFIXES`` letters, written
-with a star), so that inflected forms meet. One more term, which every word
-counts for, keeps the size of a text in its vector: a single hit in a long text
-is far from many hits in a short one. The vocabulary keeps the terms whose rate differs between toxic and clean
-labelled texts by ``MIN_RATIO`` or more with a chi-square of ``MIN_CHI2`` or
-more, and, as chi-square can't exceed the number of texts, those that explain
-``MIN_EFFECT`` of the label's variance, however few texts there are; other terms say nothing of the label and only pull similar topics
-together. Document frequencies of the vocabulary come from all documents.
-Examples lie in blocks, those with the same weightiest term together; of each
-term and block the index knows the largest weight, which bounds the cosine of any
-example inside. Blocks are read from the
-highest bound down until no other can reach the k-th best, so the neighbours are
-exact. Their votes, weighted by cosine, are mapped to rates seen on the labelled
-texts themselves (each scored without its own vote), rising with the vote.
+A text is the vector of all its words. A word weighs (1 + log of its count) times its
+inverse document frequency times its relevance, the absolute phi coefficient of word
+and label among the labelled texts. Relevance only stretches the axes: no word is
+left out, and so every text that shares a word with an example has neighbours. (By
+plain TF-IDF the neighbours of a text are those of its topic, whatever their label.)
+Document frequencies are counted over all documents. Words are known by a stable
+64-bit hash.
+
+Examples lie in blocks of ``BLOCK``, those with the same weightiest word together. Of
+each word and block the index knows the largest weight; summed over the words of a
+text, these bound the cosine of any example inside. The blocks with the highest
+bounds are read first; then all whose bound reaches the k-th best so far are, and
+no others, so the neighbours are exact. Their votes, weighted by cosine, are
+mapped to rates seen on the labelled texts themselves (each scored without its own
+vote), rising with the vote.
 
 The labelled rows that are learned from are at most ``SAMPLE_DOCS`` (smallest
-hash of the id first; of verified copies one stays and counts for all in rates) and the terms at most ``MAX_TERMS``, so the model that is
-broadcast is bounded; statistics and scores cover every whole text.
+hash of the id first; of verified copies one stays and counts for all in rates),
+which bounds the model that is broadcast; statistics and scores cover every whole text.
 
 Defined results
-* null or empty text, or a text without a term of the vocabulary: the rate of
+* null or empty text, or a text without a word that an example has: the rate of
   toxic among labelled texts of that kind, and no evidence;
 * nothing to learn from: score 0;
 * equal cosines: the example with the smaller id first;
+* a label other than 0 counts as 1; of several labels of one id the largest counts;
+* very long texts are read whole, one at a time;
 * repeated rows give repeated results, an empty table an empty one; further
   columns are ignored by the score.
 """
@@ -36,6 +39,7 @@ from dataclasses import dataclass
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,92 +47,106 @@ from pyspark.sql import functions as F
 from .common import chunks, column, cut, gram_hashes, group_starts, mix64, table, whole_groups, word_hashes
 from .language_id import held_out
 
-SAMPLE_DOCS = 20_000
-MAX_TERMS = 2_000
-MIN_DOCS = 5
-MIN_RATIO, MIN_CHI2 = 8.0, 40.0
-#: Chi-square by the number of texts (phi squared), which does not depend on that number, and the texts a term needs for it: one proves nothing.
-MIN_EFFECT, MIN_SEEN = 0.2, 2
+SAMPLE_DOCS = 8_000
 NEIGHBOURS = 15
 #: Shingle Jaccard from which on texts are copies, bytes of the sketch that finds them, and how many times the sample is read to make up for them.
 COPY, SKETCH, REFILL = 0.8, 64, 2
 BLOCK = 64
+#: Blocks read before the bounds of the others are looked at.
+FIRST = 4
+#: Least weight factor: a word that says nothing of the label, or that all documents have, still counts for nearness.
+LEAST = 1e-4
 CUT = 0.5
 FOLD, HELD = 5, 0
-PREFIXES = (4, 5, 6, 7)
 TERM = re.compile(r"\w+")
-#: The term that every word counts for.
-ANY = ""
-
-
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
-
-
-def hits(text: str | None, at: dict[str, int], heads: frozenset[str]) -> dict[str, int]:
-    """Terms of the vocabulary and their counts; with ANY if there are others."""
-    every = TERM.findall(text.lower()) if text else []
-    out: dict[str, int] = {}
-    for word in [w for w in every if w[:4] in heads]:
-        for t in terms_of(word):
-            if t in at:
-                out[t] = out.get(t, 0) + 1
-    if out:
-        out[ANY] = len(every)
-    return out
-
-
-def heads_of(at: dict[str, int]) -> frozenset[str]:
-    """The first letters that a word needs to have any term in the vocabulary."""
-    return frozenset(t.rstrip("*")[:4] for t in at if t != ANY)
+#: Words whose counts a task holds before it hands them on.
+HANDED = 1_000_000
 
 
 @dataclass
 class Model:
     """Block-max inverted index of the examples, and the map from votes to scores."""
 
-    at: dict[str, int]  # term -> column
-    idf: np.ndarray
+    terms: np.ndarray  # hashes of words, sorted; a word's column is its place
+    weights: np.ndarray  # of the columns
     ids: np.ndarray  # of the examples, in the order in which they fill blocks
     toxic: np.ndarray
-    heads: np.ndarray  # postings of block b: heads[b] up to heads[b + 1], by term
-    term: np.ndarray
-    posted: np.ndarray  # example of each posting, within its block
+    heads: np.ndarray  # entries of column c: heads[c] up to heads[c + 1], one for each block that has the word
+    block: np.ndarray
+    top: np.ndarray  # largest weight of the word in the block
+    start: np.ndarray  # postings of entry e: start[e] up to start[e + 1]
+    posted: np.ndarray  # example
     weight: np.ndarray
-    top: np.ndarray  # terms x blocks: largest weight
     steps: np.ndarray  # votes, rising
     rates: np.ndarray  # score from that vote on
-    none: float  # score of a text without terms
-    starts: frozenset[str]  # of words that can have terms
-
-
-def vector(found: dict[str, int], at: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and unit weights of a text."""
-    pairs = sorted((at[t], n) for t, n in found.items() if t in at)
-    cols = np.array([c for c, _ in pairs], np.int64)
-    w = (1.0 + np.log([n for _, n in pairs])) * idf[cols] if pairs else np.empty(0)
-    return cols, w / np.sqrt((w * w).sum()) if pairs else w
+    none: float  # score of a text without words of the index
+
+
+def text_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, count) of every different word of every text, by text."""
+    words = [TERM.findall(t.lower()) if t else [] for t in texts]
+    flat = [w for ws in words for w in ws]
+    if not flat:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    codes, distinct = pd.factorize(np.array(flat, dtype=object))
+    hashes = pd.util.hash_array(distinct, categorize=False)
+    text = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+    pairs, counts = np.unique(text * len(distinct) + codes, return_counts=True)
+    return pairs // len(distinct), hashes[pairs % len(distinct)], counts
+
+
+def vectors(texts: list[str | None], terms: np.ndarray, weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Columns and unit weights of each text; words that no example has have no column."""
+    text, hashes, counts = text_terms(texts)
+    cols = np.searchsorted(terms, hashes)
+    known = cols < len(terms)
+    known[known] = terms[cols[known]] == hashes[known]
+    text, cols, w = text[known], cols[known], (1.0 + np.log(counts[known])) * weights[cols[known]]
+    order = np.lexsort((cols, text))
+    text, cols, w = text[order], cols[order], w[order]
+    size = np.sqrt(np.bincount(text, w * w, len(texts)))
+    w = w / size[text]
+    at = np.searchsorted(text, np.arange(len(texts) + 1))
+    return [(cols[a:b], w[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    size = end - start
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def nearest(cols: np.ndarray, w: np.ndarray, model: Model, k: int = NEIGHBOURS, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(cosine, example) of the k nearest examples, exactly; ``but`` leaves the example of that id out."""
-    query = np.zeros(len(model.at))
-    query[cols] = w
-    bound = w @ model.top[cols]
+    entries = ranges(model.heads[cols], model.heads[cols + 1])
+    if not len(entries):
+        return np.empty(0), np.empty(0, np.int64)
+    asked, blocks = np.repeat(w, model.heads[cols + 1] - model.heads[cols]), model.block[entries]
+    bound = np.bincount(blocks, asked * model.top[entries])
     best_s, best_e = np.empty(0), np.empty(0, np.int64)
-    for b in np.argsort(-bound, kind="stable").tolist():
-        if bound[b] <= 0 or (len(best_s) == k and bound[b] < best_s[-1] - 1e-12):
-            break
-        at = slice(model.heads[b], model.heads[b + 1])
-        score = np.bincount(model.posted[at], query[model.term[at]] * model.weight[at], BLOCK)
-        got = np.flatnonzero(score)
-        if len(best_s) == k:
-            got = got[score[got] >= best_s[-1]]
-        e = got + b * BLOCK
-        keep = model.ids[e] != but
-        best_s, best_e = np.concatenate([best_s, score[got][keep]]), np.concatenate([best_e, e[keep]])
+
+    def read(chosen: np.ndarray) -> None:
+        nonlocal best_s, best_e
+        here = chosen[blocks]
+        own, q = entries[here], asked[here]
+        at = ranges(model.start[own], model.start[own + 1])
+        score = np.bincount(model.posted[at], np.repeat(q, model.start[own + 1] - model.start[own]) * model.weight[at])
+        e = np.flatnonzero(score >= best_s[-1] if len(best_s) == k else score > 0)
+        e = e[(score[e] > 0) & (model.ids[e] != but)]
+        if len(e) > 4 * k:  # ties with the k-th stay
+            e = e[score[e] >= np.partition(score[e], -k)[-k]]
+        best_s, best_e = np.concatenate([best_s, score[e]]), np.concatenate([best_e, e])
         order = np.lexsort((model.ids[best_e], -best_s))[:k]
         best_s, best_e = best_s[order], best_e[order]
+
+    first = np.zeros(len(bound), bool)
+    first[np.argpartition(-bound, FIRST)[:FIRST] if len(bound) > FIRST else slice(None)] = True
+    read(first)
+    rest = ~first & (bound > 0)
+    if len(best_s) == k:
+        rest &= bound >= best_s[-1] - 1e-12
+    if rest.any():
+        read(rest)
     return best_s, best_e
 
 
@@ -153,29 +171,22 @@ def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
     return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1.0) for p in pools])
 
 
-def index(examples: list[tuple[int, int, dict[str, int]]], at: dict[str, int], idf: np.ndarray) -> Model:
-    """From (id, toxic, terms) of the labelled texts; not yet calibrated."""
-    full, empty = [], []
-    for i, toxic, found in examples:
-        cols, w = vector(found, at, idf)
-        if len(cols):
-            main = max((x, c) for c, x in zip(cols.tolist(), w.tolist(), strict=True) if c or len(cols) == 1)[1]
-            full.append((main, i, toxic, cols, w))
-        else:
-            empty.append(toxic)
-    full.sort(key=lambda x: x[:2])
-    blocks = max(1, -(-len(full) // BLOCK))
-    size = np.array([len(x[3]) for x in full], np.int64)
-    example = np.repeat(np.arange(len(full)), size)
-    term = np.concatenate([x[3] for x in full]) if full else np.empty(0, np.int64)
-    weight = np.concatenate([x[4] for x in full]) if full else np.empty(0)
-    order = np.lexsort((example, term, example // BLOCK))
+def index(ids: np.ndarray, toxic: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, weights: np.ndarray) -> Model:
+    """From the vectors of the labelled texts; not yet calibrated. Texts without a column are left out."""
+    full = [i for i, (cols, _) in enumerate(found) if len(cols)]
+    main = [int(found[i][0][found[i][1].argmax()]) for i in full]
+    full = [full[i] for i in np.lexsort((ids[full], main)).tolist()] if full else []
+    example = np.repeat(np.arange(len(full)), [len(found[i][0]) for i in full])
+    term = np.concatenate([found[i][0] for i in full]) if full else np.empty(0, np.int64)
+    weight = np.concatenate([found[i][1] for i in full]) if full else np.empty(0)
+    order = np.lexsort((example, term))
     example, term, weight = example[order], term[order], weight[order]
-    top = np.zeros((len(at), blocks))
-    np.maximum.at(top, (term, example // BLOCK), weight)
-    heads = np.searchsorted(example // BLOCK, np.arange(blocks + 1))
-    ids, toxic = np.array([x[1] for x in full], np.int64), np.array([x[2] for x in full], float)
-    return Model(at, idf, ids, toxic, heads, term, example % BLOCK, weight, top, np.zeros(1), np.zeros(1), sum(empty) / len(empty) if empty else 0.0, heads_of(at))
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)
+    start = np.flatnonzero(new)
+    top = np.maximum.reduceat(weight, start) if len(start) else np.empty(0)
+    heads = np.searchsorted(term[start], np.arange(len(terms) + 1))
+    return Model(terms, weights, ids[full], toxic[full].astype(float), heads, example[start] // BLOCK, top, np.append(start, len(term)), example, weight, np.zeros(1), np.zeros(1), 0.0)
 
 
 def leaders(grams: list[np.ndarray]) -> list[int]:
@@ -248,87 +259,105 @@ def one_of_copies(texts: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     return named.join(F.broadcast(kept.select("row", "n")), "row").drop("row")
 
 
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term (hash), n of every word of all documents. A task adds up what it has read before it hands it on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merged(held):
+            every, where = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return every, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        def rows(every, n):
+            return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(n)], names=["term", "n"])
+
+        held, size = [], 0
+        for batch in chunks(batches):
+            _, hashes, _ = text_terms(column(batch, "text"))
+            held.append(np.unique(hashes, return_counts=True))
+            size += len(held[-1][0])
+            if size > 2 * HANDED:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > HANDED:
+                    yield rows(*held[0])
+                    held, size = [], 0
+        if held:
+            yield rows(*merged(held))
+
+    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     """``labels`` (doc_id, toxic) may hold only what is to be learned from; ``docs`` gives texts and document frequencies."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(*first_ids(), "toxic").limit(REFILL * sample).dropDuplicates(["doc_id"])
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    known = known.orderBy(*first_ids()).limit(REFILL * sample)
     held = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").distinct()
     texts = cut(one_of_copies(cut(held), sample))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            rates: dict[str, list[int]] = {"": [0, 0]}  # ANY counts texts
-            for text, toxic in zip(column(batch, "text"), column(batch, "toxic"), strict=True):
-                for t in {ANY, *(t for word in set(TERM.findall((text or "").lower())) for t in terms_of(word))}:
-                    rates.setdefault(t, [0, 0])[toxic] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(rates), pa.string()), *(pa.array([r[i] for r in rates.values()], pa.int64()) for i in (0, 1))], names=["term", "clean", "toxic"])
-
-    rates = texts.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    whole = rates.where("term = ''").first()
-    n0, n1 = (whole["clean"], whole["toxic"]) if whole else (0, 0)
-    at: dict[str, int] = {}
-    if n0 and n1:
-        a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-        chi2 = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n0 + n1 - a - b + 0.5) * n0 * n1)
-        high, low = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-        sure = (a + b >= MIN_DOCS) & (chi2 >= MIN_CHI2) & (F.greatest(high / low, low / high) >= MIN_RATIO)
-        strong = (a + b >= MIN_SEEN) & (chi2 >= MIN_EFFECT * (n0 + n1)) & ((F.greatest(high / low, low / high) >= MIN_RATIO) | (F.least(a, b) == 0))
-        telling = rates.where((F.col("term") != "") & (sure | strong))
-        chosen = sorted(r["term"] for r in telling.orderBy(F.desc(chi2), "term").limit(MAX_TERMS).select("term").collect())
-        at = {t: i for i, t in enumerate([ANY, *chosen])} if chosen else {}
-    heads = heads_of(at)
-
-    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(at) + 1, np.int64)  # the last one counts documents
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            for text in column(batch, "text"):
-                held[-1] += 1
-                for t in hits(text, at, heads):
-                    held[at[t]] += 1
-        if at:
-            held[at[ANY]] = held[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(held)), pa.int32()), pa.array(held, pa.int64())], names=["at", "n"])
-
-    held = docs.select("text").mapInArrow(frequency, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(at) + 1)
-    for r in held:
-        df[r["at"]] = r["n"]
-    idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            found = [hits(text, at, heads) for text in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("n"), pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.int32()))], names=["doc_id", "toxic", "n", "found"])
-
-    rows = cut(texts.mapInArrow(reduce, "doc_id long, toxic int, n long, found map<string,int>"))
-    examples = rows.collect()
-    model = index([(r["doc_id"], r["toxic"], r["found"]) for r in examples], at, idf)
-    empty = [(r["toxic"], r["n"]) for r in examples if not r["found"]]
-    model.none = sum(t * n for t, n in empty) / sum(n for _, n in empty) if empty else 0.0
+            text, hashes, counts = text_terms(column(batch, "text"))
+            at = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            parts = [[x[a:b].astype(kind).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for x, kind in ((hashes, np.uint64), (counts, np.int32))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "toxic", "n")), *(pa.array(x, pa.binary()) for x in parts)], names=["doc_id", "toxic", "n", "hashes", "counts"])
+
+    coded = cut(texts.mapInArrow(encode, "doc_id long, toxic int, n long, hashes binary, counts binary"))
+    # at most ``sample`` rows, each of a text's different words
+    rows = coded.orderBy("doc_id", "hashes").toPandas()
+    terms, weights = np.empty(0, np.uint64), np.empty(0)
+    toxic, copies = rows["toxic"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    hashes = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+    if len(rows) and sum(map(len, hashes)):
+        terms, where = np.unique(np.concatenate(hashes), return_inverse=True)
+        label = np.repeat(toxic, [len(h) for h in hashes])
+        bad, all_ = np.bincount(where, label, len(terms)), np.bincount(where, minlength=len(terms)).astype(float)
+        n, n1 = len(rows), toxic.sum()
+        spread_ = np.sqrt(np.maximum(all_ * (n - all_) * n1 * (n - n1), 0.0))
+        phi = np.where(spread_ > 0, np.abs(bad * n - all_ * n1) / np.maximum(spread_, 1e-300), 0.0)
+        session = docs.sparkSession
+        wanted = session.createDataFrame(pa.table({"_term": pa.array(terms.view(np.int64))}))
+        n_docs = docs.count()
+        seen = document_frequencies(docs).join(wanted, F.col("term") == F.col("_term")).select("term", "n").toPandas()
+        df = np.zeros(len(terms))
+        df[np.searchsorted(terms, seen["term"].to_numpy().astype(np.int64).view(np.uint64))] = seen["n"].to_numpy()
+        weights = (np.log((1.0 + n_docs) / (1.0 + df)) + LEAST) * (phi + LEAST)
+    found = []
+    for h, c in zip(hashes, rows["counts"], strict=True):
+        cols = np.searchsorted(terms, h)
+        order = np.argsort(cols)
+        w = ((1.0 + np.log(np.frombuffer(c, np.int32))) * weights[cols])[order]
+        found.append((cols[order], w / np.sqrt((w * w).sum()) if len(w) else w))
+    model = index(rows["doc_id"].to_numpy(np.int64), toxic, found, terms, weights)
+    empty = np.array([not len(h) for h in hashes], bool)
+    model.none = float((toxic * copies)[empty].sum() / copies[empty].sum()) if empty.any() else 0.0
+    if not len(model.ids):
+        return model
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = SimpleNamespace(**sent.value)
-        for batch in batches:
-            got = [vote(*nearest(*vector(dict(f), held.at, held.idf), held, but=i), held) for i, f in zip(column(batch, "doc_id"), column(batch, "found"), strict=True)]
+        for batch in chunks(batches):
+            made = vectors(column(batch, "text"), held.terms, held.weights)
+            got = [vote(*nearest(*v, held, but=i), held) for i, v in zip(column(batch, "doc_id"), made, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column("toxic"), batch.column("n")], names=["vote", "toxic", "n"])
 
-    tried = rows.where("size(found) > 0").mapInArrow(votes, "vote double, toxic int, n long").toPandas()
+    tried = texts.select("doc_id", "text", "toxic", "n").mapInArrow(votes, "vote double, toxic int, n long").where("vote >= 0").groupBy("vote", "toxic").agg(F.sum("n").alias("n")).orderBy("vote", "toxic").toPandas()
     if len(tried):
         model.steps, model.rates = calibrate(tried["vote"].to_numpy(), tried["toxic"].to_numpy(), tried["n"].to_numpy())
     return model
 
 
-def score_text(text: str | None, model: Model) -> tuple[float, list[int]]:
-    """(score, ids of the neighbours, nearest first)."""
-    found = hits(text, model.at, model.starts)
-    if not found:
-        return model.none, []
-    sims, found = nearest(*vector(found, model.at, model.idf), model)
-    if not len(found):
-        return model.none, []
-    step = np.searchsorted(model.steps, vote(sims, found, model), side="right") - 1
-    return float(model.rates[max(step, 0)]), model.ids[found].tolist()
+def score_texts(texts: list[str | None], model: Model) -> list[tuple[float, list[int]]]:
+    """(score, ids of the neighbours, nearest first) of each text."""
+    out = []
+    for cols, w in vectors(texts, model.terms, model.weights):
+        sims, found = nearest(cols, w, model) if len(cols) else (np.empty(0), np.empty(0, np.int64))
+        if not len(found):
+            out.append((model.none, []))
+            continue
+        at = np.searchsorted(model.steps, vote(sims, found, model), side="right") - 1
+        out.append((float(model.rates[max(at, 0)]), model.ids[found].tolist()))
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -338,7 +367,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SimpleNamespace(**sent.value)
         for batch in chunks(batches):
-            found = [score_text(t, model) for t in column(batch, "text")]
+            found = score_texts(column(batch, "text"), model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")
@@ -351,7 +380,7 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = CUT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SimpleNamespace(**sent.value)
         for batch in chunks(batches):
-            yield batch.filter(pa.array([score_text(t, model)[0] < limit for t in column(batch, "text")], pa.bool_()))
+            yield batch.filter(pa.array([x < limit for x, _ in score_texts(column(batch, "text"), model)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

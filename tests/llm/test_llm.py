@@ -278,23 +278,63 @@ def test_only_verified_copies_are_dropped(spark):
 
 
 def test_nearest_is_exact():
+    """Cosines and ids, ties included, against dense products."""
     draw = np.random.RandomState(2)
-    at = {toxicity.ANY: 0} | {f"t{i}": i for i in range(1, 40)}
-    idf = draw.uniform(1, 5, 40)
-    examples = [(i, int(draw.rand() < 0.3), {toxicity.ANY: 50, **{f"t{j}": int(draw.randint(1, 5)) for j in draw.randint(1, 40, 6)}}) for i in range(500)]
-    model = toxicity.index(examples, at, idf)
-    dense = {i: toxicity.vector(f, at, idf) for i, _, f in examples}
-    for i in range(0, 500, 25):
-        cols, w = dense[i]
-        sims, found = toxicity.nearest(cols, w, model, but=i)
-        all_ = []
-        for j, (c, x) in dense.items():
-            v = np.zeros(40)
-            v[c] = x
-            if j != i:
-                all_.append((-round(float(v[cols] @ w), 9), j))
-        want = sorted(all_)[: toxicity.NEIGHBOURS]
-        assert [round(-s, 7) for s, _ in want] == [round(float(s), 7) for s in sims]
+    weights, dense, found = draw.uniform(0.01, 5, 60), np.zeros((700, 60)), []
+    for i in range(700):
+        cols = np.unique(draw.randint(0, 60, 7)) if i % 10 else np.array([3, 9])  # every tenth is alike
+        w = weights[cols] * (draw.randint(1, 5, len(cols)) if i % 10 else 1.0)
+        found.append((cols, w / np.sqrt((w * w).sum())))
+        dense[i, cols] = found[-1][1]
+    ids = draw.permutation(700)
+    model = toxicity.index(ids, draw.randint(0, 2, 700), found, np.arange(60, dtype=np.uint64), weights)
+    for i in range(0, 700, 15):
+        sims, got_ = toxicity.nearest(*found[i], model, but=int(ids[i]))
+        all_ = sorted((-round(float(x), 9), int(ids[j])) for j, x in enumerate(dense @ dense[i]) if j != i and x > 0)[: toxicity.NEIGHBOURS]
+        assert [(round(float(s), 9), int(j)) for s, j in zip(sims, model.ids[got_], strict=True)] == [(-s, j) for s, j in all_]
+    assert len(toxicity.nearest(np.empty(0, np.int64), np.empty(0), model)[0]) == 0
+
+
+def test_toxicity_against_brute_force(spark):
+    """The whole fit: frequencies over all documents, phi, cosines and votes in plain Python."""
+    import re
+    from collections import Counter
+    from math import log, sqrt
+
+    draw = random.Random(3)
+    texts = [(i, " ".join(draw.choices([f"w{k}" for k in range(60)] + ["vile"] * (20 * (i % 4 == 0)), k=20 + i % 9))) for i in range(120)]
+    labels = [(i, int(i % 4 == 0)) for i in range(80)]
+    model = toxicity.fit(docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    bags = {i: Counter(re.findall(r"\w+", t)) for i, t in texts}
+    df = Counter(w for b in bags.values() for w in b)
+    bad, every = Counter(w for i, x in labels if x for w in bags[i]), Counter(w for i, _ in labels for w in bags[i])
+
+    def weight(w):
+        a, m, n, n1 = bad[w], every[w], 80, 20
+        phi = abs(a * n - m * n1) / sqrt(m * (n - m) * n1 * (n - n1)) if 0 < m < n else 0.0
+        return (log(121 / (1 + df[w])) + toxicity.LEAST) * (phi + toxicity.LEAST)
+
+    def unit(bag):
+        v = {w: (1 + log(c)) * weight(w) for w, c in bag.items() if w in every}
+        size = sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    units = {i: unit(b) for i, b in bags.items()}
+    evidence = {r.doc_id: r.evidence for r in toxicity.score(docs_of(spark, texts), model).collect()}
+    for i in range(0, 120, 7):
+        cos = sorted((-round(sum(x * units[j].get(w, 0) for w, x in units[i].items()), 10), j) for j, _ in labels)[: toxicity.NEIGHBOURS]
+        assert evidence[i] == [j for _, j in cos]
+    assert all(len(e) == toxicity.NEIGHBOURS for e in evidence.values())
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Labels other than 0 and 1, several labels of one id, a very long text, ties of scores."""
+    texts = [(i, " ".join([*words(i, 30), *(["vile"] if i % 3 == 0 else [])])) for i in range(90)] + [(500, "vile " + " ".join(words(1, 400_000, 5000))), (501, "vile"), (502, "vile")]
+    labels = [(i, 7 if i % 3 == 0 else 0) for i in range(90)] + [(0, 0), (3, 0)]
+    model = toxicity.fit(docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = {r.doc_id: r for r in toxicity.score(docs_of(spark, texts), model).collect()}
+    assert all((out[i].score >= 0.5) == (i % 3 == 0) for i in range(90))
+    assert out[501].score == out[502].score >= 0.5 and out[501].evidence == out[502].evidence and 0 <= out[500].score <= 1
 
 
 # ---- 3
@@ -713,6 +753,11 @@ def test_language_and_toxicity_on_held_out(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     out = catalogue.QUERIES["op3_language_id"](spark, sf).join(docs, "doc_id").where("held_out AND lang IS NOT NULL")
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+    sf = "/root/testdata/sf0.1"
+    out = catalogue.QUERIES["op6_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    n = {(r.toxic, r.predicted): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0], n
+    print(n)
 
 
 def test_pipeline(spark, sf):
