@@ -177,6 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # the root of a large component is a hot key
         large = join_hot(both, least, "u", ["m"], spare, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.distinct()  # a node that meets one root through many others; equal rows would also share their spare key
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         # so is a node that many others point to
         small = join_hot(large, low, "u", ["m"], spare, 2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
