@@ -448,6 +448,8 @@ def test_vector_search(spark):
         hits += len(set(np.argsort(-s, kind="stable")[:20].tolist()) & set(part.vec_id))
         assert np.allclose(part.score, (x[part.vec_id] * x[q]).sum(1), atol=1e-12) and q not in set(part.vec_id)
     assert hits >= 0.9 * len(out)
+    clash = df.selectExpr("vec_id", "embedding", *[f"'x' AS {c}" for c in ("v", "cell", "cells", "codes", "grp", "b", "q", "own", "query_id", "score")]).where("vec_id < 500")
+    assert vector_search.search(clash, "vec_id % 20 = 0").count() == 25 * 20
     few = vector_search.search(df.where("vec_id < 5"), "vec_id % 20 = 0").collect()
     assert [r.rank for r in few] == [1, 2, 3, 4]
     assert vector_search.search(df.limit(0), "vec_id % 20 = 0").count() == 0
