@@ -773,3 +773,62 @@ def test_pipeline(spark, sf):
         assert 0 < docs.count() <= before.count(), name
         if name != "mix":
             assert docs.columns == list(corpus_pipeline.COLUMNS)
+
+
+def small_corpus():
+    """Rows of documents, labels and benchmark with a case for every stage."""
+    rows = [(i, "\n".join(" ".join(words(10 * i + k, 25, 3000)) for k in range(3)), "en", f"s{i % 3}") for i in range(60)]
+    rows += [(60 + i, " ".join([*words(700 + i, 30, 3000), "vile", "scum", "rotten"]), "en", "s1") for i in range(25)]
+    base = [words(900 + k, 60, 3000) for k in range(4)]
+    for i in range(6):  # near copies, each line its own
+        rows.append((200 + i, "\n".join(" ".join([*x[:-1], f"e{i}"]) for x in base), "en", "s2"))
+    rows += [(300, rows[3][1], "en", "s0"), (301, "own line of this document\n" + rows[4][1], "en", None), (3, rows[3][1], "en", "s0"), (310, None, None, None), (311, "", "en", "s1"), (312, " \n", "en", "s1"), (None, rows[5][1], "en", "s2")]
+    bench = [(1, " ".join(words(5000, 30, 3000))), (2, None)]
+    rows += [(400, " ".join(words(6000, 30, 3000)) + " " + bench[0][1] + " end", "en", "s0")]
+    labels = [(i, 0, int(60 <= i < 75)) for i in range(75)] + [(80, 0, None)]
+    return rows, labels, bench
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path, monkeypatch):
+    """Every stage on its own input, and the whole run with what it leaves behind."""
+    import corpus_pipeline
+
+    rows, labels, bench = small_corpus()
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or ""), "x") for i, t, lang, s in rows], DOCS.replace("doc_id long, text string, lang string, source string, n_chars long", "doc_id long, text string, lang string, source string, n_chars long, _id string"))
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    stages, text = dict(corpus_pipeline.STAGES), lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    held = lambda pairs: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in pairs], DOCS)
+    one = text(stages["toxicity"](spark, docs, folder))
+    assert one == sorted(((i, t) for i, t, _, _ in rows if "vile" not in (t or "")), key=repr)
+    two = text(stages["line_dedup"](spark, held(one), folder))
+    assert two == sorted(((i, k) for (i, t), (_, k, _, dropped) in zip(sorted(one, key=lambda r: repr((r[0],))), sorted(brute_lines(one), key=lambda r: repr((r[0],))), strict=True) if not dropped or k.strip()), key=repr)
+    three = text(stages["ngram_join"](spark, held(two), folder))
+    heads, links = [], brute_links([(i if i is not None else 10**9, t) for i, t in two])
+    for i, t in two:
+        full = bool((t or "").split())
+        key = i if i is not None else 10**9
+        if not full or any(x[0] == key and x[1] == key for x in links):
+            heads.append((i, t))
+    heads = [h for n, h in enumerate(heads) if not (h[1] or "").split() or h not in heads[:n]]
+    assert three == sorted(heads, key=repr) and sum(200 <= (i or 0) < 206 for i, _ in three) == 1
+    four = text(stages["decontaminate"](spark, held(three), folder))
+    assert four == [r for r in three if r[0] != 400]
+    five = corpus_pipeline.run(spark, folder)
+    assert sorted(r.doc_id for r in five.collect()) == sorted(i for i, _ in four)
+    assert {r.doc_id: r.size for r in five.collect()} == {i: len((t or "").split()) for i, t in four}
+    left = spark._jvm.org.apache.hadoop.fs.Path(five.inputFiles()[0]).getParent().getParent()
+    assert [f.getPath().getName() for f in left.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(left)] == ["mix"]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    docs_of(spark, [(1, "some words of a text"), (1, "some words of a text"), (2, None)]).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == [1, 2]
