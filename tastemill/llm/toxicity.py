@@ -34,6 +34,7 @@ Defined results
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from types import SimpleNamespace
@@ -59,8 +60,8 @@ LEAST = 1e-4
 CUT = 0.5
 FOLD, HELD = 5, 0
 TERM = re.compile(r"\w+")
-#: Words whose counts a task holds before it hands them on.
-HANDED = 1_000_000
+#: Words of a slice of the frequencies.
+SLICE = 4_096
 
 
 @dataclass
@@ -259,32 +260,69 @@ def one_of_copies(texts: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     return named.join(F.broadcast(kept.select("row", "n")), "row").drop("row")
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term (hash), n of every word of all documents. A task adds up what it has read before it hands it on."""
+def packed(model: Model) -> dict:
+    """What is broadcast of a model: postings only, weights in single precision; the rest follows from them."""
+    small = np.uint16 if len(model.ids) <= 1 << 16 else np.uint32
+    parts = {x: getattr(model, x) for x in ("terms", "weights", "ids", "toxic", "steps", "rates", "none")}
+    return parts | {"ends": model.start[model.heads].astype(np.int64), "posted": model.posted.astype(small), "weight": model.weight.astype(np.float32)}
+
+
+def opened(parts: dict) -> SimpleNamespace:
+    """The model again, in a worker."""
+    posted, weight, ends = parts["posted"].astype(np.int64), parts["weight"].astype(np.float64), parts["ends"]
+    block = posted // BLOCK
+    new = np.zeros(len(posted), bool)
+    new[ends[:-1][ends[:-1] < ends[1:]]] = True
+    new[1:] |= block[1:] != block[:-1]
+    start = np.flatnonzero(new)
+    top = np.maximum.reduceat(weight, start) if len(start) else np.empty(0)
+    return SimpleNamespace(**parts | {"posted": posted, "weight": weight, "block": block[start], "top": top, "start": np.append(start, len(posted)), "heads": np.searchsorted(start, ends)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(held):
-            every, where = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-            return every, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
 
-        def rows(every, n):
-            return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(n)], names=["term", "n"])
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How many of all documents have each of the terms (sorted hashes).
 
-        held, size = [], 0
+    A task counts into one vector over the terms, which the sample bounds, and hands
+    it on in packed slices, which are added up slice by slice: what is shuffled grows
+    with the tasks and not with the words.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    tight = lambda x: zlib.compress(x.tobytes(), 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        counts = np.zeros(len(known), np.int64)
         for batch in chunks(batches):
             _, hashes, _ = text_terms(column(batch, "text"))
-            held.append(np.unique(hashes, return_counts=True))
-            size += len(held[-1][0])
-            if size > 2 * HANDED:
-                held = [merged(held)]
-                size = len(held[0][0])
-                if size > HANDED:
-                    yield rows(*held[0])
-                    held, size = [], 0
-        if held:
-            yield rows(*merged(held))
-
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+            at = np.searchsorted(known, hashes)
+            at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes)]
+            counts += np.bincount(at, minlength=len(known))
+        some = [s for s in range(0, len(known), SLICE) if counts[s : s + SLICE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([tight(counts[s : s + SLICE]) for s in some], pa.binary())], names=["at", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            done = []
+            for at, raw in zip(column(batch, "at"), column(batch, "counts"), strict=True):
+                mine = np.frombuffer(zlib.decompress(raw), np.int64)
+                if at == now:
+                    total += mine
+                else:
+                    if now is not None:
+                        done.append((now, tight(total)))
+                    now, total = at, mine.copy()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.int64()), pa.array([x for _, x in done], pa.binary())], names=["at", "counts"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([tight(total)], pa.binary())], names=["at", "counts"])
+
+    parts = docs.select("text").mapInArrow(count, "at long, counts binary").repartition("at").sortWithinPartitions("at")
+    out = np.zeros(len(terms))
+    for r in parts.mapInArrow(add, "at long, counts binary").collect():  # one row for each slice
+        mine = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        out[r["at"] : r["at"] + len(mine)] = mine
+    sent.destroy()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
@@ -301,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
             parts = [[x[a:b].astype(kind).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for x, kind in ((hashes, np.uint64), (counts, np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "toxic", "n")), *(pa.array(x, pa.binary()) for x in parts)], names=["doc_id", "toxic", "n", "hashes", "counts"])
 
-    coded = cut(texts.mapInArrow(encode, "doc_id long, toxic int, n long, hashes binary, counts binary"))
+    coded = texts.mapInArrow(encode, "doc_id long, toxic int, n long, hashes binary, counts binary")
     # at most ``sample`` rows, each of a text's different words
     rows = coded.orderBy("doc_id", "hashes").toPandas()
     terms, weights = np.empty(0, np.uint64), np.empty(0)
@@ -314,12 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
         n, n1 = len(rows), toxic.sum()
         spread_ = np.sqrt(np.maximum(all_ * (n - all_) * n1 * (n - n1), 0.0))
         phi = np.where(spread_ > 0, np.abs(bad * n - all_ * n1) / np.maximum(spread_, 1e-300), 0.0)
-        session = docs.sparkSession
-        wanted = session.createDataFrame(pa.table({"_term": pa.array(terms.view(np.int64))}))
-        n_docs = docs.count()
-        seen = document_frequencies(docs).join(wanted, F.col("term") == F.col("_term")).select("term", "n").toPandas()
-        df = np.zeros(len(terms))
-        df[np.searchsorted(terms, seen["term"].to_numpy().astype(np.int64).view(np.uint64))] = seen["n"].to_numpy()
+        n_docs, df = docs.count(), document_frequencies(docs, terms)
         weights = (np.log((1.0 + n_docs) / (1.0 + df)) + LEAST) * (phi + LEAST)
     found = []
     for h, c in zip(hashes, rows["counts"], strict=True):
@@ -332,16 +365,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     model.none = float((toxic * copies)[empty].sum() / copies[empty].sum()) if empty.any() else 0.0
     if not len(model.ids):
         return model
-    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
+    sent = docs.sparkSession.sparkContext.broadcast(packed(model))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = SimpleNamespace(**sent.value)
+        held = opened(sent.value)
         for batch in chunks(batches):
             made = vectors(column(batch, "text"), held.terms, held.weights)
             got = [vote(*nearest(*v, held, but=i), held) for i, v in zip(column(batch, "doc_id"), made, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column("toxic"), batch.column("n")], names=["vote", "toxic", "n"])
 
     tried = texts.select("doc_id", "text", "toxic", "n").mapInArrow(votes, "vote double, toxic int, n long").where("vote >= 0").groupBy("vote", "toxic").agg(F.sum("n").alias("n")).orderBy("vote", "toxic").toPandas()
+    sent.destroy()
     if len(tried):
         model.steps, model.rates = calibrate(tried["vote"].to_numpy(), tried["toxic"].to_numpy(), tried["n"].to_numpy())
     return model
@@ -362,10 +396,10 @@ def score_texts(texts: list[str | None], model: Model) -> list[tuple[float, list
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and evidence (ids of the nearest examples) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain parts: workers need no copy of this package
+    sent = docs.sparkSession.sparkContext.broadcast(packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = SimpleNamespace(**sent.value)
+        model = opened(sent.value)
         for batch in chunks(batches):
             found = score_texts(column(batch, "text"), model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
@@ -375,10 +409,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = CUT) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, unchanged."""
-    sent = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain parts: workers need no copy of this package
+    sent = docs.sparkSession.sparkContext.broadcast(packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = SimpleNamespace(**sent.value)
+        model = opened(sent.value)
         for batch in chunks(batches):
             yield batch.filter(pa.array([x < limit for x, _ in score_texts(column(batch, "text"), model)], pa.bool_()))
 
