@@ -75,11 +75,11 @@ def fold_summary(per_fold: DataFrame, metrics: tuple[str, ...] = ("mae", "rmse")
     return rows.groupBy("metric").agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"))
 
 
-def cross_validation_table(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of each metric over folds (nulls and NaN skipped; only such: null), and the folds' values as text in fold order."""
-    clean = {m: F.nullif(F.nanvl(m, F.lit(None)), F.lit(None).cast("double")) for m in ("mae", "rmse")}
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cv_fold", "mae"))), lambda s: F.format_string("%.2f", s["mae"])), ";")
-    return results.groupBy(*keys).agg(F.count("*").alias("folds"), r6(F.avg(clean["mae"])).alias("mae"), r6(F.avg(clean["rmse"])).alias("rmse"), text.alias("fold_mae"))
+def cross_validation_table(results: DataFrame, keys: list[str], more: tuple[str, ...] = (), text: bool = True) -> DataFrame:
+    """Mean of mae, rmse and ``more`` metrics over folds (nulls and NaN skipped; only such: null), and the folds' errors as text in fold order."""
+    clean = {m: F.nullif(F.nanvl(F.col(m).cast("double"), F.lit(None)), F.lit(None).cast("double")) for m in ("mae", "rmse", *more)}
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cv_fold", "mae"))), lambda s: F.format_string("%.2f", s["mae"])), ";")
+    return results.groupBy(*keys).agg(F.count("*").alias("folds"), *[r6(F.avg(x)).alias(m) for m, x in clean.items()], *([line.alias("fold_mae")] if text else []))
 
 
 def run_summary(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

@@ -9,10 +9,11 @@ sees to by the number of clusters (``check_group_rows`` says so early).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.functions.scalars import clip, dot, order_hash
@@ -28,23 +29,73 @@ def start_factors(ids: DataFrame, name: str, rank: int, seed: str) -> DataFrame:
     return ids.select(name, F.array(*[0.1 + 0.03 * x for x in u]).alias("w"))
 
 
-def wnmf(ratings: DataFrame, rank: int = 20, rounds: int = 50, alpha: float = 0.01, beta: float = 0.01, tolerance: float = 1e-4, seed: str = "wnmf", every: int = 10) -> tuple[DataFrame, DataFrame]:
+def spectral_start(cells: DataFrame, rank: int, rounds: int = 4, seed: str = "nnd") -> tuple[DataFrame, DataFrame]:
+    """Absolute left vectors times singular values, and absolute right vectors times singular values, of the users x items table with gaps at the mean.
+
+    The table is never built: it is the mean everywhere plus (rating - mean) where rated, so a product with
+    a thin matrix is a join and a sum. ``rounds`` of subspace iteration over items x rank numbers.
+    """
+    mu = cells.agg(F.avg("rating")).first()[0] or 0.0
+    users, items = cells.select("user_id").distinct(), cells.select("item_id").distinct()
+    thin = start_factors(items, "item_id", rank, f"{seed}0").select("item_id", F.transform("w", lambda x: x - 0.115).alias("q"))
+    diff = cells.select("user_id", "item_id", (F.col("rating") - F.lit(mu)).alias("d"))
+
+    def times(far: DataFrame, near_ids: DataFrame, key: str, other: str, col: str, out: str) -> DataFrame:
+        total = F.broadcast(far.agg(F.array(*[F.sum(F.col(col)[k]) for k in range(rank)]).alias("_t")))
+        own = diff.join(far, other).groupBy(key).agg(F.array(*[F.sum(F.col("d") * F.col(col)[k]) for k in range(rank)]).alias("_o"))
+        met = near_ids.join(own, key, "left").crossJoin(total)
+        return met.select(key, F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), lambda k: F.lit(mu) * F.col("_t")[k] + F.coalesce(F.col("_o")[k], F.lit(0.0))).alias(out))
+
+    def gram(df: DataFrame, col: str) -> np.ndarray:
+        sums = df.agg(*[F.sum(F.col(col)[i] * F.col(col)[j]) for i in range(rank) for j in range(rank)]).first()
+        return np.array(sums, float).reshape(rank, rank)
+
+    def turned(df: DataFrame, key: str, col: str, m: np.ndarray, out: str) -> DataFrame:
+        return df.select(key, F.array(*[dot(F.col(col), F.array(*map(F.lit, m[:, k].tolist()))) for k in range(rank)]).alias(out))
+
+    def orthogonal(df: DataFrame, key: str, col: str) -> DataFrame:
+        values, vectors = np.linalg.eigh(gram(df, col))
+        return turned(df, key, col, vectors / np.sqrt(np.maximum(values, 1e-12)), col)
+
+    thin = orthogonal(cut(thin), "item_id", "q")
+    for _ in range(rounds):
+        wide = cut(times(thin, users, "user_id", "item_id", "q", "p"))
+        thin = cut(orthogonal(times(wide, items, "item_id", "user_id", "p", "q"), "item_id", "q"))
+    wide = cut(times(thin, users, "user_id", "item_id", "q", "p"))
+    values, vectors = np.linalg.eigh(gram(wide, "p"))
+    order = np.argsort(-values)
+    size = np.sqrt(np.maximum(values[order], 0.0))
+    left = turned(wide, "user_id", "p", vectors[:, order], "p").select("user_id", F.transform("p", lambda x: F.greatest(F.abs(x), F.lit(TINY))).alias("p"))
+    right = turned(thin, "item_id", "q", vectors[:, order] * size, "q").select("item_id", F.transform("q", lambda x: F.greatest(F.abs(x), F.lit(TINY))).alias("q"))
+    return left, right
+
+
+def wnmf(
+    ratings: DataFrame, rank: int = 20, rounds: int = 50, alpha: float = 0.01, beta: float = 0.01, tolerance: float = 1e-4, seed: str = "wnmf", every: int = 10, init: str = "hash"
+) -> tuple[DataFrame, DataFrame]:
     """(user_id, p), (item_id, q) by multiplicative updates over observed cells; items are updated before users.
 
-    Stops when the squared error falls by less than ``tolerance`` (relative)
-    between checks, one every ``every`` rounds.
+    Starts from positive hashes or, with ``init="nndsvda"``, from the singular vectors of the table with gaps at
+    the mean. Looks at the loss (squared error and both ridges) after the first round and every ``every`` more, and stops
+    when it moved by less than ``tolerance``.
     """
-    cells = ratings.select("user_id", "item_id", "rating")
-    users = start_factors(cells.select("user_id").distinct(), "user_id", rank, f"{seed}u").withColumnRenamed("w", "p")
-    items = start_factors(cells.select("item_id").distinct(), "item_id", rank, f"{seed}i").withColumnRenamed("w", "q")
+    cells = cut(ratings.select("user_id", "item_id", "rating"))
+    if init == "nndsvda":
+        users, items = spectral_start(cells, rank)
+    elif init == "hash":
+        users = start_factors(cells.select("user_id").distinct(), "user_id", rank, f"{seed}u").withColumnRenamed("w", "p")
+        items = start_factors(cells.select("item_id").distinct(), "item_id", rank, f"{seed}i").withColumnRenamed("w", "q")
+    else:
+        raise ValueError(f"unknown start: {init}")
     last = None
-    for n in range(1, rounds + 1):
+    for n in range(rounds):
         items = cut(update(cells, users, items, "item_id", "q", "p", beta, rank))
         users = cut(update(cells, users, items, "user_id", "p", "q", alpha, rank))
         if n % every == 0:
             e = F.col("rating") - dot(F.col("p"), F.col("q"))
             loss = cells.join(users, "user_id").join(items, "item_id").agg(F.sum(e * e)).first()[0] or 0.0
-            if last is not None and last - loss < tolerance * max(last, TINY):
+            loss += alpha * (users.agg(F.sum(dot(F.col("p"), F.col("p")))).first()[0] or 0.0) + beta * (items.agg(F.sum(dot(F.col("q"), F.col("q")))).first()[0] or 0.0)
+            if last is not None and abs(last - loss) < tolerance:
                 break
             last = loss
     return users, items
@@ -59,16 +110,149 @@ def update(cells: DataFrame, users: DataFrame, items: DataFrame, key: str, own:
     return out.select(key, F.array(*new).alias(own))
 
 
-def als(ratings: DataFrame, targets: DataFrame, rank: int = 20, rounds: int = 10, reg: float = 0.1, non_negative: bool = True, seed: int = 42) -> DataFrame:
-    """The scalable alternative: alternating least squares on rating - mean; what it has not seen gets the mean. Clipped."""
+def als(ratings: DataFrame, targets: DataFrame, rank: int = 20, rounds: int = 10, reg: float = 0.1, non_negative: bool = True, seed: int = 42, offset: Column | None = None) -> DataFrame:
+    """Alternating least squares on rating - mean (on the ratings themselves if factors are non-negative); what it has not seen gets the mean. Clipped.
+
+    Ids of any size: both sides are mapped to dense ones first. With ``offset``, a column that both frames can
+    compute, factors explain what it leaves, and unseen cells get it alone.
+    """
     from pyspark.ml.recommendation import ALS
 
+    from tastemill.operators.prepare import id_map
+
     mu = ratings.agg(F.avg("rating")).first()[0]
-    shift = 0.0 if non_negative else mu
-    as_int = [F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id")]
-    model = ALS(rank=rank, maxIter=rounds, regParam=reg, nonnegative=non_negative, userCol="user_id", itemCol="item_id", ratingCol="r", seed=seed, coldStartStrategy="nan").fit(ratings.select(*as_int, (F.col("rating") - F.lit(shift)).alias("r")))
-    out = model.transform(targets.select(*as_int, "rating"))
-    return out.select("user_id", "item_id", "rating", clip(F.nanvl(F.col("prediction").cast("double") + F.lit(shift), F.lit(mu))).alias("pred"))
+    base = offset if offset is not None else F.lit(0.0 if non_negative else mu)
+    alone = offset if offset is not None else F.lit(mu)
+    u, i = cut(id_map(ratings, "user_id").withColumnRenamed("dense", "_u")), cut(id_map(ratings, "item_id").withColumnRenamed("dense", "_i"))
+
+    def coded(df: DataFrame, how: str) -> DataFrame:
+        return df.join(u, "user_id", how).join(i, "item_id", how)
+
+    train = coded(ratings, "inner").select(F.col("_u").cast("int"), F.col("_i").cast("int"), (F.col("rating") - base).cast("float").alias("r"))
+    model = ALS(rank=rank, maxIter=rounds, regParam=reg, nonnegative=non_negative, userCol="_u", itemCol="_i", ratingCol="r", seed=seed, coldStartStrategy="nan").fit(train)
+    asked = coded(targets, "left").withColumns({"_base": base, "_alone": alone, "_u": F.coalesce("_u", F.lit(-1)).cast("int"), "_i": F.coalesce("_i", F.lit(-1)).cast("int")})
+    out = model.transform(asked)
+    return out.select("user_id", "item_id", "rating", clip(F.coalesce(F.nanvl(F.col("prediction").cast("double"), F.lit(None)) + F.col("_base"), F.col("_alone"))).alias("pred"))
+
+
+def biased(ratings: DataFrame, targets: DataFrame, rank: int = 20, rounds: int = 10, reg: float = 0.1, seed: int = 42, bias_rounds: int = 10) -> DataFrame:
+    """The global biased model at scale: mean, alternating biases of users and items, and least-squares factors of what they leave. Clipped.
+
+    The same model as biased SGD (``sgd`` does that where one task holds the rows), fitted in another way: rounds of
+    joins instead of steps over single ratings, which have an order and so one worker.
+    """
+    from tastemill.operators.prepare import alternating_biases
+
+    cells = cut(ratings.select("user_id", "item_id", "rating"))
+    mu = cells.agg(F.avg("rating")).first()[0] or 0.0
+    b_u, b_i = alternating_biases(cells, bias_rounds)
+    b_u, b_i = cut(b_u), cut(b_i)
+
+    def shifted(df: DataFrame) -> DataFrame:
+        return df.join(b_u, "user_id", "left").join(b_i, "item_id", "left").withColumn("_off", F.lit(mu) + F.coalesce("b_u", F.lit(0.0)) + F.coalesce("b_i", F.lit(0.0)))
+
+    return als(shifted(cells), shifted(targets), rank, rounds, reg, False, seed, F.col("_off"))
+
+
+def probabilistic(ratings: DataFrame, targets: DataFrame, rank: int = 20, rounds: int = 10, sigma_sq: float = 0.5, sigma_u_sq: float = 5.0, seed: int = 42) -> DataFrame:
+    """The maximum of the probabilistic model on rating - mean: least squares with ridge sigma^2 / sigma_U^2. Clipped."""
+    return als(ratings, targets, rank, rounds, sigma_sq / sigma_u_sq, False, seed)
+
+
+@dataclass
+class Factors:
+    """A fitted model: factors of users (user_id, p) and items (item_id, q). What it has not seen has no prediction."""
+
+    users: DataFrame
+    items: DataFrame
+
+    def predict(self, targets: DataFrame, clipped: bool = False) -> DataFrame:
+        x = dot(F.col("p"), F.col("q"))
+        return targets.join(self.users, "user_id").join(self.items, "item_id").select(*targets.columns, (clip(x) if clipped else x).alias("pred"))
+
+    def recommend(self, train: DataFrame, users: DataFrame, n: int = 10) -> DataFrame:
+        """Lists of unseen items by the factors alone."""
+        from tastemill.operators.neighbours import recommend
+
+        return recommend(train, users, self.items.select("item_id"), self.predict, n)
+
+
+def fit_factors(ratings: DataFrame, **how) -> Factors:
+    return Factors(*wnmf(ratings, **how))
+
+
+#: Global models by name: (train, targets, parameters) -> targets with pred.
+MODELS: dict[str, Callable[..., DataFrame]] = {
+    "wnmf": lambda train, targets, n_components=20, alpha=0.01, beta=0.01, rounds=20, init="hash": fit_factors(train, rank=n_components, alpha=alpha, beta=beta, rounds=rounds, init=init).predict(targets),
+    "svd": lambda train, targets, n_components=20, reg=0.1, rounds=10: biased(train, targets, n_components, rounds, reg),
+    "pmf": lambda train, targets, n_components=20, sigma_sq=0.5, sigma_U_sq=5.0, rounds=10: probabilistic(train, targets, n_components, rounds, sigma_sq, sigma_U_sq),
+}
+
+
+def get_model(name: str) -> Callable[..., DataFrame]:
+    try:
+        return MODELS[name.strip().lower()]
+    except KeyError:
+        raise ValueError(f"unknown model: {name}") from None
+
+
+def tuning_objective(ratings: DataFrame, model: str, bounds: dict[str, tuple[float, float]], fixed: dict | None = None, seed: str = "s5") -> Callable[[np.ndarray], np.ndarray]:
+    """Validation error (mean absolute) of points of the unit box; without ratings 10. One fit a point."""
+    from tastemill.functions.scalars import decode_unit
+    from tastemill.operators.splits import tuning_slice
+
+    cells = cut(tuning_slice(ratings.select("user_id", "item_id", "rating"), seed))
+    train, valid = cells.where("NOT is_valid").drop("is_valid"), cells.where("is_valid").drop("is_valid")
+    empty, fit = valid.isEmpty(), get_model(model)
+
+    def score(population: np.ndarray) -> np.ndarray:
+        out = []
+        for x in np.atleast_2d(population):
+            if empty:
+                out.append(10.0)
+                continue
+            done = valid.join(fit(train, valid, **{**(fixed or {}), **decode_unit(x.tolist(), bounds)}).select("user_id", "item_id", "pred"), ["user_id", "item_id"], "left")
+            out.append(done.agg(F.avg(F.abs(F.coalesce("pred", F.lit(0.0)) - F.col("rating")))).first()[0])
+        return np.array(out)
+
+    return score
+
+
+def tune(ratings: DataFrame, model: str, bounds: dict[str, tuple[float, float]], optimizer: str = "PSO", size: int = 4, epochs: int = 3, seed: int = 42, fixed: dict | None = None) -> tuple[dict[str, float], float]:
+    """(parameters, error) of the best point that a population search finds."""
+    from tastemill.functions.scalars import decode_unit
+    from tastemill.operators.search import get_optimizer
+
+    d = len(bounds)
+    r = get_optimizer(optimizer)(tuning_objective(ratings, model, bounds, fixed), np.zeros(d), np.ones(d), size, epochs, seed)
+    return decode_unit(r.best.tolist(), bounds), r.fitness
+
+
+def gray_models(train: DataFrame, targets: DataFrame, solve: Callable, least: int = 5) -> DataFrame:
+    """All gray users (is_gray) as one more group with a model of its own; fewer than ``least`` rows give no predictions."""
+    dark = lambda df: df.where("is_gray").withColumn("cluster_id", F.lit(-1).cast("long"))
+    return per_cluster(dark(train), dark(targets), solve, least)
+
+
+def gray_shared(train: DataFrame, targets: DataFrame, items: DataFrame, rank: int, ridge: float = 0.1) -> DataFrame:
+    """The same on fixed item factors."""
+    dark = lambda df: df.where("is_gray").withColumn("cluster_id", F.lit(-1).cast("long"))
+    return shared_items(dark(train).drop("is_gray"), dark(targets), items, rank, ridge)
+
+
+def cluster_profiles(users: DataFrame, labels: DataFrame, rank: int) -> DataFrame:
+    """cluster_id, p_k: the mean factor of a cluster's users, for users without factors."""
+    return users.join(labels.select("user_id", "cluster_id"), "user_id").groupBy("cluster_id").agg(F.array(*[F.avg(F.col("p")[k]) for k in range(rank)]).alias("p_k"))
+
+
+def blended(targets: DataFrame, profiles: DataFrame, items: DataFrame, members: DataFrame, labels: DataFrame, base: Column | None = None) -> DataFrame:
+    """Users without factors: predictions of the clusters' profiles weighted by membership (user_id, cluster_id, w); without a positive weight, that of the user's own cluster. Clipped."""
+    shift = base if base is not None else F.lit(0.0)
+    met = targets.join(items, "item_id")
+    each = met.join(members, "user_id").join(profiles, "cluster_id").select(*targets.columns, "cluster_id", (dot(F.col("p_k"), F.col("q")) + shift).alias("pred"))
+    soft = soft_blend(each, members).select("user_id", "item_id", F.col("pred").alias("_soft"))
+    hard = met.join(labels.select("user_id", "cluster_id"), "user_id").join(profiles, "cluster_id").select(*targets.columns, (dot(F.col("p_k"), F.col("q")) + shift).alias("_hard"))
+    return hard.join(soft, ["user_id", "item_id"], "left").select(*targets.columns, clip(F.coalesce("_soft", "_hard")).alias("pred"))
 
 
 def sgd(u: np.ndarray, i: np.ndarray, r: np.ndarray, rank: int, epochs: int, lr: float, reg: float, seed: int, biased: bool = True, precision: float = 1.0):
@@ -94,7 +278,7 @@ def sgd(u: np.ndarray, i: np.ndarray, r: np.ndarray, rank: int, epochs: int, lr:
 def check_group_rows(ratings: DataFrame, key: str) -> None:
     worst = ratings.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     if worst > GROUP_ROWS:
-        raise ValueError(f"a group of {worst} rows is too large for one task: use more clusters, or the global models")
+        raise ValueError(f"a group of {worst} rows is too large for one task: use more clusters, ``shared_items`` or the global models, which have no such bound")
 
 
 def per_cluster(train: DataFrame, targets: DataFrame, solve: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], least: int = 5) -> DataFrame:

@@ -70,6 +70,14 @@ def item_fallback(train: DataFrame, targets: DataFrame) -> DataFrame:
     return met.select(*targets.columns, clip(F.coalesce("item_mean", "mean", "mu")).alias("pred"))
 
 
+def item_fallback_plain(train: DataFrame, targets: DataFrame, clipped: bool = False) -> DataFrame:
+    """Mean of the item, else of the user, else 0."""
+    items = train.groupBy("item_id").agg(F.avg("rating").alias("_item"))
+    met = targets.join(items, "item_id", "left").join(user_means(train), "user_id", "left")
+    pred = F.coalesce("_item", "mean", F.lit(0.0))
+    return met.select(*targets.columns, (clip(pred) if clipped else pred).alias("pred"))
+
+
 def routed(white: DataFrame, gray: DataFrame, mask: DataFrame) -> DataFrame:
     """Predictions of ``gray`` for masked users, of ``white`` for the others. Each branch sees only its own users."""
     return white.join(mask.where("NOT is_gray"), "user_id", "left_semi").unionByName(gray.join(mask.where("is_gray"), "user_id", "left_semi"))
@@ -89,11 +97,6 @@ def top_n(scored: DataFrame, n: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, n)).select("user_id", F.col("rank").cast("long").alias("rank"), "item_id", r6(F.col("pred")).alias("pred"))
 
 
-def unseen(train: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """Items that a user has not rated. Both lists meet by broadcast of the item ids, which the caller bounds."""
-    return users.select("user_id").crossJoin(F.broadcast(items.select("item_id"))).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-
-
 def top_n_unseen_by_cluster(train: DataFrame, assignment: DataFrame, n: int = 10) -> DataFrame:
     """Top n unseen items by the mean of the cluster.
 

@@ -21,11 +21,14 @@ def id_map(df: DataFrame, name: str) -> DataFrame:
     """Old id and its dense position by sorted distinct id.
 
     Positions come from ranks inside range partitions on top of the sizes of the
-    partitions before, so no single task sorts all ids.
+    partitions before, so no single task sorts all ids. The partition of an id is
+    fixed by a checkpoint before it is used twice.
     """
-    ids = df.select(name).distinct().repartitionByRange(name).select(name, F.spark_partition_id().alias("_p"))
+    from tastemill.operators.iterate import cut
+
+    ids = cut(df.select(name).distinct().repartitionByRange(name).select(name, F.spark_partition_id().alias("_p")))
     inside = ids.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(name)))
-    sizes = inside.groupBy("_p").agg(F.max("_n").alias("_size"))
+    sizes = ids.groupBy("_p").agg(F.count("*").alias("_size"))
     before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return inside.join(F.broadcast(before), F.col("_p") == F.col("_q")).select(name, (F.col("_before") + F.col("_n") - 1).cast("long").alias("dense"))
 
@@ -115,14 +118,44 @@ def normalize(df: DataFrame, how: str) -> DataFrame:
     if how in ("global_mean", "zscore"):
         stats = F.broadcast(df.agg(F.avg("rating").alias("_m"), F.stddev_pop("rating").alias("_s")))
         met = df.crossJoin(stats)
-    elif how in ("user_mean", "user_mean_center", "user_zscore"):
+    elif how in ("user_mean", "user_mean_center", "user_zscore", "zscore_guarded"):
         met = df.join(df.groupBy("user_id").agg(F.avg("rating").alias("_m"), F.stddev_pop("rating").alias("_s")), "user_id")
     else:
         raise ValueError(f"unknown normalization: {how}")
-    scale = F.when(F.col("_s") > TINY, F.col("_s")).otherwise(1.0) if how in ("zscore", "user_zscore") else F.lit(1.0)
+    least = 0.0 if how == "zscore_guarded" else TINY  # the guarded form only centres where the deviation is exactly 0
+    scale = F.when(F.col("_s") > least, F.col("_s")).otherwise(1.0) if how in ("zscore", "user_zscore", "zscore_guarded") else F.lit(1.0)
     return met.withColumn("z", (F.col("rating") - F.col("_m")) / scale).drop("_m", "_s")
 
 
+def scale_state(df: DataFrame, how: str) -> DataFrame:
+    """user_id, _shift, _scale of a normalization, to be applied to rows that it was not fitted on and taken back from predictions."""
+    own = df.groupBy("user_id").agg(F.avg("rating").alias("_m"), F.stddev_pop("rating").alias("_s"))
+    if how in ("global_mean", "zscore"):
+        whole = F.broadcast(df.agg(F.avg("rating").alias("_m"), F.stddev_pop("rating").alias("_s")))
+        own = own.select("user_id").crossJoin(whole)
+    elif how not in ("user_mean", "user_mean_center", "user_zscore", "zscore_guarded"):
+        raise ValueError(f"unknown normalization: {how}")
+    least = 0.0 if how == "zscore_guarded" else TINY
+    scale = F.when(F.col("_s") > least, F.col("_s")).otherwise(1.0) if how in ("zscore", "user_zscore", "zscore_guarded") else F.lit(1.0)
+    return own.select("user_id", F.col("_m").alias("_shift"), scale.alias("_scale"))
+
+
+def apply_scale(df: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows on the scale of ``state``; users that it lacks keep theirs."""
+    z = (F.col("rating") - F.coalesce("_shift", F.lit(0.0))) / F.coalesce("_scale", F.lit(1.0))
+    return df.join(state, "user_id", "left").withColumn("rating", z).drop("_shift", "_scale")
+
+
+def remove_biases(df: DataFrame) -> DataFrame:
+    """Rows less mean and one-shot biases of users and items, which ``add_biases`` puts back."""
+    b = biases(df)
+    return b.select("user_id", "item_id", (F.col("rating") - F.col("mu") - F.col("b_u") - F.col("b_i")).alias("rating"), "mu", "b_u", "b_i")
+
+
+def add_biases(df: DataFrame, value: str = "rating") -> DataFrame:
+    return df.withColumn(value, F.col(value) + F.col("mu") + F.col("b_u") + F.col("b_i")).drop("mu", "b_u", "b_i")
+
+
 def biases(df: DataFrame) -> DataFrame:
     """One shot: mu, mean of user - mu, mean of item - mu, with every rating."""
     mu = F.broadcast(df.agg(F.avg("rating").alias("mu")))
@@ -135,6 +168,7 @@ def alternating_biases(df: DataFrame, rounds: int = 10) -> tuple[DataFrame, Data
     """(user_id, b_u) and (item_id, b_i): means of what the other side leaves, users first."""
     from tastemill.operators.iterate import cut
 
+    df = cut(df.select("user_id", "item_id", "rating"))  # read once, not in every round
     mu = df.agg(F.avg("rating")).first()[0] or 0.0
     b_i = df.select("item_id").distinct().withColumn("b_i", F.lit(0.0))
     b_u = None
@@ -155,3 +189,13 @@ def column_z(df: DataFrame, names: list[str]) -> DataFrame:
     stats = df.agg(*[F.avg(c).alias(f"{c}_m") for c in names], *[F.stddev_pop(c).alias(f"{c}_s") for c in names])
     met = df.crossJoin(F.broadcast(stats))
     return met.select(*[c for c in df.columns if c not in names], *[ratio(F.col(c) - F.col(f"{c}_m"), F.col(f"{c}_s"), 0.0).alias(c) for c in names])
+
+
+def project(df: DataFrame, name: str, n: int, d: int, seed: int = 42) -> DataFrame:
+    """The array column ``name`` of n features times a normal n x d matrix of variance 1 / (n d), the same for one seed."""
+    import numpy as np
+
+    from tastemill.functions.scalars import dot
+
+    w = np.random.RandomState(seed).normal(0, np.sqrt(1 / (n * d)), (n, d))
+    return df.withColumn(name, F.array(*[dot(F.col(name), F.array(*map(F.lit, w[:, k].tolist()))) for k in range(d)]))

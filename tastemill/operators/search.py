@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ class Result:
     best: np.ndarray
     fitness: float
     history: list[float] = field(default_factory=list)
+    population: np.ndarray | None = None
 
 
 def clustering_objective(df: DataFrame, k: int, d: int, penalty: float = 1000.0) -> Objective:
@@ -92,7 +94,7 @@ class Search:
         self.x[better], self.y[better] = new[better], y[better]
 
     def result(self) -> Result:
-        return Result(self.best, self.fitness, self.history)
+        return Result(self.best, self.fitness, self.history, self.x)
 
 
 def pso(objective, low, high, size=30, epochs=100, seed=42, start=None, w=0.7, c1=1.5, c2=1.5) -> Result:
@@ -126,29 +128,31 @@ def gwo(objective, low, high, size=30, epochs=100, seed=42, start=None) -> Resul
     return s.result()
 
 
-def doa(objective, low, high, size=30, epochs=100, seed=42, start=None) -> Result:
-    """Dholes: searching, encircling and attacking, by the number of the pack; positions change on strict improvement."""
+def doa(objective, low, high, size=30, epochs=100, seed=42, start=None, c1=1.0, middle=25.0, steep=0.5, c3=3.0, surroundings=1.0) -> Result:
+    """Dholes: a pack of one size each generation; half of the dholes search (small pack) or encircle (large one), the others attack.
+
+    The prey is the middle of the best now and the best ever. Positions change on strict improvement.
+    """
     s = Search(objective, low, high, size, seed, start)
-    own, own_y = s.x.copy(), s.y.copy()
+    n, d = s.x.shape
     for t in range(1, epochs + 1):
-        c1 = 1 - t / epochs  # from far moves to near ones
-        prey = (own[int(own_y.argmin())] + s.best) / 2
-        f_prey = max(float(own_y.min()), 1e-12)
-        new = s.x.copy()
-        for n in range(len(new)):
-            pack = round(15 * s.draw.rand() + 5)
-            strength = (c1 / (1 + np.exp(0.5 * (pack - 10)))) ** 2
-            if s.draw.rand() < 0.5 and pack < 10:
-                new[n] = s.x[n] + c1 * s.draw.rand() * (prey - s.x[n]) + strength * s.draw.normal(0, 1, len(low))
-            elif pack >= 10:
-                new[n] = s.x[n] - s.x[s.draw.randint(len(new))] + prey
-            else:
-                size_ratio = 3 * s.draw.rand() * s.y[n] / f_prey
-                turn = 2 * np.pi * s.draw.rand(len(low))
-                new[n] = s.x[n] + np.exp(-1 / max(size_ratio, 1e-12)) * prey * (np.cos(turn) - np.sin(turn)) * strength if size_ratio > 2 else (s.x[n] - prey) * strength + strength * s.draw.rand() * s.x[n]
-        s.greedy(new)
-        better = s.y < own_y
-        own[better], own_y[better] = s.x[better], s.y[better]
+        pack = round(15 * s.draw.rand() + 5)
+        strength = (c1 / (1 + np.exp(steep * (pack - middle)))) ** 2 * surroundings
+        local, best = s.x[int(s.y.argmin())].copy(), s.best.copy()
+        prey = (local + best) / 2
+        f_prey = s.fitness if abs(s.fitness) > 1e-10 else 1e-10
+        calls = s.draw.rand(n, 1) < 0.5
+        if pack < 10:
+            calm = s.x + (1 - t / epochs) * s.draw.rand(n, d) * (prey - s.x)
+        else:
+            other = (np.arange(n) + s.draw.randint(1, max(n, 2), n)) % n  # any dhole but oneself
+            calm = s.x - s.x[other] + prey
+        size_ratio = c3 * s.draw.rand(n, 1) * s.y[:, None] / f_prey
+        weak = np.exp(-1 / np.where(size_ratio > 0, size_ratio, 1.0)) * local
+        turn = np.cos(2 * np.pi * s.draw.rand(n, d)) - np.sin(2 * np.pi * s.draw.rand(n, d))
+        large = s.x + weak * strength * turn * weak * strength
+        small = (s.x - best) * strength + strength * s.draw.rand(n, d) * s.x
+        s.greedy(np.where(calls, calm, np.where(size_ratio > (c3 + 1) / 2, large, small)))
         s.history.append(s.fitness)
     return s.result()
 
@@ -162,10 +166,19 @@ def de(objective, low, high, size=30, epochs=100, seed=42, start=None, scale=0.8
     return s.result()
 
 
+def donors(s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each point three others, all different and none the point itself (drawn with repeats only from fewer than four points)."""
+    n = len(s.x)
+    if n < 4:
+        return tuple(s.x[s.draw.randint(n, size=n)] for _ in range(3))
+    order = np.argsort(s.draw.rand(n, n - 1), axis=1)[:, :3]
+    order += order >= np.arange(n)[:, None]  # skips the point
+    return s.x[order[:, 0]], s.x[order[:, 1]], s.x[order[:, 2]]
+
+
 def mutate(s: Search, x: np.ndarray, scale: float, rate: float) -> np.ndarray:
-    n = len(x)
-    a, b, c = (s.x[s.draw.permutation(n)] for _ in range(3))
-    return np.where(s.draw.rand(*x.shape) < rate, a + scale * (b - c), x)
+    a, b, c = donors(s)
+    return np.where(s.draw.rand(*x.shape) < rate, np.clip(a + scale * (b - c), s.low, s.high), x)
 
 
 def hho_step(s: Search, t: int, epochs: int) -> np.ndarray:
@@ -188,24 +201,115 @@ def hho(objective, low, high, size=30, epochs=100, seed=42, start=None) -> Resul
 
 
 def de_hho(objective, low, high, size=30, epochs=100, seed=42, start=None, scale=0.5, rate=0.9) -> Result:
-    """Each generation a hawk step, then rand/1/bin on what it gave; greedy."""
+    """Each generation a hawk step, which is scored and kept where better, then rand/1/bin on what it left; greedy."""
     s = Search(objective, low, high, size, seed, start)
     for t in range(epochs):
-        s.greedy(mutate(s, np.clip(hho_step(s, t, epochs), low, high), scale, rate))
+        s.greedy(hho_step(s, t, epochs))
+        s.greedy(mutate(s, s.x, scale, rate))
+        s.history.append(s.fitness)
+    return s.result()
+
+
+def mfo(objective, low, high, size=30, epochs=100, seed=42, start=None) -> Result:
+    """Moths fly in spirals around flames, the best places so far, of which fewer and fewer are left (Mirjalili, 2015)."""
+    s = Search(objective, low, high, size, seed, start)
+    flames, light = s.x[np.argsort(s.y, kind="stable")], np.sort(s.y, kind="stable")
+    for t in range(epochs):
+        left = round(size - (t + 1) * (size - 1) / max(1, epochs))
+        way = (-2 - t / max(1, epochs)) * s.draw.rand(*s.x.shape) + 1
+        flame = flames[np.minimum(np.arange(size), left - 1)]
+        s.x = np.clip(np.abs(flame - s.x) * np.exp(way) * np.cos(2 * np.pi * way) + flame, low, high)
+        s.y = objective(s.x)
+        s.note(s.x, s.y)
+        every, lights = np.vstack([flames, s.x]), np.append(light, s.y)
+        order = np.argsort(lights, kind="stable")[:size]
+        flames, light = every[order], lights[order]
+        s.history.append(s.fitness)
+    return s.result()
+
+
+def woa(objective, low, high, size=30, epochs=100, seed=42, start=None) -> Result:
+    """Whales encircle the best, swim to any other one, or blow bubbles in a spiral (Mirjalili and Lewis, 2016)."""
+    s = Search(objective, low, high, size, seed, start)
+    for t in range(epochs):
+        a = 2 - 2 * t / max(1, epochs)
+        big = 2 * a * s.draw.rand(size, 1) - a
+        goal = np.where(np.abs(big) < 1, s.best, s.x[s.draw.randint(size, size=size)])
+        ring = goal - big * np.abs(2 * s.draw.rand(size, 1) * goal - s.x)
+        way = s.draw.uniform(-1, 1, (size, 1))
+        spiral = np.abs(s.best - s.x) * np.exp(way) * np.cos(2 * np.pi * way) + s.best
+        s.greedy(np.where(s.draw.rand(size, 1) < 0.5, ring, spiral))
+        s.history.append(s.fitness)
+    return s.result()
+
+
+def goa(objective, low, high, size=30, epochs=100, seed=42, start=None) -> Result:
+    """Grasshoppers keep a comfortable distance from each other and drift to the best (Saremi et al., 2017)."""
+    s = Search(objective, low, high, size, seed, start)
+    for t in range(epochs):
+        c = 1 - t * (1 - 4e-5) / max(1, epochs)
+        gap = s.x[None, :, :] - s.x[:, None, :]
+        far = np.sqrt((gap * gap).sum(2, keepdims=True)) + 1e-12
+        near = 2 + far % 2  # distances are mapped to [2, 4)
+        force = (0.5 * np.exp(-near / 1.5) - np.exp(-near)) * gap / far
+        s.greedy(c * (c * (np.asarray(high) - np.asarray(low)) / 2 * force.sum(1)) + s.best)
+        s.history.append(s.fitness)
+    return s.result()
+
+
+def ssa(objective, low, high, size=30, epochs=100, seed=42, start=None, safe=0.8, lead=0.2, scouts=0.1) -> Result:
+    """Sparrows: producers search, scroungers follow, scouts flee (Xue and Shen, 2020)."""
+    s = Search(objective, low, high, size, seed, start)
+    for _ in range(epochs):
+        order = np.argsort(s.y, kind="stable")
+        x, new = s.x[order], s.x[order].copy()
+        n1 = max(1, int(lead * size))
+        calm = s.draw.rand() < safe
+        new[:n1] = x[:n1] * np.exp(-np.arange(1, n1 + 1)[:, None] / (s.draw.rand(n1, 1) * epochs + 1e-12)) if calm else x[:n1] + s.draw.normal(0, 1, (n1, 1))
+        rest = np.arange(n1, size)
+        hungry = s.draw.normal(0, 1, (len(rest), 1)) * np.exp((x[-1] - x[rest]) / (rest[:, None] + 1.0) ** 2)
+        follow = new[0] + np.abs(x[rest] - new[0]) * np.sign(s.draw.uniform(-1, 1, (len(rest), 1))) / x.shape[1]
+        new[rest] = np.where(rest[:, None] > size / 2, hungry, follow)
+        who = s.draw.permutation(size)[: max(1, int(scouts * size))]
+        new[who] = s.best + s.draw.normal(0, 1, (len(who), 1)) * np.abs(x[who] - s.best)
+        back = np.empty_like(new)
+        back[order] = new
+        s.greedy(back)
+        s.history.append(s.fitness)
+    return s.result()
+
+
+def ga(objective, low, high, size=30, epochs=100, seed=42, start=None, cross=0.9, change=0.05, elite=0.1) -> Result:
+    """Genetic: tournaments of two, arithmetic crossover, uniform mutation; the best tenth stays."""
+    s = Search(objective, low, high, size, seed, start)
+    for _ in range(epochs):
+        first, second = (s.draw.randint(size, size=(2, size)) for _ in range(2))
+        pick = lambda pair: s.x[np.where(s.y[pair[0]] <= s.y[pair[1]], pair[0], pair[1])]  # noqa: B023, E731
+        a, b, w = pick(first), pick(second), s.draw.rand(size, 1)
+        child = np.where(s.draw.rand(size, 1) < cross, w * a + (1 - w) * b, a)
+        child = np.where(s.draw.rand(*child.shape) < change, s.draw.uniform(low, high, child.shape), child)
+        keep = np.argsort(s.y, kind="stable")[: max(1, int(elite * size))]
+        child[: len(keep)] = s.x[keep]
+        s.x = np.clip(child, low, high)
+        s.y = objective(s.x)
+        s.note(s.x, s.y)
         s.history.append(s.fitness)
     return s.result()
 
 
-SINGLE: dict[str, Callable[..., Result]] = {"PSO": pso, "GWO": gwo, "DOA": doa, "DE": de, "HHO": hho, "DE-HHO": de_hho}
+SINGLE: dict[str, Callable[..., Result]] = {"PSO": pso, "GWO": gwo, "DOA": doa, "DE": de, "HHO": hho, "DE-HHO": de_hho, "MFO": mfo, "WOA": woa, "GOA": goa, "SSA": ssa, "GA": ga}
 
 
 def get_optimizer(name: str) -> Callable[..., Result]:
-    """A single algorithm, ``A+B`` (A, then B around its best) or ``A||B`` (the better of two)."""
+    """A single algorithm, ``A+B`` (A, then B around its best), ``A+GAop`` (A with crossover and mutation between) or ``A||B`` (the better of two)."""
     if "||" in name:
         first, second = (get_optimizer(x.strip()) for x in name.split("||"))
         return lambda *a, **b: min((first(*a, **b), second(*a, **b)), key=lambda r: r.fitness)  # ties: the first
     if "+" in name:
-        first, second = (get_optimizer(x.strip()) for x in name.split("+"))
+        one, other = (x.strip() for x in name.split("+"))
+        if other.upper() == "GAOP":
+            return partial(memetic, get_optimizer(one))
+        first, second = get_optimizer(one), get_optimizer(other)
         return lambda *a, **b: sequential(first, second, *a, **b)
     try:
         return SINGLE[name.upper()]
@@ -222,26 +326,35 @@ def sequential(first, second, objective, low, high, size=30, epochs=100, seed=42
     return Result(b.best, b.fitness, a.history + b.history) if b.fitness < a.fitness else Result(a.best, a.fitness, a.history + b.history)
 
 
-def memetic(step, objective, low, high, size=30, epochs=100, seed=42, start=None, every=10) -> Result:
-    """Every ``every`` epochs arithmetic crossover that replaces the worse parent if better, and a mutation of 5 % of the range."""
+def memetic(step, objective, low, high, size=30, epochs=100, seed=42, start=None, every=10, crossed=0.3, mutated=0.1) -> Result:
+    """Every ``every`` epochs some pairs cross (the child replaces the worse parent if better than it) and some points move by 5 % of the range, if better."""
     draw = np.random.RandomState(seed)
-    now, best, history, done = start, None, [], 0
+    x, best, history, done = start, None, [], 0
     while done < epochs:
         n = min(every, epochs - done)
-        r = step(objective, low, high, size, n, seed + done, now)
-        history += r.history
-        if best is None or r.fitness < best.fitness:
-            best = r
-        s = Search(objective, low, high, size, seed + done + 1, np.vstack([best.best, draw.uniform(low, high, (size - 1, len(low)))]) if now is None else now)
-        alpha = draw.uniform(0.3, 0.7, (size, 1))
-        mate = draw.permutation(size)
-        s.greedy(alpha * s.x + (1 - alpha) * s.x[mate])
-        s.greedy(s.x + draw.normal(0, 0.05, s.x.shape) * (high - low))
-        s.x[int(s.y.argmax())] = best.best
-        now, done = s.x, done + n
-        if s.fitness < best.fitness:
-            best = Result(s.best, s.fitness)
-    return Result(best.best, best.fitness, history)
+        r = step(objective, low, high, size, n, seed + done, x)
+        history += r.history[1 if history else 0 :]
+        best = r if best is None or r.fitness < best.fitness else best
+        done += n
+        x = np.vstack([r.best, np.clip(r.best + draw.normal(0, 0.02, (size - 1, len(low))) * (high - low), low, high)]) if r.population is None else r.population.copy()
+        if done >= epochs:
+            break
+        y = objective(x)
+        who = draw.permutation(size)[: 2 * min(size // 2, max(1, int(size * crossed)))]
+        one, two = who[0::2], who[1::2]
+        alpha = draw.uniform(0.3, 0.7, (len(one), 1))
+        child = np.clip(alpha * x[one] + (1 - alpha) * x[two], low, high)
+        worse, fresh = np.where(y[one] > y[two], one, two), objective(child)
+        better = fresh < y[worse]
+        x[worse[better]], y[worse[better]] = child[better], fresh[better]
+        who = draw.permutation(size)[: max(1, int(size * mutated))]
+        child = np.clip(x[who] + draw.normal(0, 0.05, (len(who), len(low))) * (high - low), low, high)
+        fresh = objective(child)
+        better = fresh < y[who]
+        x[who[better]], y[who[better]] = child[better], fresh[better]
+        if y.min() < best.fitness:
+            best = Result(x[int(y.argmin())].copy(), float(y.min()))
+    return Result(best.best, best.fitness, history, x)
 
 
 def gwo_pso(objective, low, high, size=30, epochs=100, seed=42, start=None, pull=1e-9) -> Result:
@@ -249,7 +362,7 @@ def gwo_pso(objective, low, high, size=30, epochs=100, seed=42, start=None, pull
     a = gwo(objective, low, high, size, max(1, epochs // 2), seed, start)
     near = lambda p: objective(p) + pull * np.sqrt(((p - a.best) ** 2).sum(1))
     b = pso(near, low, high, size, max(1, epochs - epochs // 2), seed + 1, a.best[None])
-    return b if b.fitness < a.fitness else a
+    return b if b.fitness <= a.fitness else a
 
 
 SINGLE["GWO-PSO"] = gwo_pso

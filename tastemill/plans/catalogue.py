@@ -875,3 +875,6 @@ def _search(name: str):
 
 for _name in ("PSO", "DOA", "DE-HHO", "GWO+PSO", "GWO||PSO"):
     _search(_name)
+
+
+from tastemill.plans import catalogue_more  # noqa: E402, F401  (it registers its queries here)

@@ -16,8 +16,9 @@ class Store:
 
     TABLES = {
         "runs": "id long, command string, dataset string, k long, scenario string, preprocessing string, note string, status string, at timestamp",
-        "assignments": "id long, dataset string, algo string, k long, preprocessing string, run_id long, wcss double, gray_count long, n_users long, created_at timestamp",
-        "wnmf_results": "assignment_id long, run_id long, scenario string, cv_fold long, mae double, rmse double",
+        "assignments": "id long, dataset string, algo string, k long, preprocessing string, run_id long, seed long, wcss double, gray_count long, gray_ratio double, n_users long, cluster_min long, cluster_max long, cluster_avg double, created_at timestamp",
+        "wnmf_results": "assignment_id long, run_id long, scenario string, cv_fold long, mae double, rmse double, created_at timestamp",
+        "labels": "assignment_id long, user_id long, cluster_id long, is_gray boolean, score double",
         "behaviour": "run_num long, algorithm string, final_wcss double, convergence_speed double, exploration_ratio double, category string",
     }
 
@@ -53,6 +54,48 @@ class Store:
         row = latest(self.read("runs"), "id", F.col("at")).where(F.col("id") == run)
         self.append("runs", row.withColumns({"status": F.lit(status), "at": F.current_timestamp()}))
 
+    def save_assignment(self, labels: DataFrame, dataset: str, algo: str, k: int, preprocessing: str = "none", run_id: int | None = None, seed: int | None = None, wcss: float | None = None) -> int:
+        """Labels (user_id, cluster_id, is_gray, score) and one row of their statistics; clusters without white users count for none. Returns the id."""
+        new = last_id(self.read("assignments")) + 1
+        self.append("labels", labels.select(F.lit(new).cast("long").alias("assignment_id"), "user_id", "cluster_id", "is_gray", F.col("score").cast("double").alias("score")))
+        per = labels.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_if("is_gray").alias("g"))
+        white = F.when(F.col("n") > F.col("g"), F.col("n") - F.col("g"))
+        out = per.agg(F.coalesce(F.sum("g"), F.lit(0)).alias("gray_count"), (F.sum("g") / F.sum("n")).alias("gray_ratio"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_users"), F.min(white).alias("cluster_min"), F.max(white).alias("cluster_max"), F.avg(white).alias("cluster_avg"))
+        fixed = [("id", new, "long"), ("dataset", dataset, "string"), ("algo", algo, "string"), ("k", k, "long"), ("preprocessing", preprocessing, "string"), ("run_id", run_id, "long"), ("seed", seed, "long"), ("wcss", wcss, "double")]
+        self.append("assignments", out.select(*[F.lit(v).cast(t).alias(c) for c, v, t in fixed], *out.columns, F.current_timestamp().alias("created_at")))
+        return new
+
+    def labels(self, assignment_id: int) -> DataFrame:
+        return self.read("labels").where(F.col("assignment_id") == assignment_id).drop("assignment_id")
+
+    def save_result(self, dataset: str, algo: str, k: int, preprocessing: str, scenario: str, assignment_id: int | None = None, run_id: int | None = None, **metrics) -> int | None:
+        """A result row of the given assignment, else of the best one of the key (none: null). Returns the id it was given."""
+        if assignment_id is None:
+            assignment_id = resolve_assignment(self.read("assignments"), dataset, algo, k, preprocessing)
+        row = [("assignment_id", assignment_id, "long"), ("run_id", run_id, "long"), ("scenario", scenario, "string")]
+        row += [(m, v, "string" if isinstance(v, str) else "long" if m in ("cv_fold", "n_train", "n_test") else "double") for m, v in metrics.items()]
+        one = self.spark.range(1).select(*[F.lit(v).cast(t).alias(c) for c, v, t in row], F.current_timestamp().alias("created_at"))
+        self.append("wnmf_results", one)
+        return assignment_id
+
+    def save_behaviour(self, rows: DataFrame) -> None:
+        self.append("behaviour", rows.select(*[x.split()[0] for x in self.TABLES["behaviour"].split(", ")]))
+
+    def create(self, recreate: bool = False) -> None:
+        """Empty tables; those that hold rows are never replaced."""
+        for name, schema in self.TABLES.items():
+            if self.exists(name):
+                if recreate and self.has_rows(name):
+                    raise RuntimeError(f"{name} holds rows and stays as it is")
+                continue
+            self.spark.createDataFrame([], schema).write.parquet(f"{self.root}/{name}")
+
+    def listing(self) -> str:
+        """The assignments there are, by key, as text."""
+        from tastemill.plans.reports import text_table
+
+        return text_table(list_assignments(self.read("assignments")))
+
     def runs(self) -> DataFrame:
         return latest(self.read("runs"), "id", F.struct("at", (F.col("status") != "running")))
 
@@ -90,6 +133,26 @@ def assignment_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def list_assignments(df: DataFrame, where: Column | None = None) -> DataFrame:
+    """Per key its runs, least, largest and mean WCSS and last time, in order of data set, k, preprocessing and least WCSS."""
+    df = df if where is None else df.where(where)
+    out = df.groupBy(*KEY).agg(F.count("*").alias("n_runs"), F.min("wcss").alias("wcss_min"), F.max("wcss").alias("wcss_max"), F.avg("wcss").alias("wcss_avg"), F.max("created_at").alias("last_run"))
+    return out.orderBy("dataset", "k", "preprocessing", F.asc_nulls_last("wcss_min"), "algo")
+
+
+def resolve_assignment(df: DataFrame, dataset: str, algo: str, k: int, preprocessing: str) -> int | None:
+    """The id of the best assignment of a key."""
+    own = df.where((F.col("dataset") == dataset) & (F.col("algo") == algo) & (F.col("k") == k) & (F.col("preprocessing") == preprocessing))
+    row = best_assignment(own).select("id").first()
+    return row["id"] if row else None
+
+
+def resolved(results: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Result rows by key with an assignment_id of their own or, where that is null, the best one of the key."""
+    best = best_assignment(assignments).select(*KEY, F.col("id").alias("_best"))
+    return results.join(best, list(KEY), "left").withColumn("assignment_id", F.coalesce("assignment_id", "_best")).drop("_best")
+
+
 def prioritized(df: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per (dataset, algo, k) the best assignment of the first candidate preprocessing (preprocessing, ordinal) that has one."""
     met = best_assignment(df).join(F.broadcast(candidates), "preprocessing")
