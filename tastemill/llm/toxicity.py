@@ -8,12 +8,12 @@ plain TF-IDF the neighbours of a text are those of its topic, whatever their lab
 Document frequencies are counted over all documents. Words are known by a stable
 64-bit hash.
 
-Examples lie in blocks of ``BLOCK``, those with the same weightiest word together. Of
-each word and block the index knows the largest weight; summed over the words of a
-text, these bound the cosine of any example inside. The blocks with the highest
-bounds are read first; then all whose bound reaches the k-th best so far are, and
-no others, so the neighbours are exact. Their votes, weighted by cosine, are
-mapped to rates seen on the labelled texts themselves (each scored without its own
+Examples lie in blocks of ``BLOCK``, those with the same weightiest word together. The
+``FREQUENT`` most frequent words of the index lie block by block, with the largest
+weight of each in each block; all others have postings. Postings are read first. With
+them, the largest weights bound the cosine of any example in a block, so only blocks
+that can reach the k-th best so far are read, and the neighbours are exact.
+Their votes, weighted by cosine, are mapped to rates seen on the labelled texts themselves (each scored without its own
 vote), rising with the vote.
 
 The labelled rows that are learned from are at most ``SAMPLE_DOCS`` (smallest
@@ -48,18 +48,22 @@ from pyspark.sql import functions as F
 from .common import chunks, column, cut, gram_hashes, group_starts, mix64, table, whole_groups, word_hashes
 from .language_id import held_out
 
-SAMPLE_DOCS = 8_000
+SAMPLE_DOCS = 6_000
 NEIGHBOURS = 15
 #: Shingle Jaccard from which on texts are copies, bytes of the sketch that finds them, and how many times the sample is read to make up for them.
 COPY, SKETCH, REFILL = 0.8, 64, 2
 BLOCK = 64
-#: Blocks read before the bounds of the others are looked at.
-FIRST = 4
+#: Words whose weights lie block by block, the most frequent ones; blocks read before the bounds of others are looked at; texts at a time.
+FREQUENT, FIRST, TEXTS = 1_024, 4, 256
+#: What single precision may blur.
+BLUR = 5e-5
 #: Least weight factor: a word that says nothing of the label, or that all documents have, still counts for nearness.
 LEAST = 1e-4
 CUT = 0.5
 FOLD, HELD = 5, 0
 TERM = re.compile(r"\w+")
+#: Bytes of text that a worker splits at a time.
+STEP_CHARS = 1_000_000
 #: Words of a slice of the frequencies.
 SLICE = 4_096
 
@@ -72,12 +76,16 @@ class Model:
     weights: np.ndarray  # of the columns
     ids: np.ndarray  # of the examples, in the order in which they fill blocks
     toxic: np.ndarray
-    heads: np.ndarray  # entries of column c: heads[c] up to heads[c + 1], one for each block that has the word
-    block: np.ndarray
-    top: np.ndarray  # largest weight of the word in the block
-    start: np.ndarray  # postings of entry e: start[e] up to start[e + 1]
+    slot: np.ndarray  # place of each column among the frequent ones; -1: it is not
+    rows: np.ndarray  # blocks x frequent words x examples of the block: weights
+    top: np.ndarray  # frequent words x blocks: largest weight
+    start: np.ndarray  # postings of column c: start[c] up to start[c + 1]; frequent ones have none
     posted: np.ndarray  # example
     weight: np.ndarray
+    query: np.ndarray  # a zero for each column, to write a text's weights into
+    whole: np.ndarray  # vector of example e: whole[e] up to whole[e + 1]
+    column: np.ndarray
+    carried: np.ndarray  # weights of the vectors
     steps: np.ndarray  # votes, rising
     rates: np.ndarray  # score from that vote on
     none: float  # score of a text without words of the index
@@ -117,38 +125,64 @@ def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+def nearest_many(found: list[tuple[np.ndarray, np.ndarray]], model: Model, k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(cosine, example) of the k nearest examples of each text, exactly; ``but`` leaves the example of that id out.
+
+    Rare words are read from their postings. With the largest weights of frequent words in each block these bound
+    every example; the blocks of the highest bounds are read first, then those that can still reach the k-th best.
+    What single precision can't tell apart is scored again on whole vectors.
+    """
+    n, blocks = len(model.ids), len(model.rows)
+    if not n:
+        return [(np.empty(0), np.empty(0, np.int64))] * len(found)
+    out = []
+    for lo in range(0, len(found), TEXTS):
+        part = found[lo : lo + TEXTS]
+        asked, score = np.zeros((len(part), model.top.shape[0]), np.float32), np.zeros((len(part), blocks * BLOCK), np.float32)
+        for i, (cols, w) in enumerate(part):
+            slot = model.slot[cols]
+            asked[i, slot[slot >= 0]] = w[slot >= 0]
+            start, end = model.start[cols], model.start[cols + 1]  # of frequent words nothing is posted
+            at = ranges(start, end)
+            if len(at):
+                score[i] = np.bincount(model.posted[at], np.repeat(w, end - start) * model.weight[at], blocks * BLOCK)
+        by_block = score.reshape(len(part), blocks, BLOCK)
+        bound, done = asked @ model.top + by_block.max(2), np.zeros((len(part), blocks), bool)
+
+        def read(wanted: np.ndarray, asked=asked, by_block=by_block, done=done) -> None:
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                who = np.flatnonzero(wanted[:, b])
+                by_block[who, b] += asked[who] @ model.rows[b]
+            done |= wanted
+
+        def limits(score=score) -> np.ndarray:
+            if n <= k + 1:
+                return np.zeros(len(score), np.float32)
+            return np.partition(score, score.shape[1] - k - 1, axis=1)[:, -k - 1]  # one more than k, as one may be left out
+
+        first = np.zeros_like(done)
+        np.put_along_axis(first, np.argpartition(-bound, min(FIRST, blocks - 1), axis=1)[:, :FIRST], True, axis=1)
+        read(first)
+        read(~done & (bound >= limits()[:, None] - BLUR))
+        limit = limits()
+        for i, (cols, w) in enumerate(part):
+            near = np.flatnonzero((score[i] >= limit[i] - BLUR) & (score[i] > 0))
+            near = near[done[i, near // BLOCK]]
+            if but is not None:
+                near = near[model.ids[near] != but[lo + i]]
+            # word by word in one order, so that equal examples have equal cosines
+            start, end = model.whole[near], model.whole[near + 1]
+            at = ranges(start, end)
+            model.query[cols] = w
+            exact = np.bincount(np.repeat(np.arange(len(near)), end - start), model.query[model.column[at]] * model.carried[at], len(near))
+            model.query[cols] = 0.0
+            order = np.lexsort((model.ids[near], -exact))[:k]
+            out.append((exact[order], near[order]))
+    return out
+
+
 def nearest(cols: np.ndarray, w: np.ndarray, model: Model, k: int = NEIGHBOURS, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(cosine, example) of the k nearest examples, exactly; ``but`` leaves the example of that id out."""
-    entries = ranges(model.heads[cols], model.heads[cols + 1])
-    if not len(entries):
-        return np.empty(0), np.empty(0, np.int64)
-    asked, blocks = np.repeat(w, model.heads[cols + 1] - model.heads[cols]), model.block[entries]
-    bound = np.bincount(blocks, asked * model.top[entries])
-    best_s, best_e = np.empty(0), np.empty(0, np.int64)
-
-    def read(chosen: np.ndarray) -> None:
-        nonlocal best_s, best_e
-        here = chosen[blocks]
-        own, q = entries[here], asked[here]
-        at = ranges(model.start[own], model.start[own + 1])
-        score = np.bincount(model.posted[at], np.repeat(q, model.start[own + 1] - model.start[own]) * model.weight[at])
-        e = np.flatnonzero(score >= best_s[-1] if len(best_s) == k else score > 0)
-        e = e[(score[e] > 0) & (model.ids[e] != but)]
-        if len(e) > 4 * k:  # ties with the k-th stay
-            e = e[score[e] >= np.partition(score[e], -k)[-k]]
-        best_s, best_e = np.concatenate([best_s, score[e]]), np.concatenate([best_e, e])
-        order = np.lexsort((model.ids[best_e], -best_s))[:k]
-        best_s, best_e = best_s[order], best_e[order]
-
-    first = np.zeros(len(bound), bool)
-    first[np.argpartition(-bound, FIRST)[:FIRST] if len(bound) > FIRST else slice(None)] = True
-    read(first)
-    rest = ~first & (bound > 0)
-    if len(best_s) == k:
-        rest &= bound >= best_s[-1] - 1e-12
-    if rest.any():
-        read(rest)
-    return best_s, best_e
+    return nearest_many([(cols, w)], model, k, None if but is None else [but])[0]
 
 
 def vote(sims: np.ndarray, examples: np.ndarray, model: Model) -> float:
@@ -177,17 +211,36 @@ def index(ids: np.ndarray, toxic: np.ndarray, found: list[tuple[np.ndarray, np.n
     full = [i for i, (cols, _) in enumerate(found) if len(cols)]
     main = [int(found[i][0][found[i][1].argmax()]) for i in full]
     full = [full[i] for i in np.lexsort((ids[full], main)).tolist()] if full else []
-    example = np.repeat(np.arange(len(full)), [len(found[i][0]) for i in full])
-    term = np.concatenate([found[i][0] for i in full]) if full else np.empty(0, np.int64)
-    weight = np.concatenate([found[i][1] for i in full]) if full else np.empty(0)
-    order = np.lexsort((example, term))
-    example, term, weight = example[order], term[order], weight[order]
-    new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)
-    start = np.flatnonzero(new)
-    top = np.maximum.reduceat(weight, start) if len(start) else np.empty(0)
-    heads = np.searchsorted(term[start], np.arange(len(terms) + 1))
-    return Model(terms, weights, ids[full], toxic[full].astype(float), heads, example[start] // BLOCK, top, np.append(start, len(term)), example, weight, np.zeros(1), np.zeros(1), 0.0)
+    whole = np.concatenate([[0], np.cumsum([len(found[i][0]) for i in full])]).astype(np.int64)
+    column = np.concatenate([found[i][0] for i in full]).astype(np.int32) if full else np.empty(0, np.int32)
+    carried = np.concatenate([found[i][1] for i in full]) if full else np.empty(0)
+    return Model(**opened({"terms": terms, "weights": weights, "ids": ids[full], "toxic": toxic[full].astype(float), "whole": whole, "column": column, "carried": carried, "steps": np.zeros(1), "rates": np.zeros(1), "none": 0.0}))
+
+
+SENT = ("terms", "weights", "ids", "toxic", "whole", "column", "carried", "steps", "rates", "none")
+
+
+def packed(model: Model) -> dict:
+    """What is broadcast of a model: the vectors, weights in single precision; the index follows from them."""
+    return {x: getattr(model, x) for x in SENT} | {"carried": model.carried.astype(np.float32)}
+
+
+def opened(parts: dict) -> dict:
+    """All of a model, from its vectors."""
+    column, whole, carried = parts["column"], parts["whole"], parts["carried"]
+    n, terms = len(whole) - 1, len(parts["terms"])
+    example = np.repeat(np.arange(n, dtype=np.int32), np.diff(whole))
+    count = np.bincount(column, minlength=terms)
+    chosen = np.sort(np.argsort(-count, kind="stable")[:FREQUENT])
+    slot = np.full(terms, -1, np.int32)
+    slot[chosen] = np.arange(len(chosen))
+    often, blocks = slot[column] >= 0, -(-n // BLOCK)
+    rows = np.zeros((blocks, len(chosen), BLOCK), np.float32)
+    rows[example[often] // BLOCK, slot[column[often]], example[often] % BLOCK] = carried[often]
+    rare = np.flatnonzero(~often)
+    rare = rare[np.argsort(column[rare], kind="stable")]  # vectors stand by example, so postings do too
+    start = np.append(0, np.cumsum(np.where(slot >= 0, 0, count)))
+    return parts | {"slot": slot, "rows": rows, "top": np.ascontiguousarray(rows.max(2).T) if blocks else np.zeros((len(chosen), 0), np.float32), "start": start, "posted": example[rare], "weight": carried[rare], "query": np.zeros(terms)}
 
 
 def leaders(grams: list[np.ndarray]) -> list[int]:
@@ -260,25 +313,6 @@ def one_of_copies(texts: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     return named.join(F.broadcast(kept.select("row", "n")), "row").drop("row")
 
 
-def packed(model: Model) -> dict:
-    """What is broadcast of a model: postings only, weights in single precision; the rest follows from them."""
-    small = np.uint16 if len(model.ids) <= 1 << 16 else np.uint32
-    parts = {x: getattr(model, x) for x in ("terms", "weights", "ids", "toxic", "steps", "rates", "none")}
-    return parts | {"ends": model.start[model.heads].astype(np.int64), "posted": model.posted.astype(small), "weight": model.weight.astype(np.float32)}
-
-
-def opened(parts: dict) -> SimpleNamespace:
-    """The model again, in a worker."""
-    posted, weight, ends = parts["posted"].astype(np.int64), parts["weight"].astype(np.float64), parts["ends"]
-    block = posted // BLOCK
-    new = np.zeros(len(posted), bool)
-    new[ends[:-1][ends[:-1] < ends[1:]]] = True
-    new[1:] |= block[1:] != block[:-1]
-    start = np.flatnonzero(new)
-    top = np.maximum.reduceat(weight, start) if len(start) else np.empty(0)
-    return SimpleNamespace(**parts | {"posted": posted, "weight": weight, "block": block[start], "top": top, "start": np.append(start, len(posted)), "heads": np.searchsorted(start, ends)})
-
-
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     """How many of all documents have each of the terms (sorted hashes).
 
@@ -292,7 +326,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         counts = np.zeros(len(known), np.int64)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=STEP_CHARS):
             _, hashes, _ = text_terms(column(batch, "text"))
             at = np.searchsorted(known, hashes)
             at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes)]
@@ -368,10 +402,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     sent = docs.sparkSession.sparkContext.broadcast(packed(model))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = opened(sent.value)
-        for batch in chunks(batches):
+        held = SimpleNamespace(**opened(sent.value))
+        for batch in chunks(batches, limit=STEP_CHARS):
             made = vectors(column(batch, "text"), held.terms, held.weights)
-            got = [vote(*nearest(*v, held, but=i), held) for i, v in zip(column(batch, "doc_id"), made, strict=True)]
+            got = [vote(*x, held) for x in nearest_many(made, held, but=column(batch, "doc_id"))]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column("toxic"), batch.column("n")], names=["vote", "toxic", "n"])
 
     tried = texts.select("doc_id", "text", "toxic", "n").mapInArrow(votes, "vote double, toxic int, n long").where("vote >= 0").groupBy("vote", "toxic").agg(F.sum("n").alias("n")).orderBy("vote", "toxic").toPandas()
@@ -384,8 +418,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
 def score_texts(texts: list[str | None], model: Model) -> list[tuple[float, list[int]]]:
     """(score, ids of the neighbours, nearest first) of each text."""
     out = []
-    for cols, w in vectors(texts, model.terms, model.weights):
-        sims, found = nearest(cols, w, model) if len(cols) else (np.empty(0), np.empty(0, np.int64))
+    for sims, found in nearest_many(vectors(texts, model.terms, model.weights), model):
         if not len(found):
             out.append((model.none, []))
             continue
@@ -399,8 +432,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = opened(sent.value)
-        for batch in chunks(batches):
+        model = SimpleNamespace(**opened(sent.value))
+        for batch in chunks(batches, limit=STEP_CHARS):
             found = score_texts(column(batch, "text"), model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
@@ -412,8 +445,8 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = CUT) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = opened(sent.value)
-        for batch in chunks(batches):
+        model = SimpleNamespace(**opened(sent.value))
+        for batch in chunks(batches, limit=STEP_CHARS):
             yield batch.filter(pa.array([x < limit for x, _ in score_texts(column(batch, "text"), model)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
