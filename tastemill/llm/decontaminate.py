@@ -7,9 +7,13 @@ bits differ by at most 4 bits in some block, so probing every block for values
 within 4 bits finds all of them. Each candidate is verified by the exact weighted
 Jaccard similarity of the shingle counts (sum of minima over sum of maxima).
 
-Only windows that hold a shingle of an item, at the place it has in the item, are
-fingerprinted: any other alignment of the same words has fewer in common, and a
-window without a shared shingle has similarity 0. So this loses nothing.
+An item of g shingles and a window that match share at least ``SIMILARITY`` g of them,
+so the window holds one of any g - SIMILARITY g + 1 of the item's shingles. Texts are
+looked through for the rarest ones of each item only, which shingles that many items
+share are not; so a frequent shingle does not multiply with the items that have it.
+Where one is found, the windows that hold a shingle of that item, at the place it has
+in the item, are fingerprinted: any other alignment of the same words has fewer in
+common, and a window without a shared shingle has similarity 0. So this loses nothing.
 
 Benchmarks are taken in parts of at most ``PART_CHARS`` characters, so what is
 broadcast is bounded; documents are only read, never shuffled.
@@ -45,6 +49,8 @@ RADIUS, BLOCK_RADIUS = 39, 4
 #: Characters of benchmark text in a broadcast part.
 PART_CHARS = 8_000_000
 FILTER_BITS = 22
+#: Places in texts that are expanded at a time.
+SLAB = 4096
 WORD = re.compile(r"[^\W_]+")
 
 OUT = "doc_id long, item_id long, first_word long, n_words long, similarity double"
@@ -65,7 +71,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / (int(a[1].sum()) + int(b[1].sum()) - low)
 
 
-def build(items: list[tuple[int, str | None]]) -> dict:
+def build(items: list[tuple[int, str | None]], limit: float = SIMILARITY) -> dict:
     """The index of a part of the benchmark; plain parts only."""
     kept = [(i, word_hashes(WORD.findall((t or "").lower()))) for i, t in items]
     kept = [(i, h) for i, h in kept if len(h)]
@@ -81,14 +87,19 @@ def build(items: list[tuple[int, str | None]]) -> dict:
     widths = {}
     for width in sorted({min(SHINGLE, int(n)) for n in sizes}):
         own = [k for k, n in enumerate(sizes) if min(SHINGLE, n) == width]
-        grams = [gram_hashes(kept[k][1], SHINGLE) for k in own]
-        flat = np.concatenate(grams)
-        item = np.repeat(own, [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams])
+        grams = {k: gram_hashes(kept[k][1], SHINGLE) for k in own}
+        every, often = np.unique(np.concatenate(list(grams.values())), return_counts=True)
+        flat, item = [], []
+        for k, g in grams.items():
+            need = len(g) - int(np.ceil(limit * len(g) - 1e-9)) + 1
+            rare = g[np.argsort(often[np.searchsorted(every, g)], kind="stable")[:need]]
+            flat.append(np.unique(rare))
+            item.append(np.full(len(flat[-1]), k))
+        flat, item = np.concatenate(flat), np.concatenate(item)
         order = np.argsort(flat, kind="stable")
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[(flat & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-        widths[width] = (flat[order], item[order], place[order], np.flatnonzero(seen))
+        widths[width] = (flat[order], item[order], {k: (np.sort(g), np.argsort(g, kind="stable")) for k, g in grams.items()}, np.flatnonzero(seen))
     return {"ids": [i for i, _ in kept], "sizes": sizes, "bags": bags, "prints": prints, "blocks": blocks, "widths": widths}
 
 
@@ -123,7 +134,7 @@ def matches(texts: list[str | None], index: dict, filters: dict[int, np.ndarray]
     hashes = pd.util.hash_array(distinct, categorize=False)[codes]
     text_of = np.repeat(np.arange(len(texts)), length)
     windows: set[tuple[int, int, int, int]] = set()
-    for width, (flat, item, place, _) in index["widths"].items():
+    for width, (flat, item, places, _) in index["widths"].items():
         if len(hashes) < width:
             continue
         grams = gram_hashes(hashes, width)
@@ -133,12 +144,20 @@ def matches(texts: list[str | None], index: dict, filters: dict[int, np.ndarray]
         at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         if not len(at):
             continue
-        post = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        t, size = text_of[at], index["sizes"][item[post]]
-        first = np.maximum(starts[t], np.minimum(at - place[post], ends[t] - size))
-        last = np.minimum(first + size, ends[t])
-        windows.update(zip(t.tolist(), size.tolist(), first.tolist(), last.tolist(), strict=True))
+        pairs: set[tuple[int, int]] = set()
+        for s in range(0, len(at), SLAB):  # some places at a time, so that what is held stays bounded
+            some = n[s : s + SLAB]
+            post = np.repeat(lo[s : s + SLAB] - np.concatenate([[0], np.cumsum(some)[:-1]]), some) + np.arange(some.sum())
+            pairs.update(zip(np.repeat(text_of[at[s : s + SLAB]], some).tolist(), item[post].tolist(), strict=True))
+        for t, k in sorted(pairs):
+            own, place = places[k]
+            size, mine = int(index["sizes"][k]), grams[starts[t] : max(starts[t], ends[t] - width + 1)]
+            left = np.searchsorted(own, mine, "left")
+            some = np.searchsorted(own, mine, "right") - left
+            here = np.flatnonzero(some)
+            which = np.repeat(left[here] - np.concatenate([[0], np.cumsum(some[here])[:-1]]), some[here]) + np.arange(some[here].sum())
+            first = np.unique(np.clip(np.repeat(here, some[here]) - place[which] + starts[t], starts[t], max(starts[t], ends[t] - size)))
+            windows.update((t, size, f, min(f + size, int(ends[t]))) for f in first.tolist())
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for t, size, first, last in sorted(windows):
         bag = np.unique(gram_hashes(hashes[first:last], SHINGLE), return_counts=True)
@@ -172,7 +191,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: float = SIMILARITY)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
     for part in parts(benchmark):
-        sent = context.broadcast(build(part))
+        sent = context.broadcast(build(part, limit))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -192,7 +211,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, limit: float = SIMILARITY)
     """The rows of ``docs`` that match no item, unchanged."""
     context = docs.sparkSession.sparkContext
     for part in parts(benchmark):
-        sent = context.broadcast(build(part))
+        sent = context.broadcast(build(part, limit))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
