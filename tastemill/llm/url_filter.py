@@ -2,12 +2,14 @@
 
 A rule is a host and a path. It fits its host and every subdomain if the path of
 the URL starts with the rule's path. The longest match wins: most host labels
-first, then the longest path, and at the same place block before allow. The trie
-is broadcast while there are at most ``TRIE_RULES`` rules (each of at most
-``RULE_CHARS`` characters, which bounds its size); a longer list is a table of
-its own and is joined by host suffix instead, with the same result.
+first, then the longest path, and at the same place block before allow. Rules are a
+list or a table (verdict, rule_host, rule_path). The trie is broadcast while there are
+at most ``TRIE_RULES`` rules (each of at most ``RULE_CHARS`` characters, which bounds its
+size); a longer table never comes to the driver: it is joined by host suffix instead,
+with the same result.
 
 Defined results
+* columns host, path, rule and verdict of the caller are replaced by ours;
 * null url, or none with ``://``: empty host and path, no rule, the default verdict;
 * user info and port belong to the host, as the contract has it;
 * repeated rows give repeated results, an empty table an empty one; further
@@ -37,10 +39,10 @@ def new_node() -> dict:
     """A place of the trie: children by host label or path segment, and the rules that end here.
 
     The last piece of a rule's path may end inside a segment, so the rules of a
-    place are kept as (piece, verdict, rule), longest piece first. Plain parts
+    place are kept by piece, with the lengths that pieces have, longest first. Plain parts
     only: workers need no copy of this package to read the broadcast.
     """
-    return {"labels": {}, "paths": {}, "ends": []}
+    return {"labels": {}, "paths": {}, "ends": {}, "lengths": []}
 
 
 def build(rules: Iterable[tuple[str, str, str]]) -> dict:
@@ -52,8 +54,10 @@ def build(rules: Iterable[tuple[str, str, str]]) -> dict:
         *whole, last = path.split("/")
         for segment in whole:
             node = node["paths"].setdefault(segment, new_node())
-        node["ends"].append((last, verdict, host + path))
-        node["ends"].sort(key=lambda r: (-len(r[0]), r[1] != "block", r[0]))
+        if node["ends"].get(last, ("", ""))[1] != "block":
+            node["ends"][last] = host + path, verdict
+        if len(last) not in node["lengths"]:
+            node["lengths"] = sorted([*node["lengths"], len(last)], reverse=True)
     return root
 
 
@@ -71,9 +75,9 @@ def find(root: dict, host: str, path: str) -> tuple[str, str] | None:
     for node in reversed(on_way):
         best = None
         for depth, segment in enumerate(segments):
-            for last, verdict, rule in node["ends"]:
-                if segment.startswith(last):
-                    best = rule, verdict
+            for n in node["lengths"]:
+                if n <= len(segment) and (found := node["ends"].get(segment[:n])) is not None:
+                    best = found
                     break
             if depth + 1 == len(segments) or (node := node["paths"].get(segment)) is None:
                 break
@@ -91,9 +95,14 @@ def split_urls(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumns({"host": F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), "path": F.coalesce(path, F.lit(""))})
 
 
-def judge(df: DataFrame, rules: list[tuple[str, str, str]], default: str = DEFAULT_VERDICT) -> DataFrame:
+def judge(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
     """``df`` (with host and path) and its columns rule and verdict."""
-    if len(rules) > TRIE_RULES or any(len(h) + len(p) > RULE_CHARS for _, h, p in rules):
+    if isinstance(rules, DataFrame):
+        size = rules.agg(F.count("*").alias("n"), F.max(F.length("rule_host") + F.length("rule_path")).alias("chars")).first()
+        if size["n"] > TRIE_RULES or (size["chars"] or 0) > RULE_CHARS:
+            return judge_by_join(df, rules, default)
+        rules = [tuple(r) for r in rules.select("verdict", "rule_host", "rule_path").collect()]
+    elif len(rules) > TRIE_RULES or any(len(h) + len(p) > RULE_CHARS for _, h, p in rules):
         return judge_by_join(df, df.sparkSession.createDataFrame(rules, "verdict string, rule_host string, rule_path string"), default)
     trie = df.sparkSession.sparkContext.broadcast(build(rules))
     names = [c for c in df.columns if c not in ("rule", "verdict")]
