@@ -15,7 +15,8 @@ sort exactly. Texts are read once, only to count their words.
 Defined results
 * null text: size 0; nothing is taken of documents of size 0;
 * null source: a source of its own, after the others; null ids sort first;
-* rows equal in id, source and size are taken or left together;
+* rows equal in id, source and size stand one after another; the cut may fall between them, so that of equal rows some are taken, and reruns take as many;
+* very long texts are counted where they are read and moved nowhere; one id's repeated rows share a hash bucket;
 * an empty table, or one without words: no row, or all targets 0.
 """
 

@@ -208,6 +208,37 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(docs_of(spark, []), bench).count() == 0
 
 
+def test_decontaminate_against_brute_force(spark):
+    """Every window of every text against every item, by weighted Jaccard of shingles; items share a common passage."""
+    import re
+    from collections import Counter
+
+    draw = random.Random(2)
+    common = words(70, 9, 50)
+    items = [(i, " ".join([*words(300 + i, 4 + 5 * i, 900), *(common if i % 2 else [])])) for i in range(9)]
+    texts = []
+    for n in range(120):
+        own = items[draw.randrange(9)][1].split()
+        for _ in range(draw.randrange(4)):
+            at = draw.randrange(len(own))
+            own[at : at + draw.randrange(2)] = [f"z{n}"] * draw.randrange(2)
+        texts.append((n, " ".join([*words(n, draw.randrange(40), 900), *own, *(common * (n % 3)), *words(n + 99, draw.randrange(40), 900)])))
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    want = set()
+    for n, t in texts:
+        w = re.findall(r"[^\W_]+", t.lower())
+        for i, x in items:
+            it = x.split()
+            b = bag(it)
+            for s in range(max(1, len(w) - len(it) + 1)):
+                a = bag(w[s : s + len(it)])
+                if sum((a & b).values()) >= 0.8 * sum((a | b).values()) - 1e-12:
+                    want.add((n, i))
+                    break
+    found = decontaminate.find_leaks(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert set(got(found, "doc_id", "item_id")) == want and len(want) > 20
+
+
 def test_fingerprints_within_radius_are_found():
     draw = np.random.RandomState(1)
     index = {"prints": draw.randint(0, 1 << 16, (50, 8)).astype(np.uint16)}
@@ -545,6 +576,12 @@ def test_url_filter(spark):
     split = url_filter.split_urls(df)
     out = got(url_filter.judge(split, url_filter.RULES), "page_id", "host", "path", "rule", "verdict")
     assert out == got(url_filter.judge_by_join(split, spark.createDataFrame(url_filter.RULES, "verdict string, rule_host string, rule_path string")), "page_id", "host", "path", "rule", "verdict")
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, rule_host string, rule_path string")
+    assert out == got(url_filter.judge(split, rules), "page_id", "host", "path", "rule", "verdict")
+    many = [("block", "m.com", f"/p{i}") for i in range(3000)] + [("allow", "m.com", "/p7"), ("block", "m.com", "/p7")]
+    asked = spark.createDataFrame([(i, f"http://a.m.com/p{i}x") for i in range(0, 3200, 100)] + [(7, "http://m.com/p7")], "page_id long, url string")
+    found = got(url_filter.judge(url_filter.split_urls(asked), many), "page_id", "rule", "verdict")
+    assert found == got(url_filter.judge_by_join(url_filter.split_urls(asked), spark.createDataFrame(many, "verdict string, rule_host string, rule_path string")), "page_id", "rule", "verdict") and (7, "m.com/p7", "block") in found
     by = {r[0]: r[1:] for r in out}
     assert by[0] == by[1] == by[2] == by[3] == ("", "", None, "allow")
     assert by[4] == ("a.example.com", "/en/7x", "example.com/en/7", "allow") and by[5][2:] == ("com/en/", "block")
