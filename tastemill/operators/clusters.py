@@ -200,40 +200,90 @@ def outlier_features(ratings: DataFrame, assignment: DataFrame) -> DataFrame:
     return full.select("user_id", v.alias("v"))
 
 
-def local_outlier_factor(df: DataFrame, k: int = 20, block: int = 2048) -> DataFrame:
-    """vec_id, lof by exact k nearest neighbours.
+def k_nearest(df: DataFrame, k: int, block: int = 2048, most_pivots: int = 256) -> DataFrame:
+    """id, other, dist: the exact k nearest other vectors of each (ties at the k-th distance: smaller id).
 
-    Vectors meet in blocks of about ``block`` x ``block`` (each pair of blocks a
-    task that keeps k for each of its rows), so no row of pairs is written; the
-    best k of all blocks follow by a window. Ties at the k-th distance: smaller id.
+    Vectors lie in cells around pivots, about one for ``block`` rows, and in blocks of that size inside a cell. The
+    k-th distance inside a vector's own block bounds its k-th distance, and by the triangle inequality only cells
+    that come nearer than that are asked. So a vector travels to the blocks that can hold a neighbour, and no row
+    of a pair is written that is not among the best of a block.
     """
     import numpy as np
     import pandas as pd
 
     n = df.count()
-    parts = max(1, -(-n // block))
-    spot = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    rows = df.select("vec_id", "v").withColumn("p", spot)
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = rows.select("vec_id", "v", F.col("p").alias("i"), every.alias("j"))
-    right = rows.select("vec_id", "v", every.alias("i"), F.col("p").alias("j"))
+    wanted = int(min(most_pivots, max(1, -(-n // block))))
+    pivots = np.array([r["v"] for r in df.orderBy(order_hash("vec_id", seed="pivot"), "vec_id").limit(wanted).select("v").collect()], float).reshape(-1, len(df.first()["v"]) if n else 1)
+    if not n:
+        return df.sparkSession.createDataFrame([], "id long, other long, dist double")
+
+    def far(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(2)) if len(pivots) * x.size < 1 << 24 else np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], 1)
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = far(np.array(pdf.v.tolist()))
+                at = d.argmin(1)
+                yield pd.DataFrame({"vec_id": pdf.vec_id, "v": pdf.v, "cell": at, "r": d[np.arange(len(d)), at]})
+
+    placed = cut(df.select("vec_id", "v").mapInPandas(place, "vec_id long, v array<double>, cell int, r double"))
+    cells = placed.groupBy("cell").agg(F.count("*").alias("m"), F.max("r").alias("radius")).orderBy("cell").collect()  # at most ``most_pivots`` rows
+    parts = {r["cell"]: max(1, -(-r["m"] // block)) for r in cells}
+    radius = {r["cell"]: r["radius"] for r in cells}
+    count = F.create_map(*[F.lit(x) for c, m in parts.items() for x in (c, m)])
+    rows = placed.withColumn("b", F.pmod(F.xxhash64("vec_id"), count[F.col("cell")]).cast("int"))
+
+    def best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray):
+        """Row, place in ``others`` and distance of the k nearest of each row; ``others`` rises, so a stable sort leaves ties to the smaller id."""
+        q = (y * y).sum(1)
+        for lo in range(0, len(x), 256):
+            part, own = x[lo : lo + 256], ids[lo : lo + 256]
+            rough = np.maximum((part * part).sum(1)[:, None] - 2 * part @ y.T + q, 0)
+            rough[own[:, None] == others[None, :]] = np.inf
+            kth = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
+            for i in range(len(part)):
+                # the expanded square is blurred by rounding, so the nearest are measured again
+                near = np.flatnonzero(rough[i] <= kth[i] + 1e-9 * (1 + q.max() + (part[i] ** 2).sum())) if np.isfinite(kth[i]) else np.flatnonzero(np.isfinite(rough[i]))
+                d = np.sqrt(((y[near] - part[i]) ** 2).sum(1))
+                order = np.argsort(d, kind="stable")[:k]
+                yield lo + i, near[order], d[order]
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        x, ids = np.array(pdf.v.tolist()), pdf.vec_id.to_numpy()
+        up = np.full(len(x), np.inf)
+        for i, _, d in best(ids, x, ids, x):
+            if len(d) == k:
+                up[i] = d[-1]
+        reach = far(x) - np.array([radius.get(c, np.inf) for c in range(len(pivots))])
+        asked = [[c for c in np.flatnonzero(reach[i] <= up[i] * (1 + 1e-9) + 1e-12).tolist() if c in parts] for i in range(len(x))]
+        return pd.DataFrame({"vec_id": ids, "v": list(pdf.v), "cells": asked})
+
+    asking = cut(rows.groupBy("cell", "b").applyInPandas(bound, "vec_id long, v array<double>, cells array<int>"))
+    left = asking.select("vec_id", "v", F.explode("cells").alias("cell")).select("vec_id", "v", "cell", F.explode(F.sequence(F.lit(0), count[F.col("cell")] - 1)).alias("b"))
+    spread = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(max(1, -(-n // (8 * block))))).cast("int")  # queries of a block in several tasks, too
+    left = left.withColumn("s", spread)
+    right = rows.select("vec_id", "v", "cell", "b", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // (8 * block))) - 1))).alias("s"))
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "other": [], "dist": []}).astype({"id": "int64", "other": "int64", "dist": "float64"})
-        b = b.sort_values("vec_id")
-        x, y = np.array(a.v.tolist()), np.array(b.v.tolist())
-        ids, others = a.vec_id.to_numpy(), b.vec_id.to_numpy()
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0))
-        d[ids[:, None] == others[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        got = np.take_along_axis(d, best, 1)
-        live = np.isfinite(got)
-        return pd.DataFrame({"id": np.repeat(ids, live.sum(1)), "other": others[best][live], "dist": got[live]})
-
-    some = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(near, "id long, other long, dist double")
+        out: list[tuple[list, list, list]] = []
+        if len(a) and len(b):
+            b = b.sort_values("vec_id")
+            ids, others = a.vec_id.to_numpy(), b.vec_id.to_numpy()
+            for i, at, d in best(ids, np.array(a.v.tolist()), others, np.array(b.v.tolist())):
+                out.append(([ids[i]] * len(at), others[at].tolist(), d.tolist()))
+        flat = [[x for o in out for x in o[j]] for j in range(3)]
+        return pd.DataFrame({"id": flat[0], "other": flat[1], "dist": flat[2]}).astype({"id": "int64", "other": "int64", "dist": "float64"})
+
+    some = left.groupBy("cell", "b", "s").cogroup(right.groupBy("cell", "b", "s")).applyInPandas(near, "id long, other long, dist double")
     top = Window.partitionBy("id").orderBy("dist", "other")
-    knn = cut(some.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n"))
+    return some.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n")
+
+
+def local_outlier_factor(df: DataFrame, k: int = 20, block: int = 2048) -> DataFrame:
+    """vec_id, lof by exact k nearest neighbours (ties at the k-th distance: smaller id)."""
+    knn = cut(k_nearest(df, k, block))
     reach = knn.groupBy("id").agg(F.max("dist").alias("kdist"))
     density = knn.join(reach.toDF("other", "kd"), "other").groupBy("id").agg((1 / (F.avg(F.greatest("kd", "dist")) + 1e-10)).alias("lrd"))
     out = knn.join(density.toDF("other", "lrd_o"), "other").join(density, "id").groupBy("id").agg((F.avg("lrd_o") / F.first("lrd")).alias("lof"))

@@ -2,7 +2,10 @@
 
 The self-join on item is the cost: an item with m ratings makes m^2 / 2 rows
 before the partial aggregate. ``within`` (user_id, cluster_id) restricts it to
-users of one cluster, which is how every predictor calls it.
+users of one cluster. The raters of an item that more than ``BLOCK`` users rated are
+dealt out in blocks that meet pair by pair, so no item is one task's work. Predictors
+that know their targets build similarities from these (``neighbours``), and
+``top_pairs`` keeps k for each user instead of the table of all pairs.
 """
 
 from __future__ import annotations
@@ -12,14 +15,21 @@ from pyspark.sql import functions as F
 
 from tastemill.functions.scalars import ratio
 
+#: Raters of an item (in a cluster) that meet in one task.
+BLOCK = 4_096
+
 
 def pair_sums(df: DataFrame, within: DataFrame | None = None, value: str = "rating") -> DataFrame:
     """u < v with n, sx, sy, sxy, sxx, syy over the items that both rated."""
     keys = ["item_id"]
     if within is not None:
         df, keys = df.join(within.select("user_id", "cluster_id"), "user_id"), ["item_id", "cluster_id"]
-    a = df.select(*keys, F.col("user_id").alias("u"), F.col(value).alias("x"))
-    b = df.select(*keys, F.col("user_id").alias("v"), F.col(value).alias("y"))
+    heavy = df.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > BLOCK)
+    df = df.join(heavy, keys, "left").withColumn("_parts", F.coalesce(F.ceil(F.col("_m") / BLOCK), F.lit(1)).cast("int"))
+    own, far = F.pmod(F.xxhash64("user_id"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    a = df.select(*keys, own.alias("_i"), far.alias("_j"), F.col("user_id").alias("u"), F.col(value).alias("x"))
+    b = df.select(*keys, far.alias("_i"), own.alias("_j"), F.col("user_id").alias("v"), F.col(value).alias("y"))
+    keys = [*keys, "_i", "_j"]
     x, y = F.col("x"), F.col("y")
     return (
         a.join(b, keys).where("u < v").groupBy("u", "v")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.scalars import clip, r6, ratio
-from tastemill.operators.evaluate import error_columns, ranking, relevant_items
+from tastemill.operators.evaluate import error_columns, ranking, ranking_mean, relevant_items, test_lists
 from tastemill.operators.predict import item_fallback_plain, top_n, user_means
 
 Predictor = Callable[[DataFrame], DataFrame]
@@ -134,6 +134,21 @@ def aggregate_folds(folds: DataFrame) -> DataFrame:
     return folds.groupBy("metric").agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"))
 
 
+def rating_errors(test: DataFrame, predictor: Predictor) -> DataFrame:
+    """rating, pred of every test cell."""
+    return predictor(test).select("rating", "pred")
+
+
+def regression_errors(done: DataFrame) -> DataFrame:
+    """n, mae, rmse of (rating, pred)."""
+    return done.agg(*error_columns())
+
+
+def ranking_of_rows(done: DataFrame, n: int = 10, threshold: float = 3.5) -> DataFrame:
+    """Mean precision, recall, F1 and NDCG of rows (user_id, item_id, rating, pred): each user's rows ranked by prediction; users without a relevant one are left out."""
+    return ranking_mean(ranking(test_lists(done), relevant_items(done, threshold), n))
+
+
 #: Predictions and lists that an assignment leaves, and the segments that they are reported under.
 PREDICTED = {"mixed": "mixed", "gray_same": "gray_same_formula", "gray_fallback": "gray_fallback"}
 LISTED = {"white": "white", "gray_same": "gray_same_formula", "gray_fallback": "gray_fallback"}

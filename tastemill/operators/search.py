@@ -250,9 +250,11 @@ def goa(objective, low, high, size=30, epochs=100, seed=42, start=None) -> Resul
         c = 1 - t * (1 - 4e-5) / max(1, epochs)
         gap = s.x[None, :, :] - s.x[:, None, :]
         far = np.sqrt((gap * gap).sum(2, keepdims=True)) + 1e-12
-        near = 2 + far % 2  # distances are mapped to [2, 4)
+        near = 1 + 3 * far / max(far.max(), 1e-12)  # distances are mapped to [1, 4]
         force = (0.5 * np.exp(-near / 1.5) - np.exp(-near)) * gap / far
-        s.greedy(c * (c * (np.asarray(high) - np.asarray(low)) / 2 * force.sum(1)) + s.best)
+        s.x = np.clip(c * (c * (np.asarray(high) - np.asarray(low)) / 2 * force.sum(1)) + s.best, low, high)
+        s.y = objective(s.x)
+        s.note(s.x, s.y)
         s.history.append(s.fitness)
     return s.result()
 

@@ -9,7 +9,10 @@ from tastemill.functions.scalars import order_hash
 
 
 def user_holdout(df: DataFrame, share: float = 0.2, seed: str = "s1") -> DataFrame:
-    """is_test for max(1, floor(n * share)) ratings of each user; a user with one rating has no train row."""
+    """is_test for max(1, floor(n * share)) ratings of each user; a user with one rating has no train row.
+
+    A user's ratings are ranked in one window, so those of one user have to fit a task; there are no more than items.
+    """
     order = Window.partitionBy("user_id").orderBy(order_hash("user_id", "item_id", seed=seed), "item_id")
     n = F.count("*").over(Window.partitionBy("user_id"))
     return df.withColumn("is_test", F.row_number().over(order) <= F.greatest(F.lit(1), F.floor(n * share))).select(*df.columns, "is_test")

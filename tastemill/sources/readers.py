@@ -70,13 +70,39 @@ def get_loader(name: str) -> Callable:
         raise ValueError(f"unknown data set: {name}") from None
 
 
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a wildcard, on whatever store they lie; none is an empty list."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [s.getPath().toString() for s in status] if status is not None else []
+
+
 def first_existing(paths: list[str]) -> str:
     for p in paths:
-        if Path(p).exists():
+        if found(SparkSession.active(), p):
             return p
     raise FileNotFoundError(", ".join(paths))
 
 
+def load_dense(spark: SparkSession, candidates: list[str], reader: Callable = read_ratings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ratings of the first path that exists with dense ids, and the maps (user_id, dense) and (item_id, dense) from the file's ids."""
+    from tastemill.operators.iterate import cut
+    from tastemill.operators.prepare import id_map
+
+    raw = reader(spark, first_existing(candidates)).select("user_id", "item_id", "rating")
+    users, items = cut(id_map(raw, "user_id")), cut(id_map(raw, "item_id"))
+    dense = raw.join(users.withColumnRenamed("dense", "_u"), "user_id").join(items.withColumnRenamed("dense", "_i"), "item_id")
+    return dense.select(F.col("_u").alias("user_id"), F.col("_i").alias("item_id"), "rating"), users, items
+
+
+def check_same_users(one: DataFrame, other: DataFrame) -> None:
+    """Two results of an assignment have to be of the same users."""
+    a, b = one.select("user_id").distinct(), other.select("user_id").distinct()
+    odd = a.join(b, "user_id", "left_anti").limit(1).count() + b.join(a, "user_id", "left_anti").limit(1).count()
+    if odd:
+        raise ValueError("the tables are of different users")
+
+
 def read_movies_1m(spark: SparkSession, path: str, n_items: int) -> DataFrame:
     """item_id and one 0/1 value for each genre; unknown genres are ignored, items out of range dropped."""
     rows = lines(spark, path).select(F.split("value", "::").alias("p")).where(F.size("p") >= 3)
@@ -131,20 +157,30 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, root: str, name: str = "*.csv") -> DataFrame:
-    """All runs under numbered folders, with run_num from the folder; columns that a run lacks are null."""
-    folders = sorted((int(p.name), p) for p in Path(root).iterdir() if p.is_dir() and p.name.isdigit())
-    out = None
-    for number, folder in folders:
-        one = spark.read.csv(f"{folder}/{name}", header=True, inferSchema=True).withColumn("run_num", F.lit(number))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    if out is None:
+    """All runs under numbered folders, with run_num from the folder; columns that a run lacks are null, those of whole numbers or numbers throughout are typed so.
+
+    One read for all folders: the headers give the columns, each line is split by its own file's header.
+    """
+    raw = spark.read.text(f"{root}/[0-9]*/{name}").select("value", F.col("_metadata.file_path").alias("_file")).where("trim(value) <> ''")
+    raw = raw.withColumn("run_num", F.regexp_extract("_file", r"/(\d+)/[^/]*$", 1).cast("int")).where("run_num IS NOT NULL")
+    # a file's first line is its header: the line at the start of its first block, which only whole-text reading tells apart from later ones
+    whole = spark.read.text(f"{root}/[0-9]*/{name}", wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.split(F.split(F.trim("value"), "\r?\n")[0], ",").alias("_head"))
+    heads = whole.collect()  # one short row for each file
+    columns = list(dict.fromkeys(c.strip() for r in heads for c in r["_head"]))
+    if not columns:
         raise FileNotFoundError(f"no numbered folder in {root}")
-    return out
+    met = raw.join(F.broadcast(whole), "_file").where(F.col("value") != F.array_join("_head", ","))
+    cells = F.map_from_arrays(F.transform("_head", F.trim), F.transform(F.sequence(F.lit(0), F.size("_head") - 1), lambda i: F.get(F.split("value", ","), i)))
+    text = met.select("run_num", cells.alias("m")).select(*[F.nullif(F.trim(F.try_element_at("m", F.lit(c))), F.lit("")).alias(c) for c in columns], "run_num")
+    fits = lambda c, kind: F.coalesce(F.bool_and(F.col(c).try_cast(kind).isNotNull() | F.col(c).isNull()), F.lit(True)).alias(f"{kind} {c}")
+    known = text.agg(*[fits(c, kind) for c in columns for kind in ("int", "double")]).first()
+    kinds = {c: "int" if known[f"int {c}"] else "double" if known[f"double {c}"] else "string" for c in columns}
+    return text.select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in columns], "run_num")
 
 
 def next_run_number(root: str, prefix: str = "") -> int:
-    found = [int(p.name[len(prefix) :]) for p in Path(root).glob(f"{prefix}*") if p.name[len(prefix) :].isdigit()] if Path(root).exists() else []
-    return max(found, default=0) + 1
+    names = [p.rstrip("/").rsplit("/", 1)[1][len(prefix) :] for p in found(SparkSession.active(), f"{root}/{prefix}*")]
+    return max((int(n) for n in names if n.isdigit()), default=0) + 1
 
 
 def load_config(path: str | None, overrides: list[str] | None = None, defaults: dict | None = None) -> dict:

@@ -14,7 +14,7 @@ def test_twin(spark, sf, con, name):
     same(catalogue.QUERIES[name](spark, sf), con, catalogue.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - {"wnmf_factors", "cluster_models_shared_v"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
