@@ -1,9 +1,9 @@
 """Factor models: weighted non-negative factors, biased and probabilistic SGD, per-cluster and shared-item models.
 
 Global models are driver loops of joins and partial aggregates over the observed
-ratings; each round is cut from the lineage before it. Models of a cluster are
-solved in Arrow groups; a cluster's ratings must fit one task, which the caller
-sees to by the number of clusters (``check_group_rows`` says so early).
+ratings; each round is cut from the lineage before it. Biased and probabilistic SGD,
+global, per cluster or of the gray users, walk blocks of ratings (``stratified``), so
+no group has to fit a task.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.functions.scalars import clip, dot, order_hash
+from tastemill.operators import stratified
 from tastemill.operators.iterate import cut
+from tastemill.operators.stratified import Rule
 
 TINY = 1e-10
-GROUP_ROWS = 20_000_000
 
 
 def start_factors(ids: DataFrame, name: str, rank: int, seed: str) -> DataFrame:
@@ -136,10 +137,9 @@ def als(ratings: DataFrame, targets: DataFrame, rank: int = 20, rounds: int = 10
 
 
 def biased(ratings: DataFrame, targets: DataFrame, rank: int = 20, rounds: int = 10, reg: float = 0.1, seed: int = 42, bias_rounds: int = 10) -> DataFrame:
-    """The global biased model at scale: mean, alternating biases of users and items, and least-squares factors of what they leave. Clipped.
+    """The global biased model by least squares: mean, alternating biases of users and items, and factors of what they leave. Clipped.
 
-    The same model as biased SGD (``sgd`` does that where one task holds the rows), fitted in another way: rounds of
-    joins instead of steps over single ratings, which have an order and so one worker.
+    The same model as biased SGD (``MODELS["svd"]``), fitted in another way: few rounds of joins instead of epochs of steps.
     """
     from tastemill.operators.prepare import alternating_biases
 
@@ -184,8 +184,10 @@ def fit_factors(ratings: DataFrame, **how) -> Factors:
 #: Global models by name: (train, targets, parameters) -> targets with pred.
 MODELS: dict[str, Callable[..., DataFrame]] = {
     "wnmf": lambda train, targets, n_components=20, alpha=0.01, beta=0.01, rounds=20, init="hash": fit_factors(train, rank=n_components, alpha=alpha, beta=beta, rounds=rounds, init=init).predict(targets),
-    "svd": lambda train, targets, n_components=20, reg=0.1, rounds=10: biased(train, targets, n_components, rounds, reg),
-    "pmf": lambda train, targets, n_components=20, sigma_sq=0.5, sigma_U_sq=5.0, rounds=10: probabilistic(train, targets, n_components, rounds, sigma_sq, sigma_U_sq),
+    "svd": lambda train, targets, n_components=20, lr=0.005, reg=0.02, rounds=20: stratified.fit(train, Rule.biased_model(n_components, rounds, lr, reg)).predict(targets),
+    "pmf": lambda train, targets, n_components=20, lr=0.005, sigma_sq=1.0, sigma_U_sq=1.0, sigma_V_sq=1.0, rounds=20: stratified.fit(train, Rule.probabilistic_model(n_components, rounds, lr, sigma_sq, sigma_U_sq, sigma_V_sq)).predict(targets),
+    "svd_als": lambda train, targets, n_components=20, reg=0.1, rounds=10: biased(train, targets, n_components, rounds, reg),
+    "pmf_als": lambda train, targets, n_components=20, sigma_sq=0.5, sigma_U_sq=5.0, rounds=10: probabilistic(train, targets, n_components, rounds, sigma_sq, sigma_U_sq),
 }
 
 
@@ -228,10 +230,10 @@ def tune(ratings: DataFrame, model: str, bounds: dict[str, tuple[float, float]],
     return decode_unit(r.best.tolist(), bounds), r.fitness
 
 
-def gray_models(train: DataFrame, targets: DataFrame, solve: Callable, least: int = 5) -> DataFrame:
+def gray_models(train: DataFrame, targets: DataFrame, rule: Rule, least: int = 5) -> DataFrame:
     """All gray users (is_gray) as one more group with a model of its own; fewer than ``least`` rows give no predictions."""
     dark = lambda df: df.where("is_gray").withColumn("cluster_id", F.lit(-1).cast("long"))
-    return per_cluster(dark(train), dark(targets), solve, least)
+    return cluster_models(dark(train), dark(targets), rule, least)
 
 
 def gray_shared(train: DataFrame, targets: DataFrame, items: DataFrame, rank: int, ridge: float = 0.1) -> DataFrame:
@@ -255,60 +257,9 @@ def blended(targets: DataFrame, profiles: DataFrame, items: DataFrame, members:
     return hard.join(soft, ["user_id", "item_id"], "left").select(*targets.columns, clip(F.coalesce("_soft", "_hard")).alias("pred"))
 
 
-def sgd(u: np.ndarray, i: np.ndarray, r: np.ndarray, rank: int, epochs: int, lr: float, reg: float, seed: int, biased: bool = True, precision: float = 1.0):
-    """Biased SGD (one shuffle), or the probabilistic variant without biases (a shuffle each epoch, errors scaled by the precision)."""
-    draw = np.random.RandomState(seed)
-    mu = float(r.mean())
-    p, q = draw.normal(0, 0.1, (u.max() + 1, rank)), draw.normal(0, 0.1, (i.max() + 1, rank))
-    bu, bi = np.zeros(len(p)), np.zeros(len(q))
-    order = draw.permutation(len(r))
-    for _ in range(epochs):
-        if not biased:
-            order = draw.permutation(len(r))
-        for k in order:
-            a, b = u[k], i[k]
-            e = (r[k] - mu - bu[a] - bi[b] - p[a] @ q[b]) * precision
-            if biased:
-                bu[a] += lr * (e - reg * bu[a])
-                bi[b] += lr * (e - reg * bi[b])
-            p[a], q[b] = p[a] + lr * (e * q[b] - reg * p[a]), q[b] + lr * (e * p[a] - reg * q[b])
-    return mu, bu, bi, p, q
-
-
-def check_group_rows(ratings: DataFrame, key: str) -> None:
-    worst = ratings.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if worst > GROUP_ROWS:
-        raise ValueError(f"a group of {worst} rows is too large for one task: use more clusters, ``shared_items`` or the global models, which have no such bound")
-
-
-def per_cluster(train: DataFrame, targets: DataFrame, solve: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], least: int = 5) -> DataFrame:
-    """``solve`` gives the predictions of a cluster's targets; clusters of fewer than ``least`` train rows give none. Both have cluster_id."""
-    check_group_rows(train, "cluster_id")
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = b[["user_id", "item_id", "rating"]].assign(pred=np.nan)
-        if len(a) >= least and len(b):
-            out["pred"] = np.clip(solve(a, b), 1, 5)
-            return out
-        return out.iloc[:0]
-
-    train, targets = train.toDF(*train.columns), targets.toDF(*targets.columns)  # both may stem from one frame
-    return train.groupBy("cluster_id").cogroup(targets.groupBy("cluster_id")).applyInPandas(run, "user_id long, item_id long, rating double, pred double")
-
-
-def sgd_solver(rank: int = 20, epochs: int = 30, lr: float = 0.01, reg: float = 0.02, seed: int = 42, biased: bool = True) -> Callable:
-    """Each cluster with factors of its own; unknown items fall back to the user's bias, unknown users to the mean factor of the cluster."""
-
-    def solve(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        users, items = {x: k for k, x in enumerate(sorted(set(a.user_id)))}, {x: k for k, x in enumerate(sorted(set(a.item_id)))}
-        a = a.sort_values(["user_id", "item_id"])
-        mu, bu, bi, p, q = sgd(a.user_id.map(users).to_numpy(), a.item_id.map(items).to_numpy(), a.rating.to_numpy(float), rank, epochs, lr, reg, seed, biased)
-        p, q = np.vstack([p, p.mean(0)]), np.vstack([q, np.zeros(rank)])
-        bu, bi = np.append(bu, bu.mean()), np.append(bi, 0.0)
-        u, i = b.user_id.map(users).fillna(len(users)).astype(int).to_numpy(), b.item_id.map(items).fillna(len(items)).astype(int).to_numpy()
-        return mu + bu[u] + bi[i] + (p[u] * q[i]).sum(1)
-
-    return solve
+def cluster_models(train: DataFrame, targets: DataFrame, rule: Rule, least: int = 5) -> DataFrame:
+    """Each cluster with a model of its own, all fitted at once (``stratified``); clusters of fewer than ``least`` train rows give no predictions. Both have cluster_id."""
+    return stratified.fit(train, rule, "cluster_id", least).predict(targets, "cluster_id").select("user_id", "item_id", "rating", "pred")
 
 
 def shared_items(train: DataFrame, targets: DataFrame, items: DataFrame, rank: int, ridge: float = 0.1, gray_weight: float = 1.0) -> DataFrame:

@@ -820,11 +820,11 @@ def wnmf_factors(spark, sf):
 
 @query("cluster_models_full")
 def cluster_models_full(spark, sf):
-    from tastemill.operators.factorize import per_cluster, sgd_solver
+    from tastemill.operators.factorize import Rule, cluster_models
 
     train, test, a = split(spark, sf)
     c = a.select("user_id", "cluster_id")
-    return per_cluster(train.join(c, "user_id"), test.join(c, "user_id"), sgd_solver(rank=6, epochs=5))
+    return cluster_models(train.join(c, "user_id"), test.join(c, "user_id"), Rule.biased_model(rank=6, epochs=5))
 
 
 @query("cluster_models_shared_v")
@@ -877,4 +877,4 @@ for _name in ("PSO", "DOA", "DE-HHO", "GWO+PSO", "GWO||PSO"):
     _search(_name)
 
 
-from tastemill.plans import catalogue_more  # noqa: E402, F401  (it registers its queries here)
+from tastemill.plans import catalogue_more, catalogue_runs  # noqa: E402, F401  (they register their queries here)

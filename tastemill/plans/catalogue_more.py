@@ -481,13 +481,13 @@ def cv_table_full(spark, sf):
 @query("global_biased_model")
 def global_biased_model(spark, sf):
     train, test, _ = split(spark, sf)
-    return shown(M.biased(train, test, rank=6, rounds=3, bias_rounds=3))
+    return shown(M.get_model("svd")(train, test, n_components=6, rounds=5))
 
 
 @query("global_probabilistic_model")
 def global_probabilistic_model(spark, sf):
     train, test, _ = split(spark, sf)
-    return shown(M.probabilistic(train, test, rank=6, rounds=3))
+    return shown(M.get_model("pmf")(train, test, n_components=6, rounds=5))
 
 
 @query("wnmf_spectral_start")
@@ -499,7 +499,7 @@ def wnmf_spectral_start(spark, sf):
 @query("gray_sheep_models")
 def gray_sheep_models(spark, sf):
     train, test, a = split(spark, sf)
-    return shown(M.gray_models(train.join(a, "user_id"), test.join(a, "user_id"), M.sgd_solver(rank=4, epochs=4)))
+    return shown(M.gray_models(train.join(a, "user_id"), test.join(a, "user_id"), M.Rule.biased_model(rank=4, epochs=4)))
 
 
 @query("scenario_table")

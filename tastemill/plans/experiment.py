@@ -203,10 +203,10 @@ def scenarios(train: DataFrame, test: DataFrame, labels: DataFrame, rank: int =
     items = A.C.cut(M.wnmf(train, rank=rank, rounds=rounds)[1])
     a, b = train.join(labels, "user_id"), test.join(labels, "user_id")
     pale = lambda df: df.where("NOT is_gray")
-    solve = M.sgd_solver(rank=rank, epochs=epochs)
+    rule = M.Rule.biased_model(rank, epochs)
     made = {
         "global": M.get_model("svd")(train, test, n_components=rank, rounds=rounds),
-        "cluster_full": M.per_cluster(pale(a), pale(b).drop("is_gray"), solve).unionByName(M.gray_models(a, b, solve)),
+        "cluster_full": M.cluster_models(pale(a), pale(b).drop("is_gray"), rule).unionByName(M.gray_models(a, b, rule)),
         "cluster_sharedV": M.shared_items(pale(a), pale(b).drop("is_gray"), items, rank).unionByName(M.gray_shared(a, b.drop("is_gray") if "is_gray" not in b.columns else b, items, rank)),
         "cluster_avg": P.cluster_average(train, test, labels),
         "cluster_knn": N.knn(train, test, labels),

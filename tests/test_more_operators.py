@@ -248,7 +248,7 @@ def test_tuning(spark):
 
 def test_gray_models_and_blend(spark):
     df = ratings(spark, 20, 8, 6).join(labels(spark, 20), "user_id")
-    solve = factorize.sgd_solver(rank=2, epochs=3)
+    solve = factorize.Rule.biased_model(rank=2, epochs=3)
     gray = factorize.gray_models(df, df, solve)
     assert {r.user_id for r in gray.select("user_id").distinct().collect()} == {0, 5, 10, 15}
     assert factorize.gray_models(df.where("user_id > 0"), df.limit(0), solve).count() == 0
