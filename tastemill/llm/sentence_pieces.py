@@ -354,9 +354,12 @@ def with_column(batch: pa.RecordBatch, kept: list[str], name: str, values: pa.Ar
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], values], names=[*kept, name])
 
 
-def encode(docs: DataFrame, model: dict, text: str = "text", out: str = "ids", start: bool = False, end: bool = True) -> DataFrame:
-    """The other columns of ``docs``, and the ids of each whole text."""
+def encode(docs: DataFrame, model: dict, text: str = "text", out: str = "ids", start: bool = False, end: bool = True, back: str | None = None) -> DataFrame:
+    """The other columns of ``docs``, and the ids of each whole text; with ``back``, also the text that these ids decode to, in the same pass."""
     kept, schema = columns_with(docs, text, out, T.ArrayType(T.IntegerType()))
+    if back is not None:
+        kept = [c for c in kept if c != back]
+        schema = T.StructType([*[docs.schema[c] for c in kept], schema[out], T.StructField(back, T.StringType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +367,8 @@ def encode(docs: DataFrame, model: dict, text: str = "text", out: str = "ids", s
             texts = [None if x is None else x.decode("utf-8", "replace") for x in batch.column(text).cast(pa.binary()).to_pylist()]
             ids, number = encode_texts(texts, sent.value, start, end)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number)), pa.int32()), pa.array(ids, pa.int32()))
-            yield with_column(batch, kept, out, lists)
+            done = with_column(batch, kept, out, lists)
+            yield done if back is None else with_column(done, [*kept, out], back, pa.array(decode_ids(ids, number, sent.value), pa.string()))
 
     return docs.select(*kept, text).mapInArrow(run, schema)
 
@@ -393,7 +397,6 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str, vocabulary: str | Non
 
         vocabulary = public_tokenizers.path(VOCABULARY)
     model = load(vocabulary)
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    both = decode(encoded, model, out="decoded")
+    both = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, back="decoded")
     numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

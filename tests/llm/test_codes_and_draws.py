@@ -83,6 +83,8 @@ def test_pieces_columns(spark, pieces):
     assert got[4].ids == got[2].ids == [1, 2]
     back = {r.n: r.text for r in sentence_pieces.decode(out, pieces[0]).collect()}
     assert back == {5: "the thing", None: "", 1: "", 2: "word " * 40_000}
+    at_once = sentence_pieces.encode(df, pieces[0], start=True, back="n")
+    assert at_once.columns == ["doc_id", "ids", "n"] and {r.n for r in at_once.collect()} == {"the thing", "", "word " * 40_000}
     lists = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [r.text for r in sentence_pieces.decode(lists, pieces[0]).collect()] == ["", ""]
     assert sentence_pieces.encode(df.limit(0), pieces[0]).count() == 0
