@@ -11,9 +11,10 @@ An item of g shingles and a window that match share at least ``SIMILARITY`` g of
 so the window holds one of any g - SIMILARITY g + 1 of the item's shingles. Texts are
 looked through for the rarest ones of each item only, which shingles that many items
 share are not; so a frequent shingle does not multiply with the items that have it.
-Where one is found, the windows that hold a shingle of that item, at the place it has
-in the item, are fingerprinted: any other alignment of the same words has fewer in
-common, and a window without a shared shingle has similarity 0. So this loses nothing.
+Where one is found, all windows of the text are looked at with running counts of the
+shingles that are the item's: a window with fewer than the similarity asks for cannot
+match, and all others are fingerprinted (windows of equal shingles once), whatever the
+order of their words. So this loses nothing.
 
 Benchmarks are taken in parts of at most ``PART_CHARS`` characters, so what is
 broadcast is bounded; documents are only read, never shuffled.
@@ -99,7 +100,7 @@ def build(items: list[tuple[int, str | None]], limit: float = SIMILARITY) -> dic
         order = np.argsort(flat, kind="stable")
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[(flat & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-        widths[width] = (flat[order], item[order], {k: (np.sort(g), np.argsort(g, kind="stable")) for k, g in grams.items()}, np.flatnonzero(seen))
+        widths[width] = (flat[order], item[order], {k: np.unique(g) for k, g in grams.items()}, np.flatnonzero(seen))
     return {"ids": [i for i, _ in kept], "sizes": sizes, "bags": bags, "prints": prints, "blocks": blocks, "widths": widths}
 
 
@@ -134,7 +135,7 @@ def matches(texts: list[str | None], index: dict, filters: dict[int, np.ndarray]
     hashes = pd.util.hash_array(distinct, categorize=False)[codes]
     text_of = np.repeat(np.arange(len(texts)), length)
     windows: set[tuple[int, int, int, int]] = set()
-    for width, (flat, item, places, _) in index["widths"].items():
+    for width, (flat, item, items, _) in index["widths"].items():
         if len(hashes) < width:
             continue
         grams = gram_hashes(hashes, width)
@@ -150,14 +151,17 @@ def matches(texts: list[str | None], index: dict, filters: dict[int, np.ndarray]
             post = np.repeat(lo[s : s + SLAB] - np.concatenate([[0], np.cumsum(some)[:-1]]), some) + np.arange(some.sum())
             pairs.update(zip(np.repeat(text_of[at[s : s + SLAB]], some).tolist(), item[post].tolist(), strict=True))
         for t, k in sorted(pairs):
-            own, place = places[k]
-            size, mine = int(index["sizes"][k]), grams[starts[t] : max(starts[t], ends[t] - width + 1)]
-            left = np.searchsorted(own, mine, "left")
-            some = np.searchsorted(own, mine, "right") - left
-            here = np.flatnonzero(some)
-            which = np.repeat(left[here] - np.concatenate([[0], np.cumsum(some[here])[:-1]]), some[here]) + np.arange(some[here].sum())
-            first = np.unique(np.clip(np.repeat(here, some[here]) - place[which] + starts[t], starts[t], max(starts[t], ends[t] - size)))
-            windows.update((t, size, f, min(f + size, int(ends[t]))) for f in first.tolist())
+            own, size = items[k], int(index["sizes"][k])
+            mine = grams[starts[t] : max(starts[t], ends[t] - width + 1)]
+            at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+            held = min(len(mine), size - width + 1)  # shingles of a window; a shorter text is one
+            found, bags = np.append(0, np.cumsum(own[at] == mine)), np.append(np.uint64(0), np.cumsum(mix64(mine)))
+            # a share of s needs s / (1 + s) of all shingles of both to be in common
+            least = limit * (held + size - width + 1) / (1 + limit) - 1e-9
+            first = np.flatnonzero(found[held:] - found[: len(found) - held] >= least)
+            _, once = np.unique((bags[held:] - bags[: len(bags) - held])[first], return_index=True)
+            for f in (first[once] + starts[t]).tolist():
+                windows.add((t, size, f, min(f + size, int(ends[t]))))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for t, size, first, last in sorted(windows):
         bag = np.unique(gram_hashes(hashes[first:last], SHINGLE), return_counts=True)

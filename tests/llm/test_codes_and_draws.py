@@ -221,3 +221,65 @@ def test_vector_codes_empty_and_huge(spark):
     assert vector_codes.compress(spark.createDataFrame([(None, [1.0], 1)], kind))[0].count() == 0
     huge = spark.createDataFrame([(1, [1e300, 0.0], 1), (2, [-1e300, 5.0], 1)], kind)
     assert [r.code for r in sorted(vector_codes.compress(huge)[0].collect())] == ["0000", "0101"]
+
+
+# ---- what earlier operators must not lose
+
+
+def brute_leaks(texts, items, limit=0.8):
+    from collections import Counter
+
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    out = set()
+    for n, t in texts:
+        w = t.lower().split()
+        for i, x in items:
+            it = x.split()
+            b = bag(it)
+            for s in range(max(1, len(w) - len(it) + 1)):
+                a = bag(w[s : s + len(it)])
+                if sum((a & b).values()) >= limit * sum((a | b).values()) - 1e-12:
+                    out.add((n, i))
+                    break
+    return out
+
+
+def test_decontaminate_moved_blocks(spark):
+    """Swapped halves, moved and repeated paragraphs, and words that repeat: all windows count, not the aligned ones alone."""
+    from tastemill.llm import decontaminate
+
+    draw = random.Random(9)
+    word = lambda n, v=5000: [f"w{draw.randrange(v)}" for _ in range(n)]
+    items = [(1, word(100)), (2, word(90)), (3, word(150)), (4, ["la"] * 30), (5, (["da", "du", "di"] * 20)[:50])]
+    a, b, c = items[0][1], items[1][1], items[2][1]
+    thirds = [c[k : k + 50] for k in (0, 50, 100)]
+    texts = [(1, word(40) + a[50:] + a[:50] + word(40)), (2, word(60) + b[30:] + b[:30]), (3, thirds[2] + thirds[0] + thirds[1]), (4, word(10) + ["la"] * 400), (5, ["du", "di", "da"] * 60), (6, word(300)), (7, a[50:] + word(9) + a[:50]), (8, a[20:40] * 5), (9, thirds[0] + word(30) + thirds[1])]
+    texts, items = [(i, " ".join(w)) for i, w in texts], [(i, " ".join(w)) for i, w in items]
+    wanted = brute_leaks(texts, items)
+    assert {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)} <= wanted
+    df = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
+    found = decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == wanted
+    long = spark.createDataFrame([(1, "la " * 200_000)], "doc_id long, text string")
+    assert [r.item_id for r in decontaminate.find_leaks(long, spark.createDataFrame(items, "item_id long, text string")).collect()] == [4]
+
+
+def test_license_expression_of_any_length(spark):
+    from tastemill.llm import license_scan
+
+    names = [f"LicenseRef-part-{n}" for n in range(400)]
+    tagged = "// SPDX-License-Identifier: " + " AND ".join([*names, "GPL-3.0-only"]) + "\nrest"
+    many = "SPDX-License-Identifier: MIT " * 2000 + "SPDX-License-Identifier: (ISC OR Zlib)"
+    df = spark.createDataFrame([(1, tagged), (2, many)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert len(tagged) > 8000 and set(got[1].labels.split(",")) == {n.lower() for n in names} | {"gpl"} and not got[1].permissive
+    assert set(got[2].labels.split(",")) == {"mit", "isc", "zlib"} and got[2].permissive
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "canvas", "svg", "video", "audio", "template", "object", "math", "noscript"])
+def test_html_unclosed_element_loses_nothing_behind(spark, tag):
+    from tastemill.llm import html_extract
+
+    html = f"<html><body><article><p>First paragraph of the text.</p><{tag}><p>Second paragraph of the text.</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "http://a.example/x", html)], "page_id long, url string, html string")
+    assert html_extract.extract(pages).first().text == "First paragraph of the text.\n\nSecond paragraph of the text."
