@@ -14,7 +14,7 @@ Defined results
 * an expression that breaks off is taken as far as it is well formed; marks behind
   an identifier (a full stop, a hyphen) are not part of it;
 * of a text with several tags, all expressions must be permissive;
-* texts of any length are read whole, one at a time beyond the step's size;
+* texts of any length are read whole, one at a time beyond the step's size; so are expressions, to the end of their line;
 * repeated rows give repeated results, an empty table an empty one; further
   columns of the table are ignored.
 """
@@ -149,15 +149,22 @@ def family(identifier: str) -> str:
 
 
 def behind(raw: bytes, normal: bytes, words: list[int]) -> list[str]:
-    """What follows each of the words with these numbers (rising) on its line, without marks before it."""
-    out, wanted = [], iter(words)
+    """What follows each of the words with these numbers (rising) on its line, without marks before it.
+
+    It ends with the second tag behind at the latest: no expression goes on behind one, so a long line of many tags is read twice, not once for each.
+    """
+    ends, wanted = [], iter(words)
     want = next(wanted, None)
     for n, m in enumerate(re.finditer(rb"[^ ]+", normal)):
         if n == want:
-            line = raw[m.end() : m.end() + 1000].split(b"\n", 1)[0]  # an expression of more than that is no tag
-            out.append(line.decode("utf-8", "replace").lstrip(" \t:=\"'`*"))
+            ends.append(m.end())
             if (want := next(wanted, None)) is None:
                 break
+    out = []
+    for k, start in enumerate(ends):
+        stop = raw.find(b"\n", start)
+        stop = min(len(raw) if stop < 0 else stop, ends[k + 2] if k + 2 < len(ends) else len(raw))
+        out.append(raw[start:stop].decode("utf-8", "replace").lstrip(" \t:=\"'`*"))
     return out
 
 
