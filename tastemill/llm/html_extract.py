@@ -74,8 +74,9 @@ KEPT = 500
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-#: Elements that hold no text to read; their end is looked for as it is.
-RAW = ("script", "style", "template", "noscript", "svg", "math", "textarea", "select", "iframe", "object", "canvas", "title", "button", "audio", "video")
+#: Elements that hold no text to read; their end is looked for as it is. Without an end the first ones swallow the rest of the page, as in HTML; the others are passed over alone.
+SWALLOWS = ("script", "style", "textarea", "title", "iframe")
+RAW = frozenset((*SWALLOWS, "template", "svg", "select", "canvas", "button", "audio", "video"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 OUTSIDE = frozenset("nav footer aside form head dialog menu fieldset".split())
@@ -109,15 +110,6 @@ DEAD, WEAK, DECLARED, CONSTANT, LISTED = 1, 2, 4, 8, 16
 IS_LIST, IS_HEAD = 1, 2
 
 
-def bad_name(names: str, heads: bool) -> bool:
-    """Whether a class or id, as a whole, names a menu or the like; ``heads``: whether headers count."""
-    for name in names.lower().split():
-        words = {w for w in re.split(r"[0-9_-]+", name) if w}
-        if words & BAD and words <= BAD | NEUTRAL and (heads or not words & {"header", "masthead"}):
-            return True
-    return False
-
-
 def step(state: int, sort: int) -> int:
     """The state inside an element of that sort, from the state around it."""
     if sort == OUT:
@@ -175,6 +167,7 @@ class Reader:
         stack: list[tuple[str, int]] = []  # open tags, each with the block element it is or lies in
         held: dict[str, int] = {}  # how many of each are open
         text: list[str] = []
+        lost: set[str] = set()  # raw elements that have no end from here on
         linked = 0
 
         def flush() -> None:
@@ -222,8 +215,15 @@ class Reader:
                             break
                 continue
             if tag in RAW and not m[0].endswith("/>"):
+                if tag in lost:
+                    continue
                 out = re.compile(rf"</{tag}\s*>", re.I).search(html, place)
-                place = out.end() if out else end
+                if out:
+                    place = out.end()
+                elif tag in SWALLOWS:
+                    place = end
+                else:
+                    lost.add(tag)
                 continue
             if tag in VOID:
                 continue
