@@ -176,6 +176,19 @@ def gray_by_percentile(df: DataFrame, centres: DataFrame, q: float = 0.8) -> Dat
     return near.crossJoin(limit).select("vec_id", "dist", (F.col("dist") > F.col("limit")).alias("is_gray"))
 
 
+def gray_by_factor(features: DataFrame, k: int = 20, contamination: float | None = None) -> tuple[DataFrame, float]:
+    """(vec_id, dist, is_gray) by local outlier factor, and the threshold: factors above 1.5, or above the exact quantile that leaves the share ``contamination``.
+
+    The threshold lies half way between the smallest gray and the largest other factor (all or none gray: the mean).
+    """
+    n = features.count()
+    factors = cut(local_outlier_factor(features, min(k, max(1, n - 1))))
+    limit = 1.5 if contamination is None else factors.agg(F.percentile("lof", F.lit(1 - contamination))).first()[0]
+    out = factors.select("vec_id", F.col("lof").alias("dist"), (F.col("lof") > F.lit(limit)).alias("is_gray"))
+    low, high, mean = out.agg(F.min(F.when(F.col("is_gray"), F.col("dist"))), F.max(F.when(~F.col("is_gray"), F.col("dist"))), F.avg("dist")).first()
+    return out, mean if low is None or high is None else (low + high) / 2
+
+
 def gray_by_profile(profile: DataFrame, threshold: float = 3.0) -> DataFrame:
     """|z(mean)| + |z(std)| + |z(share of empty items)| of (user_id, mean, std, empty) at ``threshold`` or more."""
     from tastemill.operators.prepare import TINY

@@ -321,3 +321,50 @@ def pca(df: DataFrame, k: int | None = None, variance: float | None = None, whit
         std = out.agg(F.array(*[F.stddev_samp(F.col("v")[i]) for i in range(keep)]).alias("s"))
         out = out.crossJoin(F.broadcast(std)).select("vec_id", F.zip_with("v", "s", lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(a)).alias("v"))
     return out, share[:keep].tolist()
+
+
+def pca_sparse(df: DataFrame, d: int, k: int | None = None, variance: float | None = None, whiten: bool = False) -> tuple[DataFrame, list[float]]:
+    """The same of vectors with a place for each item (vec_id, ids, vals); d x d numbers on the driver, as for ``pca``, but no dense rows in the plan.
+
+    Products of places come from pairs of a vector's own cells, so missing places cost nothing; the mean is taken off afterwards.
+    """
+    from tastemill.operators import sparse
+    from tastemill.operators.search import blocks
+
+    n = df.count()
+
+    def gram(batches):
+        total = np.zeros((d, d))
+        for pdf in batches:
+            for x in blocks(pdf, d):
+                total += x.T @ x
+        rows, cols = np.nonzero(total)
+        step = 1_000_000
+        for lo in range(0, len(rows), step):
+            r, c = rows[lo : lo + step], cols[lo : lo + step]
+            yield pd.DataFrame({"i": r, "j": c, "s": total[r, c]})
+
+    found = df.select("ids", "vals").mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    mean = np.zeros(d)
+    for r in sparse.cells_of(df).groupBy("dim").agg(F.sum("value").alias("s")).collect():  # d rows
+        mean[r["dim"]] = r["s"] / n
+    square = np.zeros((d, d))
+    square[found.i, found.j] = found.s
+    values, vectors = np.linalg.eigh((square - n * np.outer(mean, mean)) / max(n - 1, 1))
+    order = np.argsort(-values)
+    values, vectors = np.maximum(values[order], 0), vectors[:, order]
+    share = np.cumsum(values / max(values.sum(), TINY))
+    keep = min(k or d, d)
+    if variance is not None:
+        keep = min(keep, int(np.searchsorted(share, variance - 1e-12)) + 1)
+    scale = np.where(values[:keep] > TINY, np.sqrt(np.maximum(values[:keep], TINY)), 1.0) if whiten else np.ones(keep)
+    sent, shift = df.sparkSession.sparkContext.broadcast(vectors[:, :keep] / scale), mean @ (vectors[:, :keep] / scale)
+
+    def turn(batches):
+        for pdf in batches:
+            if len(pdf):
+                out = [row for x in blocks(pdf, d) for row in (x @ sent.value - shift).tolist()]
+                yield pd.DataFrame({"vec_id": pdf.vec_id, "v": out})
+
+    kind = df.schema["vec_id"].dataType.simpleString()
+    return df.select("vec_id", "ids", "vals").mapInPandas(turn, f"vec_id {kind}, v array<double>"), share[:keep].tolist()

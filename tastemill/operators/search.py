@@ -7,7 +7,7 @@ synchronous, so a generation is a single batch of candidates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -16,7 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastemill.functions.scalars import order_hash
+
 Objective = Callable[[np.ndarray], np.ndarray]
+#: Numbers of dense rows that a worker holds at a time.
+BLOCK_NUMBERS = 2_000_000
 
 
 @dataclass
@@ -27,6 +31,20 @@ class Result:
     population: np.ndarray | None = None
 
 
+def blocks(pdf: pd.DataFrame, d: int) -> Iterator[np.ndarray]:
+    """Rows as dense blocks of bounded size, from ``v`` or from places and values (``ids``, ``vals``)."""
+    step = max(1, BLOCK_NUMBERS // max(1, d))
+    for lo in range(0, len(pdf), step):
+        part = pdf.iloc[lo : lo + step]
+        if "ids" not in part:
+            yield np.array(part.v.tolist(), float)
+            continue
+        out = np.zeros((len(part), d))
+        lengths = [len(x) for x in part.ids]
+        out[np.repeat(np.arange(len(part)), lengths), np.concatenate([*part.ids, []]).astype(int)] = np.concatenate([*part.vals, []])
+        yield out
+
+
 def clustering_objective(df: DataFrame, k: int, d: int, penalty: float = 1000.0) -> Objective:
     """Scores of candidates (P x k d): sum of squared distances to the nearest centroid, and ``penalty`` for each empty one.
 
@@ -43,15 +61,15 @@ def clustering_objective(df: DataFrame, k: int, d: int, penalty: float = 1000.0)
             for pdf in batches:
                 if pdf.empty:
                     continue
-                x = np.array(pdf.v.tolist())
-                q = (x * x).sum(1)
-                for c, centre in enumerate(sent.value):
-                    d2 = np.maximum(q[:, None] - 2 * x @ centre.T + (centre * centre).sum(1), 0)
-                    total[c] += d2.min(1).sum()
-                    used[c] |= np.bincount(d2.argmin(1), minlength=k) > 0
+                for x in blocks(pdf, d):
+                    q = (x * x).sum(1)
+                    for c, centre in enumerate(sent.value):
+                        d2 = np.maximum(q[:, None] - 2 * x @ centre.T + (centre * centre).sum(1), 0)
+                        total[c] += d2.min(1).sum()
+                        used[c] |= np.bincount(d2.argmin(1), minlength=k) > 0
             yield pd.DataFrame({"c": range(len(total)), "s": total, "used": [u.astype("int32").tolist() for u in used]})
 
-        parts = df.select("v").mapInPandas(run, "c int, s double, used array<int>")
+        parts = df.drop("vec_id", "cluster_id").mapInPandas(run, "c int, s double, used array<int>")
         rows = parts.groupBy("c").agg(F.sum("s").alias("s"), F.array(*[F.max(F.col("used")[i]) for i in range(k)]).alias("used")).collect()
         out = np.zeros(len(population))
         for r in rows:
@@ -61,11 +79,58 @@ def clustering_objective(df: DataFrame, k: int, d: int, penalty: float = 1000.0)
     return score
 
 
-def composite_objective(wcss: Objective, silhouette: Objective, ch: Objective, baseline: np.ndarray) -> Objective:
-    """0.50 wcss / w0 + 0.25 (1 - sil) / s0 + 0.25 (1 / ch) / c0, anchored to an explicit baseline point."""
-    safe = lambda x: np.maximum(x, 1e-12)
-    w0, s0, c0 = (float(safe(f)[0]) for f in (wcss(baseline[None]), 1 - silhouette(baseline[None]), 1 / safe(ch(baseline[None]))))
-    return lambda p: 0.5 * wcss(p) / w0 + 0.25 * (1 - silhouette(p)) / s0 + 0.25 * (1 / safe(ch(p))) / c0
+class Composite:
+    """0.50 wcss / w0 + 0.25 (1 - silhouette) / s0 + 0.25 (1 / CH) / c0, relative to the first candidate that is scored.
+
+    A generation is one job over all vectors, which gives the sums of squares. Silhouette (cosine) and
+    Calinski-Harabasz are of a fixed sample of at most ``sample`` vectors, smallest hashes first, and need no job;
+    candidates that leave the sample in one cluster, or every vector alone, have -1 and 1.
+    """
+
+    def __init__(self, df: DataFrame, k: int, d: int, sample: int = 300, seed: str = "sil"):
+        self.k, self.d, self.base = k, d, None
+        self.squares = clustering_objective(df, k, d, 0.0)
+        rows = df.orderBy(order_hash("vec_id", seed=seed), "vec_id").limit(sample).drop("vec_id").toPandas()
+        self.x = np.concatenate([np.zeros((0, d)), *blocks(rows, d)])
+        norm = np.sqrt((self.x * self.x).sum(1))
+        unit = self.x / np.where(norm > 0, norm, 1.0)[:, None]
+        self.far = np.clip(1 - unit @ unit.T, 0, 2)
+        np.fill_diagonal(self.far, 0.0)
+
+    def quality(self, centres: np.ndarray) -> tuple[float, float]:
+        """(silhouette, CH) of the sample by its nearest centres."""
+        x, n = self.x, len(self.x)
+        own = (-2 * x @ centres.T + (centres * centres).sum(1)).argmin(1) if n else np.zeros(0, int)
+        names, own = np.unique(own, return_inverse=True)
+        if not 2 <= len(names) < n:
+            return -1.0, 1.0
+        one = np.eye(len(names))[own]
+        size = one.sum(0)
+        total = self.far @ one
+        rows = np.arange(n)
+        inner = total[rows, own] / np.maximum(size[own] - 1, 1)
+        other = total / size
+        other[rows, own] = np.inf
+        outer = other.min(1)
+        top = np.maximum(inner, outer)
+        sil = np.where((size[own] > 1) & (top > 0), (outer - inner) / np.where(top > 0, top, 1.0), 0.0)
+        mean = (one.T @ x) / size[:, None]
+        within = ((x - mean[own]) ** 2).sum()
+        between = (size[:, None] * (mean - x.mean(0)) ** 2).sum()
+        ch = 1.0 if within == 0 else between * (n - len(names)) / (within * (len(names) - 1))
+        return float(sil.mean()), float(ch)
+
+    def parts(self, population: np.ndarray) -> np.ndarray:
+        """(wcss, silhouette, CH) of each candidate."""
+        quality = [self.quality(c) for c in population.reshape(len(population), self.k, self.d)]
+        return np.column_stack([self.squares(population), np.array(quality)])
+
+    def __call__(self, population: np.ndarray) -> np.ndarray:
+        wcss, sil, ch = self.parts(np.atleast_2d(population)).T
+        costs = np.column_stack([np.maximum(wcss, 0), 1 - sil, 1 / np.maximum(ch, 1e-12)])
+        if self.base is None:
+            self.base = np.maximum(costs[0], 1e-12)
+        return (costs / self.base) @ np.array([0.50, 0.25, 0.25])
 
 
 class Search:

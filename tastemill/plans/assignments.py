@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from tastemill.functions.scalars import order_hash, r6
 from tastemill.operators import clusters as C
 from tastemill.operators import search as O
+from tastemill.operators import sparse as SV
 from tastemill.operators.evaluate import composite_rank, convergence, run_summary
+from tastemill.operators.iterate import cut
 
 #: Labels of assignment runs and the search each stands for (the labels are fixed values; searches of other names than ours are left out).
 ALGORITHMS = {
@@ -66,11 +68,12 @@ def check_known(names: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def features(ratings: DataFrame, how: dict) -> tuple[DataFrame, int]:
-    """(vec_id, v) of users and the length of v, in this order: prune, user z-score, unit rows, then PCA or non-negative factors.
+    """Vectors of users and their length, in this order: prune, user z-score, unit rows, then PCA or non-negative factors.
 
     ``how``: min_user, min_item, zscore, unit, pca (components or share of variance), factors; pca and factors
-    together are an error. Without either, v has a place for each item, so the items have to fit a row.
+    together are an error. With factors or pca (vec_id, v); without either a place for each item, as (vec_id, ids, vals).
     """
+    from tastemill.functions.scalars import scale_rows
     from tastemill.operators import factorize, prepare
 
     if how.get("pca") and how.get("factors"):
@@ -78,22 +81,17 @@ def features(ratings: DataFrame, how: dict) -> tuple[DataFrame, int]:
     df = prepare.prune(ratings, how.get("min_user", 0), how.get("min_item", 0))
     if how.get("factors"):
         users, _ = factorize.wnmf(df, rank=how["factors"], rounds=how.get("rounds", 20))
-        out, d = users.select(F.col("user_id").alias("vec_id"), F.col("p").alias("v")), how["factors"]
-    else:
-        if how.get("zscore"):
-            df = prepare.normalize(df, "user_zscore").select("user_id", "item_id", F.col("z").alias("rating"))
-        items = prepare.id_map(df, "item_id")
-        d = items.count()
-        cells = df.join(items, "item_id").groupBy(F.col("user_id").alias("vec_id")).agg(F.map_from_entries(F.collect_list(F.struct("dense", "rating"))).alias("m"))
-        every = F.sequence(F.lit(0).cast("long"), F.lit(d - 1).cast("long"))
-        out = cells.select("vec_id", F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
-    if how.get("unit"):
-        from tastemill.functions.scalars import scale_rows
-
-        out = out.select("vec_id", scale_rows(F.col("v")).alias("v"))
+        out = users.select(F.col("user_id").alias("vec_id"), F.col("p").alias("v"))
+        return (out.select("vec_id", scale_rows(F.col("v")).alias("v")) if how.get("unit") else out), how["factors"]
+    if how.get("zscore"):
+        df = prepare.normalize(df, "user_zscore").select("user_id", "item_id", F.col("z").alias("rating"))
+    items = prepare.id_map(df, "item_id")
+    d = items.count()
+    out = SV.from_cells(df.join(items, "item_id").select(F.col("user_id").alias("vec_id"), F.col("dense").alias("dim"), F.col("rating").alias("value")))
+    out = SV.unit(out) if how.get("unit") else out
     if how.get("pca"):
         share = how["pca"] if 0 < how["pca"] < 1 else None
-        out, cumulative = factorize.pca(out, k=None if share else int(how["pca"]), variance=share, whiten=how.get("whiten", False), d=d)
+        out, cumulative = factorize.pca_sparse(out, d, k=None if share else int(how["pca"]), variance=share, whiten=how.get("whiten", False))
         d = len(cumulative)
     return out, d
 
@@ -116,7 +114,11 @@ def bounds(df: DataFrame, k: int, d: int, kind: str = "data") -> tuple[np.ndarra
     elif kind == "centred":
         low, high = -4.0, 4.0
     else:
-        low, high = df.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+        if SV.is_sparse(df):  # places that a vector lacks are 0
+            least, most = F.when(F.size("ids") < d, F.least(F.array_min("vals"), F.lit(0.0))).otherwise(F.array_min("vals")), F.when(F.size("ids") < d, F.greatest(F.array_max("vals"), F.lit(0.0))).otherwise(F.array_max("vals"))
+        else:
+            least, most = F.array_min("v"), F.array_max("v")
+        low, high = df.agg(F.min(least), F.max(most)).first()
         if kind == "search":
             low, high = 0.0, max(5.0, 1.5 * high + 1e-6)
         elif abs(high - low) + 2e-6 <= 3e-6:
@@ -141,12 +143,18 @@ class Clustering:
     epochs: int = 10
 
     def fit_predict(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(vec_id, nearest, d2) and centres (cluster_id, c)."""
+        """(vec_id, nearest, d2) and centres (cluster_id, c), or (cluster_id, dim, value) of vectors with a place for each item."""
         session, name = df.sparkSession, self.algorithm.lower().replace("-", "_")
         n = df.limit(self.k).count()
         if n == 0:
             raise ValueError("no vectors")
         k = min(self.k, n)
+        if SV.is_sparse(df) and name in ("fcm", "kmeans", "k_means"):
+            if name == "fcm":
+                centres, _ = SV.fuzzy_c_means(df, max(2, k), self.d, self.rounds)
+                return SV.nearest(df, centres, max(2, k), self.d), centres
+            centres, near = SV.lloyd(df, SV.seed_by_distance(df, k, self.d, f"km{self.seed}"), k, self.d, self.rounds)
+            return near, centres
         if name == "fcm":
             centres, near = C.fuzzy_c_means(df, max(2, k), self.d, self.rounds)
             return near, centres
@@ -168,44 +176,96 @@ class Problem:
     k: int
     d: int
     penalty: float = 1000.0
+    objective: str = "wcss"
 
     @property
     def dim(self) -> int:
         return self.k * self.d
 
+    def __post_init__(self):
+        if self.objective not in ("wcss", "composite"):
+            raise ValueError(f"unknown objective: {self.objective}")
+        self.score = O.clustering_objective(self.df, self.k, self.d, self.penalty) if self.objective == "wcss" else O.Composite(self.df, self.k, self.d)
+
     def fitness(self, population: np.ndarray) -> np.ndarray:
-        return O.clustering_objective(self.df, self.k, self.d, self.penalty)(np.atleast_2d(population))
+        return self.score(np.atleast_2d(population))
 
     def centres(self, x: np.ndarray) -> DataFrame:
         return self.df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(x.reshape(self.k, self.d).tolist())], "cluster_id long, c array<double>")
 
     def assign(self, x: np.ndarray) -> DataFrame:
-        return C.nearest(self.df, self.centres(x))
+        return C.nearest(self.df, self.centres(x)) if not SV.is_sparse(self.df) else SV.nearest(self.df, SV.long_form(self.centres(x)), self.k, self.d)
+
+    def seeding(self, seed: str) -> np.ndarray:
+        """k centres drawn by squared distance, flat."""
+        if not SV.is_sparse(self.df):
+            return np.array(C.seed_by_distance(self.df, self.k, seed)).ravel()
+        return self.flat(SV.seed_by_distance(self.df, self.k, self.d, seed))
+
+    def flat(self, centres: DataFrame) -> np.ndarray:
+        out = np.zeros((self.k, self.d))
+        for r in centres.collect():  # k d numbers, like every candidate
+            out[r["cluster_id"], r["dim"]] = r["value"]
+        return out.ravel()
 
     def starts(self, n: int, seed: int = 42) -> np.ndarray:
         """n seedings by squared distance, each with a seed of its own."""
-        return np.array([np.array(C.seed_by_distance(self.df, self.k, f"s{seed}.{i}")).ravel() for i in range(n)])
+        return np.array([self.seeding(f"s{seed}.{i}") for i in range(n)])
+
+    def k_means(self, seed: str, rounds: int) -> np.ndarray:
+        if SV.is_sparse(self.df):
+            return self.flat(SV.lloyd(self.df, SV.seed_by_distance(self.df, self.k, self.d, seed), self.k, self.d, rounds)[0])
+        return np.array(C.lloyd(self.df, C.seed_by_distance(self.df, self.k, seed), self.d, rounds)[0]).ravel()
 
     def solve(self, name: str, size: int, epochs: int, seed: int, low: np.ndarray, high: np.ndarray, start: np.ndarray | None = None) -> O.Result:
         return O.get_optimizer(name)(self.fitness, low, high, size, epochs, seed, start)
 
 
-def run_one(df: DataFrame, label: str, k: int, d: int, size: int = 10, epochs: int = 10, seed: int = 42, gray: str = "distance", threshold: float = 0.8, restarts: int = 1) -> dict:
-    """One algorithm from search to labels: label, seconds, wcss (always of the clustering), labels (vec_id, cluster_id, is_gray, dist), sizes and history."""
+def gray_choice(near: DataFrame, how: str, threshold: float, features: DataFrame | None, neighbours: int, contamination: float | None) -> tuple[DataFrame, float]:
+    """(vec_id, dist, is_gray) and the threshold: ``distance`` beyond it, ``percentile`` above the 80th, or by the outlier factor (``lof``) of ``features`` (vec_id, v)."""
+    if how == "lof":
+        return C.gray_by_factor(features, neighbours, contamination)
+    dist = near.withColumn("dist", r6(F.sqrt("d2")))
+    if how == "percentile":
+        threshold = dist.agg(F.percentile("dist", F.lit(0.8))).first()[0]
+        return dist.select("vec_id", "dist", (F.col("dist") > threshold).alias("is_gray")), threshold
+    if how != "distance":
+        raise ValueError(f"unknown choice of gray users: {how}")
+    return dist.select("vec_id", "dist", (F.sqrt("d2") > threshold).alias("is_gray")), threshold
+
+
+def run_one(
+    df: DataFrame, label: str, k: int, d: int, size: int = 10, epochs: int = 10, seed: int = 42, gray: str = "distance", threshold: float = 0.8, restarts: int = 1,
+    objective: str = "wcss", ratings: DataFrame | None = None, neighbours: int = 20, contamination: float | None = None, members: bool = False,
+) -> dict:
+    """One algorithm from search to labels: label, seconds, wcss (always of the clustering), labels (vec_id, cluster_id, is_gray, dist), threshold, centres and history.
+
+    ``objective``: what searches minimise (DE-HHO always the sum of squares). ``gray``: distance, percentile, or lof, which needs the users'
+    ``ratings`` (mean, share rated, spread, deviation from the cluster). ``members``: also memberships (vec_id, cluster_id, w) of the centres.
+    """
     began, name = time.time(), ALGORITHMS.get(label, label)
-    problem = Problem(df, k, d)
+    problem = Problem(df, k, d, objective="wcss" if name == "DE-HHO" else objective)
     if name == "KMEANS":
-        found, near = C.lloyd(df, C.seed_by_distance(df, k, f"km{seed}"), d, max(epochs, 1))
-        x, history = np.array(found).ravel(), []
+        x, history = problem.k_means(f"km{seed}", max(epochs, 1)), []
     else:
         low, high = bounds(df, k, d)
-        start = O.multi_start(problem.fitness, lambda s: np.array(C.seed_by_distance(df, k, f"m{s}")).ravel(), restarts, size, seed) if restarts else None
+        start = O.multi_start(problem.fitness, lambda s: problem.seeding(f"m{s}"), restarts, size, seed) if restarts else None
         r = problem.solve(name, size, epochs, seed, low, high, start)
         x, history = r.best, r.history
-    centres = problem.centres(x)
-    dist = C.gray_by_distance(df, centres, threshold) if gray == "distance" else C.gray_by_percentile(df, centres)
-    labels = C.nearest(df, centres).join(dist, "vec_id").select("vec_id", F.when(F.col("is_gray"), F.lit(k)).otherwise(F.col("nearest")).cast("long").alias("cluster_id"), "is_gray", "dist")
-    return {"algorithm": label, "seed": seed, "wcss": C.wcss(df, centres).first()["wcss"], "labels": labels, "centres": centres, "history": history, "seconds": time.time() - began}
+    centres, near = problem.centres(x), cut(problem.assign(x))
+    features_ = None
+    if gray == "lof":
+        if ratings is None:
+            raise ValueError("gray users by outlier factor need ratings")
+        own = near.select(F.col("vec_id").alias("user_id"), F.col("nearest").alias("cluster_id"))
+        features_ = cut(C.outlier_features(ratings, own).withColumnRenamed("user_id", "vec_id"))
+    dist, limit = gray_choice(near, gray, threshold, features_, neighbours, contamination)
+    labels = near.join(dist, "vec_id").select("vec_id", F.when(F.col("is_gray"), F.lit(k)).otherwise(F.col("nearest")).cast("long").alias("cluster_id"), "is_gray", "dist")
+    out = {"algorithm": label, "seed": seed, "wcss": near.agg(r6(F.sum("d2"))).first()[0], "labels": labels, "centres": centres, "history": history, "threshold": limit}
+    if members:
+        w = SV.memberships(df, SV.long_form(centres), k, d) if SV.is_sparse(df) else C.memberships(df, centres).select("vec_id", F.col("cid").alias("cluster_id"), "w")
+        out["members"] = w
+    return out | {"seconds": time.time() - began}
 
 
 ROW = "algorithm string, run_num int, success boolean, wcss double, silhouette double, davies_bouldin double, gray_count double, gray_ratio double, seconds double, error string"

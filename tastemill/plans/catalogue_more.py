@@ -218,8 +218,8 @@ def bias_after_normalization(spark, sf):
 def feature_pipeline(spark, sf):
     """Prune, z-score, unit rows; one place for each item."""
     v, _ = A.features(X.ratings(spark, sf), {"min_user": 3, "zscore": True, "unit": True})
-    big = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    return v.select("vec_id", F.size(F.filter("v", lambda x: F.abs(x) > 1e-12)).cast("long").alias("filled"), S.r6(S.dot(F.col("v"), F.col("v"))).alias("norm"), S.r6(big).alias("top"))
+    big = F.array_max(F.transform("vals", lambda x: F.abs(x)))
+    return v.select("vec_id", F.size(F.filter("vals", lambda x: F.abs(x) > 1e-12)).cast("long").alias("filled"), S.r6(S.dot(F.col("vals"), F.col("vals"))).alias("norm"), S.r6(big).alias("top"))
 
 
 WEIGHTS_3x4 = np.random.RandomState(42).normal(0, np.sqrt(1 / (3 * 4)), (3, 4))
