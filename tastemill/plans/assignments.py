@@ -21,6 +21,7 @@ from tastemill.operators import search as O
 from tastemill.operators import sparse as SV
 from tastemill.operators.evaluate import composite_rank, convergence, run_summary
 from tastemill.operators.iterate import cut
+from tastemill.plans.jobs import all_or_raise, limited, side_by_side
 
 #: Labels of assignment runs and the search each stands for (the labels are fixed values; searches of other names than ours are left out).
 ALGORITHMS = {
@@ -272,32 +273,38 @@ ROW = "algorithm string, run_num int, success boolean, wcss double, silhouette d
 
 
 def screening_row(df: DataFrame, label: str, run: int, k: int, d: int, size: int, epochs: int, seed: int, limit: float | None = None) -> tuple[tuple, list[float]]:
-    """One run as a row; a failure, or one that took longer than ``limit`` seconds, is a row with its error."""
+    """One run as a row; a failure, or one that was stopped after ``limit`` seconds, is a row with its error."""
     try:
-        r = run_one(df, label, k, d, size, epochs, seed)
-        if limit is not None and r["seconds"] > limit:
-            raise TimeoutError(f"took {r['seconds']:.0f} s of {limit:.0f}")
-        rows = df.join(C.nearest(df, r["centres"]).select("vec_id", F.col("nearest").alias("cluster_id")), "vec_id").select("vec_id", "v", "cluster_id")
-        own = C.centroids(rows, d)
-        sil, db = C.silhouette(rows).first()["silhouette"], C.davies_bouldin(rows, own).first()["davies_bouldin"]
-        n, ratio = r["labels"].agg(F.sum(F.col("is_gray").cast("double")), F.avg(F.col("is_gray").cast("double"))).first()
-        return (label, run, True, float(r["wcss"]), float(sil), float(db), n, ratio, r["seconds"], None), r["history"]
+        return limited(df.sparkSession, lambda: screened(df, label, run, k, d, size, epochs, seed), limit)
     except Exception as error:  # a failed run is data here
-        return (label, run, False, None, None, None, None, None, None, f"{type(error).__name__}: {error}"[:300]), []
+        return failed_row(label, run, error)
+
+
+def failed_row(label: str, run: int, error: Exception) -> tuple[tuple, list[float]]:
+    return (label, run, False, None, None, None, None, None, None, f"{type(error).__name__}: {error}"[:300]), []
+
+
+def screened(df: DataFrame, label: str, run: int, k: int, d: int, size: int, epochs: int, seed: int) -> tuple[tuple, list[float]]:
+    r = run_one(df, label, k, d, size, epochs, seed)
+    rows = df.join(C.nearest(df, r["centres"]).select("vec_id", F.col("nearest").alias("cluster_id")), "vec_id").select("vec_id", "v", "cluster_id")
+    own = C.centroids(rows, d)
+    sil, db = C.silhouette(rows).first()["silhouette"], C.davies_bouldin(rows, own).first()["davies_bouldin"]
+    n, ratio = r["labels"].agg(F.sum(F.col("is_gray").cast("double")), F.avg(F.col("is_gray").cast("double"))).first()
+    return (label, run, True, float(r["wcss"]), float(sil), float(db), n, ratio, r["seconds"], None), r["history"]
 
 
 WEIGHTS = {"wcss": 0.35, "davies_bouldin": 0.15, "seconds": 0.30, "silhouette": 0.15, "gray_ratio": 0.05}
 
 
-def screen(df: DataFrame, labels: list[str], k: int, d: int, runs: int = 3, size: int = 8, epochs: int = 8, seed: int = 10_000, limit: float | None = None, stop_after: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all runs, history): every label in every run; no further run starts once ``stop_after`` seconds are over."""
-    session, began, rows, past = df.sparkSession, time.time(), [], []
-    for run, label in product(range(runs), labels):
-        if stop_after is not None and time.time() - began > stop_after:
-            break
-        row, history = screening_row(df, label, run, k, d, size, epochs, seed + run, limit)
+def screen(df: DataFrame, labels: list[str], k: int, d: int, runs: int = 3, size: int = 8, epochs: int = 8, seed: int = 10_000, limit: float | None = None, stop_after: float | None = None, workers: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(all runs, history): every label in every run, ``workers`` at a time; one is stopped after ``limit`` seconds, and none starts once ``stop_after`` seconds are over."""
+    session, rows, past = df.sparkSession, [], []
+    jobs = list(product(range(runs), labels))
+    works = [lambda run=run, label=label: screening_row(df, label, run, k, d, size, epochs, seed + run, limit) for run, label in jobs]
+    found = side_by_side(session, works, workers, start_until=None if stop_after is None else time.time() + stop_after)
+    for row, history in all_or_raise(found):
         rows.append(row)
-        past += [(label, run, i, float(f)) for i, f in enumerate(history)]
+        past += [(row[0], row[1], i, float(f)) for i, f in enumerate(history)]
     return session.createDataFrame(rows, ROW), session.createDataFrame(past, "algorithm string, run_num int, epoch long, fitness double")
 
 
@@ -338,4 +345,4 @@ def sample_of(df: DataFrame, n: int) -> DataFrame:
 def store_run(spark: SparkSession, store, result: dict, dataset: str, k: int, preprocessing: str, run_id: int) -> int:
     """Saves a run's labels with their statistics; the id of the assignment."""
     labels = result["labels"].select(F.col("vec_id").alias("user_id"), "cluster_id", "is_gray", F.col("dist").alias("score"))
-    return store.save_assignment(labels, dataset=dataset, algo=result["algorithm"], k=k, preprocessing=preprocessing, run_id=run_id, seed=result["seed"], wcss=float(result["wcss"]))
+    return store.save_assignment(labels, members=result.get("members"), dataset=dataset, algo=result["algorithm"], k=k, preprocessing=preprocessing, run_id=run_id, seed=result["seed"], wcss=float(result["wcss"]))

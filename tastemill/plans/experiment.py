@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from copy import deepcopy
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from tastemill.operators import prepare as R
 from tastemill.operators import ratings_clusters as RC
 from tastemill.operators import splits as SP
 from tastemill.plans import assignments as A
+from tastemill.plans.jobs import all_or_raise, side_by_side
 from tastemill.plans.reports import grid, logger, missing_tags, write_evaluation
 from tastemill.sources.readers import load_config
 from tastemill.sources.store import Store
@@ -45,17 +47,21 @@ def name_of(config: dict) -> str:
     return "__".join(str(x) for x in (config["data"]["dataset"], config["preprocess"]["normalize"], config["model"]["name"], config["clustering"]["algorithm"], config["clustering"]["k"]))
 
 
-def run_all(spark: SparkSession, ratings: DataFrame, config: dict, jobs: list[dict]) -> DataFrame:
-    """The configuration with each job's ``section.key`` values, one after another; (experiment, fold, metric, value)."""
-    out = None
+def run_all(spark: SparkSession, ratings: DataFrame, config: dict, jobs: list[dict], workers: int = 1) -> DataFrame:
+    """The configuration with each job's ``section.key`` values, ``workers`` at a time; (experiment, fold, metric, value)."""
+    settings_ = []
     for job in jobs:
         one = deepcopy(config)
         for name, value in job.items():
             section, key = name.split(".", 1)
             one[section][key] = value
-        rows = cross_validate(spark, ratings, one).withColumn("experiment", F.lit(name_of(one)))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        settings_.append(one)
+    works = [lambda one=one: cross_validate(spark, ratings, one).withColumn("experiment", F.lit(name_of(one))) for one in settings_]
+    return stacked(all_or_raise(side_by_side(spark, works, workers)))
+
+
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 class Registry:
@@ -123,14 +129,14 @@ def average_recommender(train: DataFrame, labels: DataFrame, config: dict) -> N.
     return lambda targets: P.cluster_average(train, targets, labels)
 
 
-def fit_pipeline(ratings: DataFrame, config: dict) -> tuple[DataFrame, N.Predictor, Callable[[DataFrame, Column], Column]]:
-    """(train on the model's scale, predictor, restore): pruned, normalized, clustered, and the way back to the ratings' scale."""
+def fit_pipeline(ratings: DataFrame, config: dict) -> tuple[DataFrame, N.Predictor, Callable[[DataFrame, Column], Column], DataFrame | None]:
+    """(train on the model's scale, predictor, restore, state): pruned, normalized, clustered, the way back to the ratings' scale, and what made it (none: the ratings' own)."""
     how = config["preprocess"]["normalize"]
     pruned = R.prune(ratings, config["preprocess"]["min_user"], config["preprocess"]["min_item"])
     labels = A.C.cut(fit_labels(pruned, config))
     positive = config["recommender"]["kind"] == "mf" and config["model"]["name"] == "wnmf"
     if how == "none" or positive:
-        return pruned, RECOMMENDERS.get(config["recommender"]["kind"])(pruned, labels, config), lambda df, x: x
+        return pruned, RECOMMENDERS.get(config["recommender"]["kind"])(pruned, labels, config), lambda df, x: x, None
     state = A.C.cut(R.scale_state(pruned, how))
     train = R.apply_scale(pruned, state)
 
@@ -143,27 +149,26 @@ def fit_pipeline(ratings: DataFrame, config: dict) -> tuple[DataFrame, N.Predict
     def with_state(targets: DataFrame) -> DataFrame:
         return predictor(targets).join(state, "user_id", "left")
 
-    return train, with_state, restore
+    return train, with_state, restore, state
 
 
-def cross_validate(spark: SparkSession, ratings: DataFrame, config: dict) -> DataFrame:
-    """fold, metric, value of each fold in turn."""
+def cross_validate(spark: SparkSession, ratings: DataFrame, config: dict, workers: int = 1) -> DataFrame:
+    """fold, metric, value of each fold, ``workers`` at a time; each is cut as it ends."""
     folds = A.C.cut(SP.kfold(ratings, config["data"]["folds"], config["data"]["seed"]))
-    items, ev, out = folds.select("item_id").distinct(), config["evaluation"], None
-    for fold in range(config["data"]["folds"]):
+    items, ev = folds.select("item_id").distinct(), config["evaluation"]
+
+    def one(fold: int) -> DataFrame:
         train, test = folds.where(F.col("fold") != fold).drop("fold"), folds.where(F.col("fold") == fold).drop("fold")
-        fitted, predictor, restore = fit_pipeline(train, config)
-        scaled = test
-        if config["preprocess"]["normalize"] != "none" and not (config["recommender"]["kind"] == "mf" and config["model"]["name"] == "wnmf"):
-            scaled = R.apply_scale(test, R.scale_state(R.prune(train, config["preprocess"]["min_user"], config["preprocess"]["min_item"]), config["preprocess"]["normalize"]))
-        rows = N.evaluate_fold(fitted, scaled, predictor, items, restore, tuple(ev["at_n"]), ev["threshold"]).withColumn("fold", F.lit(fold))
-        out = rows if out is None else out.unionByName(rows)
-    return A.C.cut(out)
+        fitted, predictor, restore, state = fit_pipeline(train, config)
+        scaled = test if state is None else R.apply_scale(test, state)
+        return A.C.cut(N.evaluate_fold(fitted, scaled, predictor, items, restore, tuple(ev["at_n"]), ev["threshold"]).withColumn("fold", F.lit(fold)))
 
+    return stacked(all_or_raise(side_by_side(spark, [lambda f=f: one(f) for f in range(config["data"]["folds"])], workers)))
 
-def run_experiment(spark: SparkSession, ratings: DataFrame, config: dict) -> DataFrame:
+
+def run_experiment(spark: SparkSession, ratings: DataFrame, config: dict, workers: int = 1) -> DataFrame:
     """metric, mean, std over folds."""
-    return N.aggregate_folds(cross_validate(spark, ratings, config))
+    return N.aggregate_folds(cross_validate(spark, ratings, config, workers))
 
 
 def smoke(spark: SparkSession, ratings: DataFrame) -> DataFrame:
@@ -181,21 +186,28 @@ def clustering_cf(ratings: DataFrame, k: int, rounds: int = 10, n: int = 10, nei
     return N.evaluate_cf(train, test, lambda t: N.knn(train, t, assignment, k=neighbours), ratings.select("item_id").distinct(), n)
 
 
-def produce_assignments(spark: SparkSession, store: Store, ratings: DataFrame, dataset: str, names: list[str], k: int, how: dict, size: int = 8, epochs: int = 5, seed: int = 42) -> DataFrame:
-    """Every named algorithm over the same features, stored; a failure is logged and the next one runs. Returns the rows of the run."""
-    log, run = logger(), store.start_run(f"assignments {' '.join(names)}", dataset, k, "assignments", A.suffix(how))
+def produce_assignments(spark: SparkSession, store: Store, ratings: DataFrame, dataset: str, names: list[str], k: int, how: dict, size: int = 8, epochs: int = 5, seed: int = 42, workers: int = 1, limit: float | None = None, **run: object) -> DataFrame:
+    """Every named algorithm over the same features, ``workers`` at a time, stored; a failure (or one beyond ``limit`` seconds) is logged and the others go on.
+
+    ``run``: further settings of ``run_one`` (objective, gray, threshold, members ...). Returns the rows of the run.
+    """
+    log, number = logger(), store.start_run(f"assignments {' '.join(names)}", dataset, k, "assignments", A.suffix(how))
     vectors, d = A.features(ratings, how)
-    vectors, failed = A.C.cut(vectors), []
-    for label in A.choose(names):
-        try:
-            result = A.run_one(vectors, label, k, d, size, epochs, seed)
-            A.store_run(spark, store, result, dataset, k, A.suffix(how), run)
-            log.info("%s: wcss %.4f in %.1f s", label, result["wcss"], result["seconds"])
-        except Exception as error:  # one algorithm's failure does not stop the others
-            failed.append(label)
-            log.warning("%s failed: %s", label, error)
-    store.finish_run(run, "failed" if failed else "done")
-    return store.read("assignments").where(F.col("run_id") == run)
+    vectors, labels = A.C.cut(vectors), A.choose(names)
+
+    def one(label: str) -> float:
+        result = A.run_one(vectors, label, k, d, size, epochs, seed, ratings=ratings, **run)
+        A.store_run(spark, store, result, dataset, k, A.suffix(how), number)
+        log.info("%s: wcss %.4f in %.1f s", label, result["wcss"], result["seconds"])
+        return result["wcss"]
+
+    failed = False
+    for label, x in zip(labels, side_by_side(spark, [lambda x=x: one(x) for x in labels], workers, limit), strict=True):
+        if isinstance(x, Exception):
+            failed = True
+            log.warning("%s failed: %s", label, x)
+    store.finish_run(number, "failed" if failed else "done")
+    return store.read("assignments").where(F.col("run_id") == number)
 
 
 def scenarios(train: DataFrame, test: DataFrame, labels: DataFrame, rank: int = 6, rounds: int = 6, epochs: int = 5, members: DataFrame | None = None) -> DataFrame:
@@ -220,8 +232,8 @@ def scenarios(train: DataFrame, test: DataFrame, labels: DataFrame, rank: int =
     return out
 
 
-def run_scenarios(spark: SparkSession, store: Store, ratings: DataFrame, dataset: str, algo: str, k: int, preprocessing: list[str], tags: list[dict] | None = None, folds: int = 0, done: DataFrame | None = None) -> DataFrame:
-    """Scenarios of a stored assignment for every setting (``tags``: rank, rounds, epochs), over folds or one holdout; settings with a result are skipped. Rows are stored and returned."""
+def run_scenarios(spark: SparkSession, store: Store, ratings: DataFrame, dataset: str, algo: str, k: int, preprocessing: list[str], tags: list[dict] | None = None, folds: int = 0, done: DataFrame | None = None, workers: int = 1) -> DataFrame:
+    """Scenarios of a stored assignment for every setting (``tags``: rank, rounds, epochs), over folds or one holdout, ``workers`` at a time; settings with a result are skipped. Memberships, if stored, are used. Rows are stored and returned."""
     from tastemill.sources.store import prioritized
 
     order = spark.createDataFrame(list(enumerate(preprocessing)), "ordinal int, preprocessing string")
@@ -229,21 +241,23 @@ def run_scenarios(spark: SparkSession, store: Store, ratings: DataFrame, dataset
     row = prioritized(own, order).select("id", "preprocessing").first()
     if row is None:
         raise LookupError(f"no assignment of {dataset}, {algo}, {k}, {preprocessing}")
-    labels = store.labels(row["id"]).select("user_id", "cluster_id", "is_gray")
+    labels, members = store.labels(row["id"]).select("user_id", "cluster_id", "is_gray"), store.memberships(row["id"])
+    members = None if members.isEmpty() else members
     jobs = [{"tag": f"k{k}_ld{t['rank']}_eg{t['rounds']}_ec{t['epochs']}", **t} for t in (tags or [{"rank": 4, "rounds": 2, "epochs": 2}])]
     wanted = {r["tag"] for r in missing_tags(spark.createDataFrame([(k, j["tag"], False) for j in jobs], "k long, tag string, svdpp boolean"), done).collect()}
     run = store.start_run(f"scenarios {algo}", dataset, k, "scenarios", row["preprocessing"])
     parts = SP.kfold(ratings, folds) if folds else SP.user_holdout(ratings).withColumn("fold", F.when(F.col("is_test"), 0).otherwise(1)).drop("is_test")
-    parts, out = A.C.cut(parts), None
-    for job in (j for j in jobs if j["tag"] in wanted):
-        for fold in range(folds or 1):
-            train, test = parts.where(F.col("fold") != fold).drop("fold"), parts.where(F.col("fold") == fold).drop("fold")
-            rows = scenarios(train, test, labels, job["rank"], job["rounds"], job["epochs"]).withColumns({"fold": F.lit(fold), "tag": F.lit(job["tag"])})
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    parts = A.C.cut(parts)
+
+    def one(job: dict, fold: int) -> DataFrame:
+        train, test = parts.where(F.col("fold") != fold).drop("fold"), parts.where(F.col("fold") == fold).drop("fold")
+        return A.C.cut(scenarios(train, test, labels, job["rank"], job["rounds"], job["epochs"], members).withColumns({"fold": F.lit(fold), "tag": F.lit(job["tag"])}))
+
+    works = [lambda j=j, f=f: one(j, f) for j in jobs if j["tag"] in wanted for f in range(folds or 1)]
+    if not works:
         store.finish_run(run, "skipped")
         return spark.createDataFrame([], "scenario string, segment string, n long, mae double, rmse double, fold int, tag string")
-    out = A.C.cut(out)
+    out = stacked(all_or_raise(side_by_side(spark, works, workers)))
     for r in out.where("segment = 'total'").collect():  # scenarios x folds x settings
         store.save_result(dataset, algo, k, row["preprocessing"], r["scenario"], row["id"], run, cv_fold=r["fold"], mae=r["mae"], rmse=r["rmse"], tag=r["tag"])
     store.finish_run(run)
@@ -255,9 +269,9 @@ def cv_means(rows: DataFrame) -> DataFrame:
     return E.cross_validation_table(rows.where("segment = 'total'").withColumnRenamed("fold", "cv_fold"), ["scenario", "tag"])
 
 
-def screening(spark: SparkSession, store: Store, df: DataFrame, names: list[str], k: int, d: int, runs: int = 2, size: int = 6, epochs: int = 10, top: int = 5, limit: float | None = None, stop_after: float | None = None) -> dict[str, DataFrame]:
+def screening(spark: SparkSession, store: Store, df: DataFrame, names: list[str], k: int, d: int, runs: int = 2, size: int = 6, epochs: int = 10, top: int = 5, limit: float | None = None, stop_after: float | None = None, workers: int = 1) -> dict[str, DataFrame]:
     """Repeated runs, the best algorithms by the composite score, how these converge, and the hybrid that follows; the behaviour is stored."""
-    every, history = A.screen(df, names, k, d, runs, size, epochs, limit=limit, stop_after=stop_after)
+    every, history = A.screen(df, names, k, d, runs, size, epochs, limit=limit, stop_after=stop_after, workers=workers)
     every, history = A.C.cut(every), A.C.cut(history)
     best = A.C.cut(A.ranked(every, top))
     table = A.C.cut(A.behaviour(every, history).join(best.select("algorithm"), "algorithm", "left_semi"))

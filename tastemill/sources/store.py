@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +22,13 @@ class Store:
         "assignments": "id long, dataset string, algo string, k long, preprocessing string, run_id long, seed long, wcss double, gray_count long, gray_ratio double, n_users long, cluster_min long, cluster_max long, cluster_avg double, created_at timestamp",
         "wnmf_results": "assignment_id long, run_id long, scenario string, cv_fold long, mae double, rmse double, created_at timestamp",
         "labels": "assignment_id long, user_id long, cluster_id long, is_gray boolean, score double",
+        "memberships": "assignment_id long, user_id long, cluster_id long, w double",
         "behaviour": "run_num long, algorithm string, final_wcss double, convergence_speed double, exploration_ratio double, category string",
     }
 
+    #: Tables in a folder for each assignment: one assignment's rows are read alone.
+    BY_ASSIGNMENT = ("labels", "memberships")
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
@@ -36,16 +43,42 @@ class Store:
     def read(self, name: str) -> DataFrame:
         if not self.exists(name):
             return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{name}")
+        rows = self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{name}")
+        return rows.withColumn("assignment_id", F.col("assignment_id").cast("long")) if name in self.BY_ASSIGNMENT else rows.drop("batch")
+
+    def append(self, name: str, rows: DataFrame, assignment_id: int | None = None) -> None:
+        """Adds rows in a folder of their own, so that writers never meet in one: the assignment's, or a new batch."""
+        part = f"assignment_id={assignment_id}" if name in self.BY_ASSIGNMENT else f"batch={uuid.uuid4().hex}"
+        rows.write.mode("append").parquet(f"{self.root}/{name}/{part}")
+
+    def reserve(self, name: str) -> int:
+        """A new id: the first whose file this writer is the one to create, so two writers never get the same."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(f"{self.root}/_ids/{name}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        taken = [int(f.getPath().getName()) for f in fs.listStatus(folder)]
+        new = max([last_id(self.read(name)), *taken]) + 1
+        while not self.create_first(fs, hadoop.Path(folder, str(new))):
+            new += 1
+        return new
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
+    @staticmethod
+    def create_first(fs, path) -> bool:
+        """Whether we created the file: atomic in stores that create so; of the local file system, whose Hadoop client is not, the operating system says it."""
+        if fs.getScheme() != "file":
+            return fs.createNewFile(path)
+        try:
+            os.close(os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
 
     def has_rows(self, name: str) -> bool:
         return not self.read(name).limit(1).isEmpty()
 
     def start_run(self, command: str, dataset: str, k: int, scenario: str = "", preprocessing: str = "", note: str = "") -> int:
-        run = last_id(self.read("runs")) + 1
+        run = self.reserve("runs")
         row = self.spark.createDataFrame([(run, command, dataset, k, scenario, preprocessing, note, "running")], "id long, command string, dataset string, k long, scenario string, preprocessing string, note string, status string")
         self.append("runs", row.withColumn("at", F.current_timestamp()))
         return run
@@ -54,10 +87,13 @@ class Store:
         row = latest(self.read("runs"), "id", F.col("at")).where(F.col("id") == run)
         self.append("runs", row.withColumns({"status": F.lit(status), "at": F.current_timestamp()}))
 
-    def save_assignment(self, labels: DataFrame, dataset: str, algo: str, k: int, preprocessing: str = "none", run_id: int | None = None, seed: int | None = None, wcss: float | None = None) -> int:
-        """Labels (user_id, cluster_id, is_gray, score) and one row of their statistics; clusters without white users count for none. Returns the id."""
-        new = last_id(self.read("assignments")) + 1
-        self.append("labels", labels.select(F.lit(new).cast("long").alias("assignment_id"), "user_id", "cluster_id", "is_gray", F.col("score").cast("double").alias("score")))
+    def save_assignment(self, labels: DataFrame, dataset: str, algo: str, k: int, preprocessing: str = "none", run_id: int | None = None, seed: int | None = None, wcss: float | None = None, members: DataFrame | None = None) -> int:
+        """Labels (user_id, cluster_id, is_gray, score), memberships if there are any (vec_id or user_id, cluster_id, w), and one row of statistics; clusters without white users count for none. Returns the id."""
+        new = self.reserve("assignments")
+        self.append("labels", labels.select("user_id", "cluster_id", "is_gray", F.col("score").cast("double").alias("score")), new)
+        if members is not None:
+            user = F.col("user_id" if "user_id" in members.columns else "vec_id")
+            self.append("memberships", members.select(user.cast("long").alias("user_id"), F.col("cluster_id").cast("long").alias("cluster_id"), "w"), new)
         per = labels.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_if("is_gray").alias("g"))
         white = F.when(F.col("n") > F.col("g"), F.col("n") - F.col("g"))
         out = per.agg(F.coalesce(F.sum("g"), F.lit(0)).alias("gray_count"), (F.sum("g") / F.sum("n")).alias("gray_ratio"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_users"), F.min(white).alias("cluster_min"), F.max(white).alias("cluster_max"), F.avg(white).alias("cluster_avg"))
@@ -65,6 +101,10 @@ class Store:
         self.append("assignments", out.select(*[F.lit(v).cast(t).alias(c) for c, v, t in fixed], *out.columns, F.current_timestamp().alias("created_at")))
         return new
 
+    def memberships(self, assignment_id: int) -> DataFrame:
+        """user_id, cluster_id, w; no rows if none were saved."""
+        return self.read("memberships").where(F.col("assignment_id") == assignment_id).drop("assignment_id")
+
     def labels(self, assignment_id: int) -> DataFrame:
         return self.read("labels").where(F.col("assignment_id") == assignment_id).drop("assignment_id")
 
@@ -88,7 +128,7 @@ class Store:
                 if recreate and self.has_rows(name):
                     raise RuntimeError(f"{name} holds rows and stays as it is")
                 continue
-            self.spark.createDataFrame([], schema).write.parquet(f"{self.root}/{name}")
+            self.append(name, self.spark.createDataFrame([], schema).drop("assignment_id") if name in self.BY_ASSIGNMENT else self.spark.createDataFrame([], schema), 0)
 
     def listing(self) -> str:
         """The assignments there are, by key, as text."""
