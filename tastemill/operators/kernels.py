@@ -14,9 +14,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.functions.scalars import ratio
+from tastemill.operators.iterate import cut
 
 #: Raters of an item (in a cluster) that meet in one task.
 BLOCK = 4_096
+#: Heavy keys that are broadcast.
+MANY = 100_000
+
+
+def heavy_keys(rows: DataFrame, keys: list[str], block: int) -> DataFrame | None:
+    """keys, _parts of the keys with more than ``block`` rows; None if there are none. There are fewer than rows / ``block``."""
+    found = cut(rows.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > block).select(*keys, F.ceil(F.col("_m") / block).cast("int").alias("_parts")))
+    return None if found.isEmpty() else found
+
+
+def small_enough(found: DataFrame) -> DataFrame:
+    """Broadcast if its rows are few: their number is looked at first."""
+    return F.broadcast(found) if found.count() <= MANY else found
+
+
+def in_blocks(many: DataFrame, few: DataFrame, keys: list[str], spread: str, block: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(many, few, keys) ready for an equi-join on ``keys``: rows of ``many`` under a heavy key are dealt out in parts by ``spread``, and rows of ``few`` go to each part."""
+    heavy = heavy_keys(many, keys, block)
+    if heavy is None:
+        return many, few, keys
+    heavy = small_enough(heavy)
+    parts = F.coalesce("_parts", F.lit(1))
+    many = many.join(heavy, keys, "left").withColumn("_i", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    few = few.join(heavy, keys, "left").withColumn("_i", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return many, few, [*keys, "_i"]
 
 
 def pair_sums(df: DataFrame, within: DataFrame | None = None, value: str = "rating") -> DataFrame:
@@ -24,15 +50,17 @@ def pair_sums(df: DataFrame, within: DataFrame | None = None, value: str = "rati
     keys = ["item_id"]
     if within is not None:
         df, keys = df.join(within.select("user_id", "cluster_id"), "user_id"), ["item_id", "cluster_id"]
-    heavy = df.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > BLOCK)
-    df = df.join(heavy, keys, "left").withColumn("_parts", F.coalesce(F.ceil(F.col("_m") / BLOCK), F.lit(1)).cast("int"))
-    own, far = F.pmod(F.xxhash64("user_id"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    a = df.select(*keys, own.alias("_i"), far.alias("_j"), F.col("user_id").alias("u"), F.col(value).alias("x"))
-    b = df.select(*keys, far.alias("_i"), own.alias("_j"), F.col("user_id").alias("v"), F.col(value).alias("y"))
-    keys = [*keys, "_i", "_j"]
+    left, right = df.select(*keys, F.col("user_id").alias("u"), F.col(value).alias("x")), df.select(*keys, F.col("user_id").alias("v"), F.col(value).alias("y"))
+    heavy = heavy_keys(df, keys, BLOCK)
+    if heavy is not None:  # only rows of heavy items go through blocks; all others have block (0, 0)
+        heavy, parts = small_enough(heavy), F.coalesce("_parts", F.lit(1))
+        far = F.explode(F.sequence(F.lit(0), parts - 1))
+        left = left.join(heavy, keys, "left").select(*keys, F.pmod(F.xxhash64("u"), parts).cast("int").alias("_i"), far.alias("_j"), "u", "x")
+        right = right.join(heavy, keys, "left").select(*keys, far.alias("_i"), F.pmod(F.xxhash64("v"), parts).cast("int").alias("_j"), "v", "y")
+        keys = [*keys, "_i", "_j"]
     x, y = F.col("x"), F.col("y")
     return (
-        a.join(b, keys).where("u < v").groupBy("u", "v")
+        left.join(right, keys).where("u < v").groupBy("u", "v")
         .agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))
     )
 

@@ -9,23 +9,31 @@ not the square of the users. Targets are cells that the user has not rated in tr
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.scalars import clip, r6, ratio
 from tastemill.operators.evaluate import error_columns, ranking, ranking_mean, relevant_items, test_lists
+from tastemill.operators.iterate import cut
+from tastemill.operators.kernels import BLOCK, in_blocks
 from tastemill.operators.predict import item_fallback_plain, top_n, user_means
 
 Predictor = Callable[[DataFrame], DataFrame]
 
 
 def candidates(train: DataFrame, targets: DataFrame, assignment: DataFrame, members: str = "all") -> DataFrame:
-    """user_id, item_id, v, r_v: who of the user's cluster rated the item; ``white``: of these only users that are not gray."""
+    """user_id, item_id, v, r_v: who of the user's cluster rated the item; ``white``: of these only users that are not gray.
+
+    Raters of an item that very many of a cluster rated are dealt out in blocks, which its targets all visit, so no item is one task's work.
+    """
     who = assignment if members == "all" else assignment.where("NOT is_gray")
     raters = train.join(who.select("user_id", "cluster_id"), "user_id").select("cluster_id", "item_id", F.col("user_id").alias("v"), F.col("rating").alias("r_v"))
     asked = targets.select("user_id", "item_id").join(assignment.select("user_id", "cluster_id"), "user_id")
-    return asked.join(raters, ["cluster_id", "item_id"]).where("v <> user_id").select("user_id", "item_id", "v", "r_v")
+    keys = ["cluster_id", "item_id"]
+    raters, asked, keys = in_blocks(raters, asked, keys, "v", BLOCK)
+    return asked.join(raters, keys).where("v <> user_id").select("user_id", "item_id", "v", "r_v")
 
 
 def pair_similarity(train: DataFrame, pairs: DataFrame, kernel: str = "pearson") -> DataFrame:
@@ -99,10 +107,129 @@ def unseen(train: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def recommend(train: DataFrame, users: DataFrame, items: DataFrame, predictor: Predictor, n: int = 10) -> DataFrame:
-    """user_id, rank, item_id, pred: the n best unseen items by the predictor (ties: smaller item)."""
+    """user_id, rank, item_id, pred: the n best unseen items by the predictor (ties: smaller item).
+
+    A predictor that knows which cells differ from its fallback (it has ``lists``) scores only these; any other
+    one scores every unseen item of the users.
+    """
+    if hasattr(predictor, "lists"):
+        return predictor.lists(users, items, n)
     return top_n(predictor(unseen(train, users, items)), n)
 
 
+def group_key(df: DataFrame, assignment: DataFrame) -> DataFrame:
+    """``df`` with _k, the user's cluster as text (none: empty)."""
+    own = assignment.select("user_id", F.col("cluster_id").cast("string").alias("_c"))
+    return df.join(own, "user_id", "left").withColumn("_k", F.coalesce("_c", F.lit(""))).drop("_c")
+
+
+@dataclass(frozen=True)
+class Knn:
+    """``knn`` as a predictor whose lists need no users x items table.
+
+    An item that nobody of the user's cluster rated has the user's mean, whatever the item. So only the
+    cluster's items are scored for a user, and of all others the smallest ids fill the list up.
+    """
+
+    train: DataFrame
+    assignment: DataFrame
+    kernel: str = "pearson"
+    k: int = 30
+    members: str = "all"
+    clipped: bool = True
+
+    def __call__(self, targets: DataFrame) -> DataFrame:
+        return knn(self.train, targets, self.assignment, self.kernel, self.k, self.members, self.clipped)
+
+    def lists(self, users: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+        n = max(1, n)
+        asked = group_key(users.select("user_id").distinct(), self.assignment)
+        own = asked.join(self.train.select("user_id", "item_id"), "user_id")
+        who = self.assignment if self.members == "all" else self.assignment.where("NOT is_gray")
+        known = items.select("item_id").distinct()
+        rated = group_key(self.train.join(who.select("user_id"), "user_id", "left_semi").select("user_id", "item_id"), who).select("_k", "item_id").distinct()
+        rated = cut(rated.join(known, "item_id", "left_semi"))
+        cells = asked.join(rated, "_k").select("user_id", "item_id").join(own.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+        best = top_n(self(cells), n).select("user_id", "item_id", "pred")
+        return top_n(best.unionByName(self.plain(asked, own, rated, known, n)), n)
+
+    def plain(self, asked: DataFrame, own: DataFrame, rated: DataFrame, known: DataFrame, n: int) -> DataFrame:
+        """user_id, item_id, pred: of the items that nobody of the cluster rated, n that the user has not, smallest ids first.
+
+        A cluster's first m such items lie among the first m + (rated ones) of all, and a user needs n and as
+        many more as own ones are among them: rows follow the lists and the ratings, not users x items.
+        """
+        from tastemill.operators.prepare import id_map
+
+        missed = own.join(known, "item_id", "left_semi").join(rated, ["_k", "item_id"], "left_anti").groupBy("user_id").agg(F.count("*").alias("_m"))
+        depth = asked.join(missed, "user_id", "left").select("user_id", "_k", (F.lit(n) + F.coalesce("_m", F.lit(0))).alias("_depth"))
+        depth = cut(depth)
+        groups = depth.groupBy("_k").agg(F.max("_depth").alias("_most")).join(rated.groupBy("_k").agg(F.count("*").alias("_r")), "_k", "left")
+        first = groups.select("_k", "_most", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") + F.coalesce("_r", F.lit(0)) - 1)).alias("dense"))
+        free = first.join(id_map(known, "item_id"), "dense").join(rated, ["_k", "item_id"], "left_anti")
+        free = free.withColumn("_at", F.row_number().over(Window.partitionBy("_k").orderBy("item_id"))).where("_at <= _most").select("_k", "item_id", F.col("_at").cast("long").alias("_at"))
+        wanted = depth.select("user_id", "_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_depth"))).alias("_at"))
+        cells = wanted.join(free, ["_k", "_at"]).join(own.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+        pred = F.coalesce("mean", F.lit(0.0))
+        return cells.join(user_means(self.train), "user_id", "left").select("user_id", "item_id", (clip(pred) if self.clipped else pred).alias("pred"))
+
+
+@dataclass(frozen=True)
+class ItemMeans:
+    """``item_fallback_plain`` as a predictor: one ranking of the items serves all users, each as deep as n and the own ratings."""
+
+    train: DataFrame
+    clipped: bool = False
+
+    def __call__(self, targets: DataFrame) -> DataFrame:
+        return item_fallback_plain(self.train, targets, self.clipped)
+
+    def lists(self, users: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+        n = max(1, n)
+        asked, known = users.select("user_id").distinct(), items.select("item_id").distinct()
+        means = self.train.groupBy("item_id").agg(F.avg("rating").alias("pred")).join(known, "item_id", "left_semi")
+        means = cut(means.withColumn("pred", clip(F.col("pred")) if self.clipped else F.col("pred")))
+        own = self.train.select("user_id", "item_id").join(asked, "user_id", "left_semi")
+        depth = cut(asked.join(own.groupBy("user_id").agg(F.count("*").alias("_m")), "user_id", "left").select("user_id", (F.lit(n) + F.coalesce("_m", F.lit(0))).alias("_depth")))
+        most = depth.agg(F.max("_depth")).first()[0] or 0
+        order = [F.desc(r6(F.col("pred"))), F.col("item_id")]
+        # no deeper than n and the longest list of ratings
+        ranking_ = means.orderBy(*order).limit(most).withColumn("_at", F.row_number().over(Window.orderBy(*order)).cast("long"))
+        wanted = depth.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_depth"))).alias("_at"))
+        rated = wanted.join(ranking_, "_at").select("user_id", "item_id", "pred").join(own, ["user_id", "item_id"], "left_anti")
+        # items without any rating have the user's mean: the n smallest ids are enough
+        rest = [r["item_id"] for r in known.join(means.select("item_id"), "item_id", "left_anti").orderBy("item_id").limit(n).collect()]
+        if not rest:
+            return top_n(rated, n)
+        mean = F.coalesce("mean", F.lit(0.0))
+        plain = asked.join(user_means(self.train), "user_id", "left").select("user_id", F.explode(F.array(*[F.lit(x).cast(known.schema["item_id"].dataType) for x in rest])).alias("item_id"), (clip(mean) if self.clipped else mean).alias("pred"))
+        return top_n(rated.unionByName(plain), n)
+
+
+@dataclass(frozen=True)
+class Routed:
+    """``routed`` as a predictor: lists of white and of gray users by their own predictors; users that are in no assignment get none."""
+
+    train: DataFrame
+    assignment: DataFrame
+    gray: str = "same"
+    kernel: str = "pearson"
+    k: int = 30
+    clipped: bool = False
+
+    def __call__(self, targets: DataFrame) -> DataFrame:
+        return routed(self.train, targets, self.assignment, self.gray, self.kernel, self.k, self.clipped)
+
+    def lists(self, users: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+        mask = self.assignment.select("user_id", "is_gray")
+        pale, dark = users.join(mask.where("NOT is_gray"), "user_id", "left_semi"), users.join(mask.where("is_gray"), "user_id", "left_semi")
+        one = Knn(self.train, self.assignment, self.kernel, self.k, "white", self.clipped)
+        if self.gray not in ("same", "fallback"):
+            raise ValueError(f"unknown gray strategy: {self.gray}")
+        other = Knn(self.train, self.assignment, self.kernel, self.k, "all", self.clipped) if self.gray == "same" else ItemMeans(self.train, self.clipped)
+        return one.lists(pale, items, n).unionByName(other.lists(dark, items, n))
+
+
 def evaluate_cf(train: DataFrame, test: DataFrame, predictor: Predictor, items: DataFrame, n: int = 10, threshold: float = 3.5) -> DataFrame:
     """One row: n, mae, rmse of the test cells; users, precision and recall of the lists of users with a relevant test item (none: 0)."""
     relevant = relevant_items(test, threshold)
@@ -161,9 +288,9 @@ def artifacts(train: DataFrame, test: DataFrame, assignment: DataFrame, items: D
     done = [("mixed", routed(train, test, assignment, "same", kernel, k, True)), ("gray_same", gray_same(train, dark, assignment, kernel, k, True)), ("gray_fallback", item_fallback_plain(train, dark, True))]
     pale = assignment.where("NOT is_gray").select("user_id")
     lists = [
-        ("white", recommend(train, pale, items, lambda t: white(train, t, assignment, kernel, k, True), n)),
-        ("gray_same", recommend(train, gray, items, lambda t: gray_same(train, t, assignment, kernel, k, True), n)),
-        ("gray_fallback", recommend(train, gray, items, lambda t: item_fallback_plain(train, t, True), n)),
+        ("white", Knn(train, assignment, kernel, k, "white", True).lists(pale, items, n)),
+        ("gray_same", Knn(train, assignment, kernel, k, "all", True).lists(gray, items, n)),
+        ("gray_fallback", ItemMeans(train, True).lists(gray, items, n)),
     ]
 
     def stacked(parts: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -107,7 +107,7 @@ def unseen_counts(spark, sf):
 @query("topn_by_predictor", f"WITH {SPLIT}{unseen_sql('un', ASKED)}{knn_sql('', 'un', rating=False)}{lists_sql('recs', 'scored')} SELECT user_id, rank, item_id, {r6('pred')} AS pred FROM recs")
 def topn_by_predictor(spark, sf):
     train, test, a = split(spark, sf)
-    return N.recommend(train, test.where("rating >= 3.5"), train.unionByName(test), lambda t: N.knn(train, t, a))
+    return N.recommend(train, test.where("rating >= 3.5"), train.unionByName(test), N.Knn(train, a))
 
 
 @query(
@@ -117,7 +117,7 @@ def topn_by_predictor(spark, sf):
 )
 def evaluate_cf(spark, sf):
     train, test, a = split(spark, sf)
-    return N.evaluate_cf(train, test, lambda t: N.knn(train, t, a), train.unionByName(test))
+    return N.evaluate_cf(train, test, N.Knn(train, a), train.unionByName(test))
 
 
 ZSPLIT = (
@@ -144,7 +144,13 @@ def evaluate_fold_restored(spark, sf):
     train, test, a = split(spark, sf)
     state = R.scale_state(train, "user_mean")
     z, zt = R.apply_scale(train, state), R.apply_scale(test, state)
-    return N.evaluate_fold(z, zt, lambda t: N.knn(z, t, a, clipped=False).join(state, "user_id", "left"), train.unionByName(test), lambda df, x: x * F.coalesce("_scale", F.lit(1.0)) + F.coalesce("_shift", F.lit(0.0)), threshold=0.5)
+    predictor = N.Knn(z, a, clipped=False)
+
+    def with_state(t):
+        return predictor(t).join(state, "user_id", "left")
+
+    with_state.lists = predictor.lists
+    return N.evaluate_fold(z, zt, with_state, train.unionByName(test), lambda df, x: x * F.coalesce("_scale", F.lit(1.0)) + F.coalesce("_shift", F.lit(0.0)), threshold=0.5)
 
 
 def part_sql(name: str, scored: str) -> str:

@@ -113,7 +113,7 @@ def fit_labels(ratings: DataFrame, config: dict) -> DataFrame:
 
 @RECOMMENDERS.add("cf")
 def cf_recommender(train: DataFrame, labels: DataFrame, config: dict) -> N.Predictor:
-    return lambda targets: N.routed(train, targets, labels, config["gray"]["strategy"], k=config["recommender"]["neighbours"])
+    return N.Routed(train, labels, config["gray"]["strategy"], k=config["recommender"]["neighbours"])
 
 
 @RECOMMENDERS.add("mf")
@@ -140,8 +140,7 @@ def fit_pipeline(ratings: DataFrame, config: dict) -> tuple[DataFrame, N.Predict
     state = A.C.cut(R.scale_state(pruned, how))
     train = R.apply_scale(pruned, state)
 
-    def predictor(targets: DataFrame) -> DataFrame:
-        return RECOMMENDERS.get(config["recommender"]["kind"])(train, labels, config)(targets)
+    predictor = RECOMMENDERS.get(config["recommender"]["kind"])(train, labels, config)
 
     def restore(df: DataFrame, x: Column) -> Column:
         return x * F.coalesce(F.col("_scale"), F.lit(1.0)) + F.coalesce(F.col("_shift"), F.lit(0.0))
@@ -149,6 +148,8 @@ def fit_pipeline(ratings: DataFrame, config: dict) -> tuple[DataFrame, N.Predict
     def with_state(targets: DataFrame) -> DataFrame:
         return predictor(targets).join(state, "user_id", "left")
 
+    if hasattr(predictor, "lists"):  # lists are on the model's scale
+        with_state.lists = predictor.lists
     return train, with_state, restore, state
 
 
@@ -183,7 +184,7 @@ def clustering_cf(ratings: DataFrame, k: int, rounds: int = 10, n: int = 10, nei
     if assignment is None:
         _, labels = RC.mk_means(train, k, rounds)
         assignment = labels.withColumn("is_gray", F.lit(False))
-    return N.evaluate_cf(train, test, lambda t: N.knn(train, t, assignment, k=neighbours), ratings.select("item_id").distinct(), n)
+    return N.evaluate_cf(train, test, N.Knn(train, assignment, k=neighbours), ratings.select("item_id").distinct(), n)
 
 
 def produce_assignments(spark: SparkSession, store: Store, ratings: DataFrame, dataset: str, names: list[str], k: int, how: dict, size: int = 8, epochs: int = 5, seed: int = 42, workers: int = 1, limit: float | None = None, **run: object) -> DataFrame:
