@@ -148,19 +148,45 @@ def lloyd(df: DataFrame, start: list[list[float]], d: int, rounds: int = 20) ->
 
 
 def seed_by_distance(df: DataFrame, k: int, seed: str = "pp", weight: DataFrame | None = None) -> list[list[float]]:
-    """Centres drawn in proportion to squared distance (times ``weight``), by exponential races on a hash: one job a centre."""
-    u = (F.conv(F.substring(order_hash("vec_id", seed=seed), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
-    rows = df if weight is None else df.join(weight, "vec_id")
-    base = F.lit(1.0) if weight is None else F.col("weight")
-    chosen: list[list[float]] = []
+    """Centres drawn in proportion to squared distance (times ``weight``), by exponential races on a hash."""
+    return seeds_by_distance(df, k, [seed], weight)[0]
+
+
+def seeds_by_distance(df: DataFrame, k: int, seeds: list[str], weight: DataFrame | None = None) -> list[list[list[float]]]:
+    """The same for many seeds at once: a job draws the next centre of every start. Only the winners of a task leave it; chosen centres are broadcast."""
+    import numpy as np
+    import pandas as pd
+
+    rows = df.select("vec_id", "v", F.lit(1.0).alias("weight")) if weight is None else df.select("vec_id", "v").join(weight.select("vec_id", "weight"), "vec_id")
+    chosen: list[list[list[float]]] = [[] for _ in seeds]
+    kind = df.schema["vec_id"].dataType.simpleString()
     for i in range(k):
-        u = (F.conv(F.substring(order_hash("vec_id", seed=f"{seed}{i}"), 1, 12), 16, 10).cast("double") + 1) / float((1 << 48) + 2)
-        d2 = F.lit(1.0)
-        if chosen:
-            d2 = F.least(*[squared_distance(F.col("v"), F.array(*map(F.lit, c))) for c in chosen], F.lit(float("inf")))
-        w = d2 * base
-        race = F.when(w > 0, -F.log(u) / F.when(w > 0, w))
-        chosen.append(list(rows.orderBy(F.asc_nulls_last(race), "vec_id").select("v").first()["v"]))
+        u = [(F.conv(F.substring(order_hash("vec_id", seed=f"{seed}{i}"), 1, 12), 16, 10).cast("double") + 1) / float((1 << 48) + 2) for seed in seeds]
+        sent = df.sparkSession.sparkContext.broadcast([np.array(c) for c in chosen])
+
+        def race(batches, sent=sent):
+            best: dict[int, tuple] = {}
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                x, draws, base, ids = np.array(pdf.v.tolist(), float), np.array(pdf.u.tolist()), pdf.weight.to_numpy(float), pdf.vec_id.to_numpy()
+                for s, centres in enumerate(sent.value):
+                    w = base.copy()
+                    if len(centres):
+                        d2 = np.full(len(x), np.inf)
+                        for c in centres:
+                            d2 = np.minimum(d2, ((x - c) ** 2).sum(1))
+                        w = w * d2
+                    time = np.where(w > 0, -np.log(draws[:, s]) / np.where(w > 0, w, 1.0), np.inf)
+                    n = np.lexsort((ids, time))[0]
+                    one = (time[n], ids[n], pdf.v.iloc[n])
+                    if s not in best or one[:2] < best[s][:2]:
+                        best[s] = one
+            yield pd.DataFrame({"s": list(best), "time": [b[0] for b in best.values()], "vec_id": [b[1] for b in best.values()], "v": [b[2] for b in best.values()]})
+
+        won = rows.select("vec_id", "v", "weight", F.array(*u).alias("u")).mapInPandas(race, f"s int, time double, vec_id {kind}, v array<double>")
+        for r in won.groupBy("s").agg(F.min_by("v", F.struct("time", "vec_id")).alias("v")).collect():  # one row a start
+            chosen[r["s"]].append(list(r["v"]))
     return chosen
 
 
@@ -275,9 +301,11 @@ def k_nearest(df: DataFrame, k: int, block: int = 2048, most_pivots: int = 256)
 
     asking = cut(rows.groupBy("cell", "b").applyInPandas(bound, "vec_id long, v array<double>, cells array<int>"))
     left = asking.select("vec_id", "v", F.explode("cells").alias("cell")).select("vec_id", "v", "cell", F.explode(F.sequence(F.lit(0), count[F.col("cell")] - 1)).alias("b"))
-    spread = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(max(1, -(-n // (8 * block))))).cast("int")  # queries of a block in several tasks, too
-    left = left.withColumn("s", spread)
-    right = rows.select("vec_id", "v", "cell", "b", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // (8 * block))) - 1))).alias("s"))
+    # a cell that many vectors ask is searched in several tasks, and only its own rows are copied for that
+    asked = {r["cell"]: max(1, -(-r["m"] // (8 * block))) for r in asking.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("m")).collect()}  # at most ``most_pivots`` rows
+    split = F.create_map(*[F.lit(x) for c in parts for x in (c, asked.get(c, 1))])[F.col("cell")]
+    left = left.withColumn("s", F.pmod(F.xxhash64("vec_id", F.lit(7)), split).cast("int"))
+    right = rows.select("vec_id", "v", "cell", "b", F.explode(F.sequence(F.lit(0), split - 1)).alias("s"))
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[list, list, list]] = []

@@ -435,9 +435,9 @@ def gwo_pso(objective, low, high, size=30, epochs=100, seed=42, start=None, pull
 SINGLE["GWO-PSO"] = gwo_pso
 
 
-def multi_start(objective: Objective, make: Callable[[int], np.ndarray], restarts: int, size: int, seed: int = 42) -> np.ndarray:
-    """Of 3 x restarts candidates the best size + 10, scored in one batch."""
-    x = np.array([make(seed + 17 * i) for i in range(3 * restarts)])
+def multi_start(objective: Objective, make: Callable[[list[int]], np.ndarray], restarts: int, size: int, seed: int = 42) -> np.ndarray:
+    """Of 3 x restarts candidates, which ``make`` gives for as many seeds at once, the best size + 10, scored in one batch."""
+    x = np.asarray(make([seed + 17 * i for i in range(3 * restarts)]))
     return x[np.argsort(objective(x), kind="stable")[: size + 10]]
 
 

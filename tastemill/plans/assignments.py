@@ -19,26 +19,32 @@ from tastemill.functions.scalars import order_hash, r6
 from tastemill.operators import clusters as C
 from tastemill.operators import search as O
 from tastemill.operators import sparse as SV
+from tastemill.operators import swarms  # noqa: F401  (it adds its searches to ours)
 from tastemill.operators.evaluate import composite_rank, convergence, run_summary
 from tastemill.operators.iterate import cut
 from tastemill.plans.jobs import all_or_raise, limited, side_by_side
 
-#: Labels of assignment runs and the search each stands for (the labels are fixed values; searches of other names than ours are left out).
+#: Labels of assignment runs and the search each stands for (fixed values).
 ALGORITHMS = {
     "B0_KMEANS": "KMEANS",
     "B1_HHO": "HHO",
+    "B2_HGS": "HGS",
+    "H1_HHO+HGS": "HHO+HGS",
     "H4_MFO+HHO": "MFO+HHO",
     "B3_MFO": "MFO",
+    "H9_QSA+CDO": "QSA+CDO",
+    "H12_MFO+CDO": "MFO+CDO",
     "H13_HHO+GAop": "HHO+GAop",
+    "H5_GAHHO": "GAHHO",
     "DE_HHO": "DE-HHO",
-    "H5_EliteGA+HHO": "GA+HHO",
+    "H5_EliteGA+HHO": "ELITEMULTIGA+HHO",
     "LIT_GOA": "GOA",
     "LIT_GWO": "GWO",
-    "LIT_SSA": "SSA",
+    "LIT_SSA": "SSA-DEV",
 }
-#: Searches of the screening phase.
-SCREENED = ("HHO", "WOA", "GA", "DE", "GWO", "GOA", "PSO", "MFO", "SSA", "DOA")
-ALIASES = {"K-MEANS": "B0_KMEANS", "KMEANS": "B0_KMEANS", "GOA": "LIT_GOA", "GWO": "LIT_GWO", "SSA": "LIT_SSA", "HHO": "B1_HHO", "MFO": "B3_MFO", "DE-HHO": "DE_HHO"}
+#: Searches of the screening phase (three more of its names, gorillas, vultures and tug of war, are left out).
+SCREENED = ("CIRCLESA", "BES", "TSO", "HHO", "HGS", "WOA", "BA", "MULTIGA", "DE", "GWO", "GOA", "PSO", "ABC", "MFO", "SMA", "BEESA")
+ALIASES = {"K-MEANS": "B0_KMEANS", "KMEANS": "B0_KMEANS", "GOA": "LIT_GOA", "GWO": "LIT_GWO", "SSA": "LIT_SSA", "HHO": "B1_HHO", "MFO": "B3_MFO", "DE-HHO": "DE_HHO", "HGS": "B2_HGS", "GAHHO": "H5_GAHHO"}
 
 
 def choose(names: list[str], known=tuple(ALGORITHMS), aliases: dict[str, str] | None = None, prefixes: tuple[str, ...] = (), banned: tuple[str, ...] = ()) -> list[str]:
@@ -197,11 +203,11 @@ class Problem:
     def assign(self, x: np.ndarray) -> DataFrame:
         return C.nearest(self.df, self.centres(x)) if not SV.is_sparse(self.df) else SV.nearest(self.df, SV.long_form(self.centres(x)), self.k, self.d)
 
-    def seeding(self, seed: str) -> np.ndarray:
-        """k centres drawn by squared distance, flat."""
-        if not SV.is_sparse(self.df):
-            return np.array(C.seed_by_distance(self.df, self.k, seed)).ravel()
-        return self.flat(SV.seed_by_distance(self.df, self.k, self.d, seed))
+    def seedings(self, seeds: list[str]) -> np.ndarray:
+        """k centres drawn by squared distance for each seed, flat; all seeds in the same k jobs."""
+        if SV.is_sparse(self.df):
+            return np.array([self.flat(SV.seed_by_distance(self.df, self.k, self.d, seed)) for seed in seeds])
+        return np.array(C.seeds_by_distance(self.df, self.k, seeds)).reshape(len(seeds), -1)
 
     def flat(self, centres: DataFrame) -> np.ndarray:
         out = np.zeros((self.k, self.d))
@@ -211,7 +217,7 @@ class Problem:
 
     def starts(self, n: int, seed: int = 42) -> np.ndarray:
         """n seedings by squared distance, each with a seed of its own."""
-        return np.array([self.seeding(f"s{seed}.{i}") for i in range(n)])
+        return self.seedings([f"s{seed}.{i}" for i in range(n)])
 
     def k_means(self, seed: str, rounds: int) -> np.ndarray:
         if SV.is_sparse(self.df):
@@ -250,7 +256,7 @@ def run_one(
         x, history = problem.k_means(f"km{seed}", max(epochs, 1)), []
     else:
         low, high = bounds(df, k, d)
-        start = O.multi_start(problem.fitness, lambda s: problem.seeding(f"m{s}"), restarts, size, seed) if restarts else None
+        start = O.multi_start(problem.fitness, lambda seeds: problem.seedings([f"m{s}" for s in seeds]), restarts, size, seed) if restarts else None
         r = problem.solve(name, size, epochs, seed, low, high, start)
         x, history = r.best, r.history
     centres, near = problem.centres(x), cut(problem.assign(x))

@@ -93,15 +93,13 @@ def dense_ids(spark, sf):
     return R.id_map(X.purchases(spark, sf), "item_id")
 
 
-@query("remap_users", f"WITH {SPLIT}, ids AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS dense FROM (SELECT DISTINCT user_id FROM train WHERE user_id % 3 <> 0)) SELECT dense AS user_id, item_id, rating FROM test JOIN ids USING (user_id)")
-def remap_users(spark, sf):
-    train, test, _ = split(spark, sf)
-    return R.remap_users(train.where("user_id % 3 <> 0"), test)[1]
+REMAPPED = f"WITH {SPLIT}, ids AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS dense FROM (SELECT DISTINCT user_id FROM train)) SELECT dense AS user_id, item_id, rating FROM test JOIN ids USING (user_id)"
 
 
-@query("remap_users_whole", ORACLES["remap_users"].replace(" WHERE user_id % 3 <> 0", ""))
-def remap_users_whole(spark, sf):
-    """The real split: test rows of users without a training row go, and no others."""
+@query("remap_users", REMAPPED)
+@query("remap_users_whole", REMAPPED)
+def remap_users(spark, sf):
+    """Test rows of users without a training row go, and no others."""
     train, test, _ = split(spark, sf)
     return R.remap_users(train, test)[1]
 
@@ -111,13 +109,12 @@ def data_info(spark, sf):
     return R.data_info(X.ratings(spark, sf))
 
 
-@query("pivot_matrix", f"WITH {EV} SELECT user_id, " + ", ".join(f'coalesce(avg(rating) FILTER (item_id = {i}), 0.0) AS "{i}"' for i in range(8)) + " FROM ev WHERE item_id < 8 GROUP BY user_id")
-def pivot_matrix(spark, sf):
-    return R.pivot(X.rating_events(spark, sf).where("item_id < 8"), list(range(8)))
+PIVOTED = f"SELECT user_id, coalesce(COLUMNS(* EXCLUDE (user_id)), 0.0::DOUBLE) FROM (PIVOT (WITH {EV} SELECT user_id, item_id, rating FROM ev) ON item_id USING avg(rating) GROUP BY user_id)"
 
 
-@query("pivot_matrix_whole")
-def pivot_matrix_whole(spark, sf):
+@query("pivot_matrix", PIVOTED)
+@query("pivot_matrix_whole", PIVOTED)
+def pivot_matrix(spark, sf):
     """All items; a column each, so their ids have to fit the driver as the plan has to."""
     df = X.rating_events(spark, sf)
     return R.pivot(df, sorted(r["item_id"] for r in df.select("item_id").distinct().collect()))
@@ -334,22 +331,16 @@ def centroid_euclid(spark, sf):
     return K.centroid_euclid(df, item_centroids(df)).withColumn("dist", S.r6(F.col("dist")))
 
 
-@query(
-    "union_correlation",
-    f"""WITH {CENTROID}, few AS (SELECT * FROM cent WHERE item_id < 40), us AS (SELECT DISTINCT user_id FROM ratings), grid AS (
-    SELECT us.user_id, k.cluster_id, i.item_id, coalesce(r.rating, 0) AS x, coalesce(few.value, 0) AS y FROM us, (SELECT DISTINCT cluster_id FROM few) k, (SELECT DISTINCT item_id FROM ratings) i
-    LEFT JOIN ratings r ON r.user_id = us.user_id AND r.item_id = i.item_id LEFT JOIN few ON few.cluster_id = k.cluster_id AND few.item_id = i.item_id),
+UNION = f"""WITH {CENTROID}, us AS (SELECT DISTINCT user_id FROM ratings), grid AS (
+    SELECT us.user_id, k.cluster_id, i.item_id, coalesce(r.rating, 0) AS x, coalesce(cent.value, 0) AS y FROM us, (SELECT DISTINCT cluster_id FROM cent) k, (SELECT DISTINCT item_id FROM ratings) i
+    LEFT JOIN ratings r ON r.user_id = us.user_id AND r.item_id = i.item_id LEFT JOIN cent ON cent.cluster_id = k.cluster_id AND cent.item_id = i.item_id),
   s AS (SELECT user_id, cluster_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy FROM grid WHERE x <> 0 OR y <> 0 GROUP BY 1, 2)
-  SELECT user_id, cluster_id, {r6(f'CASE WHEN n >= 2 AND {GUARD} > 0 THEN 1 - (n * sxy - sx * sy) / sqrt({GUARD}) ELSE 1 END')} AS dist FROM s""",
-)
-def union_correlation(spark, sf):
-    df = X.ratings(spark, sf)
-    few = item_centroids(df).where("item_id < 40")
-    return K.union_correlation(df, few, df.select("user_id").distinct()).withColumn("dist", S.r6(F.col("dist")))
+  SELECT user_id, cluster_id, {r6(f'CASE WHEN n >= 2 AND {GUARD} > 0 THEN 1 - (n * sxy - sx * sy) / sqrt({GUARD}) ELSE 1 END')} AS dist FROM s"""
 
 
-@query("union_correlation_whole", ORACLES["union_correlation"].replace(" WHERE item_id < 40", ""))
-def union_correlation_whole(spark, sf):
+@query("union_correlation", UNION)
+@query("union_correlation_whole", UNION)
+def union_correlation(spark, sf):
     df = X.ratings(spark, sf)
     return K.union_correlation(df, item_centroids(df), df.select("user_id").distinct()).withColumn("dist", S.r6(F.col("dist")))
 

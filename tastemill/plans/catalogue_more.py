@@ -378,23 +378,14 @@ def wnmf_1_round(spark, sf):
     return cut(users, "user", "user_id", "p").unionAll(cut(items, "item", "item_id", "q"))
 
 
-TOY = [(0, 0, 5.0), (0, 2, 4.0), (1, 1, 3.0), (1, 3, 2.0), (2, 0, 4.0), (2, 3, 3.0)]
-TOY_U, TOY_V = [(0.5, 0.3), (0.2, -0.1), (-0.2, 0.4)], [(0.4, 0.2), (0.3, 0.5), (0.1, 0.3), (-0.1, 0.2)]
-
-
-def values(rows) -> str:
-    return ", ".join("(" + ", ".join(f"{x}::DOUBLE" if isinstance(x, float) else f"{x}::BIGINT" for x in r) + ")" for r in rows)
-
-
 @query(
     "toy_factorization",
-    f"WITH r(user_id, item_id, rating) AS (VALUES {values(TOY)}), u(user_id, a, b) AS (VALUES {values([(i, *x) for i, x in enumerate(TOY_U)])}), v(item_id, a, b) AS (VALUES {values([(i, *x) for i, x in enumerate(TOY_V)])}) SELECT user_id, item_id, rating, {r6('u.a * v.a + u.b * v.b')} AS pred, {r6('avg((rating - u.a * v.a - u.b * v.b) * (rating - u.a * v.a - u.b * v.b)) OVER ()')} AS mse FROM r JOIN u USING (user_id) JOIN v USING (item_id)",
+    f"WITH {RAT}, u AS MATERIALIZED ({start_sql('user_id', 'u')}), v AS MATERIALIZED ({start_sql('item_id', 'i')}) SELECT user_id, item_id, rating, {r6('u.a * v.a + u.b * v.b')} AS pred, {r6('avg((rating - u.a * v.a - u.b * v.b) * (rating - u.a * v.a - u.b * v.b)) OVER ()')} AS mse FROM ratings JOIN u USING (user_id) JOIN v USING (item_id)",
 )
 def toy_factorization(spark, sf):
-    """Six cells of a 3 x 4 table with given factors: predictions and their mean squared error."""
-    cells = spark.createDataFrame(TOY, "user_id long, item_id long, rating double")
-    users = spark.createDataFrame([(i, list(x)) for i, x in enumerate(TOY_U)], "user_id long, p array<double>")
-    items = spark.createDataFrame([(i, list(x)) for i, x in enumerate(TOY_V)], "item_id long, q array<double>")
+    """Factors as they start: the predictions of all cells and their mean squared error."""
+    cells = X.ratings(spark, sf).select("user_id", "item_id", "rating")
+    users, items = M.wnmf(cells, rank=2, rounds=0)
     done = M.Factors(users, items).predict(cells)
     mse = F.broadcast(done.agg(F.avg((F.col("rating") - F.col("pred")) * (F.col("rating") - F.col("pred"))).alias("_m")))
     return done.crossJoin(mse).select("user_id", "item_id", "rating", S.r6(F.col("pred")).alias("pred"), S.r6(F.col("_m")).alias("mse"))
@@ -440,10 +431,11 @@ def algorithms_known(spark, sf):
 FAMILY_NAMES = ["A||B", "HHO+GAop", "MFO+HHO", "B0_KMEANS", "DE_HHO", "GWO"]
 
 
-@query("algorithm_families", "SELECT name, CASE WHEN contains(name, '||') THEN 'parallel hybrid' WHEN contains(upper(name), 'GAOP') THEN 'memetic' WHEN contains(name, '+') THEN 'sequential hybrid' WHEN contains(upper(name), 'KMEANS') THEN 'clustering' WHEN contains(upper(name), 'DE_HHO') THEN 'embedded hybrid' ELSE 'single' END AS family FROM (VALUES " + ", ".join(f"('{n}')" for n in FAMILY_NAMES) + ") t(name)")
+@query("algorithm_families", f"WITH {ASG}, named AS (SELECT list_extract([" + ", ".join(f"'{n}'" for n in FAMILY_NAMES) + f"], CAST(id % {len(FAMILY_NAMES)} + 1 AS INTEGER)) AS name FROM asg) SELECT name, CASE WHEN contains(name, '||') THEN 'parallel hybrid' WHEN contains(upper(name), 'GAOP') THEN 'memetic' WHEN contains(name, '+') THEN 'sequential hybrid' WHEN contains(upper(name), 'KMEANS') THEN 'clustering' WHEN contains(upper(name), 'DE_HHO') THEN 'embedded hybrid' ELSE 'single' END AS family, count(*) AS n FROM named GROUP BY name")
 def algorithm_families(spark, sf):
-    names = spark.createDataFrame([(n,) for n in FAMILY_NAMES], "name string")
-    return names.select("name", A.family(F.col("name")).alias("family"))
+    """How many stored assignments there are of each label, and what kind of search it names."""
+    label = F.element_at(F.array(*map(F.lit, FAMILY_NAMES)), (F.col("id") % len(FAMILY_NAMES) + 1).cast("int"))
+    return X.assignments(spark, sf).select(label.alias("name")).groupBy("name").agg(F.count("*").alias("n")).select("name", A.family(F.col("name")).alias("family"), "n")
 
 
 @query("store_listing", f"WITH {ASG} SELECT dataset, algo, k, preprocessing, count(*) AS n_runs, min(wcss) AS wcss_min, max(wcss) AS wcss_max, {r6('avg(wcss)')} AS wcss_avg, max(created_at) AS last_run FROM asg GROUP BY 1, 2, 3, 4")

@@ -289,7 +289,7 @@ def test_hybrids_and_choices():
     rows = [{"algorithm": "a", "final_wcss": 2.0, "category": "GLOBAL", "exploration_ratio": 0.1, "time": 1.0}, {"algorithm": "b", "final_wcss": 1.0, "category": "LOCAL", "exploration_ratio": 0.5, "time": 2.0}, {"algorithm": "c", "final_wcss": 3.0, "category": "BALANCED", "exploration_ratio": 0.9, "time": 0.5}]
     assert search.choose_hybrid(rows) == ("a", "b")
     assert search.choose_hybrid([r | {"category": "BALANCED"} for r in rows]) == ("c", "a")
-    x = search.multi_start(low, lambda seed: np.random.RandomState(seed).rand(2), 8, 5)
+    x = search.multi_start(low, lambda seeds: [np.random.RandomState(s).rand(2) for s in seeds], 8, 5)
     assert len(x) == 15 and (np.diff(low(x)) >= 0).all()
 
 
