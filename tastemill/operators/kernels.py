@@ -1,7 +1,7 @@
 """Similarities and distances of users, all from one pass of co-rating sums.
 
 The self-join on item is the cost: an item with m ratings makes m^2 / 2 rows
-before the partial aggregate. ``within`` (user_id, cluster_id) restricts it to
+before the partial aggregate. How many there will be is counted first, and decides the tasks. ``within`` (user_id, cluster_id) restricts it to
 users of one cluster. The raters of an item that more than ``BLOCK`` users rated are
 dealt out in blocks that meet pair by pair, so no item is one task's work. Predictors
 that know their targets build similarities from these (``neighbours``), and
@@ -18,13 +18,19 @@ from tastemill.operators.iterate import cut
 
 #: Raters of an item (in a cluster) that meet in one task.
 BLOCK = 4_096
-#: Heavy keys that are broadcast.
-MANY = 100_000
+#: Heavy keys that are broadcast, and ratings that are, if there are no more.
+MANY, SMALL_ROWS = 100_000, 1_000_000
+#: Pairs that a task should make, and the most tasks.
+PAIRS, MOST_TASKS = 2_000_000, 20_000
 
 
 def heavy_keys(rows: DataFrame, keys: list[str], block: int) -> DataFrame | None:
     """keys, _parts of the keys with more than ``block`` rows; None if there are none. There are fewer than rows / ``block``."""
-    found = cut(rows.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > block).select(*keys, F.ceil(F.col("_m") / block).cast("int").alias("_parts")))
+    return heavy_of(rows.groupBy(*keys).agg(F.count("*").alias("_m")), keys, block)
+
+
+def heavy_of(counts: DataFrame, keys: list[str], block: int) -> DataFrame | None:
+    found = cut(counts.where(F.col("_m") > block).select(*keys, F.ceil(F.col("_m") / block).cast("int").alias("_parts")))
     return None if found.isEmpty() else found
 
 
@@ -51,13 +57,22 @@ def pair_sums(df: DataFrame, within: DataFrame | None = None, value: str = "rati
     if within is not None:
         df, keys = df.join(within.select("user_id", "cluster_id"), "user_id"), ["item_id", "cluster_id"]
     left, right = df.select(*keys, F.col("user_id").alias("u"), F.col(value).alias("x")), df.select(*keys, F.col("user_id").alias("v"), F.col(value).alias("y"))
-    heavy = heavy_keys(df, keys, BLOCK)
-    if heavy is not None:  # only rows of heavy items go through blocks; all others have block (0, 0)
+    counts = cut(df.groupBy(*keys).agg(F.count("*").alias("_m")))
+    rows, pairs = counts.agg(F.sum("_m"), F.sum(F.col("_m") * (F.col("_m") - 1) / 2)).first()
+    # tasks by the pairs they make, not by the few bytes that they read
+    n = int(min(MOST_TASKS, max(1, (pairs or 0) // PAIRS + 1)))
+    if (rows or 0) <= SMALL_ROWS:
+        # all pairs of a user are made in one task, so they are summed there and no pair is shuffled
+        left, right = left.repartition(n, "u"), F.broadcast(right)
+    elif (heavy := heavy_of(counts, keys, BLOCK)) is None:
+        left, right = left.repartition(n, *keys), right.repartition(n, *keys)
+    else:  # only rows of heavy items go through blocks; all others have block (0, 0)
         heavy, parts = small_enough(heavy), F.coalesce("_parts", F.lit(1))
         far = F.explode(F.sequence(F.lit(0), parts - 1))
         left = left.join(heavy, keys, "left").select(*keys, F.pmod(F.xxhash64("u"), parts).cast("int").alias("_i"), far.alias("_j"), "u", "x")
         right = right.join(heavy, keys, "left").select(*keys, far.alias("_i"), F.pmod(F.xxhash64("v"), parts).cast("int").alias("_j"), "v", "y")
         keys = [*keys, "_i", "_j"]
+        left, right = left.repartition(n, *keys), right.repartition(n, *keys)
     x, y = F.col("x"), F.col("y")
     return (
         left.join(right, keys).where("u < v").groupBy("u", "v")

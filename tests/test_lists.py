@@ -73,6 +73,8 @@ def test_heavy_items_in_blocks(spark, monkeypatch, many):
     monkeypatch.setattr(kernels, "BLOCK", 4)
     monkeypatch.setattr(neighbours, "BLOCK", 4)
     monkeypatch.setattr(kernels, "MANY", many)
+    monkeypatch.setattr(kernels, "SMALL_ROWS", 0)
+    monkeypatch.setattr(kernels, "PAIRS", 50)
     heavy = kernels.heavy_keys(df, ["item_id"], 4)
     assert heavy.where("item_id = 0").first()["_parts"] == 8
     assert plain(kernels.pair_sums(df), "u", "v", "n", "sxy") == sums

@@ -513,6 +513,7 @@ def test_pair_sums_in_blocks(spark, block, monkeypatch):
     df = ratings(spark, 12, 5, 9)
     plain = sorted(map(tuple, kernels.pair_sums(df).select("u", "v", "n", "sxy").collect()))
     monkeypatch.setattr(kernels, "BLOCK", block)
+    monkeypatch.setattr(kernels, "SMALL_ROWS", 0)
     assert sorted(map(tuple, kernels.pair_sums(df).select("u", "v", "n", "sxy").collect())) == plain
     assert sorted(map(tuple, kernels.pair_sums(df, labels(spark)).select("u", "v", "n", "sxy").collect())) == [p for p in plain if p[0] % 3 == p[1] % 3]
 
