@@ -81,6 +81,20 @@ def silhouette(df: DataFrame, n_sample: int = 200) -> DataFrame:
     return per.agg(r6(F.avg(s)).alias("silhouette"), F.count("*").alias("sampled"))
 
 
+#: What a score is worth where it has no meaning.
+FAILED = {"silhouette": -1.0, "davies_bouldin": 999.0, "calinski_harabasz": 1.0}
+
+
+def quality(df: DataFrame, d: int) -> dict[str, float]:
+    """silhouette, davies_bouldin and calinski_harabasz of (vec_id, v, cluster_id); with one cluster, or every vector alone, the values of failures."""
+    own = cut(centroids(df, d))
+    k, n = own.agg(F.count("*"), F.sum("n")).first()
+    if not 2 <= k < (n or 0):
+        return dict(FAILED)
+    found = {"silhouette": silhouette(df).first()[0], "davies_bouldin": davies_bouldin(df, own).first()[0], "calinski_harabasz": calinski_harabasz(df, own, d).first()[0]}
+    return {c: FAILED[c] if x is None else float(x) for c, x in found.items()}
+
+
 def memberships(df: DataFrame, centres: DataFrame, m: float = 2.0) -> DataFrame:
     """vec_id, cid, w, d2: w = 1 / sum_k (d / d_k)^(2 / (m - 1)); centres at distance 0 share all equally."""
     power = 1.0 / (m - 1.0)

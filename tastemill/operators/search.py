@@ -367,8 +367,18 @@ def ga(objective, low, high, size=30, epochs=100, seed=42, start=None, cross=0.9
 SINGLE: dict[str, Callable[..., Result]] = {"PSO": pso, "GWO": gwo, "DOA": doa, "DE": de, "HHO": hho, "DE-HHO": de_hho, "MFO": mfo, "WOA": woa, "GOA": goa, "SSA": ssa, "GA": ga}
 
 
-def get_optimizer(name: str) -> Callable[..., Result]:
-    """A single algorithm, ``A+B`` (A, then B around its best), ``A+GAop`` (A with crossover and mutation between) or ``A||B`` (the better of two)."""
+#: Where searches come from, by name: ours, and what a caller adds.
+SOURCES: dict[str, dict[str, Callable[..., Result]]] = {}
+
+
+def get_optimizer(name: str, source: str = "own") -> Callable[..., Result]:
+    """A single algorithm, ``A+B`` (A, then B around its best), ``A+GAop`` (A with crossover and mutation between) or ``A||B`` (the better of two); ``source`` names another table of single ones."""
+    if source != "own":
+        if source not in SOURCES:
+            raise ValueError(f"unknown source of optimizers: {source}")
+        if name not in SOURCES[source]:
+            raise ValueError(f"unknown optimizer: {name}")
+        return SOURCES[source][name]
     if "||" in name:
         first, second = (get_optimizer(x.strip()) for x in name.split("||"))
         return lambda *a, **b: min((first(*a, **b), second(*a, **b)), key=lambda r: r.fitness)  # ties: the first

@@ -8,6 +8,7 @@ job whose result is as large as the population.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -245,7 +246,7 @@ def run_one(
     df: DataFrame, label: str, k: int, d: int, size: int = 10, epochs: int = 10, seed: int = 42, gray: str = "distance", threshold: float = 0.8, restarts: int = 1,
     objective: str = "wcss", ratings: DataFrame | None = None, neighbours: int = 20, contamination: float | None = None, members: bool = False,
 ) -> dict:
-    """One algorithm from search to labels: label, seconds, wcss (always of the clustering), labels (vec_id, cluster_id, is_gray, dist), threshold, centres and history.
+    """One algorithm from search to labels: label, seconds, wcss (always of the clustering), near (vec_id, nearest, d2), labels (vec_id, cluster_id, is_gray, dist), threshold, centres and history.
 
     ``objective``: what searches minimise (DE-HHO always the sum of squares). ``gray``: distance, percentile, or lof, which needs the users'
     ``ratings`` (mean, share rated, spread, deviation from the cluster). ``members``: also memberships (vec_id, cluster_id, w) of the centres.
@@ -268,7 +269,7 @@ def run_one(
         features_ = cut(C.outlier_features(ratings, own).withColumnRenamed("user_id", "vec_id"))
     dist, limit = gray_choice(near, gray, threshold, features_, neighbours, contamination)
     labels = near.join(dist, "vec_id").select("vec_id", F.when(F.col("is_gray"), F.lit(k)).otherwise(F.col("nearest")).cast("long").alias("cluster_id"), "is_gray", "dist")
-    out = {"algorithm": label, "seed": seed, "wcss": near.agg(r6(F.sum("d2"))).first()[0], "labels": labels, "centres": centres, "history": history, "threshold": limit}
+    out = {"algorithm": label, "seed": seed, "wcss": near.agg(r6(F.sum("d2"))).first()[0], "near": near, "labels": labels, "centres": centres, "history": history, "threshold": limit}
     if members:
         w = SV.memberships(df, SV.long_form(centres), k, d) if SV.is_sparse(df) else C.memberships(df, centres).select("vec_id", F.col("cid").alias("cluster_id"), "w")
         out["members"] = w
@@ -293,24 +294,29 @@ def failed_row(label: str, run: int, error: Exception) -> tuple[tuple, list[floa
 def screened(df: DataFrame, label: str, run: int, k: int, d: int, size: int, epochs: int, seed: int) -> tuple[tuple, list[float]]:
     r = run_one(df, label, k, d, size, epochs, seed)
     rows = df.join(C.nearest(df, r["centres"]).select("vec_id", F.col("nearest").alias("cluster_id")), "vec_id").select("vec_id", "v", "cluster_id")
-    own = C.centroids(rows, d)
-    sil, db = C.silhouette(rows).first()["silhouette"], C.davies_bouldin(rows, own).first()["davies_bouldin"]
+    scores = C.quality(rows, d)
     n, ratio = r["labels"].agg(F.sum(F.col("is_gray").cast("double")), F.avg(F.col("is_gray").cast("double"))).first()
-    return (label, run, True, float(r["wcss"]), float(sil), float(db), n, ratio, r["seconds"], None), r["history"]
+    return (label, run, True, float(r["wcss"]), scores["silhouette"], scores["davies_bouldin"], n, ratio, r["seconds"], None), r["history"]
 
 
 WEIGHTS = {"wcss": 0.35, "davies_bouldin": 0.15, "seconds": 0.30, "silhouette": 0.15, "gray_ratio": 0.05}
 
 
-def screen(df: DataFrame, labels: list[str], k: int, d: int, runs: int = 3, size: int = 8, epochs: int = 8, seed: int = 10_000, limit: float | None = None, stop_after: float | None = None, workers: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(all runs, history): every label in every run, ``workers`` at a time; one is stopped after ``limit`` seconds, and none starts once ``stop_after`` seconds are over."""
+def screen(df: DataFrame, labels: list[str], k: int, d: int, runs: int = 3, size: int = 8, epochs: int = 8, seed: int = 10_000, limit: float | None = None, stop_after: float | None = None, workers: int = 1, save: Callable[[DataFrame], None] | None = None, every: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(all runs, history): every label in every run, ``workers`` at a time; one is stopped after ``limit`` seconds, and none starts once ``stop_after`` seconds are over.
+
+    ``save`` gets the rows of each ``every`` runs once they are done, so that what is lost with the driver is bounded.
+    """
     session, rows, past = df.sparkSession, [], []
     jobs = list(product(range(runs), labels))
     works = [lambda run=run, label=label: screening_row(df, label, run, k, d, size, epochs, seed + run, limit) for run, label in jobs]
-    found = side_by_side(session, works, workers, start_until=None if stop_after is None else time.time() + stop_after)
-    for row, history in all_or_raise(found):
-        rows.append(row)
-        past += [(row[0], row[1], i, float(f)) for i, f in enumerate(history)]
+    until = None if stop_after is None else time.time() + stop_after
+    for lo in range(0, len(works), max(1, every)):
+        done = all_or_raise(side_by_side(session, works[lo : lo + max(1, every)], workers, start_until=until))
+        rows += [row for row, _ in done]
+        past += [(row[0], row[1], i, float(f)) for row, history in done for i, f in enumerate(history)]
+        if save is not None and done:
+            save(session.createDataFrame([row for row, _ in done], ROW))
     return session.createDataFrame(rows, ROW), session.createDataFrame(past, "algorithm string, run_num int, epoch long, fitness double")
 
 

@@ -29,6 +29,7 @@ from tastemill.sources.readers import load_config
 from tastemill.sources.store import Store
 
 DEFAULTS = {
+    "run": {"seed": 42, "workers": 1},
     "data": {"dataset": "events", "folds": 5, "seed": "s3"},
     "preprocess": {"normalize": "user_mean", "min_user": 0, "min_item": 0},
     "model": {"name": "wnmf", "n_components": 6, "rounds": 5},
@@ -106,7 +107,7 @@ def fit_labels(ratings: DataFrame, config: dict) -> DataFrame:
     """user_id, cluster_id, is_gray: vectors of the space, clusters, and gray users by their profile."""
     c = config["clustering"]
     vectors, d = SPACES.get(c["space"])(ratings, config)
-    near, _ = A.Clustering(c["algorithm"], c["k"], d, rounds=c["rounds"], space=c["space"]).fit_predict(vectors)
+    near, _ = A.Clustering(c["algorithm"], c["k"], d, seed=config["run"]["seed"], rounds=c["rounds"], space=c["space"]).fit_predict(vectors)
     gray = A.C.gray_by_profile(R.user_profile(ratings), config["gray"]["threshold"])
     return near.select(F.col("vec_id").alias("user_id"), F.col("nearest").alias("cluster_id")).join(gray.select("user_id", "is_gray"), "user_id", "left").na.fill(False, ["is_gray"])
 
@@ -177,16 +178,27 @@ def smoke(spark: SparkSession, ratings: DataFrame) -> DataFrame:
     return run_experiment(spark, ratings, settings(overrides=["data.folds=2", "clustering.k=3", "model.rounds=2"]))
 
 
-def clustering_cf(ratings: DataFrame, k: int, rounds: int = 10, n: int = 10, neighbours: int = 30, assignment: DataFrame | None = None) -> DataFrame:
-    """One algorithm end to end: mk-means++ over the train ratings (or an assignment that there is), neighbours inside clusters, errors and lists."""
+def clustering_cf(ratings: DataFrame, k: int, rounds: int = 10, n: int = 10, neighbours: int = 30, assignment: DataFrame | None = None, algorithm: str = "mk_means", how: dict | None = None, seed: int = 42) -> DataFrame:
+    """One algorithm end to end: mk-means++ over the train ratings, a named search over the features ``how`` (or an assignment that there is), neighbours inside clusters, errors and lists."""
     cut = SP.user_holdout(ratings)
     train, test = A.C.cut(cut.where("NOT is_test").drop("is_test")), A.C.cut(cut.where("is_test").drop("is_test"))
-    if assignment is None:
+    if assignment is None and algorithm == "mk_means":
         _, labels = RC.mk_means(train, k, rounds)
         assignment = labels.withColumn("is_gray", F.lit(False))
+    elif assignment is None:
+        vectors, d = A.features(train, how or {"factors": 6, "rounds": rounds})
+        near = A.run_one(A.C.cut(vectors), A.choose([algorithm], (*A.ALGORITHMS, *A.SCREENED))[0], k, d, 10, rounds, seed)["near"]
+        assignment = near.select(F.col("vec_id").alias("user_id"), F.col("nearest").alias("cluster_id")).withColumn("is_gray", F.lit(False))
     return N.evaluate_cf(train, test, N.Knn(train, assignment, k=neighbours), ratings.select("item_id").distinct(), n)
 
 
+def compare(spark: SparkSession, ratings: DataFrame, algorithms: list[str], k: int, rounds: int = 5, n: int = 10, workers: int = 1) -> DataFrame:
+    """algorithm and what ``clustering_cf`` gives for it; one that fails has a row with its error alone."""
+    found = side_by_side(spark, [lambda a=a: A.C.cut(clustering_cf(ratings, k, rounds, n, algorithm=a)) for a in algorithms], workers)
+    parts = [spark.createDataFrame([(a, f"{type(x).__name__}: {x}"[:300])], "algorithm string, error string") if isinstance(x, Exception) else x.select(F.lit(a).alias("algorithm"), "*") for a, x in zip(algorithms, found, strict=True)]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
 def produce_assignments(spark: SparkSession, store: Store, ratings: DataFrame, dataset: str, names: list[str], k: int, how: dict, size: int = 8, epochs: int = 5, seed: int = 42, workers: int = 1, limit: float | None = None, **run: object) -> DataFrame:
     """Every named algorithm over the same features, ``workers`` at a time, stored; a failure (or one beyond ``limit`` seconds) is logged and the others go on.
 
@@ -306,15 +318,19 @@ def recommendations(ratings: DataFrame, assignment: DataFrame, n: int = 10, max_
 
 
 def command(spark: SparkSession, args: list[str]) -> str:
-    """The command line: ``experiment``, ``assign``, ``scenarios``, ``evaluate``, ``sweep``, ``runs`` and ``assignments``; returns what it prints."""
+    """The command line: ``experiment``, ``assign``, ``scenarios``, ``evaluate``, ``sweep``, ``screen``, ``compare``, ``runs`` and ``assignments``; returns what it prints.
+
+    An option that is not given is taken from ``TASTEMILL_<OPTION>``, if that is set.
+    """
     import argparse
+    import os
 
     from tastemill.plans.reports import text_table
     from tastemill.sources import fixtures
     from tastemill.sources.store import last_runs
 
     p = argparse.ArgumentParser(prog="tastemill")
-    p.add_argument("what", choices=["experiment", "assign", "scenarios", "evaluate", "sweep", "runs", "assignments"])
+    p.add_argument("what", choices=["experiment", "assign", "scenarios", "evaluate", "sweep", "screen", "compare", "runs", "assignments"])
     p.add_argument("--data", help="folder of the tables")
     p.add_argument("--store", default="store")
     p.add_argument("--out")
@@ -327,6 +343,15 @@ def command(spark: SparkSession, args: list[str]) -> str:
     p.add_argument("--factors", type=int, default=4)
     p.add_argument("--top", type=int, default=10)
     p.add_argument("--ks", nargs="*", type=int, default=[2, 5, 10])
+    p.add_argument("--repeats", type=int, default=2)
+    p.add_argument("--size", type=int, default=8)
+    p.add_argument("--workers", type=int, default=1)
+    p.add_argument("--limit", type=float, help="seconds of a run")
+    p.add_argument("--seed", type=int, default=42)
+    for option in p._actions:
+        if option.option_strings and (given := os.environ.get(f"TASTEMILL_{option.dest.upper()}")) is not None:
+            kind = option.type or str
+            p.set_defaults(**{option.dest: [kind(x) for x in given.split()] if option.nargs == "*" else kind(given)})
     a = p.parse_args(args)
     store, how = Store(spark, a.store), {"factors": a.factors, "rounds": 4}
     if a.what == "runs":
@@ -335,11 +360,16 @@ def command(spark: SparkSession, args: list[str]) -> str:
         return store.listing()
     ratings = fixtures.ratings(spark, a.data)
     if a.what == "experiment":
-        out = run_experiment(spark, ratings, settings(a.config, a.set))
+        out = run_experiment(spark, ratings, settings(a.config, [f"run.seed={a.seed}", *a.set]), a.workers)
     elif a.what == "assign":
-        out = produce_assignments(spark, store, ratings, a.dataset, a.algorithms, a.k, how, epochs=a.epochs).select("id", "algo", "k", "wcss", "gray_count", "n_users")
+        out = produce_assignments(spark, store, ratings, a.dataset, a.algorithms, a.k, how, a.size, a.epochs, a.seed, a.workers, a.limit).select("id", "algo", "k", "wcss", "gray_count", "n_users")
     elif a.what == "scenarios":
         out = run_scenarios(spark, store, ratings, a.dataset, a.algorithms[0], a.k, [A.suffix(how)])
+    elif a.what == "screen":
+        vectors, d = A.features(ratings, how)
+        out = screening(spark, store, A.C.cut(vectors), a.algorithms, a.k, d, a.repeats, a.size, a.epochs, a.top, a.limit, workers=a.workers)["notes"]
+    elif a.what == "compare":
+        out = compare(spark, ratings, a.algorithms, a.k, a.epochs, a.top, a.workers)
     elif a.what == "sweep":
         vectors, d = A.features(ratings, how)
         out = k_sweep(A.C.cut(vectors), d, a.ks)

@@ -5,7 +5,10 @@ Lines are split on executors; no file is parsed on the driver but small configs.
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -156,22 +159,36 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("m").alias("segment", "inner")).select("segment", F.explode("inner").alias("metric", "value"))
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file in any store; no more than a buffer of it is read."""
+    java = spark._jvm.java.io
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = java.BufferedReader(java.InputStreamReader(file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file), "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
 def read_runs(spark: SparkSession, root: str, name: str = "*.csv") -> DataFrame:
     """All runs under numbered folders, with run_num from the folder; columns that a run lacks are null, those of whole numbers or numbers throughout are typed so.
 
-    One read for all folders: the headers give the columns, each line is split by its own file's header.
+    Files of the same header are one read, by Spark's CSV reader, so quoted fields may hold commas, quotes and line breaks.
     """
-    raw = spark.read.text(f"{root}/[0-9]*/{name}").select("value", F.col("_metadata.file_path").alias("_file")).where("trim(value) <> ''")
-    raw = raw.withColumn("run_num", F.regexp_extract("_file", r"/(\d+)/[^/]*$", 1).cast("int")).where("run_num IS NOT NULL")
-    # a file's first line is its header: the line at the start of its first block, which only whole-text reading tells apart from later ones
-    whole = spark.read.text(f"{root}/[0-9]*/{name}", wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.split(F.split(F.trim("value"), "\r?\n")[0], ",").alias("_head"))
-    heads = whole.collect()  # one short row for each file
-    columns = list(dict.fromkeys(c.strip() for r in heads for c in r["_head"]))
-    if not columns:
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in found(spark, f"{root}/[0-9]*/{name}"):
+        if re.search(r"/\d+/[^/]*$", path) and (line := first_line(spark, path).strip()):
+            groups.setdefault(tuple(c.strip() for c in next(csv.reader([line]))), []).append(path)
+    if not groups:
         raise FileNotFoundError(f"no numbered folder in {root}")
-    met = raw.join(F.broadcast(whole), "_file").where(F.col("value") != F.array_join("_head", ","))
-    cells = F.map_from_arrays(F.transform("_head", F.trim), F.transform(F.sequence(F.lit(0), F.size("_head") - 1), lambda i: F.get(F.split("value", ","), i)))
-    text = met.select("run_num", cells.alias("m")).select(*[F.nullif(F.trim(F.try_element_at("m", F.lit(c))), F.lit("")).alias(c) for c in columns], "run_num")
+    parts = []
+    for head, paths in groups.items():
+        schema = ", ".join(f"`{c}` string" for c in head)
+        rows = spark.read.csv(paths, schema=schema, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        parts.append(rows.select("*", F.regexp_extract("_metadata.file_path", r"/(\d+)/[^/]*$", 1).cast("int").alias("run_num")))
+    columns = list(dict.fromkeys(c for head in groups for c in head))
+    text = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    text = text.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in columns], "run_num")
     fits = lambda c, kind: F.coalesce(F.bool_and(F.col(c).try_cast(kind).isNotNull() | F.col(c).isNull()), F.lit(True)).alias(f"{kind} {c}")
     known = text.agg(*[fits(c, kind) for c in columns for kind in ("int", "double")]).first()
     kinds = {c: "int" if known[f"int {c}"] else "double" if known[f"double {c}"] else "string" for c in columns}
