@@ -125,7 +125,7 @@ def sparse_lloyd_2(spark, sf):
     """Two rounds in the z-score space of all items, from the first four users."""
     train, _, _ = split(spark, sf)
     df, d = A.features(train, {"zscore": True, "unit": True})
-    df = df.where("exists(vals, x -> x <> 0)")
+    df = A.cut(df.where("exists(vals, x -> x <> 0)"))
     first = [r["vec_id"] for r in df.orderBy("vec_id").limit(4).select("vec_id").collect()]
     _, near = SV.lloyd(df, SV.members_as_centres(df, first), 4, d, 2)
     return near.select("vec_id", F.col("nearest").alias("cluster_id"), S.r6(F.col("d2")).alias("d2"))

@@ -107,6 +107,7 @@ def fit_labels(ratings: DataFrame, config: dict) -> DataFrame:
     """user_id, cluster_id, is_gray: vectors of the space, clusters, and gray users by their profile."""
     c = config["clustering"]
     vectors, d = SPACES.get(c["space"])(ratings, config)
+    vectors = A.C.cut(vectors)  # every round reads them
     near, _ = A.Clustering(c["algorithm"], c["k"], d, seed=config["run"]["seed"], rounds=c["rounds"], space=c["space"]).fit_predict(vectors)
     gray = A.C.gray_by_profile(R.user_profile(ratings), config["gray"]["threshold"])
     return near.select(F.col("vec_id").alias("user_id"), F.col("nearest").alias("cluster_id")).join(gray.select("user_id", "is_gray"), "user_id", "left").na.fill(False, ["is_gray"])
