@@ -7,6 +7,8 @@ improvement only.
 
 from __future__ import annotations
 
+from math import gamma as gamma_of
+
 import numpy as np
 
 from tastemill.operators.search import SINGLE, Result, Search, hho_step
@@ -340,7 +342,81 @@ def eagle(objective, low, high, size=30, epochs=100, seed=42, start=None, wide=1
     return s.result()
 
 
+def gorilla(objective, low, high, size=30, epochs=100, seed=42, start=None, lost=0.03, calm=0.8, beta=3.0) -> Result:
+    """Gorilla troops: wander, move to another gorilla or to a known place; then follow the silverback, or compete for females (Abdollahzadeh et al., 2021)."""
+    s = Search(objective, low, high, size, seed, start)
+    for t in range(epochs):
+        c = (np.cos(2 * s.draw.rand()) + 1) * (1 - (t + 1) / max(1, epochs))
+        reach = c * s.draw.uniform(-1, 1, (size, 1))
+        one, two = others(s, 2)
+        migrate = (s.draw.rand(size, 1) - c) * s.x[one] + reach * s.draw.uniform(-c, c, s.x.shape) * s.x
+        away = s.x - s.x[two]
+        known = s.x - reach * (reach * away + s.draw.rand(size, 1) * away)
+        new = np.where(s.draw.rand(size, 1) >= 0.5, migrate, known)
+        s.greedy(np.where(s.draw.rand(size, 1) < lost, s.draw.uniform(low, high, s.x.shape), new))
+        if c >= calm:
+            # the publication's (|mean| ** g) ** (1 / g) is |mean| for every g
+            s.greedy(reach * np.abs(s.x.mean(0)) * (s.x - s.best) + s.x)
+        else:
+            violence = np.where(s.draw.rand(size, 1) >= 0.5, s.draw.normal(0, 1, s.x.shape), s.draw.normal(0, 1, (size, 1)))
+            s.greedy(s.best - (2 * s.draw.rand(size, 1) - 1) * (s.best - s.x) * beta * violence)
+        s.history.append(s.fitness)
+    return s.result()
+
+
+def vulture(objective, low, high, size=30, epochs=100, seed=42, start=None, p1=0.6, p2=0.4, p3=0.6, alpha=0.8, gamma=2.5) -> Result:
+    """African vultures: the hungrier, the nearer to one of the two best; sated ones explore, others circle, besiege or fly by Levy steps (Abdollahzadeh et al., 2021)."""
+    s = Search(objective, low, high, size, seed, start)
+    for t in range(epochs):
+        done = (t + 1) / max(1, epochs)
+        shake = s.draw.uniform(-2, 2, (size, 1)) * (np.sin(np.pi / 2 * done) ** gamma + np.cos(np.pi / 2 * done) - 1)
+        f = (2 * s.draw.rand(size, 1) + 1) * s.draw.uniform(-1, 1, (size, 1)) * (1 - done) + shake
+        first, second = s.x[order_of(s)[[0, min(1, size - 1)]]]
+        lead = np.where(s.draw.rand(size, 1) < alpha, first, second)
+        d = np.abs(2 * s.draw.rand(size, 1) * lead - s.x)
+        far = np.where(s.draw.rand(size, 1) < p1, lead - d * f, lead - f + s.draw.rand(size, 1) * ((high - low) * s.draw.rand(size, 1) + low))
+        circles = lead - lead * s.x / (2 * np.pi) * (s.draw.rand(size, 1) * np.cos(s.x) + s.draw.rand(size, 1) * np.sin(s.x))
+        near = np.where(s.draw.rand(size, 1) < p2, d * (f + s.draw.rand(size, 1)) - (lead - s.x), circles)
+        siege = np.mean([v - v * s.x / nonzero(v - s.x**2) * f for v in (first, second)], 0)
+        close = np.where(s.draw.rand(size, 1) < p3, siege, lead - np.abs(lead - s.x) * f * levy(s.draw, s.x.shape))
+        s.greedy(np.where(np.abs(f) >= 1, far, np.where(np.abs(f) >= 0.5, near, close)))
+        s.history.append(s.fitness)
+    return s.result()
+
+
+def levy(draw: np.random.RandomState, shape: tuple[int, ...], b: float = 1.5) -> np.ndarray:
+    """Steps of a Levy flight by Mantegna's quotient of normals."""
+    sigma = (gamma_of(1 + b) * np.sin(np.pi * b / 2) / (gamma_of((1 + b) / 2) * b * 2 ** ((b - 1) / 2))) ** (1 / b)
+    u, v = draw.normal(0, sigma, shape), draw.normal(0, 1, shape)
+    return 0.01 * u / (np.abs(v) + EPS) ** (1 / b)
+
+
+def nonzero(x: np.ndarray) -> np.ndarray:
+    """``x`` with zeros moved away from zero, to divide by."""
+    return np.where(np.abs(x) < EPS, EPS, x)
+
+
+def tug_of_war(objective, low, high, size=30, epochs=100, seed=42, start=None, still=1.0, moving=1.0, dt=1.0, alpha=0.99, beta=0.1) -> Result:
+    """Tug of war: every heavier team pulls a lighter one by what its force exceeds friction; noise shrinks, and half of the components out of bounds go near the best (Kaveh and Zolghadr, 2016)."""
+    s = Search(objective, low, high, size, seed, start)
+    for t in range(1, epochs + 1):
+        weight = (s.y - s.y.max()) / nonzero(s.y.min() - s.y.max()) + 1
+        move = np.zeros_like(s.x)
+        for j in range(size):
+            pulled = weight < weight[j]
+            force = np.maximum(weight, weight[j]) * still - weight * moving
+            step = 0.5 * (force / (weight * moving))[:, None] * (s.x[j] - s.x) * dt**2
+            noise = alpha**t * beta * (high - low) * s.draw.normal(0, 1, s.x.shape)
+            move += np.where(pulled[:, None], step + noise, 0.0)
+        new = s.x + move
+        beyond = ((new < low) | (new > high)) & (s.draw.rand(*s.x.shape) < 0.5)
+        s.greedy(np.where(beyond, s.best + s.draw.normal(0, 1, s.x.shape) / t * (s.best - new), new))
+        s.history.append(s.fitness)
+    return s.result()
+
+
 SINGLE |= {
     "HGS": hgs, "QSA": qsa, "CDO": cdo, "ABC": abc, "BEESA": bees, "MULTIGA": multi_ga, "ELITEMULTIGA": elite_multi_ga, "GAHHO": ga_hho, "SSA-DEV": ssa_dev,
     "BA": bat, "SMA": slime, "TSO": tuna, "CIRCLESA": circle, "BES": eagle,
+    "AGTO": gorilla, "AVOA": vulture, "TWO": tug_of_war,
 }

@@ -43,8 +43,8 @@ ALGORITHMS = {
     "LIT_GWO": "GWO",
     "LIT_SSA": "SSA-DEV",
 }
-#: Searches of the screening phase (three more of its names, gorillas, vultures and tug of war, are left out).
-SCREENED = ("CIRCLESA", "BES", "TSO", "HHO", "HGS", "WOA", "BA", "MULTIGA", "DE", "GWO", "GOA", "PSO", "ABC", "MFO", "SMA", "BEESA")
+#: Searches of the screening phase.
+SCREENED = ("CIRCLESA", "BES", "TSO", "HHO", "HGS", "WOA", "BA", "MULTIGA", "DE", "GWO", "GOA", "PSO", "ABC", "AGTO", "AVOA", "MFO", "TWO", "SMA", "BEESA")
 ALIASES = {"K-MEANS": "B0_KMEANS", "KMEANS": "B0_KMEANS", "GOA": "LIT_GOA", "GWO": "LIT_GWO", "SSA": "LIT_SSA", "HHO": "B1_HHO", "MFO": "B3_MFO", "DE-HHO": "DE_HHO", "HGS": "B2_HGS", "GAHHO": "H5_GAHHO"}
 
 
