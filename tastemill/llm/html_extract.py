@@ -20,6 +20,10 @@ outside menus and the like) one counts.
      style or comment section (by tag, role, class or id);
    * constant: all text inside belongs to the template (a headline is excepted);
    * list: a list whose text, over all pages, is mostly links;
+   * repeated: most of its own text stands on other pages of the host too (adverts and
+     teasers come from a pool), or linked: nearly all of it lies in links. Whatever
+     its names, such a slot gives way where an open slot that varies holds at least as
+     much text over the host;
    * article: inside an element that declares it (article, main, usual names);
    * open: anything else.
 4. *Extraction.* A page's text is what lies in its article slots or, if it has none,
@@ -67,6 +71,8 @@ from .url_filter import split_urls
 SUPPORT = 0.2
 #: Share of a list's characters inside links from which on it is a list of links.
 LINKS = 0.6
+#: Share of a slot's own characters that stand on other pages too, and share of its characters inside links, from which on it may give way to a slot that varies.
+REPEATED, LINKED = 0.75, 0.8
 #: Bytes of all templates together up to which they are broadcast.
 SMALL = 16 << 20
 #: Templates that a Python worker keeps unpacked.
@@ -105,7 +111,9 @@ def bad_name(names: str, heads: bool) -> bool:
 #: Sorts of elements: plain, declares the article, holds none of it; by name only: declares one of another kind, holds none unless the page declares no other.
 PLAIN, DECLARES, OUT, DECLARES_OTHER, HOLDS_NONE = range(5)
 #: States of elements, as sums, by the sorts of all elements around and themselves.
-DEAD, WEAK, DECLARED, CONSTANT, LISTED = 1, 2, 4, 8, 16
+DEAD, WEAK, DECLARED, CONSTANT, LISTED, COMMON = 1, 2, 4, 8, 16, 32
+#: States of an element's own text, which elements inside do not take over.
+OWN = CONSTANT | COMMON
 #: What an element is, beyond its sort.
 IS_LIST, IS_HEAD = 1, 2
 
@@ -125,7 +133,7 @@ def level(state: int) -> int:
     """How good a slot is: 4 article, 3 one of another kind, 2 open, 1 constant or a list, 0 excluded."""
     if state & DEAD or state & (WEAK | DECLARED) == WEAK:
         return 0
-    if state & CONSTANT or (state & LISTED and not state & DECLARED):
+    if state & CONSTANT or (state & (LISTED | COMMON) and not state & DECLARED):
         return 1
     return 2 if not state & DECLARED else 3 if state & WEAK else 4
 
@@ -394,7 +402,7 @@ def token_statistics(pages: DataFrame) -> DataFrame:
     return read.groupBy("host", "key").agg(*same, F.round(F.sum("pages"), 3).alias("pages"), *(F.sum(x).alias(x) for x in ("mark1", "mark2", "own", "whole", "linked")))
 
 
-TOKEN_FIELDS = ("key", "above", "is_text", "sort", "kind", "mark1", "mark2", "pages", "own", "whole", "linked")
+TOKEN_FIELDS = ("key", "above", "is_text", "sort", "kind", "mark1", "mark2", "pages", "own", "whole", "linked", "again")
 
 
 def classes_of(tokens: list[dict]) -> dict[int, tuple[int, int]]:
@@ -468,7 +476,10 @@ def valid_tokens(tokens: list[dict], found: list) -> set[int]:
 
 
 def deduce(tokens: list[dict], valid: set[int]) -> tuple[dict[int, int], set[int]]:
-    """The template: the state of each of its elements, and its texts that open slots leave out."""
+    """The template: the state of each of its elements, and its texts that open slots leave out.
+
+    A common slot, of repeated text or of links, gives way only to an open one that holds as much text.
+    """
     elements = {t["key"]: t for t in tokens if not t["is_text"]}
     fixed: dict[int, list] = {}
     for t in tokens:
@@ -480,21 +491,24 @@ def deduce(tokens: list[dict], valid: set[int]) -> tuple[dict[int, int], set[int
         while key in elements and key not in states:
             chain.append(key)
             key = elements[key]["above"]
-        state = states.get(key, 0) & ~CONSTANT
+        state = states.get(key, 0) & ~OWN
         for k in reversed(chain):
             e = elements[k]
             state = step(state, e["sort"])
             if e["kind"] & IS_LIST and e["whole"] and e["linked"] >= LINKS * e["whole"]:
                 state |= LISTED
             constant = e["own"] > 0 and not e["kind"] & IS_HEAD and sum(t["own"] for t in fixed.get(k, ())) >= e["own"]
-            states[k] = state | CONSTANT if constant else state
+            common = e["again"] >= REPEATED * e["own"] or e["linked"] >= LINKED * e["whole"]
+            states[k] = state | CONSTANT if constant else state | COMMON if e["own"] > 0 and not e["kind"] & IS_HEAD and common else state
+    most = max((elements[k]["own"] for k, s in states.items() if k in valid and level(s) == 2 and not elements[k]["kind"] & IS_HEAD), default=0)
+    states = {k: s & ~COMMON if elements[k]["own"] > most else s for k, s in states.items()}
     mixed = [t["key"] for k, own in fixed.items() for t in own if not (k in elements and elements[k]["own"] <= 2 * sum(x["own"] for x in own))]
     return {k: s for k, s in states.items() if k in valid}, set(mixed)
 
 
 def by_itself(page: Page) -> tuple[dict[int, int], set[int]]:
     """The template of one page alone."""
-    tokens = [dict(zip(TOKEN_FIELDS, (key, above, is_text, sort, kind, count, count, 1.0, *chars), strict=True)) for key, (above, is_text, sort, kind, count, *chars) in tokens_of(page).items()]
+    tokens = [dict(zip(TOKEN_FIELDS, (key, above, is_text, sort, kind, count, count, 1.0, *chars, 0), strict=True)) for key, (above, is_text, sort, kind, count, *chars) in tokens_of(page).items()]
     orders, slots = arrangement(page, classes_of(tokens))
     return deduce(tokens, valid_tokens(tokens, [(a, b, x, x) for (a, b), x in [*orders.items(), *(((k, None), x) for k, x in slots.items())]]))
 
@@ -506,7 +520,7 @@ def main_text(page: Page, template: tuple[dict[int, int], set[int]] | None) -> s
     states, fixed = template
     mine: list[int] = []
     for key, up, sort in zip(page.keys, page.above, page.sorts, strict=True):
-        mine.append(states[key] if key in states else step(mine[up] if up >= 0 else 0, sort))
+        mine.append(states[key] if key in states else step(mine[up] & ~OWN if up >= 0 else 0, sort))
     levels = [level(mine[e]) if e >= 0 else 2 for _, e, _ in page.blocks]
     if fixed and max(levels, default=0) == 2:
         levels = [1 if x == 2 and text_key(page.keys[e] if e >= 0 else 0, t) in fixed else x for x, (t, e, _) in zip(levels, page.blocks, strict=True)]
@@ -563,7 +577,7 @@ def extract(pages: DataFrame) -> DataFrame:
     met = named.withColumn("_row", row_key()).join(F.broadcast(others) if known_bytes <= SMALL else others.hint("shuffle_hash"), F.col("_row") == F.col("_id"), "left")
     counted = met.withColumn("weight", F.coalesce("_weight", F.lit(1.0))).where("weight > 0").select("host", "page_id", "html", "weight")
     tokens = cut(host_tokens(counted, hosts))
-    found = arranged(give(counted, tokens, "tokens", F.size("tokens") * 88))
+    found = arranged(give(counted, tokens, "tokens", F.size("tokens") * 96))
     made = templates(tokens, found).withColumnRenamed("host", "_host")
     known = cut(hosts.join(made, F.col("host") == F.col("_host"), "left").select("host", F.col("n").alias("pages"), "template"))
     met = give(named, known, "template", F.coalesce(F.length("template"), F.lit(0)))
@@ -573,7 +587,11 @@ def extract(pages: DataFrame) -> DataFrame:
 def host_tokens(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """host, pages, tokens: the tokens of enough support. ``hosts``: host, n, host_pages."""
     spare = F.concat(F.lit("\0"), F.hex(F.xxhash64("host", "key")))
-    enough = join_hot(token_statistics(pages), hosts, "host", ["host_pages"], spare).where(F.col("pages") >= SUPPORT * F.col("host_pages") - 0.01)
+    every = cut(token_statistics(pages))
+    enough = join_hot(every, hosts, "host", ["host_pages"], spare).where(F.col("pages") >= SUPPORT * F.col("host_pages") - 0.01)
+    # characters of an element's own texts that stand on several pages, those of too little support for the template included
+    again = every.where("is_text = 1 AND pages > 1.5").groupBy(F.col("host").alias("_host"), F.col("above").alias("_key")).agg(F.sum("own").alias("_again"))
+    enough = enough.join(again, F.col("host").eqNullSafe(F.col("_host")) & (F.col("key") == F.col("_key")) & (F.col("is_text") == 0), "left").withColumn("again", F.coalesce("_again", F.lit(0)))
     return enough.groupBy("host").agg(F.max("host_pages").cast("long").alias("pages"), F.collect_list(F.struct(*TOKEN_FIELDS)).alias("tokens"))
 
 

@@ -722,6 +722,12 @@ def test_html_template_against_brute_force(spark):
     rows = [t.asDict() for t in tokens.first().tokens]
     enough, vector, valid = brute_template(html_extract.Reader(), htmls)
     assert {t["key"] for t in rows} == enough
+    reader, again = html_extract.Reader(), {}
+    for h in htmls:
+        for text, e, _ in (page_ := reader.read(h)).blocks:
+            if sum(n > 0 for n in vector[html_extract.text_key(page_.keys[e], text)]) > 1:
+                again[page_.keys[e]] = again.get(page_.keys[e], 0) + len(text)
+    assert {t["key"]: t["again"] for t in rows if t["again"]} == {k: n for k, n in again.items() if k in enough} and len(set(again.values())) > 3
     assert all((a["mark1"] == b["mark1"] and a["mark2"] == b["mark2"]) == (vector[a["key"]] == vector[b["key"]]) for a in rows for b in rows)
     found = [tuple(r)[1:] for r in html_extract.arranged(html_extract.give(df, tokens, "tokens", html_extract.F.lit(1))).collect()]
     assert html_extract.valid_tokens(rows, found) == valid
@@ -742,6 +748,28 @@ def test_html_template_decides(spark):
     assert texts_of(spark, rows) == want
 
 
+def test_html_slots_without_telling_names(spark):
+    """Adverts from a pool, teasers and link bars in elements with foreign or meaningless names go; the varying text stays, whatever stands around it."""
+    rows, want = [], {}
+    for i in range(30):
+        own, tail = " ".join(words(i, 25)), " ".join(words(500 + i, 20))
+        advert, teaser = " ".join(words(900 + i % 10, 8)), " ".join(words(930 + i % 7, 6))
+        bar = "".join(f'<a href="/{k}">{" ".join(words(i + k, 3))}</a> ' for k in range(4))
+        slug = f"<section><p>{tail}</p></section>" if i % 2 else f'<div class="{"abcdefghij"[i % 10]}{i}x">{tail}</div>'
+        rows.append((i, "http://fremd.de/", f'<body><div class="leiste">{bar}</div><div class="werbung">{advert}</div><div class="q7"><h2>T{i % 3}</h2><p>{own}</p>{slug}</div><div class="zz9"><p>{teaser}</p></div></body>'))
+        want[i] = f"T{i % 3}\n\n{own}\n\n{tail}"
+        # every article stands on two pages that differ in a short stray line: nothing holds more text, so it stays
+        rows.append((100 + i, "http://pairs.de/", f'<body><div class="q7"><p>{" ".join(words(i // 2, 30))}</p></div><div class="k">{i}</div></body>'))
+        want[100 + i] = f"{' '.join(words(i // 2, 30))}\n\n{i}"
+        # a host of link collections keeps them
+        rows.append((200 + i, "http://links.de/", f'<body><div class="q7"><p>{bar}</p></div><div class="k">{i}</div></body>'))
+        want[200 + i] = f"{' '.join(' '.join(words(i + k, 3)) for k in range(4))}\n\n{i}"
+    # a page of the host with nothing but such slots gives these
+    rows.append((300, "http://fremd.de/", '<body><div class="leiste"><a href="/">only links</a></div></body>'))
+    want[300] = "only links"
+    assert texts_of(spark, rows) == want
+
+
 @pytest.mark.parametrize("small", [1 << 24, 0])
 def test_html_joins_are_alike(spark, small, monkeypatch):
     """Templates by broadcast or by a join with hot hosts apart: the same texts, pages without text or host included."""
