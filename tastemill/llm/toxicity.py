@@ -17,8 +17,9 @@ Their votes, weighted by cosine, are mapped to rates seen on the labelled texts
 vote), rising with the vote.
 
 The labelled rows that are learned from are at most ``SAMPLE_DOCS`` (smallest
-hash of the id first; of verified copies one stays and counts for all in rates),
-which bounds the model that is broadcast; statistics and scores cover every whole text.
+hash of the id first; of verified copies one stays and counts for all in rates), and
+of these as many, in the same order, as have ``SAMPLE_WORDS`` different words in all, each text's
+counted. Both bound what the driver holds and the model that is broadcast; statistics and scores cover every whole text.
 
 Defined results
 * null or empty text, or a text without a word that an example has: the rate of
@@ -42,13 +43,15 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, column, cut, gram_hashes, group_starts, mix64, table, whole_groups, word_hashes
 from .language_id import held_out
 
 SAMPLE_DOCS = 6_000
+#: Different words of all learned texts together, each text's counted: 12 bytes each on the driver.
+SAMPLE_WORDS = 8_000_000
 NEIGHBOURS = 15
 #: Shingle Jaccard from which on texts are copies, bytes of the sketch that finds them, and how many times the sample is read to make up for them.
 COPY, SKETCH, REFILL = 0.8, 64, 2
@@ -359,7 +362,14 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
+def within(coded: DataFrame, words: int) -> DataFrame:
+    """doc_id of the labelled texts that are learned from: in the order of ``first_ids``, as long as they have no more than ``words`` in all."""
+    sizes = coded.groupBy("doc_id").agg(F.sum(F.octet_length("counts") / 4).alias("_n"))  # no more rows than the sample
+    upto = sizes.withColumn("_upto", F.sum("_n").over(Window.orderBy(*first_ids())))
+    return upto.where(F.col("_upto") <= words).select("doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> Model:
     """``labels`` (doc_id, toxic) may hold only what is to be learned from; ``docs`` gives texts and document frequencies."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     known = known.orderBy(*first_ids()).limit(REFILL * sample)
@@ -373,8 +383,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
             parts = [[x[a:b].astype(kind).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for x, kind in ((hashes, np.uint64), (counts, np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "toxic", "n")), *(pa.array(x, pa.binary()) for x in parts)], names=["doc_id", "toxic", "n", "hashes", "counts"])
 
-    coded = texts.mapInArrow(encode, "doc_id long, toxic int, n long, hashes binary, counts binary")
-    # at most ``sample`` rows, each of a text's different words
+    coded = cut(texts.mapInArrow(encode, "doc_id long, toxic int, n long, hashes binary, counts binary"))
+    chosen = F.broadcast(cut(within(coded, words)))
+    coded, texts = coded.join(chosen, "doc_id", "left_semi"), texts.join(chosen, "doc_id", "left_semi")
+    # at most ``sample`` rows, each of a text's different words, and ``words`` of these in all
     rows = coded.orderBy("doc_id", "hashes").toPandas()
     terms, weights = np.empty(0, np.uint64), np.empty(0)
     toxic, copies = rows["toxic"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
