@@ -102,8 +102,8 @@ def coarse(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(vectors: DataFrame, n_rows: int) -> dict:
     """centre, group, parts, books, probes. ``vectors``: vec_id, v."""
     sample = int(min(SAMPLE_MOST, max(SAMPLE, TAUGHT * CELLS * n_rows**0.5)))
-    rows = vectors.orderBy(F.md5(F.encode(F.col("vec_id").cast("string"), "UTF-8")), "vec_id").limit(sample).select("v").toPandas()["v"]
-    whole = np.array(rows.tolist(), np.float64)
+    rows = vectors.orderBy(F.md5(F.encode(F.col("vec_id").cast("string"), "UTF-8")), "vec_id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    whole = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
     x = np.unique(whole, axis=0)  # copies would only crowd the centroids
     x = x[np.random.RandomState(3).permutation(len(x))]
     centre, group = coarse(x, int(np.clip(CELLS * np.sqrt(n_rows), 1, max(1, len(x) // TAUGHT))))
