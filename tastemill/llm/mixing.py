@@ -14,7 +14,8 @@ sort exactly. Texts are read once, only to count their words.
 
 Defined results
 * null text: size 0; nothing is taken of documents of size 0;
-* null source: a source of its own, after the others; null ids sort first;
+* null source: a source of its own, after the others;
+* null id: shuffled by a hash of the text instead, so many such rows do not share a place;
 * rows equal in id, source and size stand one after another; the cut may fall between them, so that of equal rows some are taken, and reruns take as many;
 * very long texts are counted where they are read and moved nowhere; one id's repeated rows share a hash bucket;
 * an empty table, or one without words: no row, or all targets 0.
@@ -59,7 +60,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    shuffled = F.md5(F.encode(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8"))
+    nameless = F.concat(F.lit("|"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    shuffled = F.md5(F.encode(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), nameless)), "UTF-8"))
     rows = cut(docs.select("doc_id", "source", size.alias("size"), shuffled.alias("_k")))
     n_rows = rows.count()
     known = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
@@ -134,7 +136,7 @@ def mix_sql(documents: str = "documents") -> str:
     return rf"""
 WITH rows_ AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '|' || md5(coalesce(text, '')))) AS k
   FROM {documents}
 ), sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM rows_ GROUP BY source
 ), ranked AS (SELECT source, s, row_number() OVER (ORDER BY source ASC NULLS LAST) AS r FROM sizes
