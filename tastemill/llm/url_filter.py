@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, table
+from .common import column, cut, join_hot, table
 
 TRIE_RULES, RULE_CHARS = 100_000, 2_000
 DEFAULT_VERDICT = "allow"
@@ -121,15 +121,26 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default:
 
 
 def judge_by_join(df: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
-    """The same for a rule table of any size: each host suffix meets its rules in a join; no broadcast."""
+    """The same for a rule table of any size, by joins.
+
+    A host suffix meets the lengths that the paths of its rules have, and then the rule of each such piece of the path,
+    so a suffix with many rules does not meet each of them. Suffixes and pieces that many URLs share are hot keys in both joins.
+    """
     names = [c for c in df.columns if c not in ("rule", "verdict")]
     labels = F.split("host", "[.]")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     # one row for each different (host, path), so that repeated rows cost nothing and need no key
-    asked = df.select("host", "path").distinct()
-    met = asked.withColumn("rule_host", F.explode(suffixes)).join(rules, "rule_host").where(F.expr("startswith(path, rule_path)"))
-    rank = F.struct(F.length(F.regexp_replace("rule_host", "[^.]", "")), F.length("rule_path"), (F.col("verdict") == "block"))
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), rank).alias("_best"))
+    places = cut(df.select("host", "path").where("host IS NOT NULL AND path IS NOT NULL").distinct()).withColumn("rule_host", F.explode(suffixes))
+    spare = F.concat(F.lit("\0"), F.hex(F.xxhash64("host", "path", "rule_host")))
+    lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    known = cut(places.groupBy("rule_host").agg(F.count("*").alias("n")).join(lengths, "rule_host"))
+    pieces = join_hot(places, known, "rule_host", ["lengths"], spare).withColumn("size", F.explode("lengths")).where(F.length("path") >= F.col("size"))
+    pieces = cut(pieces.select("host", "path", "rule_host", "size", F.concat("rule_host", F.lit("\0"), F.expr("left(path, size)")).alias("piece")))
+    ends = rules.groupBy(F.concat("rule_host", F.lit("\0"), "rule_path").alias("piece")).agg(F.max_by("verdict", F.col("verdict") == "block").alias("_verdict"))
+    known = cut(pieces.groupBy("piece").agg(F.count("*").alias("n")).join(ends, "piece"))
+    met = join_hot(pieces, known, "piece", ["_verdict"], F.concat(F.lit("\0"), F.hex(F.xxhash64("host", "path", "piece"))))
+    rule = F.struct(F.concat("rule_host", F.expr("left(path, size)")).alias("rule"), F.col("_verdict").alias("verdict"))
+    best = met.groupBy("host", "path").agg(F.max_by(rule, F.struct(F.size(F.split("rule_host", "[.]")), "size")).alias("_best"))
     out = df.select(*names).join(best, ["host", "path"], "left")
     return out.select(*names, F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
