@@ -1,7 +1,9 @@
 """Each operator on small planted tables: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
+import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -92,6 +94,19 @@ def test_mixing(spark):
     assert {r.taken for r in mixing.mix(docs_of(spark, [(1, ""), (2, None)])).collect()} == {0}
 
 
+def test_mixing_of_rows_without_ids(spark, tmp_path, monkeypatch):
+    """Null ids in number: shuffled by their texts, so hash buckets share them out, and the same as the SQL says; a long text is one of them."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    texts = [(None, " ".join(words(i, 1 + i % 30))) for i in range(900)] + [(None, None), (None, ""), (None, "long " * 300_000)] + [(i, " ".join(words(i, 9))) for i in range(200)]
+    df = spark.createDataFrame([(i, t, "en", f"s{n % 4}" if n % 4 else None, 0) for n, (i, t) in enumerate(texts)], DOCS)
+    df.write.parquet(str(tmp_path / "documents"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+        want = con.sql(mixing.OP2_SQL).project("doc_id, size, source_size, target, taken").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in mixing.mix(df).select("doc_id", "size", "source_size", "target", "taken").collect())
+    assert sum(r[4] for r in want) > 0
+
+
 def test_mixing_caps_small_sources(spark):
     rows = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 10)], "source string, source_size long")
     t = {r.source: r.target for r in mixing.targets(rows).collect()}
@@ -358,6 +373,26 @@ def test_toxicity_against_brute_force(spark):
     assert all(len(e) == toxicity.NEIGHBOURS for e in evidence.values())
 
 
+def test_toxicity_learns_within_a_bound_of_words(spark):
+    """Texts are taken in the order of their hash as long as their different words fit; the model never holds more."""
+    texts = [(i, " ".join([*words(i, 30 + 40 * (i % 5)), *(["vile"] if i % 3 == 0 else [])])) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    size = {i: len(set(t.split())) for i, t in texts}
+    order = sorted(size, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    docs = docs_of(spark, texts)
+    for bound in (0, 2_000, 10**6):
+        model, held, want = toxicity.fit(docs, labels, words=bound), 0, []
+        for i in order:
+            held += size[i]
+            if held <= bound:
+                want.append(i)
+        assert sorted(model.ids.tolist()) == sorted(want) and len(model.column) <= bound
+        score = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+        assert len(score) == 120 and all(0 <= x <= 1 for x in score.values())
+        # all 120 texts are learned from under the widest bound only; then every one is told
+        assert bound < 10**6 or all((score[i] >= 0.5) == (i % 3 == 0) for i in score)
+
+
 def test_toxicity_of_odd_rows(spark):
     """Labels other than 0 and 1, several labels of one id, a very long text, ties of scores."""
     texts = [(i, " ".join([*words(i, 30), *(["vile"] if i % 3 == 0 else [])])) for i in range(90)] + [(500, "vile " + " ".join(words(1, 400_000, 5000))), (501, "vile"), (502, "vile")]
@@ -591,6 +626,19 @@ def test_url_filter(spark):
     assert url_filter.judge(split.limit(0), url_filter.RULES).count() == 0
 
 
+def test_url_join_of_a_hot_suffix(spark):
+    """A suffix that most URLs have and thousands of rules: both joins know it as hot, and a brute force says the same."""
+    draw = random.Random(4)
+    rules = [(draw.choice(["block", "allow"]), "com", f"/{'abc'[i % 3]}/{i}") for i in range(2000)] + [("block", "com", "/"), ("allow", "big.com", "/a"), ("block", "big.com", "/a"), ("allow", "x.org", "")]
+    urls = [f"http://{draw.choice(['big.com', 'w.big.com', 'other.com', 'a.x.org', 'x.org', 'none.net'])}/{draw.choice('abcd')}/{draw.randrange(2500)}" for _ in range(6000)]
+    asked = url_filter.split_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_by_join(asked, spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")).collect()}
+    for i, url in enumerate(urls):
+        host, path = url[7:].split("/", 1)
+        fit = [(h.count("."), len(p), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        assert out[i] == (max(fit)[3:] if fit else (None, "allow"))
+
+
 # ---- 1
 
 
