@@ -43,6 +43,7 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,19 +74,12 @@ SLICE = 4_096
 
 @dataclass
 class Model:
-    """Block-max inverted index of the examples, and the map from votes to scores."""
+    """The examples' vectors and the map from votes to scores; the block-max inverted index follows when it is first asked for, so the driver that only fits and sends a model never builds it."""
 
     terms: np.ndarray  # hashes of words, sorted; a word's column is its place
     weights: np.ndarray  # of the columns
     ids: np.ndarray  # of the examples, in the order in which they fill blocks
     toxic: np.ndarray
-    slot: np.ndarray  # place of each column among the frequent ones; -1: it is not
-    rows: np.ndarray  # blocks x frequent words x examples of the block: weights
-    top: np.ndarray  # frequent words x blocks: largest weight
-    start: np.ndarray  # postings of column c: start[c] up to start[c + 1]; frequent ones have none
-    posted: np.ndarray  # example
-    weight: np.ndarray
-    query: np.ndarray  # a zero for each column, to write a text's weights into
     whole: np.ndarray  # vector of example e: whole[e] up to whole[e + 1]
     column: np.ndarray
     carried: np.ndarray  # weights of the vectors
@@ -93,6 +87,21 @@ class Model:
     rates: np.ndarray  # score from that vote on
     none: float  # score of a text without words of the index
 
+    def __getattr__(self, name: str):
+        """What the index adds.
+
+        slot: place of each column among the frequent ones; -1: it is not
+        rows: blocks x frequent words x examples of the block: weights
+        top: frequent words x blocks: largest weight
+        start: postings of column c: start[c] up to start[c + 1]; frequent ones have none
+        posted, weight: their examples and weights
+        query: a zero for each column, to write a text's weights into
+        """
+        if name not in INDEX:
+            raise AttributeError(name)
+        self.__dict__.update({k: v for k, v in opened({x: self.__dict__[x] for x in SENT}).items() if k in INDEX})
+        return self.__dict__[name]
+
 
 def text_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, count) of every different word of every text, by text."""
@@ -211,16 +220,23 @@ def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
 
 def index(ids: np.ndarray, toxic: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, weights: np.ndarray) -> Model:
     """From the vectors of the labelled texts; not yet calibrated. Texts without a column are left out."""
-    full = [i for i, (cols, _) in enumerate(found) if len(cols)]
-    main = [int(found[i][0][found[i][1].argmax()]) for i in full]
-    full = [full[i] for i in np.lexsort((ids[full], main)).tolist()] if full else []
-    whole = np.concatenate([[0], np.cumsum([len(found[i][0]) for i in full])]).astype(np.int64)
-    column = np.concatenate([found[i][0] for i in full]).astype(np.int32) if full else np.empty(0, np.int32)
-    carried = np.concatenate([found[i][1] for i in full]) if full else np.empty(0)
-    return Model(**opened({"terms": terms, "weights": weights, "ids": ids[full], "toxic": toxic[full].astype(float), "whole": whole, "column": column, "carried": carried, "steps": np.zeros(1), "rates": np.zeros(1), "none": 0.0}))
+    start = np.concatenate([[0], np.cumsum([len(cols) for cols, _ in found])]).astype(np.int64)
+    return placed(ids, toxic, start, np.concatenate([np.empty(0, np.int32), *(cols for cols, _ in found)]).astype(np.int32), np.concatenate([np.empty(0), *(w for _, w in found)]), terms, weights)
+
+
+def placed(ids: np.ndarray, toxic: np.ndarray, start: np.ndarray, cols: np.ndarray, w: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> Model:
+    """The same from all vectors in one array each (text i: start[i] up to start[i + 1])."""
+    size = np.diff(start)
+    full = np.flatnonzero(size)
+    main = [int(cols[a + w[a:b].argmax()]) for a, b in zip(start[full].tolist(), start[full + 1].tolist(), strict=True)]
+    full = full[np.lexsort((ids[full], main))]
+    at = ranges(start[full], start[full + 1])
+    whole = np.concatenate([[0], np.cumsum(size[full])]).astype(np.int64)
+    return Model(terms=terms, weights=weights, ids=ids[full], toxic=toxic[full].astype(float), whole=whole, column=cols[at], carried=w[at], steps=np.zeros(1), rates=np.zeros(1), none=0.0)
 
 
 SENT = ("terms", "weights", "ids", "toxic", "whole", "column", "carried", "steps", "rates", "none")
+INDEX = ("slot", "rows", "top", "start", "posted", "weight", "query")
 
 
 def packed(model: Model) -> dict:
@@ -362,6 +378,11 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     return out
 
 
+def flat(rows: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The binary values of a column one after another, as numbers."""
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for part in rows.column(name).chunks for x in part if x.is_valid)])
+
+
 def within(coded: DataFrame, words: int) -> DataFrame:
     """doc_id of the labelled texts that are learned from: in the order of ``first_ids``, as long as they have no more than ``words`` in all."""
     sizes = coded.groupBy("doc_id").agg(F.sum(F.octet_length("counts") / 4).alias("_n"))  # no more rows than the sample
@@ -387,27 +408,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, words: in
     chosen = F.broadcast(cut(within(coded, words)))
     coded, texts = coded.join(chosen, "doc_id", "left_semi"), texts.join(chosen, "doc_id", "left_semi")
     # at most ``sample`` rows, each of a text's different words, and ``words`` of these in all
-    rows = coded.orderBy("doc_id", "hashes").toPandas()
-    terms, weights = np.empty(0, np.uint64), np.empty(0)
-    toxic, copies = rows["toxic"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    hashes = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
-    if len(rows) and sum(map(len, hashes)):
-        terms, where = np.unique(np.concatenate(hashes), return_inverse=True)
-        label = np.repeat(toxic, [len(h) for h in hashes])
-        bad, all_ = np.bincount(where, label, len(terms)), np.bincount(where, minlength=len(terms)).astype(float)
-        n, n1 = len(rows), toxic.sum()
+    rows = coded.orderBy("doc_id", "hashes").select("doc_id", "toxic", "n", "hashes", "counts").toArrow()
+    ids, toxic, copies = (rows.column(x).to_numpy().astype(np.int64) for x in ("doc_id", "toxic", "n"))
+    hashes, counts = flat(rows, "hashes", np.uint64), flat(rows, "counts", np.int32)
+    size = np.array([n // 8 for n in pc.binary_length(rows.column("hashes")).to_pylist()], np.int64)
+    del rows
+    start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    terms, weights, where = np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int32)
+    if len(hashes):
+        terms = np.unique(hashes)
+        where = np.searchsorted(terms, hashes).astype(np.int32)
+        del hashes
+        bad, all_ = np.bincount(where[np.repeat(toxic != 0, size)], minlength=len(terms)), np.bincount(where, minlength=len(terms)).astype(float)
+        n, n1 = len(ids), toxic.sum()
         spread_ = np.sqrt(np.maximum(all_ * (n - all_) * n1 * (n - n1), 0.0))
         phi = np.where(spread_ > 0, np.abs(bad * n - all_ * n1) / np.maximum(spread_, 1e-300), 0.0)
         n_docs, df = docs.count(), document_frequencies(docs, terms)
         weights = (np.log((1.0 + n_docs) / (1.0 + df)) + LEAST) * (phi + LEAST)
-    found = []
-    for h, c in zip(hashes, rows["counts"], strict=True):
-        cols = np.searchsorted(terms, h)
-        order = np.argsort(cols)
-        w = ((1.0 + np.log(np.frombuffer(c, np.int32))) * weights[cols])[order]
-        found.append((cols[order], w / np.sqrt((w * w).sum()) if len(w) else w))
-    model = index(rows["doc_id"].to_numpy(np.int64), toxic, found, terms, weights)
-    empty = np.array([not len(h) for h in hashes], bool)
+    # text by text, so that no array of all words but the vectors is made
+    carried = np.empty(len(where))
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+        order = np.argsort(where[a:b])
+        w = ((1.0 + np.log(counts[a:b])) * weights[where[a:b]])[order]
+        where[a:b], carried[a:b] = where[a:b][order], w / np.sqrt((w * w).sum()) if a < b else w
+    del counts
+    model = placed(ids, toxic, start, where, carried, terms, weights)
+    del where, carried
+    empty = size == 0
     model.none = float((toxic * copies)[empty].sum() / copies[empty].sum()) if empty.any() else 0.0
     if not len(model.ids):
         return model

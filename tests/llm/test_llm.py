@@ -393,6 +393,13 @@ def test_toxicity_learns_within_a_bound_of_words(spark):
         assert bound < 10**6 or all((score[i] >= 0.5) == (i % 3 == 0) for i in score)
 
 
+def test_toxicity_fit_leaves_the_index_to_the_tasks(spark):
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} word{i % 5} thing{i}") for i in range(40)], "doc_id long, text string")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
+    assert set(toxicity.INDEX).isdisjoint(vars(model)) and set(toxicity.INDEX).isdisjoint(toxicity.packed(model))
+    assert len(model.posted) + (model.rows > 0).sum() == len(model.column) and not hasattr(model, "other")
+
+
 def test_toxicity_of_odd_rows(spark):
     """Labels other than 0 and 1, several labels of one id, a very long text, ties of scores."""
     texts = [(i, " ".join([*words(i, 30), *(["vile"] if i % 3 == 0 else [])])) for i in range(90)] + [(500, "vile " + " ".join(words(1, 400_000, 5000))), (501, "vile"), (502, "vile")]
