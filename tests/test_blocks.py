@@ -1,11 +1,12 @@
 """Pairs of users by blocks of their vectors: the results of the joins, and no pair in a shuffle."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.operators import blocks, kernels, neighbours, predict, ratings_clusters
+from tastemill.operators import blocks, clusters, kernels, neighbours, predict, ratings_clusters
 
 R = "user_id long, item_id long, rating double"
 
@@ -76,3 +77,29 @@ def test_similar_users_equal_the_table_of_pairs(dense):
     old = ratings_clusters.top_pairs(kernels.pearson_corated(kernels.pair_sums(dense)), 5)
     got = neighbours.similar_users(dense, 5)
     assert rows(got, "u", "v", "sim") == rows(old, "u", "v", "sim") and "hashpartitioning(u#" not in plan(got)
+
+
+def test_seeds_from_tasks_without_rows(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, v array<double>")
+    assert clusters.seed_by_distance(df.repartition(20, "vec_id"), 3) == clusters.seed_by_distance(df.coalesce(1), 3)
+
+
+def test_silhouette_shuffles_ratings_and_no_pairs(spark, dense, labels):
+    """By hand from the similarities of all pairs."""
+    users = {r.user_id: r.cluster_id for r in labels.collect()}
+    alone = spark.createDataFrame([(1000, 999, 3.0), (1001, 998, 2.0)], R)
+    df, every = dense.unionByName(alone), labels.select("user_id", "cluster_id").unionByName(spark.createDataFrame([(1000, 0), (1001, 1)], "user_id long, cluster_id long"))
+    users |= {1000: 0, 1001: 1}
+    sim = {}
+    for r in kernels.pearson_corated(kernels.pair_sums(df), -1.0, clip=False).collect():
+        sim[r.u, r.v] = sim[r.v, r.u] = r.sim
+    total = 0.0
+    for u, own in users.items():
+        mean = {}
+        for c in (0, 1):
+            far = [1 - sim.get((u, v), -1.0) for v in users if v != u and users[v] == c]
+            mean[c] = sum(far) / len(far)
+        total += (mean[1 - own] - mean[own]) / max(mean.values())
+    got = ratings_clusters.pearson_silhouette(df, every)
+    assert abs(got.first().silhouette - total / len(users)) < 1e-6
+    assert not re.search(r"hashpartitioning\((u#\w+, v#|v#\w+, u#)", plan(got))
