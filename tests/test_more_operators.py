@@ -506,6 +506,34 @@ def test_k_nearest_against_brute_force(spark, block):
     assert clusters.k_nearest(df.limit(0), 5).count() == 0
 
 
+def shuffled(spark, run) -> int:
+    """Rows that the stages of ``run`` wrote to shuffles."""
+    sc = spark.sparkContext
+    store, gateway = sc._jsc.sc().statusStore(), sc._gateway
+
+    def stages() -> dict[int, int]:
+        found = store.stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(rows for stage, rows in stages().items() if stage not in before)
+
+
+def test_k_nearest_shuffles_in_proportion(spark):
+    """Vectors without structure, where every block is asked: the rows shuffled stay in proportion to the vectors, and parts of the streamed side agree."""
+    x = np.random.RandomState(2).rand(600, 16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").repartition(4).cache()
+    df.count()
+    got = {}
+    assert shuffled(spark, lambda: got.update({0: sorted(map(tuple, clusters.k_nearest(df, 5, 16).collect()))})) < 600 * 5 * 3
+    assert sorted(map(tuple, clusters.k_nearest(df, 5, 64, stretch=200).collect())) == got[0] and len(got[0]) == 3000
+    for i in range(0, 600, 50):
+        d = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(600) if j != i)[:5]
+        assert sorted((d_, j) for k, j, d_ in got[0] if k == i) == d
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_pair_sums_in_blocks(spark, block, monkeypatch):
     from tastemill.operators import kernels
