@@ -49,6 +49,35 @@ def test_prune_chain(spark):
     assert prepare.prune(df, 0, 0).count() == df.count()
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_prune_rounds(spark, most, monkeypatch):
+    """Fixed rounds and the fixpoint as row by row, rows without ids too, with lists of ids broadcast or shuffled; nothing but counts is shuffled for short lists."""
+    monkeypatch.setattr(prepare, "PRUNED_IDS", most)
+    draw = np.random.RandomState(3)
+    user, item = (draw.zipf(1.4, 4_000) % 400).tolist(), draw.randint(0, 500, 4_000).tolist()
+    cells = [(None if n % 97 == 5 else u, None if n % 89 == 7 else i, float(n)) for n, (u, i) in enumerate(zip(user, item, strict=True))]
+    df = spark.createDataFrame(cells, R)
+
+    def step(left, min_user, min_item):
+        for at, least in ((0, min_user), (1, min_item)):
+            if least:
+                of = [c[at] for c in left]
+                enough = {x for x in set(of) if x is not None and of.count(x) >= least}
+                left = [c for c in left if c[at] in enough]
+        return left
+
+    for min_user, min_item in ((9, 6), (0, 8), (9, 0))[: 3 if most else 1]:
+        kept = [cells]
+        while len(kept) < 3 or kept[-1] != kept[-2]:
+            kept.append(step(kept[-1], min_user, min_item))
+        sized = lambda frame: sorted(r.rating for r in frame.collect())
+        assert sized(prepare.prune_once(df, min_user, min_item)) == sorted(c[2] for c in kept[1])
+        assert sized(prepare.prune(df, min_user, min_item, 2)) == sorted(c[2] for c in kept[2])
+        assert sized(prepare.prune(df, min_user, min_item)) == sorted(c[2] for c in kept[-1])
+    plan = prepare.prune_once(df, 9, 6)._jdf.queryExecution().executedPlan().toString()
+    assert ("hashpartitioning" in plan) == (most == 0)
+
+
 def test_fallback_and_ties(spark):
     train = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0), (2, 1, 5.0)], R)
     target = spark.createDataFrame([(1, 9, 3.0)], R)
