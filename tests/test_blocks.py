@@ -103,3 +103,40 @@ def test_silhouette_shuffles_ratings_and_no_pairs(spark, dense, labels):
     got = ratings_clusters.pearson_silhouette(df, every)
     assert abs(got.first().silhouette - total / len(users)) < 1e-6
     assert not re.search(r"hashpartitioning\((u#\w+, v#|v#\w+, u#)", plan(got))
+
+
+@pytest.mark.parametrize("kernel", ["pearson", "pearson_zero"])
+@pytest.mark.parametrize("step", [1.0, 0.3])
+def test_pairs_that_cannot_be_among_the_best_are_left_out(dense, labels, monkeypatch, kernel, step):
+    for name, x in (("FIRST", 12), ("TILE", 5), ("USERS", 16)):
+        monkeypatch.setattr(blocks, name, x)
+    df = dense.withColumn("rating", F.col("rating") * step)
+    wide = ratings_clusters.top_pairs(kernels.pearson_corated(kernels.pair_sums(df), -1.0 if kernel == "pearson" else 0.0, clip=kernel != "pearson"), 2)
+    assert rows(neighbours.similar_users(df, 2, kernel), "u", "v", "sim") == rows(wide, "u", "v", "sim")
+    targets = df.select("user_id").distinct().crossJoin(df.select("item_id").distinct()).join(df, ["user_id", "item_id"], "left_anti")
+    got = neighbours.moved_in_blocks(df, targets, labels, kernel, 2)
+    assert rows(got, "user_id", "item_id", "up", "down") == rows(neighbours.moved_by_target(df, targets, labels, kernel, 2), "user_id", "item_id", "up", "down")
+
+
+def test_few_pairs_pass_the_comparison_of_squares():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    near, far = (blocks.Side(np.arange(n), np.full(n, 30), np.tile(np.arange(30), n), draw.integers(1, 6, 30 * n).astype(float)) for n in (40, 900))
+    known = np.arange(30)
+    for kind in (np.float32, np.float64):
+        left, right = (tuple(x.astype(kind) for x in s.dense(known)) for s in (near, far))
+        sim = np.abs(blocks.similarity("pearson", tuple(x.astype(float) for x in blocks.six(left, right))))
+        r, c, sums = blocks.may_beat(left, right, np.full(40, 500_000))
+        assert set(zip(*np.nonzero(sim >= 0.5), strict=True)) <= set(zip(r, c, strict=True)) and len(r) <= (sim > 0.4999).sum() < sim.size / 20
+        assert np.array_equal(np.abs(blocks.similarity("pearson", sums)), sim[r, c])
+
+
+def test_users_of_equal_vectors_are_met_once(dense, monkeypatch):
+    copies = dense.unionByName(dense.select((F.col("user_id") + 1).alias("user_id"), "item_id", "rating")).unionByName(dense.where("user_id = 0").crossJoin(dense.sparkSession.range(20)).select((F.col("id") + 1000).alias("user_id"), "item_id", "rating"))
+    met, real = [], blocks.meet
+    monkeypatch.setattr(blocks, "meet", lambda raters, asking, *more: met.append((raters.select("user_id").distinct().count(), asking.count())) or real(raters, asking, *more))
+    got = neighbours.similar_users(copies, 5)
+    wide = ratings_clusters.top_pairs(kernels.pearson_corated(kernels.pair_sums(copies)), 5)
+    assert rows(got, "u", "v", "sim") == rows(wide, "u", "v", "sim")
+    assert met == [(124, 60)]
