@@ -140,3 +140,13 @@ def test_users_of_equal_vectors_are_met_once(dense, monkeypatch):
     wide = ratings_clusters.top_pairs(kernels.pearson_corated(kernels.pair_sums(copies)), 5)
     assert rows(got, "u", "v", "sim") == rows(wide, "u", "v", "sim")
     assert met == [(124, 60)]
+
+
+def test_only_items_that_gain_a_neighbour_are_updated():
+    import numpy as np
+
+    has, dev = np.array([[1, 1, 0], [1, 0, 0], [1, 1, 1]], bool), np.arange(9.0).reshape(3, 3)
+    some, keys, sims, devs = blocks.best_of_row(np.array([0, 2]), np.array([5, 7]), np.array([0.5, 0.7]), has, dev, np.arange(3), 2, np.array([7, 4, -1]))
+    assert some.tolist() == [1, 2] and keys.tolist() == [[7, 5], [7, -1]]
+    assert sims.tolist() == [[0.7, 0.5], [0.7, 0.0]] and devs.tolist() == [[7.0, 1.0], [8.0, 0.0]]
+    assert not len(blocks.best_of_row(np.array([1]), np.array([5]), np.array([0.5]), has, dev, np.arange(3), 2, np.array([9, -1, -1]))[0])
